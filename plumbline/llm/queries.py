@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing, secrets
+from plumbline.llm import bitpack, packing, secrets, separators
 from plumbline.session import table
 
 
@@ -18,9 +18,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed")
 
 
+def op2_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_separator_token_counts": op2_separator_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op8_bit_packed_tokens": op8_bit_packed_tokens,
 }
 
 ORACLE: dict[str, str] = {}

@@ -7,6 +7,7 @@ library and remembered; a batch of texts is split, dictionary-encoded and gather
 
 from __future__ import annotations
 
+import os
 from itertools import chain
 
 import numpy as np
@@ -21,7 +22,7 @@ MEMO_CHARS = 64
 #: Texts are handled in runs of about so many bytes, so that memory does not follow the size of an Arrow batch.
 RUN_BYTES = 6_000_000
 
-_LOADED: dict[str, "ChunkTokenizer"] = {}
+_LOADED: dict[tuple[str, bool], "ChunkTokenizer"] = {}
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,22 +32,24 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def load(path: str) -> "ChunkTokenizer":
-    """The tokenizer of a path, loaded once per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = ChunkTokenizer(path)
-    return _LOADED[path]
+def load(path: str, plain: bool = False) -> "ChunkTokenizer":
+    """The tokenizer of a path, loaded once per Python worker; plain: special tokens' strings in a text are ordinary text."""
+    if (path, plain) not in _LOADED:
+        _LOADED[path, plain] = ChunkTokenizer(path, plain)
+    return _LOADED[path, plain]
 
 
 class ChunkTokenizer:
     """`encode(texts)` gives (flat uint32 ids, int64 offsets); nulls and empty texts have no ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.encode_special_tokens = plain
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -102,9 +105,10 @@ class ChunkTokenizer:
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), offsets
 
     def _encode_run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # where no special token can arise from it
-            texts = pc.ascii_lower(texts)
-        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        blank = pc.replace_substring(texts, "\n", " ")  # also lays a slice out anew: ascii_lower misreads slices
+        if not pc.any(pc.match_substring(blank, "<|")).as_py():  # where no special token can arise from it
+            blank = pc.ascii_lower(blank)
+        words = pc.split_pattern(blank, " ")
         bounds = np.asarray(words.offsets.to_numpy(zero_copy_only=False), np.int64)
         coded = words.flatten().dictionary_encode()
         at = np.asarray(coded.indices.to_numpy(zero_copy_only=False), np.int64)
