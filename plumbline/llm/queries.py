@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, packing, secrets, separators
+from plumbline.llm import bitpack, chats, hostrules, packing, secrets, separators
 from plumbline.session import table
 
 
@@ -26,11 +26,21 @@ def op8_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.render(table(spark, sf_dir, "conversations"))
+
+
+def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_separator_token_counts": op2_separator_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_chat_formatting": op5_chat_formatting,
     "op8_bit_packed_tokens": op8_bit_packed_tokens,
+    "op10_host_quality_rules": op10_host_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_chat_formatting": chats.RENDER_SQL, "op10_host_quality_rules": hostrules.JUDGE_SQL}
