@@ -26,9 +26,15 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch sent to Python: rows may be whole books.
+ARROW_BATCH = "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package once per session, for clusters where it is not installed."""
+    """Get a session ready for Python stages: Arrow batches bounded in bytes, and this package on the executors (once per
+    session, for clusters where it is not installed)."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     if getattr(context, "_plumbline_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
