@@ -16,11 +16,14 @@ import pyarrow.compute as pc
 
 #: Chunks remembered by one Python worker. The first seen stay, as common chunks come early; others are encoded in each
 #: run anew (a speed matter only, never a result).
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
 #: Chunks over this many characters are never remembered.
 MEMO_CHARS = 64
 #: Texts are handled in runs of about so many bytes, so that memory does not follow the size of an Arrow batch.
-RUN_BYTES = 6_000_000
+RUN_BYTES = 3_000_000
+
+#: Chunks given to the library at once: its encodings are much larger than their ids.
+LIBRARY_BATCH = 4_096
 
 _LOADED: dict[tuple[str, bool], "ChunkTokenizer"] = {}
 
@@ -57,9 +60,14 @@ class ChunkTokenizer:
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct chunks and their numbers."""
-        found = [x.ids for x in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+        ids, lengths = [], []
+        for at in range(0, len(chunks), LIBRARY_BATCH):
+            found = [x.ids for x in self.library.encode_batch_fast(chunks[at : at + LIBRARY_BATCH], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        if not chunks:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pool of ids, start in it, number) of distinct chunks."""
