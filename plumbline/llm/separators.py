@@ -25,9 +25,9 @@ from plumbline.session import settle, ship_package
 
 ID_BYTES = 2
 #: Ids in a file that `write_flat` makes; files end anywhere, also within a document.
-FILE_IDS = 4_000_000
+FILE_IDS = 1_000_000
 #: Bytes searched at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: A document's name in the list beside the token files: whether there is one, and the integer id.
 NAME = np.dtype([("known", "u1"), ("doc_id", "<i8")])
 
@@ -78,7 +78,7 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     return end_id
 
 
-def separators_in(data: bytes, end_id: int) -> np.ndarray:
+def separators_in(data: bytes | memoryview, end_id: int) -> np.ndarray:
     """Places of the end id in a block; an incomplete id at the end isn't one."""
     return np.flatnonzero(np.frombuffer(data, "<u2", len(data) // ID_BYTES) == end_id)
 
@@ -88,15 +88,18 @@ def scan_blocks(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.as_py() for x in batch.column("data")]
-            places = [separators_in(x, end_id) for x in found]
-            counts = [len(x) // ID_BYTES for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("part", "seq", "block")] + [pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int64()))], names=["part", "seq", "block", "n_ids", "places"])
-
-    size = F.length("content")
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest((size - 1) / block_bytes, F.lit(0)).cast("long"))
-    blocks = files.select("part", "seq", F.explode(starts).alias("block"), "content").select("part", "seq", "block", F.expr(f"substring(content, CAST(block * {block_bytes} + 1 AS INT), {block_bytes})").alias("data"))
-    return blocks.mapInArrow(run, "part long, seq long, block long, n_ids long, places array<long>")
+            for part, seq, content in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("content"), strict=True):
+                data = memoryview(content.as_buffer())  # blocks are views of the file's bytes
+                blocks = [data[at : at + block_bytes] for at in range(0, max(1, len(data)), block_bytes)]
+                n = len(blocks)
+                places = [separators_in(x, end_id) for x in blocks]
+                counts = [len(x) // ID_BYTES for x in blocks]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * n, pa.int64()), pa.array([seq] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int64()))],
+                    names=["part", "seq", "block", "n_ids", "places"],
+                )
+
+    return files.select("part", "seq", "content").mapInArrow(run, "part long, seq long, block long, n_ids long, places array<long>")
 
 
 def documents_of(blocks: DataFrame) -> DataFrame:
