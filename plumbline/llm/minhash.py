@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.trees import sum_vectors
 from plumbline.llm.wordsplit import hashed_runs, mix
 from plumbline.session import settle, ship_package
 
@@ -51,24 +52,6 @@ POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)],
 # ------------------------------------------------------------------------------------------------- frequencies
 
 
-def sum_vectors(partials: DataFrame) -> np.ndarray | None:
-    """Sum of int64 vectors (column `v`, binary) in a tree of streaming sums: one vector reaches the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for x in batch.column(0):
-                v = np.frombuffer(x.as_py(), np.int64)
-                total = v.copy() if total is None else total + v
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
-
-    tasks = max(1, partials.rdd.getNumPartitions())
-    middle = max(1, round(tasks**0.5))
-    found = partials.repartition(middle).mapInArrow(add, "v binary").repartition(1).mapInArrow(add, "v binary").first()
-    return None if found is None else np.frombuffer(found["v"], np.int64)
-
-
 def word_weights(texts: DataFrame) -> np.ndarray:
     """Damped IDF of every counter, from all documents: 0 to 1, float32."""
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, chats, hostrules, minhash, packing, secrets, separators
+from plumbline.llm import bitpack, chats, decontaminate, hostrules, minhash, packing, quality, secrets, separators
 from plumbline.session import table
 
 
@@ -26,6 +26,10 @@ def op2_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.render(table(spark, sf_dir, "conversations"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_bit_packed_tokens": op8_bit_packed_tokens,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_host_quality_rules": op10_host_quality_rules,
 }
 

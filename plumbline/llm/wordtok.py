@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks remembered by one Python worker. The first seen stay, as common chunks come early; others are encoded in each
-#: run anew (a speed matter only, never a result).
-MEMO_ENTRIES = 400_000
-#: Chunks over this many characters are never remembered.
-MEMO_CHARS = 64
+#: Chunks remembered by one Python worker: those met in a second run while there is room. The others are encoded in
+#: each run anew (a speed matter only, never a result).
+MEMO_ENTRIES = 300_000
+#: Marks of chunks met before, by hash.
+MET_MARKS = 1 << 22
 #: Texts are handled in runs of about so many bytes, so that memory does not follow the size of an Arrow batch.
 RUN_BYTES = 3_000_000
 
@@ -57,6 +57,7 @@ class ChunkTokenizer:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)
+        self.met = np.zeros(MET_MARKS, bool)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct chunks and their numbers."""
@@ -81,15 +82,13 @@ class ChunkTokenizer:
         starts = np.cumsum(lengths) - lengths
         room = MEMO_ENTRIES - len(known)
         if room > 0 and len(new):
-            if len(new) <= room and all(len(x) <= MEMO_CHARS for x in fresh):
-                known.update(zip(fresh, range(len(self.lengths), len(lengths))))
-                self.ids, self.lengths = pool, lengths
-            else:
-                keep = [k for k, x in enumerate(fresh) if len(x) <= MEMO_CHARS][:room]
-                ends = np.cumsum(sizes)
-                parts = [own[ends[k] - sizes[k] : ends[k]] for k in keep]
-                known.update(zip((fresh[k] for k in keep), range(len(self.lengths), len(self.lengths) + len(keep))))
-                self.ids, self.lengths = np.concatenate([self.ids, *parts]), np.concatenate([self.lengths, sizes[keep]])
+            marks = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (len(self.met) - 1)
+            again = np.flatnonzero(self.met[marks])[:room]
+            self.met[marks] = True
+            ends = np.cumsum(sizes)
+            parts = [own[ends[k] - sizes[k] : ends[k]] for k in again]
+            known.update(zip((fresh[k] for k in again), range(len(self.lengths), len(self.lengths) + len(again))))
+            self.ids, self.lengths = np.concatenate([self.ids, *parts]), np.concatenate([self.lengths, sizes[again]])
         return pool, starts[rows], lengths[rows]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
