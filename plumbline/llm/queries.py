@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, chats, decontaminate, hostrules, minhash, packing, quality, secrets, separators
+from plumbline.llm import bitpack, chats, decontaminate, hostrules, licences, minhash, packing, quality, secrets, separators
 from plumbline.session import table
 
 
@@ -30,6 +30,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_licence_scan": op7_licence_scan,
     "op8_bit_packed_tokens": op8_bit_packed_tokens,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_host_quality_rules": op10_host_quality_rules,
