@@ -6,10 +6,11 @@
    group of copies, so the more copies of a text there are, the less its unchanged part would weigh against the edits.
 2. Each document gets `SAMPLES` consistent weighted samples (Ioffe 2010), which agree between two documents with the
    probability of their weighted Jaccard similarity. Bands of `ROWS` samples are hashed; equal bands make candidates.
-3. Equal word sequences are one class from the start. In every band each class meets the least class there (first one
-   such pair of each class, then the others whose components still differ); in bands that even then hold several
-   components all pairs between different components are taken. Nothing is capped.
-4. Every pair is verified by the exact weighted Jaccard similarity of the whole texts, and links form components.
+3. Equal word sequences are one class from the start. Every class is first compared with one head of its bands: the
+   class that meets most others, and of such the least. In bands that then still hold several components, every pair of
+   members of different components is compared: members are packed in blocks by size and component, pairs of blocks are
+   the unit of work, and a block pair's similarities are matrix products that leave only the links. Nothing is capped.
+4. Every link rests on the exact weighted Jaccard similarity of the whole texts, and links form components.
 
 Words: runs of characters other than ASCII blanks, lower case, without punctuation at their ends. Fewer than five words
 are one shingle. Texts without words (null, empty) are alike to nothing, not even each other. Rows without an id are left
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.bitmaps import bitmap_of, maybe_among
 from plumbline.llm.components import components
 from plumbline.llm.trees import sum_vectors
 from plumbline.llm.wordsplit import hashed_runs, mix
@@ -186,29 +188,142 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: object, least: float) ->
             linked = np.zeros(batch.num_rows, bool)
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sides = []
-                for column in ("text_a", "text_b"):
-                    own: list[np.ndarray] = []
-                    for _, words, bounds in hashed_runs(part.column(column)):
-                        own += [words[bounds[k] : bounds[k + 1]] for k in range(len(bounds) - 1)]
-                    sides.append(own)
+                own: list[np.ndarray] = []
+                for _, words, bounds in hashed_runs(part.column("text_a")):
+                    own += [words[bounds[k] : bounds[k + 1]] for k in range(len(bounds) - 1)]
                 ca, cb = part.column("ca").to_pylist(), part.column("cb").to_pylist()
                 for k in range(part.num_rows):
-                    if content_codes(sides[0][k])[0] != ca[k]:
+                    if content_codes(own[k])[0] != ca[k]:
                         continue
                     if held is None or held[0] != cb[k]:
-                        if content_codes(sides[1][k])[0] != cb[k]:
+                        (_, words, _), = hashed_runs(part.column("text_b").slice(k, 1))
+                        if content_codes(words)[0] != cb[k]:
                             continue
-                        held = (cb[k], shingles_of(sides[1][k], weights.value))
-                    linked[at + k] = similarity(shingles_of(sides[0][k], weights.value), held[1]) >= least
+                        held = (cb[k], shingles_of(words, weights.value))
+                    linked[at + k] = similarity(shingles_of(own[k], weights.value), held[1]) >= least
             keep = np.flatnonzero(linked)
             yield pa.RecordBatch.from_arrays([batch.column(n).take(pa.array(keep)) for n in ("a", "b")], names=["a", "b"])
 
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    bitmap = bitmap_of(pairs.select("a").union(pairs.select("b")))
+    needed = maybe_among(texts, "doc_id", bitmap)
+    first = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = first.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+# ------------------------------------------------------------------------------------------------- blocks
+
+
+def block_similarity(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarity of every document of one block with every one of another."""
+    total_a, total_b = (np.array([w.sum() for _, w in x]) for x in (a, b))
+    codes_a, codes_b = (np.concatenate([c for c, _ in x]) for x in (a, b))
+    weights_a, weights_b = (np.concatenate([w for _, w in x]) for x in (a, b))
+    rows_a, rows_b = (np.repeat(np.arange(len(x)), [len(c) for c, _ in x]) for x in (a, b))
+    common = np.intersect1d(codes_a, codes_b)
+    shared = np.zeros((len(a), len(b)))
+    if len(common):
+        sides = []
+        for codes, weight, rows in ((codes_a, weights_a, rows_a), (codes_b, weights_b, rows_b)):
+            at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+            hit = common[at] == codes
+            order = np.argsort(at[hit], kind="stable")
+            sides.append((at[hit][order], weight[hit][order], rows[hit][order]))
+        high, low = np.full(len(common), -np.inf), np.full(len(common), np.inf)
+        for at, weight, _ in sides:
+            np.maximum.at(high, at, weight)
+            np.minimum.at(low, at, weight)
+        even = high - low < 1e-9  # the shingle weighs alike wherever it is: presence is enough
+        for begin in range(0, len(common), 2048):
+            end = min(len(common), begin + 2048)
+            dense = []
+            for (at, _, rows), n in zip(sides, (len(a), len(b)), strict=True):
+                x = np.zeros((n, end - begin))
+                lo, hi = np.searchsorted(at, [begin, end])
+                x[rows[lo:hi], at[lo:hi] - begin] = 1
+                dense.append(x)
+            shared += (dense[0] * np.where(even[begin:end], high[begin:end], 0)) @ dense[1].T
+        for k in np.flatnonzero(~even):
+            parts = []
+            for at, weight, rows in sides:
+                lo, hi = np.searchsorted(at, [k, k + 1])
+                parts.append((rows[lo:hi], weight[lo:hi]))
+            shared[np.ix_(parts[0][0], parts[1][0])] += np.minimum.outer(parts[0][1], parts[1][1])
+    return shared / (total_a[:, None] + total_b[None, :] - shared)
+
+
+def spanning(rows: np.ndarray, cols: np.ndarray, ids_a: list[int], ids_b: list[int], labels_a: list[int], labels_b: list[int]) -> list[tuple[int, int]]:
+    """Of links between labelled documents, as many as join the labels that they join."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    kept = []
+    for i, j in zip(rows.tolist(), cols.tolist(), strict=True):
+        x, y = root(labels_a[i]), root(labels_b[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append((ids_a[i], ids_b[j]))
+    return kept
+
+
+#: Documents in a block, and how many of one component make blocks of their own.
+BLOCK_DOCS = 128
+
+
+def block_links(members: DataFrame, texts: DataFrame, weights: object, least: float) -> DataFrame:
+    """Links between members (band, doc_id, c1, weight, label) of one band and different labels."""
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, words, bounds in hashed_runs(batch.column(1)):
+                ids = batch.column(0).slice(begin, len(bounds) - 1).to_pylist()
+                first, codes, values = [], [], []
+                for k in range(len(ids)):
+                    own = words[bounds[k] : bounds[k + 1]]
+                    code, weight = shingles_of(own, weights.value)
+                    first.append(content_codes(own)[0])
+                    codes.append(code.tobytes())
+                    values.append(weight.astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(codes, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "c1", "codes", "values"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(cell: pa.Scalar) -> tuple[list[int], list[int], list[tuple[np.ndarray, np.ndarray]]]:
+            rows = cell.as_py()
+            return [r["doc_id"] for r in rows], [r["label"] for r in rows], [(np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["values"], np.float32).astype(float)) for r in rows]
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for k in range(batch.num_rows):
+                ids_a, labels_a, a = side(batch.column(0)[k])
+                ids_b, labels_b, b = side(batch.column(1)[k])
+                alike = (block_similarity(a, b) >= least - 1e-6) & (np.array(labels_a)[:, None] != np.array(labels_b)[None, :])
+                found += spanning(*np.nonzero(alike), ids_a, ids_b, labels_a, labels_b)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    wanted = members.select("doc_id", "c1").distinct()
+    needed = maybe_among(texts, "doc_id", bitmap_of(wanted.select("doc_id")))
+    profiles = settle(needed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(profile, "doc_id long, c1 long, codes binary, values binary").dropDuplicates(["doc_id", "c1"]))
+    ratio = float(np.log(1 / least))
+    sized = members.withColumn("size", F.floor(F.log("weight") / ratio).cast("int"))
+    counts = sized.groupBy("band", "size", "label").agg(F.count("*").alias("n"))
+    pure = F.when(F.col("n") >= BLOCK_DOCS, F.col("label"))
+    parts = counts.withColumn("pure", pure).groupBy("band", "size", "pure").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS)).drop("n")
+    marked = sized.join(counts.select("band", "size", "label", pure.alias("pure")), ["band", "size", "label"])
+    same_part = (marked["band"] == parts["band"]) & (marked["size"] == parts["size"]) & marked["pure"].eqNullSafe(parts["pure"])
+    dealt = marked.join(parts, same_part).select(marked["band"], marked["size"], marked["pure"], "doc_id", "c1", "label", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
+    blocks = settle(dealt.join(profiles, ["doc_id", "c1"]).groupBy("band", "size", "pure", "block").agg(F.collect_list(F.struct("doc_id", "label", "codes", "values")).alias("rows")))
+    key = F.struct("size", F.coalesce("pure", F.lit(-1).cast("long")), "block")
+    left = blocks.select("band", F.col("size").alias("size_a"), F.col("pure").alias("pure_a"), key.alias("key_a"), F.col("rows").alias("rows_a"))
+    right = blocks.select("band", F.col("size").alias("size_b"), F.col("pure").alias("pure_b"), key.alias("key_b"), F.col("rows").alias("rows_b"))
+    pairs = left.join(right, "band").where("key_a <= key_b AND size_b - size_a <= 1 AND (pure_a IS NULL OR pure_b IS NULL OR pure_a <> pure_b)")
+    return pairs.select("rows_a", "rows_b").mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id (the least id of its near-duplicate class) of every document."""
     spark = docs.sparkSession
@@ -218,40 +333,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = settle(sketch(texts, weights))
     classes = settle(rows.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "weight", "bands")).alias("x")).select("c1", "c2", "x.*"))
     in_bands = classes.select("doc_id", "c1", "weight", F.explode("bands").alias("band"))
-    heads = in_bands.groupBy("band").agg(F.min(F.struct("doc_id", "c1", "weight")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    similar_size = "least(weight, head.weight) >= greatest(weight, head.weight) * {0} - 1e-6".format(least)
-    met = settle(in_bands.join(heads, "band").select("band", "doc_id", "c1", "weight", "head"))
-    stars = met.where("doc_id <> head.doc_id").where(similar_size).select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b"), F.col("c1").alias("ca"), F.col("head.c1").alias("cb")).distinct()
-
-    # one pair of each class
-    tried = settle(stars.groupBy("a", "ca").agg(F.min(F.struct("b", "cb")).alias("x")).select("a", "x.b", "ca", "x.cb"))
-    links = settle(verify(tried, texts, weights, least))
-    found = components(links)
-
-    def labelled(frame: DataFrame, column: str, name: str) -> DataFrame:
-        return frame.join(found.select(F.col("vertex").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-
-    # the other pairs with the heads of bands, where components differ
-    rest = labelled(labelled(stars.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb").select("a", "b", "ca", "cb")
-    rest = settle(rest)
-    if rest.limit(1).count():
-        more = verify(rest, texts, weights, least)
-        found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more))
-        tried = tried.unionByName(rest)
-
-    # all pairs between different components that still share a band
-    members = settle(labelled(met.select("band", "doc_id", "c1", "weight"), "doc_id", "label"))
+    shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = settle(in_bands.join(shared, "band"))
+
+    # every class and one head: the class that meets most others in all its bands together
+    hubs = met.groupBy("doc_id").agg(F.sum("n").alias("hub"))
+    scored = met.join(hubs, "doc_id")
+    heads = scored.groupBy("band").agg(F.min(F.struct((-F.col("hub")).alias("rank"), "doc_id", "c1", "weight")).alias("head"))
+    size_allows = f"least(weight, head.weight) >= greatest(weight, head.weight) * {least} - 1e-6"
+    stars = scored.join(heads, "band").where("doc_id <> head.doc_id").where(size_allows)
+    pairs = settle(stars.groupBy("doc_id", "c1").agg(F.min("head").alias("head")).select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b"), F.col("c1").alias("ca"), F.col("head.c1").alias("cb")))
+    found = components(verify(pairs, texts, weights, least))
+
+    def labelled(frame: DataFrame, name: str) -> DataFrame:
+        return frame.join(found.select(F.col("vertex").alias("doc_id"), F.col("component").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, "doc_id"))
+
+    # every pair of different components in a band
+    members = settle(labelled(met.drop("n"), "label"))
     open_bands = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    inside = members.join(open_bands, "band", "left_semi")
-    left = inside.select("band", F.col("doc_id").alias("a"), F.col("c1").alias("ca"), F.col("weight").alias("wa"), F.col("label").alias("la"))
-    right = inside.select("band", F.col("doc_id").alias("b"), F.col("c1").alias("cb"), F.col("weight").alias("wb"), F.col("label").alias("lb"))
-    crossing = left.join(right, "band").where("a > b AND la <> lb").where(f"least(wa, wb) >= greatest(wa, wb) * {least} - 1e-6").select("a", "b", "ca", "cb").distinct()
-    crossing = settle(crossing.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    if crossing.limit(1).count():
-        more = verify(crossing, texts, weights, least)
+    inside = settle(members.join(open_bands, "band", "left_semi"))
+    if inside.limit(1).count():
+        more = block_links(inside, texts, weights, least)
         found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more))
 
-    named = labelled(classes.select("c1", "c2", "doc_id"), "doc_id", "class_id").select("c1", "c2", "class_id")
+    named = labelled(classes.select("c1", "c2", "doc_id"), "class_id").select("c1", "c2", "class_id")
     result = rows.select("doc_id", "c1", "c2").join(named, ["c1", "c2"], "left")
     return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
