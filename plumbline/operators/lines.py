@@ -121,15 +121,17 @@ def distance_subsample(obs: DataFrame, spacing: float) -> DataFrame:
     order = Window.partitionBy("project", "line").orderBy("seq", "obs_id")
     whole = Window.partitionBy("project", "line")
     placed = line_distances(obs).withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole)).withColumn("total", F.max("along").over(whole))
-    before, after = F.lag("along").over(order), F.lead("along").over(order)
     spaced = F.lit(float(spacing))
     last = F.ceil((F.col("total") + spaced) / spaced) - 1
-    placed = placed.withColumn("low", F.when(before.isNull(), F.lit(0).cast("long")).otherwise(F.floor((before + F.col("along")) / 2e0 / spaced) + 1))
-    placed = placed.withColumn("high", F.when(after.isNull(), last).otherwise(F.least(F.floor((F.col("along") + after) / 2e0 / spaced), last)))
-    targets = placed.where("low <= high").select("project", "line", "i", "n", F.explode(F.sequence("low", "high")).alias("k"))
+    firsts = placed.withColumn("earlier", F.lag("along").over(order)).where(F.coalesce(F.col("earlier") < F.col("along"), F.lit(True)) | (F.col("i") == 0))  # of points at one place the first counts
+    before, after = F.lag("along").over(order), F.lead("along").over(order)
+    low = F.when(before.isNull(), F.lit(0).cast("long")).otherwise(F.floor((before + F.col("along")) / 2e0 / spaced) + 1)
+    high = F.when(after.isNull(), last).otherwise(F.least(F.floor((F.col("along") + after) / 2e0 / spaced), last))
+    ranged = firsts.select("project", "line", "i", "n", low.alias("low"), high.alias("high"))
+    targets = ranged.where("low <= high").select("project", "line", "i", "n", F.explode(F.sequence("low", "high")).alias("k"))
     picked = targets.withColumn("pick", F.col("k") + F.max(F.col("i") - F.col("k")).over(Window.partitionBy("project", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
     picks = picked.where("pick < n").select("project", "line", F.col("pick").alias("i"))
-    return placed.drop("n", "total", "low", "high").join(picks, ["project", "line", "i"]).drop("i")
+    return placed.drop("n", "total").join(picks, ["project", "line", "i"]).drop("i")
 
 
 def sampling_report(obs: DataFrame, spacing: float) -> DataFrame:

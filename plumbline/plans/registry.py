@@ -543,10 +543,9 @@ def sigma_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimation.prior_sigmas(view(spark, sf_dir, "obs_air"), view(spark, sf_dir, "sigma_prior"))
 
 
-_T_CRITICAL = estimation.student_quantile(0.9, 1500 - 12)
 
 
-@_query("SELECT node_id, round(abs(beta) * 1e6 / sqrt(4e0 + node_id), 6) AS t, abs(beta) * 1e6 / sqrt(4e0 + node_id) > 1.28206 AS is_significant FROM nodes", "nodes")
+@_query("SELECT node_id, round(abs(beta) * 1e6 / sqrt(4e0 + node_id), 6) AS t, abs(beta) * 1e6 / sqrt(4e0 + node_id) > 1.28212 AS is_significant FROM nodes", "nodes")
 def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     parameters = view(spark, sf_dir, "nodes").select("node_id", (F.col("beta") * 1e6).alias("beta"), (F.lit(4e0) + F.col("node_id")).alias("variance"))
     return estimation.significance(parameters, view(spark, sf_dir, "obs_ter").count()).select("node_id", _r("t").alias("t"), "is_significant")
