@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.wordsplit import hashed_runs, mix
+from plumbline.llm.wordsplit import content_codes, hashed_runs, mix
 from plumbline.session import settle, ship_package
 
 #: Windows of twelve words of which eight count. Fixed values.
@@ -126,21 +126,26 @@ class Block:
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[Block]:
     """The benchmark in blocks; only one is on the driver at a time."""
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).orderBy("item", "text")
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, words, bounds in hashed_runs(batch.column(1)):
+                codes = [content_codes(words[a:b]) if b > a else (None, None) for a, b in zip(bounds, bounds[1:])]
+                part = batch.slice(begin, len(codes))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([c[k] for c in codes], pa.int64()) for k in range(2))], names=["item", "text", "c1", "c2"])
+
+    chosen = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    rows = chosen.mapInArrow(coded, "item long, text string, c1 long, c2 long").where("c1 IS NOT NULL")
+    distinct = rows.groupBy("c1", "c2").agg(F.min(F.struct("item", "text")).alias("x")).select("x.item", "x.text").orderBy("item", "text")
     held: list[tuple[int, np.ndarray]] = []
-    seen: set[bytes] = set()
     size = 0
-    for row in rows.toLocalIterator():
+    for row in distinct.toLocalIterator():
         (_, words, _), = hashed_runs(pa.array([row["text"]]))
-        key = words.tobytes()
-        if not len(words) or key in seen:
-            continue
-        seen.add(key)
         held.append((row["item"], words.copy()))
         size += len(words)
         if size >= block_words:
             yield Block(held)
-            held, size, seen = [], 0, set()
+            held, size = [], 0
     if held:
         yield Block(held)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.bitmaps import bitmap_of, maybe_among
 from plumbline.llm.components import components
 from plumbline.llm.trees import sum_vectors
-from plumbline.llm.wordsplit import hashed_runs, mix
+from plumbline.llm.wordsplit import content_codes, hashed_runs, mix
 from plumbline.session import settle, ship_package
 
 SHINGLE = 5
@@ -139,15 +139,6 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, c1 long, c2 long, weight double, bands array<long>"
 
 
-def content_codes(words: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a word sequence."""
-    place = np.arange(1, len(words) + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        a = mix(words ^ mix(place)).sum(dtype=np.uint64)
-        b = mix(words + place * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
-
-
 def sketch(texts: DataFrame, weights: object) -> DataFrame:
     """Content hashes, total weight and band hashes of each document; nulls where there are no words."""
 

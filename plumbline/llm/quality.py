@@ -66,7 +66,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     at, bounds, distinct = split_words(texts)
     length = np.array([len(w) for w in distinct], float)
     upper = np.array([w.isupper() and len(w) > 1 for w in distinct], float)
-    marked = np.array([not w[-1].isalnum() and w[-1] not in ".,;:" for w in distinct], float) if distinct else np.zeros(0)
+    marked = np.array([not w[-1:].isalnum() and w[-1:] not in ".,;:" for w in distinct], float) if distinct else np.zeros(0)
     code = np.arange(1, len(distinct) + 1, dtype=np.uint64)[at]
     with np.errstate(over="ignore"):
         window = mix(code[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ mix(code[1:-1]) + mix(code[2:] * np.uint64(3))) if len(code) > 2 else np.zeros(0, np.uint64)
