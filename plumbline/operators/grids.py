@@ -122,3 +122,39 @@ def raster_lines(indexed: DataFrame, value: str = "value") -> DataFrame:
 def elevation(value: Column, nodata: float) -> Column:
     """Elevations below zero become zero; missing ones stay missing."""
     return F.when(value != nodata, F.greatest(value, F.lit(0e0)))
+
+
+def mosaic(spark: SparkSession, cells: DataFrame, south: int, north: int, west: int, east: int, unit: int, background: float | None = None) -> DataFrame:
+    """A target grid on whole numbers (borders included, every `unit`) filled from tile cells (ilat, ilon, value).
+
+    Cells meet the grid by an equi-join on whole numbers, never on doubles; those outside go before the join. Cells without
+    a tile have NULL or the background.
+    """
+    rows, cols = (north - south) // unit + 1, (east - west) // unit + 1
+    grid = spark.range(rows * cols).select((F.lit(north) - F.floor(F.col("id") / cols) * unit).cast("long").alias("ilat"), (F.lit(west) + (F.col("id") % cols) * unit).cast("long").alias("ilon"))
+    inside = cells.where(F.col("ilat").between(south, north) & F.col("ilon").between(west, east)).select("ilat", "ilon", "value")
+    filled = grid.join(inside, ["ilat", "ilon"], "left")
+    return filled if background is None else filled.withColumn("value", F.coalesce("value", F.lit(background)))
+
+
+def sample_elevation(points: DataFrame, cells: DataFrame, key: str, per_degree: int, method: str = "linear", name: str = "elevation") -> DataFrame:
+    """Elevation at points from one-degree tiles read as lat, lon, value; `per_degree` cells to a degree.
+
+    Tiles share their border lines; equal cells of neighbours are averaged first. method: linear or nearest.
+    """
+    step = 1 / per_degree
+    grid = cells.groupBy(F.round((F.col("lat") + 90) * per_degree).cast("int").alias("r"), F.round((F.col("lon") + 180) * per_degree).cast("int").alias("c")).agg(F.avg("value").alias("value"))
+    if method == "nearest":
+        return nearest_cell(points, grid, key, -90, -180, step, name)
+    return bilinear(points, grid, key, -90, -180, step, "null", name)
+
+
+def raster_points(raster: DataFrame, nodata: float, coordinate_digits: int = 10, value_digits: int = 6) -> DataFrame:
+    """Cell centres of a raster as points: rounded half to even, cells without data left out."""
+    kept = raster.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") != nodata))
+    return kept.select(F.bround("lat", coordinate_digits).alias("lat"), F.bround("lon", coordinate_digits).alias("lon"), F.bround("value", value_digits).alias("value"))
+
+
+def raster_for_maps(raster: DataFrame, factor: float = 1.0) -> DataFrame:
+    """South to north, values times a factor (100: metres to centimetres), missing ones kept."""
+    return raster.select("lat", "lon", (F.col("value") * F.lit(factor)).alias("value")).orderBy("lat", "lon")

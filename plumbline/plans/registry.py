@@ -424,6 +424,44 @@ def full_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.full_raster(holes)
 
 
+@_query("SELECT obs_id, value AS sampled FROM obs_ter o LEFT JOIN grid g ON g.r = CAST(floor((o.lat - 355e-1) / 25e-2 + 5e-1) AS INT) AND g.c = CAST(floor((o.lon + 1095e-1) / 25e-2 + 5e-1) AS INT)", "obs_ter", "grid")
+def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.nearest_cell(view(spark, sf_dir, "obs_ter"), view(spark, sf_dir, "grid"), "obs_id", 35.5, -109.5, 0.25).select("obs_id", "sampled")
+
+
+@_query("SELECT round_even(lat, 10) AS lat, round_even(lon, 10) AS lon, round_even(value, 6) AS value FROM grid WHERE r % 2 = 0", "grid")
+def raster_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holes = view(spark, sf_dir, "grid").withColumn("value", F.when(F.col("r") % 2 == 0, F.col("value")).otherwise(F.lit(-99999e0)))
+    return grids.raster_points(holes, -99999.0)
+
+
+@_query("SELECT round((SELECT max(lat) - min(lat) FROM (SELECT DISTINCT lat FROM grid ORDER BY lat LIMIT 2)), 9) AS lat_step, round((SELECT max(lon) - min(lon) FROM (SELECT DISTINCT lon FROM grid ORDER BY lon LIMIT 2)), 9) AS lon_step", "grid")
+def raster_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.raster_step(view(spark, sf_dir, "grid")).select(_r("lat_step", 9).alias("lat_step"), _r("lon_step", 9).alias("lon_step"))
+
+
+@_query("SELECT lat, lon, value * 1e2 AS value FROM grid", "grid")
+def raster_for_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.raster_for_maps(view(spark, sf_dir, "grid"), 100.0)
+
+
+@_query("SELECT CAST(i AS BIGINT) AS ilat, CAST(j AS BIGINT) AS ilon, value FROM (SELECT unnest(range(10, 0, -1)) AS i) CROSS JOIN (SELECT unnest(range(5, 46)) AS j) LEFT JOIN grid ON r = i AND c = j", "grid")
+def tile_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = view(spark, sf_dir, "grid").select(F.col("r").cast("long").alias("ilat"), F.col("c").cast("long").alias("ilon"), "value")
+    return grids.mosaic(spark, cells, 1, 10, 5, 45, 1)
+
+
+@_query("SELECT count(*) FILTER (WHERE v IS NULL) AS n_missing FROM (SELECT CASE WHEN c % 7 = 0 THEN NULL ELSE value END AS v FROM grid)", "grid")
+def null_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.null_count(view(spark, sf_dir, "grid").withColumn("value", F.when(F.col("c") % 7 != 0, F.col("value"))), "value")
+
+
+@_query("SELECT round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(v) AS n_clean, count(*) FILTER (WHERE o) AS n_outliers FROM (SELECT obs_id % 13 = 0 AS o, CASE WHEN obs_id % 13 <> 0 THEN g - 9795e2 END AS v FROM obs_ter)", "obs_ter")
+def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = view(spark, sf_dir, "obs_ter").withColumn("v", F.col("g") - 9795e2).withColumn("is_outlier", F.col("obs_id") % 13 == 0)
+    return stats.clean_stats(points, "v").select(*(_r(c).alias(c) for c in ("min", "max", "mean", "std")), "n_clean", "n_outliers")
+
+
 # ------------------------------------------------------------------------------------------------- model
 
 

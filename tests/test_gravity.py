@@ -322,3 +322,20 @@ def test_harmonics_of_degree_zero_and_normal_field(spark):
     assert rows == {0: 0.0, 1: 0.0}
     v = harmonics.synthesis(points, model, 2, functional="potential").where("obs_id = 0").first()["value"]
     assert v == pytest.approx(C.MODEL_GM / C.AXIS_A, rel=1e-3)
+
+
+def test_mosaic_and_elevation(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0), (0, 1, 3.0), (9, 9, 9.0)], "ilat long, ilon long, value double")
+    got = {(r["ilat"], r["ilon"]): r["value"] for r in grids.mosaic(spark, cells, 0, 1, 0, 1, 1, 0.0).collect()}
+    assert got == {(0, 0): 1.0, (1, 0): 2.0, (0, 1): 3.0, (1, 1): 0.0}
+    ground = spark.createDataFrame([(a / 2, o / 2, 10.0 * a + o) for a in range(3) for o in range(5)] + [(0.0, 0.0, 0.0)], "lat double, lon double, value double")
+    points = spark.createDataFrame([(0, 0.25, 0.75), (1, 5.0, 5.0)], "k long, lat double, lon double")
+    got = {r["k"]: r["elevation"] for r in grids.sample_elevation(points, ground, "k", 2).collect()}
+    assert got[0] == pytest.approx(6.5) and got[1] is None
+    assert grids.sample_elevation(points, ground, "k", 2, "nearest").where("k = 0").first()["elevation"] in (2.0, 12.0, 11.0, 1.0)
+
+
+def test_geoid_grid(spark):
+    model = spark.createDataFrame([(2, 0, 1e-6, 0.0), (2, 2, 1e-6, -1e-6)], "n int, m int, c double, s double")
+    grid = harmonics.geoid_grid(grids.pixel_centres(spark, 0, 10, 0, 10, 5), model, 2)
+    assert grid.count() == 4 and grid.where("abs(undulation) > 0 AND abs(undulation) < 100").count() == 4
