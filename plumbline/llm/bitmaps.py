@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.trees import fold_vectors
 from plumbline.llm.wordsplit import mix
 
 BITS = 1 << 25
@@ -32,20 +33,8 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["v"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BITS // 8, np.uint8)
-        some = False
-        for batch in batches:
-            for x in batch.column(0):
-                total |= np.frombuffer(x.as_py(), np.uint8)
-                some = True
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
-
-    marked = ids.mapInArrow(mark, "v binary")
-    middle = max(1, round(max(1, marked.rdd.getNumPartitions()) ** 0.5))
-    found = marked.repartition(middle).mapInArrow(add, "v binary").repartition(1).mapInArrow(add, "v binary").first()
-    return np.zeros(BITS // 8, np.uint8) if found is None else np.frombuffer(found["v"], np.uint8)
+    found = fold_vectors(ids.mapInArrow(mark, "v binary"), np.uint8, np.bitwise_or)
+    return np.zeros(BITS // 8, np.uint8) if found is None else found
 
 
 def maybe_among(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:

@@ -1,26 +1,36 @@
-"""Sums of vectors over all partitions with one vector reaching the driver."""
+"""Sums of vectors over all partitions in a tree; one vector reaches the driver and no task adds up more than `FAN_IN`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+FAN_IN = 16
 
-def sum_vectors(partials: DataFrame, kind: type = np.int64) -> np.ndarray | None:
-    """Sum of equally long vectors (column `v`, binary) in a tree of streaming sums; None without rows."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fold_vectors(partials: DataFrame, kind: type, join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """All equally long vectors (column `v`, binary; at most one a partition) folded into one; None without rows."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for x in batch.column(0):
                 v = np.frombuffer(x.as_py(), kind)
-                total = v.copy() if total is None else total + v
+                total = v if total is None else join(total, v)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-    middle = max(1, round(max(1, partials.rdd.getNumPartitions()) ** 0.5))
-    found = partials.repartition(middle).mapInArrow(add, "v binary").repartition(1).mapInArrow(add, "v binary").first()
+    tasks = max(2, partials.rdd.getNumPartitions())
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        partials = partials.repartition(tasks).mapInArrow(fold, "v binary")
+    found = partials.first()
     return None if found is None else np.frombuffer(found["v"], kind)
+
+
+def sum_vectors(partials: DataFrame, kind: type = np.int64) -> np.ndarray | None:
+    """Their sum."""
+    return fold_vectors(partials, kind, np.add)
