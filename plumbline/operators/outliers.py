@@ -36,20 +36,36 @@ def neighbours(candidates: DataFrame, reference: DataFrame, radius_m: float) ->
     return left.join(right, ["kx", "ky"]).withColumn("dist", dist).where(F.col("dist") <= radius_m).select("cand", "cand_value", "ref", "ref_value", "dist")
 
 
+def _weighted(near: DataFrame, power: float) -> tuple[F.Column, F.Column]:
+    """(first value at distance zero, inverse-distance mean) as aggregates."""
+    w = F.when(F.col("dist") > 0, F.lit(1e0) / F.pow("dist", F.lit(float(power))))
+    zero = F.min_by(F.when(F.col("dist") == 0, F.col("ref_value")), F.when(F.col("dist") == 0, F.col("ref")))
+    return zero, F.sum(w * F.col("ref_value")) / F.sum(w)
+
+
 def interpolate(near: DataFrame, k: int = 2800, power: float = 1.0) -> DataFrame:
     """Per candidate: the value of its first neighbour at distance zero, else the inverse-distance mean of the k nearest."""
     order = Window.partitionBy("cand").orderBy("dist", "ref")
     nearest = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    w = F.when(F.col("dist") > 0, F.lit(1e0) / F.pow("dist", F.lit(float(power))))
-    zero = F.min_by(F.when(F.col("dist") == 0, F.col("ref_value")), F.when(F.col("dist") == 0, F.col("ref")))
-    return nearest.groupBy("cand").agg(F.coalesce(zero, F.sum(w * F.col("ref_value")) / F.sum(w)).alias("interp"))
+    return nearest.groupBy("cand").agg(F.coalesce(*_weighted(nearest, power)).alias("interp"))
 
 
-def local_thresholds(near: DataFrame, multiplier: float = 8.0) -> DataFrame:
-    """Per candidate: a multiple of the NMAD of all reference points around it."""
-    medians = near.groupBy("cand").agg(F.median("ref_value").alias("med"))
-    mads = near.join(medians, "cand").groupBy("cand").agg(F.median(F.abs(F.col("ref_value") - F.col("med"))).alias("mad"))
-    return mads.select("cand", (F.lit(multiplier * C.NMAD_FACTOR) * F.col("mad")).alias("local"))
+def surroundings(near: DataFrame, k: int = 2800, power: float = 1.0, multiplier: float = 8.0) -> DataFrame:
+    """Per candidate: interp, and local, a multiple of the NMAD of all reference points around it.
+
+    One aggregation serves candidates with at most k neighbours; only the others' neighbours are ranked.
+    """
+    zero, mean = _weighted(near, power)
+    first = settle(near.groupBy("cand").agg(F.count("*").alias("n"), F.coalesce(zero, mean).alias("all_near"), F.median("ref_value").alias("med")))  # a row for each candidate
+    many = first.where(F.col("n") > k).select("cand")
+    ranked = interpolate(near.join(many, "cand", "left_semi"), k, power)
+    mads = near.join(first.select("cand", "med"), "cand").groupBy("cand").agg(F.median(F.abs(F.col("ref_value") - F.col("med"))).alias("mad"))
+    joined = first.join(mads, "cand")
+    if many.limit(1).count():
+        joined = joined.join(ranked, "cand", "left")
+    else:
+        joined = joined.withColumn("interp", F.lit(None).cast("double"))
+    return joined.select("cand", F.coalesce("interp", "all_near").alias("interp"), (F.lit(multiplier * C.NMAD_FACTOR) * F.col("mad")).alias("local"))
 
 
 def _known(obs: DataFrame, value: str) -> DataFrame:
@@ -74,12 +90,13 @@ def detect(obs: DataFrame, value: str = "value", k: int = 2800, radius_km: float
     candidates = nmad_candidates(points)
     reference = points.join(candidates.select("obs_id"), "obs_id", "left_anti")
     near = neighbours(candidates, reference, radius_km * 1000)
-    tested = candidates.select("obs_id", "value").join(interpolate(near, k, power).withColumnRenamed("cand", "obs_id"), "obs_id", "left").join(local_thresholds(near, multiplier).withColumnRenamed("cand", "obs_id"), "obs_id", "left")
+    tested = candidates.select("obs_id", "value").join(surroundings(near, k, power, multiplier).withColumnRenamed("cand", "obs_id"), "obs_id", "left")
     tested = tested.withColumn("interp", F.coalesce("interp", "value")).withColumn("difference", F.abs(F.col("value") - F.col("interp")))
     outlier = ((F.col("difference") > epsilon) & (F.abs("value") > epsilon)) | F.coalesce(F.col("difference") > F.col("local"), F.lit(False))
-    judged = tested.select("obs_id", "interp", "difference", outlier.alias("is_outlier"))
+    judged = settle(tested.select("obs_id", "interp", "difference", outlier.alias("is_outlier")))
     all_rows = obs.join(judged, "obs_id", "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False)))
     all_rows = all_rows.withColumn("interp", F.coalesce("interp", F.col(value))).withColumn("difference", F.coalesce("difference", F.abs(F.col(value) - F.col(value))))
-    median, spread = nmad(all_rows.where("NOT is_outlier"), F.col(value))
+    bad = judged.where("is_outlier").select("obs_id")
+    median, spread = nmad(points.join(bad, "obs_id", "left_anti"), F.col("value"))
     again = (F.col(value) > median + 3 * spread) | (F.col(value) < median - 3 * spread)
     return all_rows.withColumn("is_candidate", F.coalesce(again, F.lit(False)))
