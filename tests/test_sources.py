@@ -117,3 +117,40 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest.write_disturbances(spark, str(tmp_path / "in"), str(tmp_path / "out"), "test").awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).where("disturbance IS NOT NULL").count() == 20
+
+
+def test_geotiff(spark, tmp_path):
+    from plumbline.sources import geotiff
+
+    values = np.array([[1.5, 2.5, -99999.0], [4.0, 5.0, 6.0]])
+    got, west, north, sx, sy, nodata = geotiff.decode(geotiff.encode(values, -74.0, 5.0, 0.5, 0.25) + b"\n")
+    assert (got == values).all() and (west, north, sx, sy, nodata) == (-74.0, 5.0, 0.5, 0.25, -99999.0)
+    p = spark.createDataFrame([(2.0, 1.0, 5.0), (1.0, 2.0, 6.0), (1.0, 1.0, 7.0)], "lat double, lon double, value double")
+    for single in (False, True):
+        target = str(tmp_path / "a.tif")
+        geotiff.write_geotiff(p, target, single=single)
+        back = {(r["lat"], r["lon"]): r["value"] for r in geotiff.read_geotiff(spark, target).collect()}
+        assert back == {(2.0, 1.0): 5.0, (1.0, 2.0): 6.0, (1.0, 1.0): 7.0}
+    with pytest.raises(ValueError):
+        geotiff.write_geotiff(p.limit(0), str(tmp_path / "b.tif"))
+
+
+def test_lzw():
+    from plumbline.sources import geotiff
+
+    def pack(codes):
+        table, bits, out, last = 258, "", bytearray(), None
+        for c in codes:
+            width = min(12, max(9, (table + 1).bit_length()))
+            bits += format(c, f"0{width}b")
+            if c == 256:
+                table, last = 258, None
+            elif c != 257:
+                table += last is not None
+                last = c
+        bits += "0" * (-len(bits) % 8)
+        for k in range(0, len(bits), 8):
+            out.append(int(bits[k : k + 8], 2))
+        return bytes(out)
+
+    assert geotiff._lzw(pack([256, 7, 258, 8, 8, 258, 6, 257])) == bytes([7, 7, 7, 8, 8, 7, 7, 6])
