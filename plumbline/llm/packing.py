@@ -36,7 +36,9 @@ from plumbline.session import settle, ship_package
 #: on the histogram, and the plan with the fewest sequences is taken.
 SCHEMES = ((250, 4), (250, 3))
 #: Pieces whose ranks are computed together.
-RANK_BUCKET = 50_000
+RANK_BUCKET = 4_000
+#: Buckets up to this number have their sizes broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
 
@@ -279,15 +281,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     found = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     histogram = {r["length"]: r["count"] for r in found}
     rows = places(plan_sequences(histogram, capacity))
-    most = max(histogram.values(), default=0)
-    buckets = max(1, -(-most // RANK_BUCKET))
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.lit(buckets)))
+    dealt = [(length, -(-n // RANK_BUCKET)) for length, n in histogram.items()]
+    buckets = F.broadcast(spark.createDataFrame(dealt, "length long, buckets long"))  # at most `capacity` rows
+    bucketed = pieces.join(buckets, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.col("buckets"))).drop("buckets")
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "tie")
     ranked = (
         bucketed.withColumn("local", F.row_number().over(order) - 1)
-        .join(F.broadcast(before) if buckets * capacity <= 1_000_000 else before, ["length", "bucket"])
+        .join(F.broadcast(before) if sum(n for _, n in dealt) <= MOST_BROADCAST else before, ["length", "bucket"])
         .withColumn("rank", F.col("local") + F.col("before"))
         .drop("local", "before", "bucket", "tie")
     )
