@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,11 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
     return np.zeros(BITS // 8, np.uint8) if found is None else found
 
 
+def _hits(ids: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    at = _places(ids)
+    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def maybe_among(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     """Rows whose id may be among those of the bitmap."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
@@ -44,9 +50,29 @@ def maybe_among(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _places(batch.column(place))
-            hit = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            hit = _hits(batch.column(place), shared.value)
             if hit.any():
-                yield batch.filter(pa.array(hit.astype(bool)))
+                yield batch.filter(pa.array(hit))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def packed_texts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """doc_id and z, the compressed text, of the rows (doc_id, text) whose id may be among those of the bitmap."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            kept = np.flatnonzero(_hits(batch.column(0), shared.value))
+            if len(kept):
+                packed = [squeeze.compress((batch.column(1)[k].as_py() or "").encode()) for k in kept.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(packed, pa.binary())], names=["doc_id", "z"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+
+
+def unpack_texts(column: pa.Array) -> pa.Array:
+    """Texts of a column that `packed_texts` made."""
+    open_up = zstandard.ZstdDecompressor()
+    return pa.array([open_up.decompress(x.as_py()).decode() for x in column], pa.large_string())

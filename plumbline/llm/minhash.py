@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bitmaps import bitmap_of, maybe_among
+from plumbline.llm.bitmaps import bitmap_of, packed_texts, unpack_texts
 from plumbline.llm.components import components
 from plumbline.llm.trees import sum_vectors
 from plumbline.llm.wordsplit import content_codes, hashed_runs, mix
@@ -180,14 +180,14 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: object, least: float) ->
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 own: list[np.ndarray] = []
-                for _, words, bounds in hashed_runs(part.column("text_a")):
+                for _, words, bounds in hashed_runs(unpack_texts(part.column("z_a"))):
                     own += [words[bounds[k] : bounds[k + 1]] for k in range(len(bounds) - 1)]
                 ca, cb = part.column("ca").to_pylist(), part.column("cb").to_pylist()
                 for k in range(part.num_rows):
                     if content_codes(own[k])[0] != ca[k]:
                         continue
                     if held is None or held[0] != cb[k]:
-                        (_, words, _), = hashed_runs(part.column("text_b").slice(k, 1))
+                        (_, words, _), = hashed_runs(unpack_texts(part.column("z_b").slice(k, 1)))
                         if content_codes(words)[0] != cb[k]:
                             continue
                         held = (cb[k], shingles_of(words, weights.value))
@@ -195,11 +195,10 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: object, least: float) ->
             keep = np.flatnonzero(linked)
             yield pa.RecordBatch.from_arrays([batch.column(n).take(pa.array(keep)) for n in ("a", "b")], names=["a", "b"])
 
-    bitmap = bitmap_of(pairs.select("a").union(pairs.select("b")))
-    needed = maybe_among(texts, "doc_id", bitmap)
-    first = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "ca", "cb", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    own = packed_texts(texts, bitmap_of(pairs.select("a"))).select(F.col("doc_id").alias("a"), F.col("z").alias("z_a"))
+    heads = packed_texts(texts, bitmap_of(pairs.select("b"))).select(F.col("doc_id").alias("b"), F.col("z").alias("z_b"))
+    both = pairs.join(own, "a").join(heads, "b")
+    return both.select("a", "b", "ca", "cb", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 
 # ------------------------------------------------------------------------------------------------- blocks
@@ -271,7 +270,7 @@ def block_links(members: DataFrame, texts: DataFrame, weights: object, least: fl
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, words, bounds in hashed_runs(batch.column(1)):
+            for begin, words, bounds in hashed_runs(unpack_texts(batch.column(1))):
                 ids = batch.column(0).slice(begin, len(bounds) - 1).to_pylist()
                 first, codes, values = [], [], []
                 for k in range(len(ids)):
@@ -297,7 +296,7 @@ def block_links(members: DataFrame, texts: DataFrame, weights: object, least: fl
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     wanted = members.select("doc_id", "c1").distinct()
-    needed = maybe_among(texts, "doc_id", bitmap_of(wanted.select("doc_id")))
+    needed = packed_texts(texts, bitmap_of(wanted.select("doc_id")))
     profiles = settle(needed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(profile, "doc_id long, c1 long, codes binary, values binary").dropDuplicates(["doc_id", "c1"]))
     ratio = float(np.log(1 / least))
     sized = members.withColumn("size", F.floor(F.log("weight") / ratio).cast("int"))
