@@ -1,9 +1,9 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Candidate passages are single lines and stretches of neighbouring lines (between blank lines). A first pass over all words
-counts the bigrams of each line that occur in any template at all; only lines that could still reach the threshold are
-compared, and a template is compared only where the two sizes allow the threshold: with sizes a and b, Dice is at most
-2 min(a, b) / (a + b).
+Candidate passages are stretches of whole lines, from one line up to the size of the largest template. A first pass over
+all words counts the bigrams of each line that occur in any template at all; a stretch is compared only if these (and one
+for each line break in it) are enough to reach the threshold, and only with templates of a size that allows it: with sizes
+a and b, Dice is at most 2 min(a, b) / (a + b).
 
 Text is normalised to lower-case runs of letters and digits. The best passage of each licence in a document is reported;
 ties go to the earlier one. Null and empty texts have none; repeated rows give repeated results; an empty table gives
@@ -102,9 +102,10 @@ class Templates:
         return [(name, d) for name, d in found if d >= self.least - 1e-12]
 
     def shares(self, lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(bigrams known from templates, all bigrams) of each line, in one pass over all words."""
+        """(bigrams known from templates, words) of each line, in one pass over all words."""
         plain = pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{N}]+", " ")
-        words = pc.split_pattern(pc.utf8_trim(plain, " "), " ")
+        plain = pc.utf8_trim(plain, " ")
+        words = pc.split_pattern(plain, " ")
         bounds = np.asarray(words.offsets.to_numpy(zero_copy_only=False), np.int64)
         bounds = bounds - bounds[0]
         coded = words.flatten().dictionary_encode()
@@ -118,30 +119,32 @@ class Templates:
         first, last = bounds[:-1], bounds[1:] - 1
         some = last >= first
         known = np.where(some, sums[np.maximum(last, 0)] - sums[np.where(some, first, 0)], 0)
-        return known, np.maximum(np.diff(bounds) - 1, 0)
-
-    def search(self, lines: list[str], known: np.ndarray, total: np.ndarray) -> list[tuple[str, float, int, int]]:
-        """(licence, Dice, first line, last line) of a document's best passages."""
-        best: dict[str, tuple[float, int, int]] = {}
-
-        def offer(first: int, last: int) -> None:
-            for name, d in self.matches("\n".join(lines[first : last + 1])):
-                if name not in best or (-d, first, last) < (-best[name][0], *best[name][1:]):
-                    best[name] = (d, first, last)
-
-        bound = self.least / (2 - self.least)  # the least share of a passage's bigrams that the template must have
-        for k in np.flatnonzero((known > 0) & (known >= bound * total - 1e-9)).tolist():
-            offer(k, k)
-        blank = [k for k, x in enumerate(lines) if not x.strip()]
-        for first, last in zip([0, *(k + 1 for k in blank)], [*(k - 1 for k in blank), len(lines) - 1]):
-            if last > first and known[first : last + 1].any():
-                # lines within the block that any template could begin and end with
-                dense = np.flatnonzero(known[first : last + 1] > 0) + first
-                for run in np.split(dense, np.flatnonzero(np.diff(dense) > 1) + 1):
-                    if len(run) > 1:
-                        offer(int(run[0]), int(run[-1]))
-                offer(first, last)
-        return [(name, *x) for name, x in sorted(best.items())]
+        empty = np.asarray(pc.binary_length(plain).to_numpy(zero_copy_only=False)) == 0  # split gives these one empty word
+        return known, np.where(empty, 0, np.diff(bounds))
+
+    def stretches(self, known: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """(first line, end line) of all stretches within a document that could reach the threshold, by lines of all
+        documents; bounds: where each document's lines begin. They begin and end with a line that has words."""
+        found: list[tuple[int, int]] = []
+        if not len(self.sizes) or not len(known):
+            return found
+        share = self.least / (2 - self.least)  # the least share of a passage's bigrams that its template must have
+        least, most = self.sizes[0] * share - 1e-9, self.sizes[-1] / share + 1e-9
+        hits, sizes = np.concatenate([[0], np.cumsum(known)]), np.concatenate([[0], np.cumsum(words)])
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        first = np.flatnonzero(words > 0)
+        for length in range(1, len(known) + 1):
+            last = first + length
+            ok = last <= ends[first]
+            first, last = first[ok], last[ok]
+            size = sizes[last] - sizes[first] - 1
+            ok = size <= most
+            first, last, size = first[ok], last[ok], size[ok]
+            if not len(first):
+                break
+            good = (size >= least) & (hits[last] - hits[first] + length - 1 >= share * size - 1e-9) & (hits[last] > hits[first]) & (words[last - 1] > 0)
+            found += zip(first[good].tolist(), last[good].tolist())
+        return found
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -155,12 +158,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 bounds = np.asarray(split.offsets.to_numpy(zero_copy_only=False), np.int64)
                 bounds = bounds - bounds[0]
                 lines = split.flatten()
-                known, total = table.shares(lines)
-                wanted = np.unique(np.searchsorted(bounds, np.flatnonzero(known > 0), "right") - 1)
-                rows = []
-                for k in wanted.tolist():
-                    a, b = int(bounds[k]), int(bounds[k + 1])
-                    rows += [(k, *x) for x in table.search(lines.slice(a, b - a).to_pylist(), known[a:b], total[a:b])]
+                known, words = table.shares(lines)
+                best: dict[tuple[int, str], tuple[float, int, int]] = {}
+                for first, end in table.stretches(known, words, bounds):
+                    doc = int(np.searchsorted(bounds, first, "right")) - 1
+                    passage = "\n".join(lines.slice(first, end - first).to_pylist())
+                    for name, value in table.matches(passage):
+                        here = (-value, first - int(bounds[doc]), end - 1 - int(bounds[doc]))
+                        if (doc, name) not in best or here < best[doc, name]:
+                            best[doc, name] = here
+                rows = [(k, name, -value, first, last) for (k, name), (value, first, last) in sorted(best.items())]
                 ids = batch.column(0).take(pa.array([begin + r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())],

@@ -452,11 +452,34 @@ def test_licences(spark):
     wrapped = "\n".join(" ".join(cut[i : i + 9]) for i in range(0, len(cut), 9))
     rows = [
         (0, "prose here\nLicensed under the Apache License, Version 2.0.\nmore prose"), (1, "RELEASED under the MIT license"), (2, "nothing of the kind"), (3, None), (4, ""), (5, "intro\n\n" + wrapped + "\n\nend"),
-        (6, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (7, "the License the terms the Software " * 2000), (8, "licensed under"),
+        (6, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (7, "the License the terms the Software " * 2000), (8, "licensed under"), (9, "prose before it\n" + wrapped.replace("\n", "\n\n", 2) + "\nprose after it " * 3), (10, "Licensed under\nthe MIT License."),
     ]
     got = sorted((r["doc_id"], r["licence"], round(r["dice"], 6), r["first_line"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence", F.lit(1))).collect())
-    assert [(i, n) for i, n, _, _ in got] == [(0, "Apache-2.0"), (1, "MIT"), (5, "MIT"), (6, "CC-BY-NC-4.0")]
-    assert got[0][2:] == (1.0, 1) and got[3][3] == 0
+    assert [(i, n) for i, n, _, _ in got] == [(0, "Apache-2.0"), (1, "MIT"), (5, "MIT"), (6, "CC-BY-NC-4.0"), (9, "MIT"), (10, "MIT")]
+    assert got[0][2:] == (1.0, 1) and got[3][3] == 0 and got[2][2:] == (1.0, 2) and got[4][2:] == (1.0, 1) and got[5][2] == 1.0
+
+
+def test_licence_stretches_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(licences.TEMPLATES)[1] if rng.random() < 0.5 else " ".join(words(i, 12)) for _ in range(3)]
+        cut = " ".join(parts).split()
+        for _ in range(rng.randrange(6)):
+            cut[rng.randrange(len(cut))] = "x"
+        rows.append((i, "".join(w + ("\n" if rng.random() < 0.15 else " ") for w in cut)))
+    want = {}
+    for i, text in rows:
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 1, min(len(lines), a + 60) + 1):
+                own = licences.bigrams("\n".join(lines[a:b]))
+                for n, t in licences.TEMPLATES:
+                    d = licences.dice(own, licences.bigrams(t)) if abs(sum(own.values()) - len(t.split())) < 80 else 0
+                    if d >= 0.8:
+                        want[i, n] = max(want.get((i, n), 0), round(d, 9))
+    got = {(r["doc_id"], r["licence"]): round(r["dice"], 9) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_size_bounds_lose_nothing():
