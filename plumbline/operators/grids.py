@@ -80,13 +80,19 @@ def nearest_cell(points: DataFrame, grid: DataFrame, key: str, lat0: float, lon0
     return points.withColumn("r", r).withColumn("c", c).join(grid.select("r", "c", F.col("value").alias(name)), ["r", "c"], "left").drop("r", "c")
 
 
+def raster_axes(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lat, row) from north and (lon, col) from west of the distinct coordinates."""
+    rows = points.select("lat").distinct().withColumn("row", (F.dense_rank().over(Window.orderBy(F.desc("lat"))) - 1).cast("int"))
+    cols = points.select("lon").distinct().withColumn("col", (F.dense_rank().over(Window.orderBy("lon")) - 1).cast("int"))
+    return rows, cols
+
+
 def raster_index(points: DataFrame) -> DataFrame:
     """row (north first) and col (west first) of each point among the distinct latitudes and longitudes.
 
     Positions are ranked on the distinct values, whose number is a side of the raster, not its area.
     """
-    rows = points.select("lat").distinct().withColumn("row", (F.dense_rank().over(Window.orderBy(F.desc("lat"))) - 1).cast("int"))
-    cols = points.select("lon").distinct().withColumn("col", (F.dense_rank().over(Window.orderBy("lon")) - 1).cast("int"))
+    rows, cols = raster_axes(points)
     return points.join(rows, "lat").join(cols, "lon")
 
 
@@ -97,10 +103,10 @@ def raster_dedupe(points: DataFrame, value: str = "value", digits: int = 10) ->
 
 def full_raster(points: DataFrame, value: str = "value", background: float | None = 0.0) -> DataFrame:
     """Every cell of the raster that the points' coordinates span; cells without a point get the background or NULL."""
-    lats = points.select("lat").distinct().withColumn("one", F.lit(1))
-    lons = points.select("lon").distinct().withColumn("one", F.lit(1))
-    cells = lats.join(lons, "one").drop("one")
-    filled = cells.join(points.select("lat", "lon", value), ["lat", "lon"], "left")
+    rows, cols = raster_axes(points)
+    n = cols.count()
+    every = points.sparkSession.range(rows.count() * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("row"), (F.col("id") % max(n, 1)).cast("int").alias("col"))
+    filled = every.join(rows, "row").join(cols, "col").select("lat", "lon").join(points.select("lat", "lon", value), ["lat", "lon"], "left")
     return filled if background is None else filled.withColumn(value, F.coalesce(value, F.lit(background)))
 
 

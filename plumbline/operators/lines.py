@@ -56,10 +56,11 @@ def _block_means(points: DataFrame, b: float) -> DataFrame:
     ship_package(points.sparkSession)
     sizes = points.groupBy("project", "line").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = points.join(sizes, ["project", "line"]).withColumn("block", F.pmod(F.xxhash64("obs_id"), F.col("blocks")))
-    packed = dealt.groupBy("project", "line", "block").agg(F.collect_list(F.struct("obs_id", "lam", "v", "s", "c")).alias("p"))
-    packed = packed.select("project", "line", "block", *(F.col(f"p.{x}").alias(x) for x in ("obs_id", "lam", "v", "s", "c")))
-    source = packed.select("project", "line", *(F.col(x).alias(f"{x}2") for x in ("lam", "v", "s", "c")))
-    pairs = packed.join(source, ["project", "line"]).select("obs_id", "lam", "s", "c", "lam2", "v2", "s2", "c2")
+    packed = dealt.groupBy("project", "line", "block").agg(F.collect_list(F.struct("obs_id", "lam", "v", "s", "c")).alias("p"), F.first("blocks").alias("blocks"))
+    packed = packed.select("project", "line", "block", "blocks", *(F.col(f"p.{x}").alias(x) for x in ("obs_id", "lam", "v", "s", "c")))
+    # every block goes to every block of its line: keys are (line, target block), so one line is many keys
+    source = packed.select("project", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *(F.col(x).alias(f"{x}2") for x in ("lam", "v", "s", "c")))
+    pairs = packed.join(source, ["project", "line", "block"]).select("obs_id", "lam", "s", "c", "lam2", "v2", "s2", "c2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,7 +82,8 @@ def test_filter_stays_within_values(spark, values):
     assert min(values) - 1e-9 <= min(out) and max(out) <= max(values) + 1e-9
 
 
-def test_filter_in_blocks_equals_join(spark):
+def test_filter_in_blocks_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 7)
     values = np.random.default_rng(1).normal(size=60).tolist()
     obs = line(spark, values).unionByName(line(spark, values[:5], "q").withColumn("obs_id", F.col("obs_id") + 1000))
     a = {r["obs_id"]: r["filtered"] for r in lines.gaussian_filter(obs, 3.0).collect()}
