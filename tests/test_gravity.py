@@ -340,3 +340,20 @@ def test_geoid_grid(spark):
     model = spark.createDataFrame([(2, 0, 1e-6, 0.0), (2, 2, 1e-6, -1e-6)], "n int, m int, c double, s double")
     grid = harmonics.geoid_grid(grids.pixel_centres(spark, 0, 10, 0, 10, 5), model, 2)
     assert grid.count() == 4 and grid.where("abs(undulation) > 0 AND abs(undulation) < 100").count() == 4
+
+
+@pytest.mark.parametrize("method", ["nearest", "linear", "cubic"])
+def test_resample(spark, method):
+    from plumbline.operators.resample import resample
+
+    def f(a, o):
+        return {"nearest": 2.0, "linear": 3 * a - 2 * o + 1, "cubic": a**3 - 2 * a * o**2 + o**3}[method]
+
+    raster = spark.createDataFrame([(a / 2, o / 2, f(a / 2, o / 2)) for a in range(7) for o in range(6)], "lat double, lon double, value double")
+    rows = resample(raster, 0.2, 0.25, method).collect()
+    assert len(rows) == 16 * 11 and all(r["value"] == pytest.approx(f(r["lat"], r["lon"]), abs=1e-9) for r in rows)
+    outside = resample(raster, 0.5, 0.5, method, north=4.0).where("lat > 3").collect()
+    assert outside and all(r["value"] is None for r in outside)
+    assert resample(raster.limit(0), 1, 1, method).count() == 0
+    with pytest.raises(ValueError):
+        resample(raster, 1, 1, "other")
