@@ -322,9 +322,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = spark.sparkContext.broadcast(word_weights(texts))  # COUNTERS numbers, whatever the corpus
     rows = settle(sketch(texts, weights))
     classes = settle(rows.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "weight", "bands")).alias("x")).select("c1", "c2", "x.*"))
-    in_bands = classes.select("doc_id", "c1", "weight", F.explode("bands").alias("band"))
+    in_bands = classes.select("doc_id", F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = settle(in_bands.join(shared, "band"))
+    met = settle(in_bands.join(shared, "band").join(classes.select("doc_id", "c1", "weight"), "doc_id"))
 
     # every class and one head: the class that meets most others in all its bands together
     hubs = met.groupBy("doc_id").agg(F.sum("n").alias("hub"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,10 +11,23 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts are handled in runs of about so many bytes.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 2_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
+try:
+    _malloc_trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _malloc_trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay alive between tasks, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def plain_word(word: str) -> str:
     """Lower case without punctuation at its ends; a word of punctuation alone stays."""
     return word.strip(PUNCTUATION).lower() or word
@@ -52,6 +66,7 @@ def runs(texts: pa.Array | pa.ChunkedArray, run_bytes: int = RUN_BYTES) -> Itera
         end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin : begin + 4096]), run_bytes, "right")))
         yield begin, texts.slice(begin, end - begin)
         begin = end
+    give_back()
 
 
 def hashed_runs(texts: pa.Array, hasher: Callable[[str], int] = hash_word) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
