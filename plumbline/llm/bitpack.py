@@ -121,8 +121,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
 
         tail = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
                 ids, offsets = tokens.encode(piece.column(1))
                 for k, key in enumerate(piece.column(0).to_pylist()):
                     names.append(key)

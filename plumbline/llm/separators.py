@@ -49,8 +49,8 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["kind", "seq", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 4096):
+                piece = batch.slice(at, 4096)
                 ids, offsets = tokens.encode(piece.column(1))
                 keys = piece.column(0)
                 own = np.zeros(len(keys), NAME)
