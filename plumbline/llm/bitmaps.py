@@ -43,20 +43,6 @@ def _hits(ids: pa.Array, bitmap: np.ndarray) -> np.ndarray:
     return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def maybe_among(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
-    """Rows whose id may be among those of the bitmap."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-    place = rows.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = _hits(batch.column(place), shared.value)
-            if hit.any():
-                yield batch.filter(pa.array(hit))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def packed_texts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """doc_id and z, the compressed text, of the rows (doc_id, text) whose id may be among those of the bitmap."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
