@@ -18,9 +18,9 @@ MGAL_PER_SI = 1e5
 PROBE_SEED = 144
 #: Transverse Mercator zone of the outlier search: latitude and longitude of origin, scale, false easting and northing.
 TM_LAT0, TM_LON0, TM_SCALE, TM_EAST, TM_NORTH = 4.0, -73.0, 0.9992, 5_000_000.0, 2_000_000.0
-"""GRS80 flattening of the projection."""
+#: GRS80 flattening of the projection.
 TM_FLATTENING = 1 / 298.257222101
 NODATA = -99999.0
 TILE_NODATA = -32768
-"""Least and largest values that maps and reports show."""
+#: Bounds (of both signs) that maps and reports show.
 CLIP_RESIDUAL, CLIP_DISTURBANCE, CLIP_MODEL = 100.0, 60.0, 40.0
