@@ -30,7 +30,7 @@ from plumbline.llm.bitmaps import bitmap_of, packed_texts, unpack_texts
 from plumbline.llm.components import components
 from plumbline.llm.trees import sum_vectors
 from plumbline.llm.wordsplit import content_codes, hashed_runs, mix
-from plumbline.session import settle, ship_package
+from plumbline.session import release, settle, ship_package
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -333,7 +333,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size_allows = f"least(weight, head.weight) >= greatest(weight, head.weight) * {least} - 1e-6"
     stars = scored.join(heads, "band").where("doc_id <> head.doc_id").where(size_allows)
     pairs = settle(stars.groupBy("doc_id", "c1").agg(F.min("head").alias("head")).select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b"), F.col("c1").alias("ca"), F.col("head.c1").alias("cb")))
+    release(spark)  # the bands' shuffles
     found = components(verify(pairs, texts, weights, least))
+    release(spark)  # the texts' shuffles
 
     def labelled(frame: DataFrame, name: str) -> DataFrame:
         return frame.join(found.select(F.col("vertex").alias("doc_id"), F.col("component").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, "doc_id"))
