@@ -20,7 +20,7 @@ MEMO_ENTRIES = 300_000
 #: Marks of chunks met before, by hash.
 MET_MARKS = 1 << 22
 #: Texts are handled in runs of about so many bytes, so that memory does not follow the size of an Arrow batch.
-RUN_BYTES = 3_000_000
+RUN_BYTES = 4_000_000
 
 #: Chunks given to the library at once: its encodings are much larger than their ids.
 LIBRARY_BATCH = 4_096
@@ -54,7 +54,7 @@ class ChunkTokenizer:
         self.library.no_padding()
         self.library.encode_special_tokens = plain
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())  # chunks in memory; Arrow looks a whole run's chunks up at once
         self.ids = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)
         self.met = np.zeros(MET_MARKS, bool)
@@ -70,24 +70,23 @@ class ChunkTokenizer:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def _lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _lookup(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pool of ids, start in it, number) of distinct chunks."""
-        known = self.known
-        rows = np.fromiter((known.get(x, -1) for x in chunks), np.int64, len(chunks))
+        rows = np.asarray(pc.fill_null(pc.index_in(chunks, value_set=self.known), -1).to_numpy(zero_copy_only=False), np.int64).copy()
         new = np.flatnonzero(rows < 0)
-        fresh = [chunks[k] for k in new]
+        fresh = chunks.take(pa.array(new)).to_pylist()
         own, sizes = self._encode_chunks(fresh)
         rows[new] = len(self.lengths) + np.arange(len(new))
         pool, lengths = np.concatenate([self.ids, own]), np.concatenate([self.lengths, sizes])
         starts = np.cumsum(lengths) - lengths
-        room = MEMO_ENTRIES - len(known)
+        room = MEMO_ENTRIES - len(self.known)
         if room > 0 and len(new):
             marks = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (len(self.met) - 1)
             again = np.flatnonzero(self.met[marks])[:room]
             self.met[marks] = True
             ends = np.cumsum(sizes)
             parts = [own[ends[k] - sizes[k] : ends[k]] for k in again]
-            known.update(zip((fresh[k] for k in again), range(len(self.lengths), len(self.lengths) + len(again))))
+            self.known = pa.concat_arrays([self.known, pa.array([fresh[k] for k in again], pa.large_string())])
             self.ids, self.lengths = np.concatenate([self.ids, *parts]), np.concatenate([self.lengths, sizes[again]])
         return pool, starts[rows], lengths[rows]
 
@@ -119,7 +118,7 @@ class ChunkTokenizer:
         bounds = np.asarray(words.offsets.to_numpy(zero_copy_only=False), np.int64)
         coded = words.flatten().dictionary_encode()
         at = np.asarray(coded.indices.to_numpy(zero_copy_only=False), np.int64)
-        pool, starts, lengths = self._lookup(coded.dictionary.to_pylist())
+        pool, starts, lengths = self._lookup(coded.dictionary)
         n = lengths[at]
         ends = np.cumsum(n)
         where = np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
