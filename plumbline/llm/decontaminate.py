@@ -2,8 +2,9 @@
 
 Fixed masks pick some words of a window and ignore the others, so a window's hash survives substitutions at ignored places.
 Hashes of the benchmark items' windows under every mask are looked up for every window of every whole document; around a
-hit, item and document are laid over each other on its diagonal, and the best stretch (match +1, substitution -2) counts
-when it is long enough and agrees in `AGREEMENT` of its words.
+hit, item and document are laid over each other on its diagonal, which counts when any stretch of it is long enough and
+agrees in `AGREEMENT` of its words. Reported is the best stretch (match +1, substitution -2) if it does, else the best one
+that does.
 
 The benchmark is the query set. It is taken in blocks of at most `BLOCK_WORDS` words, each block sent to all tasks; any
 number of items is done in as many passes as it has blocks, and documents are never shuffled. Items of equal words are one
@@ -31,6 +32,8 @@ MASKS = ("110110011011", "111001101101", "101011110101")
 #: A stretch must have so many words (or all of a shorter item) and agree in this share of them.
 LEAST_WORDS = 13
 AGREEMENT = 0.8
+#: A stretch agrees in AGREEMENT of its words when its matches less MISS times its substitutions are not negative.
+MISS = round(AGREEMENT / (1 - AGREEMENT))
 BLOCK_WORDS = 1_000_000
 _FILTER_BITS = 22
 MATCH = "doc_id long, item_id long, doc_start long, item_start long, length long, matches long"
@@ -60,6 +63,19 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: end + 1])), end
 
 
+def agreeing_stretch(same: np.ndarray, least: int) -> tuple[int, int]:
+    """(begin, end) of the stretch of `least` words or more with the most matches less MISS times the substitutions, the
+    first of equals; (0, 0) where none agrees in AGREEMENT of its words."""
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISS))])
+    if len(same) < least:
+        return 0, 0
+    score = sums[least:] - np.minimum.accumulate(sums[: len(sums) - least])
+    end = int(np.argmax(score))
+    if score[end] < 0:
+        return 0, 0
+    return int(np.argmin(sums[: end + 1])), end + least
+
+
 class Block:
     """Items of one pass, ready for lookups."""
 
@@ -117,10 +133,14 @@ class Block:
         first = max(0, -diagonal)
         last = min(len(own), len(doc) - diagonal)
         same = own[first:last] == doc[first + diagonal : last + diagonal]
+        least = min(LEAST_WORDS, len(own))
         begin, end = best_stretch(same)
         matches = int(same[begin:end].sum())
-        if end - begin < min(LEAST_WORDS, len(own)) or matches < AGREEMENT * (end - begin):
-            return None
+        if end - begin < least or matches < AGREEMENT * (end - begin):
+            begin, end = agreeing_stretch(same, least)
+            matches = int(same[begin:end].sum())
+            if end == begin:
+                return None
         return first + begin + diagonal, first + begin, end - begin, matches
 
 

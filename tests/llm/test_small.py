@@ -309,6 +309,29 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+def as_codes(text):
+    return np.array([hash(w) & 0xFFFFFFFF for w in text], np.uint64)
+
+
+def test_clean_overlap_beside_edited_remainder():
+    item = words(60, 80)
+    edited = item[:20] + [w if (k * 7) % 10 < 7 else f"edit{k}" for k, w in enumerate(item[20:])]
+    block = decontaminate.Block([(1, as_codes(item))])
+    doc = as_codes(["intro"] * 5 + edited + ["outro"] * 5)
+    (match,) = block.find(doc, np.array([0, len(doc)]))
+    assert match[1] == 1 and match[2] - match[3] == 5 and match[4] >= 20 and match[5] >= 0.8 * match[4]
+
+
+def test_stretches_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        n, least = int(rng.integers(1, 60)), int(rng.integers(1, 14))
+        same = rng.random(n) < rng.uniform(0.5, 0.95)
+        want = any(5 * same[a:b].sum() >= 4 * (b - a) for a in range(n) for b in range(a + least, n + 1))
+        begin, end = decontaminate.agreeing_stretch(same, least)
+        assert (end > begin) == want and (not want or (end - begin >= least and 5 * same[begin:end].sum() >= 4 * (end - begin)))
+
+
 # ------------------------------------------------------------------------------------------------ secrets
 
 
