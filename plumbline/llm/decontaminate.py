@@ -10,7 +10,7 @@ The benchmark is the query set. It is taken in blocks of at most `BLOCK_WORDS` w
 number of items is done in as many passes as it has blocks, and documents are never shuffled. Items of equal words are one
 item, named by their least id.
 
-Words are as for near-duplicates (lower case, no punctuation at the ends). Items shorter than a window are sought whole and
+Words are as for near-duplicates (lower case, no punctuation at the ends). Items of less than `SPAN` words are sought whole and
 exactly; items and documents without words match nothing. Rows with null ids: documents' matches carry the null id, items
 are left out. Repeated documents give repeated rows. Empty tables give none. Other columns don't matter.
 """
@@ -27,14 +27,19 @@ from pyspark.sql import functions as F
 from plumbline.llm.wordsplit import content_codes, hashed_runs, mix
 from plumbline.session import settle, ship_package
 
-#: Windows of twelve words of which eight count. Fixed values.
-MASKS = ("110110011011", "111001101101", "101011110101")
+#: Every stretch of SPAN words or more that agrees in AGREEMENT of them has a hit: s substitutions leave s + 1 runs of 4 s
+#: matches or more, so one has four words, but for fifteen words with three substitutions in four runs of three. Fixed values.
+MASKS = ("1111", "11101")
+#: Shorter items are sought whole and exactly.
+SPAN = 12
 #: A stretch must have so many words (or all of a shorter item) and agree in this share of them.
 LEAST_WORDS = 13
 AGREEMENT = 0.8
 #: A stretch agrees in AGREEMENT of its words when its matches less MISS times its substitutions are not negative.
 MISS = round(AGREEMENT / (1 - AGREEMENT))
 BLOCK_WORDS = 1_000_000
+#: So many hits are looked at together.
+HITS = 20_000
 _FILTER_BITS = 22
 MATCH = "doc_id long, item_id long, doc_start long, item_start long, length long, matches long"
 
@@ -83,14 +88,13 @@ class Block:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.bounds = np.concatenate([[0], np.cumsum([len(w) for _, w in items])]).astype(np.int64)
         self.words = np.concatenate([w for _, w in items]) if items else np.zeros(0, np.uint64)
-        span = len(masks[0])
         sizes = np.diff(self.bounds)
         self.seeds = []
-        whole = {"1" * int(n) for n in sizes if 0 < n < span}
-        for mask in [*masks, *sorted(whole)]:
+        whole = {"1" * int(n) for n in sizes if 0 < n < SPAN}
+        for mask, seeded in [*((m, True) for m in masks), *((m, False) for m in sorted(whole))]:
             codes, owner, place = [], [], []
             for k, (_, words) in enumerate(items):
-                if len(words) >= span if mask in masks else len(words) == len(mask):
+                if len(words) >= SPAN if seeded else len(words) == len(mask):
                     own = window_codes(words, mask)
                     codes.append(own)
                     owner.append(np.full(len(own), k))
@@ -101,33 +105,54 @@ class Block:
             order = np.argsort(code, kind="stable")
             known = np.zeros(1 << _FILTER_BITS, bool)
             known[code >> np.uint64(64 - _FILTER_BITS)] = True
-            self.seeds.append((mask, code[order], np.concatenate(owner)[order], np.concatenate(place)[order], known))
+            self.seeds.append((mask, seeded, code[order], np.concatenate(owner)[order], np.concatenate(place)[order], known))
 
     def find(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(document, item id, start in the document, start in the item, length, matches), one for a document, item and diagonal."""
         tried: set[tuple[int, int, int]] = set()
         found = []
-        for mask, codes, owner, place, known in self.seeds:
+        for mask, seeded, codes, owner, place, known in self.seeds:
             own = window_codes(words, mask)
             maybe = np.flatnonzero(known[own >> np.uint64(64 - _FILTER_BITS)])
             low = np.searchsorted(codes, own[maybe], "left")
-            high = np.searchsorted(codes, own[maybe], "right")
-            real = high > low
-            maybe, low, high = maybe[real], low[real], high[real]
+            count = np.searchsorted(codes, own[maybe], "right") - low
             doc = np.searchsorted(bounds, maybe, "right") - 1
-            inside = maybe + len(mask) <= bounds[doc + 1]
-            for at, d, a, b in zip(maybe[inside].tolist(), doc[inside].tolist(), low[inside].tolist(), high[inside].tolist(), strict=True):
-                for k in range(a, b):
-                    item = int(owner[k])
-                    diagonal = at - int(bounds[d]) - int(place[k])
-                    if (d, item, diagonal) in tried:
+            real = (count > 0) & (maybe + len(mask) <= bounds[doc + 1])
+            maybe, low, count, doc = maybe[real], low[real], count[real], doc[real]
+            before = np.concatenate([[0], np.cumsum(count)])
+            for begin in range(0, int(before[-1]), HITS):
+                hit = np.arange(begin, min(begin + HITS, int(before[-1])))
+                window = np.searchsorted(before, hit, "right") - 1
+                k = low[window] + hit - before[window]
+                at, d, item, own_at = maybe[window], doc[window], owner[k], place[k]
+                if seeded:
+                    near = self._near(words, bounds, at, d, item, own_at)
+                    at, d, item, own_at = at[near], d[near], item[near], own_at[near]
+                for key in zip(d.tolist(), item.tolist(), (at - bounds[d] - own_at).tolist(), strict=True):
+                    if key in tried:
                         continue
-                    tried.add((d, item, diagonal))
-                    match = self._verify(words[bounds[d] : bounds[d + 1]], item, diagonal)
+                    tried.add(key)
+                    match = self._verify(words[bounds[key[0]] : bounds[key[0] + 1]], *key[1:])
                     if match:
-                        found.append((d, int(self.ids[item]), *match))
+                        found.append((key[0], int(self.ids[key[1]]), *match))
         return found
 
+    def _near(self, words: np.ndarray, bounds: np.ndarray, at: np.ndarray, doc: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether a stretch that counts lies within reach of each hit. A longer one can be cut in parts of less than
+        2 * LEAST_WORDS words, of which one counts by itself and has a hit of its own."""
+        reach = np.arange(-2 * LEAST_WORDS, 2 * LEAST_WORDS + 1)
+        there = at[:, None] + reach
+        own = (self.bounds[item] + place)[:, None] + reach
+        inside = (there >= bounds[doc][:, None]) & (there < bounds[doc + 1][:, None]) & (own >= self.bounds[item][:, None]) & (own < self.bounds[item + 1][:, None])
+        same = words[np.clip(there, 0, len(words) - 1)] == self.words[np.clip(own, 0, len(self.words) - 1)]
+        sums = np.zeros((len(at), len(reach) + 1), np.int32)
+        np.cumsum(np.where(inside, np.where(same, 1, -MISS), -1000), axis=1, out=sums[:, 1:])
+        low = np.minimum.accumulate(sums, axis=1)
+        near = (sums[:, LEAST_WORDS:] >= low[:, :-LEAST_WORDS]).any(axis=1)
+        short = np.flatnonzero(np.diff(self.bounds)[item] < LEAST_WORDS)
+        near[short] = (sums[short, SPAN:] >= low[short, :-SPAN]).any(axis=1)
+        return near
+
     def _verify(self, doc: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
         own = self.words[self.bounds[item] : self.bounds[item + 1]]
         first = max(0, -diagonal)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -332,6 +333,44 @@ def test_stretches_equal_brute_force():
         assert (end > begin) == want and (not want or (end - begin >= least and 5 * same[begin:end].sum() >= 4 * (end - begin)))
 
 
+def test_every_accepted_pattern_has_a_hit():
+    """All placements of the substitutions allowed in 12 to 25 words; longer stretches hold a shorter one that counts."""
+    for n in range(12, 26):
+        places = np.array(list(itertools.combinations(range(n), n // 5)))
+        same = np.ones((len(places), n), bool)
+        same[np.arange(len(places))[:, None], places] = False
+        hit = np.zeros(len(places), bool)
+        for mask in decontaminate.MASKS:
+            for at in range(n - len(mask) + 1):
+                hit |= same[:, [at + k for k, bit in enumerate(mask) if bit == "1"]].all(axis=1)
+        assert hit.all(), n
+
+
+def test_find_equals_brute_force():
+    rng = random.Random(8)
+    items = [(k, as_codes(words(70 + k, n))) for k, n in enumerate((4, 5, 12, 13, 15, 16, 20, 25, 40, 59))]
+    block = decontaminate.Block(items)
+    texts, want = [], set()
+    for d in range(400):
+        _, item = rng.choice(items)
+        a = rng.randrange(len(item))
+        part = [int(w) if rng.random() < rng.choice((0.75, 0.8, 0.9, 1)) else rng.getrandbits(40) for w in item[a // 2 :]]
+        texts.append(np.array([rng.getrandbits(40) for _ in range(rng.randrange(9))] + part + [1, 2], np.uint64))
+        for k, own in items:
+            for diagonal in range(1 - len(own), len(texts[-1])):
+                first, last = max(0, -diagonal), min(len(own), len(texts[-1]) - diagonal)
+                same = own[first:last] == texts[-1][first + diagonal : last + diagonal]
+                if len(own) < decontaminate.SPAN:
+                    counts = len(same) == len(own) and same.all()
+                else:
+                    sums, least = [0, *np.cumsum(np.where(same, 1, -4)).tolist()], min(13, len(own))
+                    counts = any(sums[b] >= min(sums[: b - least + 1]) for b in range(least, len(sums)))
+                if counts:
+                    want.add((d, k, diagonal))
+    found = block.find(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert {(d, k, at - own) for d, k, at, own, _, _ in found} == want and len(found) == len(want) > 100
+
+
 # ------------------------------------------------------------------------------------------------ secrets
 
 
