@@ -2,7 +2,7 @@
 
 Three plain patterns give the base spans. The method adds spans of encoded material, reported only where decoding proves
 the structure: base64 or hex candidates must decode to a DER tree whose nested lengths fill the value exactly, or to a key
-encoding with length-prefixed fields; a signed token must carry a JSON header naming an algorithm and a JSON payload.
+encoding with length-prefixed fields, be they wrapped in lines, in either base64 alphabet, or beside other letters of it; a signed token must carry a JSON header naming an algorithm and a JSON payload.
 
 Spans are code-point offsets, end exclusive. Null and empty texts have no spans. The scan is one pass over each whole
 text, without a shuffle; repeated rows give repeated results and an empty table gives none.
@@ -15,7 +15,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +28,23 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ of 24 characters or more: a run begins where it first can
 #: Kinds in the order in which equal starts are listed: the base, then what the method adds.
-KINDS = ("assign", "access", "hex", "private_key", "der", "ssh_key", "signed_token", "hex_der")
+KINDS = ("assign", "access", "hex", "private_key", "der", "ssh_key", "signed_token", "hex_der", "hex_ssh_key")
 
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,.-]{16,}?)-----END \1-----")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 LONG_HEX = re.compile(r"[0-9a-fA-F]{48,}")
+#: Base64 or hex over one line or more, of either base64 alphabet, and what parts the lines (also escaped).
+BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+BASE64_LINES = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+)*")
+HEX_LINES = re.compile(rf"[0-9a-fA-F]{{16,}}(?:{BREAK.pattern}[0-9a-fA-F]+)*")
+#: Where a SEQUENCE, a key type after its length, or the magic can begin.
+BASE64_KEY = re.compile(r"M(?=[A-P])|AAAA(?=[A-Z][A-Za-z0-9](?:NzaC1|VjZHNhLXNoYTIt|NrL))|b3BlbnNzaC1rZXktdjEA")
+HEX_KEY = re.compile(r"30(?=[1-8])|000000(?=..(?:7373682d|65636473612d736861322d|736b2d))|6f70656e7373682d6b65792d763100")
+_PLAIN = str.maketrans("-_", "+/")
+MAGIC = b"openssh-key-v1\0"
+#: Fields of a public key by the beginning of its type.
+SSH_FIELDS = ((b"ssh-rsa", 3), (b"ssh-dss", 5), (b"ssh-ed25519", 2), (b"ecdsa-sha2-nistp", 3), (b"sk-ssh-ed25519@", 3), (b"sk-ecdsa-sha2-nistp256@", 4))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -101,7 +113,7 @@ def is_der_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """An OpenSSH private key, or length-prefixed fields that begin with a key type and fill the value."""
-    if data.startswith(b"openssh-key-v1\0"):
+    if data.startswith(MAGIC):
         return True
     at, fields = 0, []
     while at + 4 <= len(data):
@@ -113,6 +125,88 @@ def is_ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
 
 
+def fields_end(data: bytes, at: int, count: int) -> int | None:
+    """Where so many length-prefixed fields end; None where the data end before."""
+    for _ in range(count):
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else None
+
+
+def ssh_end(data: bytes) -> int | None:
+    """Where the key at the beginning of the data ends, whatever follows it; an OpenSSH private key that is cut takes all."""
+    if data.startswith(MAGIC):
+        at = fields_end(data, len(MAGIC), 3)
+        keys = int.from_bytes(data[at : at + 4], "big") if at is not None else 0
+        return (fields_end(data, at + 4, keys + 1) if 0 < keys < 100 else None) or len(data)
+    name = data[4 : 4 + int.from_bytes(data[:4], "big")]
+    count = next((n for kind, n in SSH_FIELDS if name.startswith(kind) and b"-cert-" not in name), 0)
+    if count:
+        return fields_end(data, 0, count)
+    return len(data) if is_ssh_key(data) else None
+
+
+def der_size(head: bytes) -> int | None:
+    """Bytes of the SEQUENCE that begins here, if an INTEGER or a SEQUENCE comes first in it as in every key encoding."""
+    top = der_element(head, 0, 1 << 33) if len(head) > 6 else None
+    return top[2] if top and top[0] == 0x30 and top[1] < len(head) and head[top[1]] in (0x02, 0x30) else None
+
+
+def keys_in(run: str, begins: re.Pattern, decode: Callable[[str], bytes | None], chars: Callable[[int], int]) -> Iterator[tuple[int, int, bool]]:
+    """(begin, end, whether it is SSH's) of the keys in a run of encoded characters; chars: how many encode so many bytes."""
+    done = 0
+    for m in begins.finditer(run):
+        at = m.start()
+        if at < done:
+            continue
+        if len(m[0]) > 2:
+            data = decode(run[at:]) or b""
+            size = ssh_end(data)
+        else:
+            size = der_size(decode(run[at : at + 24]) or b"")
+            if size is None or size < 30 or at + chars(size) > len(run):
+                continue
+            data = decode(run[at : at + chars(size)])
+            if data is None or not is_der_key(data):
+                continue
+        if size:
+            done = min(len(run), at + chars(size))
+            yield at, done, len(m[0]) > 2
+
+
+def joined(text: str, lines: re.Pattern) -> Iterator[tuple[str, list[int], list[int]]]:
+    """(characters without line breaks, where each line begins in them, and in the text) of encoded runs."""
+    for m in lines.finditer(text):
+        parts, inner, outer, at = [], [], [], 0
+        for part in [*BREAK.finditer(m[0]), None]:
+            stop = part.start() if part else len(m[0])
+            inner.append(sum(map(len, parts[-1:])) + (inner[-1] if inner else 0))
+            outer.append(m.start() + at)
+            parts.append(m[0][at:stop])
+            at = part.end() if part else at
+        yield "".join(parts), inner, outer
+
+
+def embedded_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys that lines break, that other letters precede or follow, or in the url alphabet or hex."""
+    ways = (
+        (BASE64_LINES, BASE64_KEY, lambda x: decode_base64(x[: len(x) - (len(x) % 4 == 1)]), lambda n: -(-n * 4 // 3), ("der", "ssh_key")),
+        (HEX_LINES, HEX_KEY, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]), lambda n: 2 * n, ("hex_der", "hex_ssh_key")),
+    )
+    for lines, begins, decode, chars, kinds in ways:
+        for run, inner, outer in joined(text, lines):
+            if len(run) < 40:
+                continue
+            run = run.lower() if lines is HEX_LINES else run.translate(_PLAIN)
+            for begin, end, ssh in keys_in(run, begins, decode, chars):
+                a, b = bisect_right(inner, begin) - 1, bisect_right(inner, end - 1) - 1
+                stop = outer[b] + end - inner[b]
+                if lines is BASE64_LINES:
+                    stop += len(re.match("={0,2}", text[stop : stop + 2])[0])
+                yield outer[a] + begin - inner[a], stop, kinds[ssh]
+
+
 def is_signed_token(text: str) -> bool:
     """Header and payload are JSON objects and the header names its algorithm."""
     head, body, signature = text.split(".", 2)
@@ -135,20 +229,24 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             raw = decode_base64(body)
             if raw is not None and (is_der_key(raw) or is_ssh_key(raw) or "ENCRYPTED" in m[1] + m[2]):
                 found.append((m.start(), m.end(), "private_key"))
-    if "ey" in text and "." in text:
+    if ("ey" in text or "ew" in text) and "." in text:
         found += [(m.start(), m.end(), "signed_token") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
+    whole: list[tuple[int, int, str]] = []  # one line that is all key
     for m in BASE64_RUN.finditer(text):
         if any(s < m.end() and m.start() < e for s, e, _ in found):
             continue
         if m[0].startswith("M") or m[0].startswith("AAAA") or m[0].startswith("b3BlbnNzaC"):  # SEQUENCE, a short length, or the magic
             raw = decode_base64(m[0])
             if raw is not None and is_der_key(raw):
-                found.append((m.start(), m.end(), "der"))
+                whole.append((m.start(), m.end(), "der"))
             elif raw is not None and is_ssh_key(raw):
-                found.append((m.start(), m.end(), "ssh_key"))
+                whole.append((m.start(), m.end(), "ssh_key"))
     for m in LONG_HEX.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "hex_der"))
+            whole.append((m.start(), m.end(), "hex_der"))
+    parts = [x for x in embedded_spans(text) if not any(s < x[1] and x[0] < e for s, e, _ in found)]
+    whole = [x for x in whole if not any(s <= x[0] and x[1] <= e for s, e, _ in parts)]
+    found += whole + [x for x in parts if not any(s <= x[0] and x[1] <= e for s, e, _ in whole)]
     return found
 
 

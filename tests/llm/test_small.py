@@ -414,6 +414,32 @@ def test_secrets(spark):
     assert clean[0]["n_chars"] == len(clean[0]["text"]) and clean[3]["text"] is None and clean[6]["text"] == f"a {FAKE} b" and TOKEN not in clean[5]["text"]
 
 
+def wrapped(text, width):
+    return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_secrets_in_lines_alphabets_and_company():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = field(b"ssh-rsa") + field(b"\1\0\1") + field(bytes(range(251, 60, -1)))
+    private = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + b"\0\0\0\1" + field(ssh) + field(bytes(90))
+    spiked = der(0x30, der(2, b"\x00") + der(2, b"\xfb\xff\xbe" * 30) + der(2, b"\x01\x00\x01"))
+    assert {"-", "_"} & set(base64.urlsafe_b64encode(spiked).decode())
+    pretty = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256"}, indent=1).encode(), b'{"a": 1}', b"zzz"))
+    plain = base64.b64encode
+    cases = [("der", wrapped(plain(KEY).decode(), w)) for w in (64, 76)] + [("der", wrapped(plain(KEY).decode(), 64).replace("\n", "\\n"))]
+    cases += [("der", base64.urlsafe_b64encode(spiked).decode()), ("der", wrapped(base64.urlsafe_b64encode(spiked).decode().rstrip("="), 64))]
+    cases += [("ssh_key", wrapped(plain(ssh).decode(), 70)), ("ssh_key", wrapped(plain(private).decode(), 70)), ("signed_token", pretty)]
+    cases += [("hex_ssh_key", ssh.hex()), ("hex_ssh_key", private.hex()), ("hex_der", wrapped(KEY.hex(), 60)), ("hex_der", KEY.hex().upper())]
+    for kind, body in cases:
+        for before, after in (("é ", " z"), ("é\n", "\n\nend"), ("key: ", "")):
+            assert secrets.confirmed_spans(before + body + after) == [(len(before), len(before) + len(body), kind)], (kind, body)
+    for body in (plain(KEY).decode().rstrip("="), wrapped(plain(KEY).decode().rstrip("="), 64)):
+        for before, after in (("path/", ""), ("some/other/path/of/", "\nword"), ("", "\nprose follows")):
+            assert secrets.confirmed_spans(before + body + after) == [(len(before), len(before) + len(body), "der")], (before, body)
+    noise = random.Random(1).randbytes(200_000)
+    assert secrets.confirmed_spans(wrapped(plain(noise).decode(), 76)) == [] and secrets.confirmed_spans(noise.hex()) == []
+
+
 # ------------------------------------------------------------------------------------------------ quality
 
 
