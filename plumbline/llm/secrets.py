@@ -1,11 +1,21 @@
 """Secret scan with structural confirmation.
 
 Three plain patterns give the base spans. The method adds spans of encoded material, reported only where decoding proves
-the structure: base64 or hex candidates must decode to a DER tree whose nested lengths fill the value exactly, or to a key
-encoding with length-prefixed fields, be they wrapped in lines, in either base64 alphabet, or beside other letters of it; a signed token must carry a JSON header naming an algorithm and a JSON payload.
+the structure of something secret:
+
+- DER (base64 of either alphabet, or hex): one SEQUENCE of the shape of a private key (PKCS#8, its encrypted form, PKCS#1,
+  SEC 1, DSA) whose elements' nested lengths fill it exactly; public keys and certificates have other shapes;
+- an OpenSSH private key: magic, length-prefixed fields, public keys with a type, equal check numbers where unencrypted;
+- an armour around one of these, around a legacy encrypted body, or around an OpenPGP secret-key packet;
+- base64 of a text that holds such an armour;
+- a signed token: a JSON header that names an algorithm and a JSON payload.
+
+Encoded keys are found wrapped in lines (also escaped or indented), beside other letters of the alphabet, padded or not.
+Candidates are checked by hopping over element lengths, so a text costs time in proportion to its length.
 
 Spans are code-point offsets, end exclusive. Null and empty texts have no spans. The scan is one pass over each whole
-text, without a shuffle; repeated rows give repeated results and an empty table gives none.
+text, without a shuffle. Null ids stay null, repeated rows give repeated results and an empty table gives none. `scan`
+reads the id and text columns alone; `redact_documents` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,23 +38,23 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ of 24 characters or more: a run begins where it first can
 #: Kinds in the order in which equal starts are listed: the base, then what the method adds.
-KINDS = ("assign", "access", "hex", "private_key", "der", "ssh_key", "signed_token", "hex_der", "hex_ssh_key")
+KINDS = ("assign", "access", "hex", "private_key", "der", "ssh_key", "signed_token", "hex_der", "hex_ssh_key", "nested_key")
 
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,.-]{16,}?)-----END \1-----")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?)-----")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-LONG_HEX = re.compile(r"[0-9a-fA-F]{48,}")
 #: Base64 or hex over one line or more, of either base64 alphabet, and what parts the lines (also escaped).
 BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
 BASE64_LINES = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+)*")
 HEX_LINES = re.compile(rf"[0-9a-fA-F]{{16,}}(?:{BREAK.pattern}[0-9a-fA-F]+)*")
-#: Where a SEQUENCE, a key type after its length, or the magic can begin.
-BASE64_KEY = re.compile(r"M(?=[A-P])|AAAA(?=[A-Z][A-Za-z0-9](?:NzaC1|VjZHNhLXNoYTIt|NrL))|b3BlbnNzaC1rZXktdjEA")
-HEX_KEY = re.compile(r"30(?=[1-8])|000000(?=..(?:7373682d|65636473612d736861322d|736b2d))|6f70656e7373682d6b65792d763100")
+#: Where a SEQUENCE, the OpenSSH magic or "-----BEGIN" can begin.
+BASE64_KEY = re.compile(r"M(?=[A-P])|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi")
+HEX_KEY = re.compile(r"30(?=[1-8])|6f70656e7373682d6b65792d763100")
 _PLAIN = str.maketrans("-_", "+/")
 MAGIC = b"openssh-key-v1\0"
-#: Fields of a public key by the beginning of its type.
-SSH_FIELDS = ((b"ssh-rsa", 3), (b"ssh-dss", 5), (b"ssh-ed25519", 2), (b"ecdsa-sha2-nistp", 3), (b"sk-ssh-ed25519@", 3), (b"sk-ecdsa-sha2-nistp256@", 4))
+#: Beginnings of the object identifiers of password-based encryption (PKCS#5 and PKCS#12). Fixed values.
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+#: First bytes of an OpenPGP packet that holds a secret key, in the old and the new format. Fixed values.
+PGP_SECRET = (0x94, 0x95, 0x96, 0xC5)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -58,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def decode_base64(text: str) -> bytes | None:
     """Bytes of a base64 or base64url text, padded or not; None where it is neither."""
-    body = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    body = re.sub(r"\s", "", text).rstrip("=").translate(_PLAIN)
     if len(body) % 4 == 1:
         return None
     try:
@@ -67,144 +77,216 @@ def decode_base64(text: str) -> bytes | None:
         return None
 
 
-def der_element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+# ------------------------------------------------------------------------------------------------- encoded runs
+
+
+class Encoded:
+    """Bytes that a run of encoded characters stands for from one place on, decoded only where they are looked at."""
+
+    def __init__(self, run: str, at: int, hexadecimal: bool) -> None:
+        self.run, self.at, self.hexadecimal = run, at, hexadecimal
+        left = len(run) - at
+        self.size = left // 2 if hexadecimal else left * 3 // 4
+
+    def chars(self, size: int) -> int:
+        """Characters that encode so many bytes."""
+        return 2 * size if self.hexadecimal else -(-size * 4 // 3)
+
+    def read(self, begin: int, end: int) -> bytes:
+        end = min(end, self.size)
+        if begin >= end:
+            return b""
+        if self.hexadecimal:
+            return bytes.fromhex(self.run[self.at + 2 * begin : self.at + 2 * end])
+        first = begin // 3
+        chunk = self.run[self.at + 4 * first : self.at + self.chars(end)]
+        return base64.b64decode(chunk + "=" * (-len(chunk) % 4))[begin - 3 * first : end - 3 * first]
+
+
+class Plain(Encoded):
+    """The same over bytes."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.size = data, len(data)
+
+    def read(self, begin: int, end: int) -> bytes:
+        return self.data[begin:end]
+
+
+def der_element(source: Encoded, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, start of value, end of value) of the element at a place, within `end`."""
-    if at + 2 > end:
+    head = source.read(at, min(at + 6, end))
+    if len(head) < 2:
         return None
-    tag, first = data[at], data[at + 1]
-    at += 2
-    if first < 0x80:
-        length = first
-    else:
-        n = first & 0x7F
-        if not 1 <= n <= 4 or at + n > end or data[at] == 0:
+    length, begin = head[1], at + 2
+    if length & 0x80:
+        n = length & 0x7F
+        if not 1 <= n <= 4 or len(head) < 2 + n or head[2] == 0:
             return None
-        length = int.from_bytes(data[at : at + n], "big")
-        at += n
+        length, begin = int.from_bytes(head[2 : 2 + n], "big"), begin + n
         if length < 0x80:
             return None
-    return (tag, at, at + length) if at + length <= end else None
+    return (head[0], begin, begin + length) if begin + length <= end else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE over all bytes, of two elements or more whose nested lengths fill their parents, with an INTEGER
-    or object identifier in it as every key encoding has."""
-    top = der_element(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
-        return False
-    waiting, seen, first = [(top[1], top[2], 0)], set(), 0
-    while waiting:
-        at, end, depth = waiting.pop()
-        while at < end:
-            element = der_element(data, at, end)
-            if element is None:
-                return False
-            tag, begin, at = element
-            seen.add(tag)
-            first += depth == 0
-            if tag & 0x20:
-                if depth >= 12:
-                    return False
-                waiting.append((begin, at, depth + 1))
-            elif tag in (2, 6) and begin == at:
-                return False
-    return first >= 2 and bool(seen & {2, 6})
-
-
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or length-prefixed fields that begin with a key type and fill the value."""
-    if data.startswith(MAGIC):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        length = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + length > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + length])
-        at += 4 + length
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
+def der_children(source: Encoded, at: int, end: int, most: int = 16) -> list[tuple[int, int, int]] | None:
+    """The elements that fill a value, at most so many; None where they don't fill it."""
+    found = []
+    while at < end and len(found) < most:
+        element = der_element(source, at, end)
+        if element is None:
+            return None
+        found.append(element)
+        at = element[2]
+    return found if at == end else None
 
 
-def fields_end(data: bytes, at: int, count: int) -> int | None:
-    """Where so many length-prefixed fields end; None where the data end before."""
-    for _ in range(count):
-        if at + 4 > len(data):
+def der_key_end(source: Encoded) -> int | None:
+    """Where the private key that begins here ends; None where none begins."""
+    top = der_element(source, 0, source.size)
+    if top is None or top[0] != 0x30:
+        return None
+    parts = der_children(source, top[1], top[2])
+    if not parts or any(tag == 2 and begin == end for tag, begin, end in parts):
+        return None
+    tags = [p[0] for p in parts]
+    version = source.read(parts[0][1], parts[0][2])[:2] if tags[0] == 2 and parts[0][2] - parts[0][1] == 1 else None
+    known = version in (b"\0", b"\1")
+    inner = next((der_children(source, b, e) for tag, b, e in parts if tag == 0x30), None)
+    named = bool(inner) and inner[0][0] == 6 and inner[0][2] > inner[0][1]
+    pkcs8 = known and tags[1:3] == [0x30, 4] and named and set(tags[3:]) <= {0xA0, 0xA1, 0x81}
+    rsa = known and tags[:9] == [2] * 9 and tags[9:] in ([], [0x30])
+    dsa = version == b"\0" and tags == [2] * 6
+    sec1 = version == b"\1" and tags[1:2] == [4] and len(tags) <= 4 and set(tags[2:]) <= {0xA0, 0xA1}
+    locked = tags == [0x30, 4] and named and len(inner) == 2 and source.read(inner[0][1], inner[0][2]).startswith(ENCRYPTION)
+    return top[2] if pkcs8 or rsa or dsa or sec1 or locked else None
+
+
+def ssh_field(source: Encoded, at: int) -> tuple[int, int] | None:
+    """(start, end) of the length-prefixed field at a place."""
+    head = source.read(at, at + 4)
+    end = at + 4 + int.from_bytes(head, "big")
+    return (at + 4, end) if len(head) == 4 and end <= source.size else None
+
+
+def ssh_key_end(source: Encoded) -> int | None:
+    """Where the OpenSSH private key that begins here ends; None where its fields don't parse to the end."""
+    at = len(MAGIC)
+    if source.read(0, at) != MAGIC:
+        return None
+    cipher = b""
+    for k in range(3):  # cipher, key derivation, its options
+        field = ssh_field(source, at)
+        if field is None:
             return None
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at if at <= len(data) else None
-
-
-def ssh_end(data: bytes) -> int | None:
-    """Where the key at the beginning of the data ends, whatever follows it; an OpenSSH private key that is cut takes all."""
-    if data.startswith(MAGIC):
-        at = fields_end(data, len(MAGIC), 3)
-        keys = int.from_bytes(data[at : at + 4], "big") if at is not None else 0
-        return (fields_end(data, at + 4, keys + 1) if 0 < keys < 100 else None) or len(data)
-    name = data[4 : 4 + int.from_bytes(data[:4], "big")]
-    count = next((n for kind, n in SSH_FIELDS if name.startswith(kind) and b"-cert-" not in name), 0)
-    if count:
-        return fields_end(data, 0, count)
-    return len(data) if is_ssh_key(data) else None
-
-
-def der_size(head: bytes) -> int | None:
-    """Bytes of the SEQUENCE that begins here, if an INTEGER or a SEQUENCE comes first in it as in every key encoding."""
-    top = der_element(head, 0, 1 << 33) if len(head) > 6 else None
-    return top[2] if top and top[0] == 0x30 and top[1] < len(head) and head[top[1]] in (0x02, 0x30) else None
-
-
-def keys_in(run: str, begins: re.Pattern, decode: Callable[[str], bytes | None], chars: Callable[[int], int]) -> Iterator[tuple[int, int, bool]]:
-    """(begin, end, whether it is SSH's) of the keys in a run of encoded characters; chars: how many encode so many bytes."""
-    done = 0
-    for m in begins.finditer(run):
-        at = m.start()
-        if at < done:
-            continue
-        if len(m[0]) > 2:
-            data = decode(run[at:]) or b""
-            size = ssh_end(data)
-        else:
-            size = der_size(decode(run[at : at + 24]) or b"")
-            if size is None or size < 30 or at + chars(size) > len(run):
-                continue
-            data = decode(run[at : at + chars(size)])
-            if data is None or not is_der_key(data):
-                continue
-        if size:
-            done = min(len(run), at + chars(size))
-            yield at, done, len(m[0]) > 2
+        if k < 2:
+            name = source.read(*field)
+            if not name or len(name) > 64 or not name.isascii() or not name.decode().isprintable():
+                return None
+            cipher = cipher or name
+        at = field[1]
+    count = int.from_bytes(source.read(at, at + 4), "big")
+    at += 4
+    if not 1 <= count <= 64:
+        return None
+    for _ in range(count):  # public keys, each beginning with its type
+        field = ssh_field(source, at)
+        kind = ssh_field(source, field[0]) if field else None
+        if kind is None or kind[1] > field[1] or not source.read(*kind).startswith((b"ssh-", b"ecdsa-sha2-", b"sk-")):
+            return None
+        at = field[1]
+    field = ssh_field(source, at)
+    if field is None or field[1] - field[0] < 8:
+        return None
+    check = source.read(field[0], field[0] + 8)
+    return field[1] if cipher != b"none" or check[:4] == check[4:] else None
+
+
+def private_key_end(source: Encoded) -> int | None:
+    """Where the private key that begins here ends, of either kind."""
+    return ssh_key_end(source) if source.read(0, 4) == MAGIC[:4] else der_key_end(source)
+
+
+# ------------------------------------------------------------------------------------------------- armours
+
+
+def armours(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of each END mark with the nearest BEGIN mark before it, if that has the same label."""
+    begun = None
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun is not None:
+            if begun[2] == m[2]:
+                yield begun.start(), m.end(), m[2], text[begun.end() : m.start()]
+            begun = None
+
+
+def is_armoured_key(label: str, body: str) -> bool:
+    """Whether what an armour holds decodes to a private key."""
+    lines = [x.strip() for x in body.replace("\\r", "").replace("\\n", "\n").split("\n")]
+    headers = dict(x.split(":", 1) for x in lines if ":" in x)
+    raw = decode_base64("".join(x for x in lines if ":" not in x and not x.startswith("=")))
+    if not raw:
+        return False
+    if label.endswith("BLOCK"):
+        return raw[0] in PGP_SECRET
+    if "ENCRYPTED" in headers.get("Proc-Type", ""):  # the legacy form: whole cipher blocks and their initial vector
+        vector = headers.get("DEK-Info", "").partition(",")[2].strip()
+        return re.fullmatch(r"[0-9A-Fa-f]{16}|[0-9A-Fa-f]{32}", vector) is not None and len(raw) % (len(vector) // 2) == 0
+    return private_key_end(Plain(raw)) == len(raw)
+
+
+def armour_in(data: bytes) -> int | None:
+    """Where the first armoured private key in a text's bytes ends."""
+    text = data.decode("latin-1")
+    return next((end for _, end, label, body in armours(text) if is_armoured_key(label, body)), None)
+
+
+# ------------------------------------------------------------------------------------------------- candidates
 
 
 def joined(text: str, lines: re.Pattern) -> Iterator[tuple[str, list[int], list[int]]]:
     """(characters without line breaks, where each line begins in them, and in the text) of encoded runs."""
     for m in lines.finditer(text):
-        parts, inner, outer, at = [], [], [], 0
+        parts, inner, outer, at, size = [], [], [], 0, 0
         for part in [*BREAK.finditer(m[0]), None]:
             stop = part.start() if part else len(m[0])
-            inner.append(sum(map(len, parts[-1:])) + (inner[-1] if inner else 0))
+            inner.append(size)
             outer.append(m.start() + at)
             parts.append(m[0][at:stop])
+            size += stop - at
             at = part.end() if part else at
         yield "".join(parts), inner, outer
 
 
-def embedded_spans(text: str) -> Iterator[tuple[int, int, str]]:
-    """Keys that lines break, that other letters precede or follow, or in the url alphabet or hex."""
-    ways = (
-        (BASE64_LINES, BASE64_KEY, lambda x: decode_base64(x[: len(x) - (len(x) % 4 == 1)]), lambda n: -(-n * 4 // 3), ("der", "ssh_key")),
-        (HEX_LINES, HEX_KEY, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]), lambda n: 2 * n, ("hex_der", "hex_ssh_key")),
-    )
-    for lines, begins, decode, chars, kinds in ways:
+def encoded_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Private keys in base64 or hex."""
+    ways = ((BASE64_LINES, BASE64_KEY, False, ("der", "ssh_key", "nested_key")), (HEX_LINES, HEX_KEY, True, ("hex_der", "hex_ssh_key", "")))
+    for lines, begins, hexadecimal, kinds in ways:
         for run, inner, outer in joined(text, lines):
             if len(run) < 40:
                 continue
-            run = run.lower() if lines is HEX_LINES else run.translate(_PLAIN)
-            for begin, end, ssh in keys_in(run, begins, decode, chars):
-                a, b = bisect_right(inner, begin) - 1, bisect_right(inner, end - 1) - 1
-                stop = outer[b] + end - inner[b]
-                if lines is BASE64_LINES:
+            run = run.lower() if hexadecimal else run.translate(_PLAIN)
+            done = 0
+            for m in begins.finditer(run):
+                if m.start() < done:
+                    continue
+                source = Encoded(run, m.start(), hexadecimal)
+                which = 0 if len(m[0]) <= 2 else 1 if len(m[0]) > 14 else 2
+                if which == 2:
+                    size = armour_in(source.read(0, source.size))
+                    done = done if size else len(run)  # it was searched to its end
+                else:
+                    size = ssh_key_end(source) if which else der_key_end(source)
+                if not size:
+                    continue
+                done = min(len(run), m.start() + source.chars(size))
+                a, b = bisect_right(inner, m.start()) - 1, bisect_right(inner, done - 1) - 1
+                stop = outer[b] + done - inner[b]
+                if not hexadecimal:
                     stop += len(re.match("={0,2}", text[stop : stop + 2])[0])
-                yield outer[a] + begin - inner[a], stop, kinds[ssh]
+                yield outer[a] + m.start() - inner[a], stop, kinds[which]
 
 
 def is_signed_token(text: str) -> bool:
@@ -221,33 +303,18 @@ def is_signed_token(text: str) -> bool:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """What the structure of decoded candidates confirms, leftmost first; base64 inside an armour or a token counts there."""
-    found: list[tuple[int, int, str]] = []
-    if "PRIVATE KEY-----" in text:
-        for m in ARMOUR.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2].replace("\\n", "\n"))
-            raw = decode_base64(body)
-            if raw is not None and (is_der_key(raw) or is_ssh_key(raw) or "ENCRYPTED" in m[1] + m[2]):
-                found.append((m.start(), m.end(), "private_key"))
+    """What the structure of decoded candidates confirms; what lies inside an armour or a token counts there."""
+    found = [(start, end, "private_key") for start, end, label, body in armours(text) if is_armoured_key(label, body)] if "PRIVATE KEY" in text else []
     if ("ey" in text or "ew" in text) and "." in text:
         found += [(m.start(), m.end(), "signed_token") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
-    whole: list[tuple[int, int, str]] = []  # one line that is all key
-    for m in BASE64_RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in found):
-            continue
-        if m[0].startswith("M") or m[0].startswith("AAAA") or m[0].startswith("b3BlbnNzaC"):  # SEQUENCE, a short length, or the magic
-            raw = decode_base64(m[0])
-            if raw is not None and is_der_key(raw):
-                whole.append((m.start(), m.end(), "der"))
-            elif raw is not None and is_ssh_key(raw):
-                whole.append((m.start(), m.end(), "ssh_key"))
-    for m in LONG_HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            whole.append((m.start(), m.end(), "hex_der"))
-    parts = [x for x in embedded_spans(text) if not any(s < x[1] and x[0] < e for s, e, _ in found)]
-    whole = [x for x in whole if not any(s <= x[0] and x[1] <= e for s, e, _ in parts)]
-    found += whole + [x for x in parts if not any(s <= x[0] and x[1] <= e for s, e, _ in whole)]
-    return found
+    found.sort()
+    begins = [s for s, _, _ in found]
+
+    def inside(start: int, end: int) -> bool:
+        k = bisect_right(begins, end - 1) - 1  # armours and tokens don't overlap: only the last that begins before can
+        return k >= 0 and found[k][1] > start
+
+    return found + [x for x in encoded_spans(text) if not inside(x[0], x[1])]
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
