@@ -36,7 +36,7 @@ from plumbline.session import settle, ship_package
 #: on the histogram, and the plan with the fewest sequences is taken.
 SCHEMES = ((250, 4), (250, 3))
 #: Pieces whose ranks are computed together.
-RANK_BUCKET = 4_000
+RANK_BUCKET = 500
 #: Buckets up to this number have their sizes broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -137,12 +137,17 @@ def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> t
     return float(worth @ counts), counts
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = 600) -> list[tuple[np.ndarray, float]]:
-    """Fractional optimum of "cover the demand by configurations": (configuration, how many) with few of them."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Fractional optimum of "cover the demand by configurations": (configuration, how many) with few of them, and a
+    lower bound of how many any cover takes (Farley's, from the duals), which they meet.
+
+    Pivots go on until no configuration improves. Demands are moved apart by a billionth, so that no pivot is degenerate:
+    each one gains and the search ends.
+    """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
-    amount = demand / np.diag(basis)
-    for _ in range(steps):
+    amount = demand * (1 + 1e-9 * (np.arange(1, m + 1) * 0.6180339887498949 % 1)) / np.diag(basis)
+    while True:
         worth = np.maximum(np.linalg.solve(basis.T, np.ones(m)), 0)
         gain, column = best_configuration(sizes, worth, capacity)
         if gain <= 1 + 1e-7:
@@ -154,10 +159,13 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps:
         ratios = np.where(usable, amount / np.where(usable, direction, 1), np.inf)
         leave = int(ratios.argmin())
         step = ratios[leave]
+        if step <= 0:
+            break
         amount = np.maximum(amount - step * direction, 0)
         amount[leave] = step
         basis[:, leave] = column
-    return [(basis[:, k].round().astype(np.int64), float(amount[k])) for k in range(m) if amount[k] > 1e-9]
+    chosen = [(basis[:, k].round().astype(np.int64), float(amount[k])) for k in range(m) if amount[k] > 1e-9]
+    return chosen, float(worth @ demand) / max(gain, 1.0)
 
 
 def place_large(histogram: dict[int, int], capacity: int, groups: int) -> list[Run]:
@@ -170,7 +178,7 @@ def place_large(histogram: dict[int, int], capacity: int, groups: int) -> list[R
     stock = [[list(x) for x in g] for g in dealt]
     left = demand.copy()
     runs: list[Run] = []
-    chosen = configurations(sizes, demand.astype(float), capacity)
+    chosen, _ = configurations(sizes, demand.astype(float), capacity)
     for column, amount in sorted(chosen, key=lambda x: -x[1]):
         count = int(amount + 1e-6)
         if not column.sum():

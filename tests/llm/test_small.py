@@ -124,6 +124,28 @@ def test_plans_are_near_the_bound(kind):
     assert ranks == histogram
 
 
+@pytest.mark.parametrize("kind", range(3))
+def test_configurations_meet_the_bound(kind):
+    """The fractional plan is optimal, and the whole plan is near the bound of the full histogram of lengths."""
+    rng = np.random.default_rng(kind)
+    n = 20_000
+    lengths = [rng.integers(1, 2049, n), np.minimum(2048, rng.lognormal(6, 1, n).astype(int) + 1), rng.integers(600, 1100, n)][kind]
+    histogram = {int(k): int(c) for k, c in zip(*np.unique(lengths, return_counts=True))}
+    for groups, share in ((80, 4), (80, 3)):
+        dealt = packing.group_lengths({k: c for k, c in histogram.items() if k > 2048 // share}, groups)
+        sizes, demand = np.array([g[0][0] for g in dealt]), np.array([float(sum(c for _, c in g)) for g in dealt])
+        chosen, bound = packing.configurations(sizes, demand, 2048)
+        assert all(sizes @ column <= 2048 for column, _ in chosen)
+        assert (sum(column * amount for column, amount in chosen) >= demand * (1 - 1e-6)).all()
+        assert bound <= sum(amount for _, amount in chosen) <= bound * (1 + 1e-5)
+    # rounding down the sizes of 60 groups gives a bound that the whole plan is near
+    dealt = packing.group_lengths({k: c for k, c in histogram.items() if k > 2048 // 3}, 60)
+    _, least = packing.configurations(np.array([g[-1][0] for g in dealt]), np.array([float(sum(c for _, c in g)) for g in dealt]), 2048)
+    used = sum(r.count for r in packing.plan_sequences(histogram, 2048))
+    print(f"sequences {used}, least {max(least, lengths.sum() / 2048):.0f}")
+    assert used <= (1.02, 1.02, 1.08)[kind] * max(least, lengths.sum() / 2048)
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 31, 32])
 def test_bit_packing_round_trip(bits):
     rng = np.random.default_rng(bits)
