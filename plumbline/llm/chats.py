@@ -6,8 +6,10 @@ another one is a snapshot of it and goes by an anti-join; equal conversations le
 
 Turns are ordered by number (none: last), then role, then the text's MD5. Rows that repeat a turn count once. Null roles
 and texts are empty; rows without a conversation id are left out; an empty table gives none; other columns don't matter.
-Places and running hashes are computed in blocks of turns and then across a conversation's blocks, and rendered text comes
-in parts of `PART_TURNS` turns, so a conversation of any length is never gathered in one row or task.
+Places and running hashes are computed in blocks of turns and then across a conversation's blocks. Blocks are stretches of
+turn numbers; where many turns share one number (or have none) a block is parted by number, role and the beginning of the
+text's MD5, which keeps the order. Rendered text comes in parts of `PART_TURNS` turns, so a conversation of any length is
+never gathered in one row or task.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from plumbline.session import settle
 
-#: Turn numbers in a block of the running hash.
+#: Turn numbers in a block of the running hash, and the rows beyond which a block is parted further.
 BLOCK_TURNS = 1024
+MOST_ROWS = 4096
 #: Turns rendered into one row.
 PART_TURNS = 256
 LAST = 2**63 - 1
@@ -36,7 +39,10 @@ def numbered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
 def placed_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, digest, pos, total, first, second: places, turns of the conversation, running hashes."""
-    keys = turns.select("conv_id", "turn", "role", F.md5("text").alias("digest")).distinct().withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
+    keys = settle(turns.select("conv_id", "turn", "role", F.md5("text").alias("digest")).distinct().withColumn("span", F.floor(F.col("turn") / BLOCK_TURNS)))
+    crowded = keys.groupBy("conv_id", "span").count().where(F.col("count") > MOST_ROWS).select("conv_id", "span", F.lit(True).alias("crowded"))
+    finer = F.when(F.col("crowded"), F.struct("turn", "role", F.substring("digest", 1, 3).alias("digest")))
+    keys = keys.join(crowded, ["conv_id", "span"], "left").withColumn("block", F.struct("span", finer.alias("finer"))).drop("span", "crowded")
     block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "digest")
     across = Window.partitionBy("conv_id").orderBy("block")
     local = keys.withColumn("local", F.row_number().over(block) - 1)
