@@ -175,18 +175,19 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, words, bounds in hashed_runs(batch.column(1)):
-                codes = [content_codes(words[a:b]) if b > a else (None, None) for a, b in zip(bounds, bounds[1:])]
-                part = batch.slice(begin, len(codes))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([c[k] for c in codes], pa.int64()) for k in range(2))], names=["item", "text", "c1", "c2"])
+                own = [words[a:b] for a, b in zip(bounds, bounds[1:])]
+                codes = [content_codes(w) if len(w) else (None, None) for w in own]
+                ids = batch.column(0).slice(begin, len(own))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([w.tobytes() for w in own], pa.binary()), *(pa.array([c[k] for c in codes], pa.int64()) for k in range(2))], names=["item", "words", "c1", "c2"])
 
     chosen = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
-    rows = chosen.mapInArrow(coded, "item long, text string, c1 long, c2 long").where("c1 IS NOT NULL")
-    distinct = rows.groupBy("c1", "c2").agg(F.min(F.struct("item", "text")).alias("x")).select("x.item", "x.text").orderBy("item", "text")
+    rows = chosen.mapInArrow(coded, "item long, words binary, c1 long, c2 long").where("c1 IS NOT NULL")
+    distinct = rows.groupBy("c1", "c2").agg(F.min("item").alias("item"), F.first("words").alias("words")).orderBy("item", "c1", "c2")
     held: list[tuple[int, np.ndarray]] = []
     size = 0
     for row in distinct.toLocalIterator():
-        (_, words, _), = hashed_runs(pa.array([row["text"]]))
-        held.append((row["item"], words.copy()))
+        words = np.frombuffer(row["words"], np.uint64)
+        held.append((row["item"], words))
         size += len(words)
         if size >= block_words:
             yield Block(held)
