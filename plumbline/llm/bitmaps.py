@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.trees import fold_vectors
+from plumbline.llm.trees import fold_vectors, vector_batch
 from plumbline.llm.wordsplit import mix
 
 BITS = 1 << 25
@@ -32,13 +32,14 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
         for batch in batches:
             bits[_places(batch.column(0))] = True
         if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["v"])
+            yield vector_batch(np.packbits(bits, bitorder="little"))
 
     found = fold_vectors(ids.mapInArrow(mark, "v binary"), np.uint8, np.bitwise_or)
     return np.zeros(BITS // 8, np.uint8) if found is None else found
 
 
-def _hits(ids: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+def hits(ids: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    """Which ids may be among those of the bitmap."""
     at = _places(ids)
     return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
@@ -50,7 +51,7 @@ def packed_texts(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            kept = np.flatnonzero(_hits(batch.column(0), shared.value))
+            kept = np.flatnonzero(hits(batch.column(0), shared.value))
             if len(kept):
                 packed = [squeeze.compress((batch.column(1)[k].as_py() or "").encode()) for k in kept.tolist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.array(packed, pa.binary())], names=["doc_id", "z"])

@@ -23,7 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.trees import sum_vectors
+from plumbline.llm.bitmaps import bitmap_of, hits
+from plumbline.llm.trees import sum_vectors, vector_batch
 from plumbline.llm.wordsplit import mix, runs, split_words
 from plumbline.session import settle, ship_package
 
@@ -95,11 +96,14 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and x, the statistics of every text."""
+def features(docs: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
+    """doc_id and x, the statistics of every text, or with a bitmap `only` of those whose id may be in it."""
+    chosen = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if chosen.value is not None:
+                batch = batch.filter(pa.array(hits(batch.column(0), chosen.value)))
             for begin, part in runs(batch.column(1)):
                 x = statistics(part)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
@@ -149,7 +153,7 @@ def _vectors(rows: DataFrame, width: int, of: object) -> np.ndarray:
             if batch.num_rows:
                 x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
                 total += of(x, np.asarray(batch.column(1), float))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+        yield vector_batch(total)
 
     found = sum_vectors(rows.select("x", "y").mapInArrow(run, "v binary"), np.float64)
     return np.zeros(width) if found is None else found
@@ -227,9 +231,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """All rows and columns of the documents that the classifier accepts."""
     spark = docs.sparkSession
     ship_package(spark)
-    known = labels.select(F.col("doc_id").cast("long").alias("__labelled")).where("__labelled IS NOT NULL").distinct()
-    labelled = docs.join(known, docs[id_col] == known["__labelled"], "left_semi")
-    model = spark.sparkContext.broadcast(fit(settle(features(labelled, id_col, text_col)), labels))
+    known = bitmap_of(labels.select(F.col("doc_id").cast("long")))  # texts stay where they are: only statistics are joined
+    model = spark.sparkContext.broadcast(fit(settle(features(docs, id_col, text_col, known)), labels))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
