@@ -1,16 +1,18 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF weighted word shingles.
 
-1. Document frequencies of words are counted over all documents in a table of fixed size (words share a counter where
-   their hashes do). A shingle's weight is how often it stands in the text times the mean damped IDF of its words.
-   IDF is taken from the words, not from whole shingles: a shingle's own document frequency would be the size of its
-   group of copies, so the more copies of a text there are, the less its unchanged part would weigh against the edits.
-2. Each document gets `SAMPLES` consistent weighted samples (Ioffe 2010), which agree between two documents with the
+1. Equal word sequences are one class from the start; each is known by the document of the least id.
+2. Document frequencies of shingles are counted over the distinct contents: over all documents first, and what copies of one
+   content added is taken off again. Counts are kept in a table of `COUNTERS` counters (shingles share one where their
+   hashes do; the mean of what others add is taken off), so memory doesn't follow the corpus. A shingle's weight is how
+   often it stands in the text times its IDF, damped: `IDF_FLOOR` of the weight doesn't depend on the IDF. Copies that
+   differ in edits share shingles that are frequent for this very reason; undamped, their edits would outweigh them.
+3. Each class gets `SAMPLES` consistent weighted samples (Ioffe 2010), which agree between two documents with the
    probability of their weighted Jaccard similarity. Bands of `ROWS` samples are hashed; equal bands make candidates.
-3. Equal word sequences are one class from the start. Every class is first compared with one head of its bands: the
-   class that meets most others, and of such the least. In bands that then still hold several components, every pair of
-   members of different components is compared: members are packed in blocks by size and component, pairs of blocks are
-   the unit of work, and a block pair's similarities are matrix products that leave only the links. Nothing is capped.
-4. Every link rests on the exact weighted Jaccard similarity of the whole texts, and links form components.
+4. Every class is first compared with one head of its bands: the class that meets most others, and of such the least. In
+   bands that then still hold several components, every pair of members of different components is compared: members are
+   packed in blocks by size and component, pairs of blocks are the unit of work, and a block pair's similarities are
+   matrix products that leave only the links. Nothing is capped.
+5. Every link rests on the exact weighted Jaccard similarity of the whole texts, and links form components.
 
 Words: runs of characters other than ASCII blanks, lower case, without punctuation at their ends. Fewer than five words
 are one shingle. Texts without words (null, empty) are alike to nothing, not even each other. Rows without an id are left
@@ -26,18 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bitmaps import bitmap_of, packed_texts, unpack_texts
+from plumbline.llm.bitmaps import bitmap_of, hits, packed_texts, unpack_texts
 from plumbline.llm.components import components
-from plumbline.llm.trees import sum_vectors
+from plumbline.llm.skew import join_counted
+from plumbline.llm.trees import packed, sum_vectors, vector_batch
 from plumbline.llm.wordsplit import content_codes, hashed_runs, mix
-from plumbline.session import release, settle, ship_package
+from plumbline.session import settle, ship_package
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLES, ROWS = 64, 4
 #: Counters of document frequency.
-COUNTERS = 1 << 20
-#: Share of a word's weight that does not depend on its IDF.
+COUNTERS = 1 << 21
+#: Share of a shingle's weight that does not depend on its IDF.
 IDF_FLOOR = 0.5
 #: Random draws (r, log c, beta) that hashes choose from.
 DRAWS = 1 << 16
@@ -51,51 +54,54 @@ MULTIPLIERS = _rng.integers(1 << 62, 1 << 63, SAMPLES, dtype=np.uint64) | np.uin
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 
 
-# ------------------------------------------------------------------------------------------------- frequencies
+# ------------------------------------------------------------------------------------------------- shingles
 
 
-def word_weights(texts: DataFrame) -> np.ndarray:
-    """Damped IDF of every counter, from all documents: 0 to 1, float32."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(COUNTERS + 1, np.int64)  # the last one counts documents
-        for batch in batches:
-            for _, hashes, bounds in hashed_runs(batch.column(1)):
-                owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                pairs = np.unique(owner * COUNTERS + (hashes & np.uint64(COUNTERS - 1)).astype(np.int64))
-                totals[:COUNTERS] += np.bincount(pairs % COUNTERS, minlength=COUNTERS)
-                totals[-1] += len(bounds) - 1
-        if totals[-1]:
-            yield pa.RecordBatch.from_arrays([pa.array([totals.tobytes()], pa.binary())], names=["v"])
-
-    totals = sum_vectors(texts.mapInArrow(count, "v binary"))
-    if totals is None:
+def shingle_codes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of documents in the order of their words, and the documents' bounds among them."""
+    sizes = np.diff(bounds)
+    counts = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    place = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], counts)
+    with np.errstate(over="ignore"):
+        n = max(0, len(words) - SHINGLE + 1)
+        code = np.zeros(max(n, len(words)), np.uint64)
+        for k in range(SHINGLE):
+            code[:n] += words[k : k + n] * POWERS[k]
+        code[:n] = mix(code[:n] + np.uint64(SHINGLE))
+        out = code[place] if len(place) else np.zeros(0, np.uint64)
+        for d in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)):
+            width = int(sizes[d])
+            own = (words[bounds[d] : bounds[d + 1]] * POWERS[:width]).sum(dtype=np.uint64)
+            out[ends[d]] = mix(np.array([own + np.uint64(width)], np.uint64))[0]
+    return out, ends
+
+
+def add_frequencies(totals: np.ndarray, codes: np.ndarray, bounds: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Count every document (`times` over) at the counters of its distinct shingles."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    pairs = np.unique(owner * COUNTERS + (codes & np.uint64(COUNTERS - 1)).astype(np.int64))
+    np.add.at(totals, pairs % COUNTERS, 1 if times is None else times[pairs // COUNTERS])
+
+
+def shingle_weights(totals: np.ndarray, n: int) -> np.ndarray:
+    """Damped IDF of every counter among n contents: IDF_FLOOR to 1, float32."""
+    if n < 1:
         return np.ones(COUNTERS, np.float32)
-    n = max(1, int(totals[-1]))
-    idf = np.log((1 + n) / (1 + totals[:COUNTERS])) / np.log(1 + n)
+    others = (totals.sum() - totals) / (COUNTERS - 1)  # what shingles of other hashes add to a counter in the mean
+    idf = np.log((1 + n) / (1 + np.clip(totals - others, 1, n))) / np.log(1 + n)
     return (IDF_FLOOR + (1 - IDF_FLOOR) * np.clip(idf, 0, 1)).astype(np.float32)
 
 
-# ------------------------------------------------------------------------------------------------- one document
+def weighed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of one document and their weights."""
+    distinct, count = np.unique(codes, return_counts=True)
+    return distinct, count * weights[(distinct & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.float64)
 
 
 def shingles_of(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of a document and their weights; words: hashes."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    idf = weights[(words & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.float64)
-    width = min(SHINGLE, n)
-    m = n - width + 1
-    with np.errstate(over="ignore"):
-        code = np.zeros(m, np.uint64)
-        for k in range(width):
-            code += words[k : k + m] * POWERS[k]
-        code = mix(code + np.uint64(width))
-    sums = np.concatenate([[0.0], np.cumsum(idf)])
-    mean = np.round((sums[width:] - sums[:-width]) / width, 6)  # rounded: cumulative sums differ in their last bits
-    distinct, first, count = np.unique(code, return_index=True, return_counts=True)
-    return distinct, count * mean[first]
+    """The same from the hashes of its words."""
+    return weighed(shingle_codes(words, np.array([0, len(words)]))[0], weights)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -136,36 +142,64 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------------------------------------- operator
 
+def survey(texts: DataFrame) -> DataFrame:
+    """doc_id, c1 and c2 (content hashes; null without words) of every document, and from each task a row with `v`: the
+    document frequencies of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for begin, words, bounds in hashed_runs(batch.column(1)):
+                add_frequencies(totals, *shingle_codes(words, bounds))
+                codes = [content_codes(words[a:b]) if b > a else (None, None) for a, b in zip(bounds, bounds[1:])]
+                ids = batch.column(0).slice(begin, len(codes))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([c[k] for c in codes], pa.int64()) for k in range(2)), pa.nulls(len(codes), pa.binary())], names=["doc_id", "c1", "c2", "v"])
+        if totals.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([packed(totals)], pa.binary())], names=["doc_id", "c1", "c2", "v"])
+
+    return texts.mapInArrow(run, "doc_id long, c1 long, c2 long, v binary")
+
+
+def copies_frequencies(texts: DataFrame, copied: DataFrame) -> np.ndarray | None:
+    """What the copies beyond the first of contents (doc_id, c1, n) added to the counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            c1, n = batch.column("c1").to_pylist(), batch.column("n").to_numpy()
+            for begin, words, bounds in hashed_runs(unpack_texts(batch.column("z"))):
+                own = np.array([b > a and content_codes(words[a:b])[0] == c1[begin + k] for k, (a, b) in enumerate(zip(bounds, bounds[1:]))])
+                add_frequencies(totals, *shingle_codes(words, bounds), np.where(own, n[begin : begin + len(own)] - 1, 0))
+        if totals.any():
+            yield vector_batch(totals)
+
+    one = packed_texts(texts, bitmap_of(copied.select("doc_id"))).join(copied, "doc_id").dropDuplicates(["doc_id", "c1", "z"])
+    return sum_vectors(one.select("c1", "n", "z").mapInArrow(run, "v binary"))
+
+
 SKETCH = "doc_id long, c1 long, c2 long, weight double, bands array<long>"
 
 
-def sketch(texts: DataFrame, weights: object) -> DataFrame:
-    """Content hashes, total weight and band hashes of each document; nulls where there are no words."""
+def sketch(texts: DataFrame, weights: object, wanted: np.ndarray) -> DataFrame:
+    """Content hashes, total weight and band hashes of the documents with words whose id may be in the bitmap."""
+    chosen = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(hits(batch.column(0), chosen.value)))
             for begin, words, bounds in hashed_runs(batch.column(1)):
-                n = len(bounds) - 1
-                c1, c2, total = [None] * n, [None] * n, [None] * n
-                codes, logs, sizes, mine = [], [], [], []
-                for k in range(n):
-                    own = words[bounds[k] : bounds[k + 1]]
-                    if not len(own):
-                        continue
-                    c1[k], c2[k] = content_codes(own)
-                    code, weight = shingles_of(own, weights.value)
-                    total[k] = float(weight.sum())
-                    codes.append(code)
-                    logs.append(np.log(weight))
-                    sizes.append(len(code))
-                    mine.append(k)
-                bands: list = [None] * n
-                if mine:
-                    found = bands_of(samples_of(np.concatenate(codes), np.concatenate(logs), np.concatenate([[0], np.cumsum(sizes)])))
-                    for k, row in zip(mine, found, strict=True):
-                        bands[k] = row
-                ids = batch.column(0).slice(begin, n)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(total, pa.float64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "c1", "c2", "weight", "bands"])
+                codes, ends = shingle_codes(words, bounds)
+                mine = np.flatnonzero(np.diff(ends)).tolist()
+                if not mine:
+                    continue
+                own = [weighed(codes[ends[k] : ends[k + 1]], weights.value) for k in mine]
+                content = [content_codes(words[bounds[k] : bounds[k + 1]]) for k in mine]
+                sizes = np.concatenate([[0], np.cumsum([len(c) for c, _ in own])])
+                bands = bands_of(samples_of(np.concatenate([c for c, _ in own]), np.log(np.concatenate([w for _, w in own])), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([begin + k for k in mine])), *(pa.array([c[k] for c in content], pa.int64()) for k in range(2)), pa.array([float(w.sum()) for _, w in own]), pa.array(list(bands), pa.list_(pa.int64()))],
+                    names=["doc_id", "c1", "c2", "weight", "bands"],
+                )
 
     return texts.mapInArrow(run, SKETCH)
 
@@ -263,6 +297,8 @@ def spanning(rows: np.ndarray, cols: np.ndarray, ids_a: list[int], ids_b: list[i
 
 #: Documents in a block, and how many of one component make blocks of their own.
 BLOCK_DOCS = 128
+#: Shingles' weight in a block, about.
+BLOCK_WEIGHT = 200_000
 
 
 def block_links(members: DataFrame, texts: DataFrame, weights: object, least: float) -> DataFrame:
@@ -300,18 +336,25 @@ def block_links(members: DataFrame, texts: DataFrame, weights: object, least: fl
     profiles = settle(needed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(profile, "doc_id long, c1 long, codes binary, values binary").dropDuplicates(["doc_id", "c1"]))
     ratio = float(np.log(1 / least))
     sized = members.withColumn("size", F.floor(F.log("weight") / ratio).cast("int"))
-    counts = sized.groupBy("band", "size", "label").agg(F.count("*").alias("n"))
-    pure = F.when(F.col("n") >= BLOCK_DOCS, F.col("label"))
-    parts = counts.withColumn("pure", pure).groupBy("band", "size", "pure").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS)).drop("n")
-    marked = sized.join(counts.select("band", "size", "label", pure.alias("pure")), ["band", "size", "label"])
-    same_part = (marked["band"] == parts["band"]) & (marked["size"] == parts["size"]) & marked["pure"].eqNullSafe(parts["pure"])
-    dealt = marked.join(parts, same_part).select(marked["band"], marked["size"], marked["pure"], "doc_id", "c1", "label", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
-    blocks = settle(dealt.join(profiles, ["doc_id", "c1"]).groupBy("band", "size", "pure", "block").agg(F.collect_list(F.struct("doc_id", "label", "codes", "values")).alias("rows")))
-    key = F.struct("size", F.coalesce("pure", F.lit(-1).cast("long")), "block")
-    left = blocks.select("band", F.col("size").alias("size_a"), F.col("pure").alias("pure_a"), key.alias("key_a"), F.col("rows").alias("rows_a"))
-    right = blocks.select("band", F.col("size").alias("size_b"), F.col("pure").alias("pure_b"), key.alias("key_b"), F.col("rows").alias("rows_b"))
-    pairs = left.join(right, "band").where("key_a <= key_b AND size_b - size_a <= 1 AND (pure_a IS NULL OR pure_b IS NULL OR pure_a <> pure_b)")
-    return pairs.select("rows_a", "rows_b").mapInArrow(compare, "a long, b long").distinct()
+    labels = sized.groupBy("band", "size", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    # a component of many members makes blocks of its own, which are never compared with one another; -1: the others'
+    labels = settle(labels.withColumn("pure", F.when(F.col("n") >= BLOCK_DOCS, F.col("label")).otherwise(F.lit(-1).cast("long"))))
+    parts = labels.groupBy("band", "size", "pure").agg(F.sum("n").alias("m"), F.sum("w").alias("w"))
+    parts = settle(parts.select("band", "size", "pure", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_WEIGHT)).alias("blocks")))
+    named = labels.join(parts, ["band", "size", "pure"]).select("band", "size", "label", "pure", "blocks", "n")
+    block = F.struct("band", "size", "pure", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
+    dealt = join_counted(sized, named, ["band", "size", "label"]).select("doc_id", "c1", "label", block.alias("key"))
+    blocks = settle(dealt.join(profiles, ["doc_id", "c1"]).groupBy("key").agg(F.collect_list(F.struct("doc_id", "label", "codes", "values")).alias("rows")))
+    # which blocks meet is settled from the small table of parts; the documents follow by the blocks' keys
+    left = parts.select("band", *(F.col(c).alias(f"{c}_a") for c in ("size", "pure", "blocks")))
+    right = parts.select("band", *(F.col(c).alias(f"{c}_b") for c in ("size", "pure", "blocks")))
+    meet = left.join(right, "band").where("(size_b = size_a AND pure_b >= pure_a OR size_b = size_a + 1) AND (pure_a = -1 OR pure_a <> pure_b)")
+    same = (F.col("size_a") == F.col("size_b")) & (F.col("pure_a") == F.col("pure_b"))
+    meet = meet.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_a") - 1)))
+    meet = meet.withColumn("j", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(F.lit(0).cast("long")), F.col("blocks_b") - 1)))
+    pairs = meet.select(*(F.struct("band", F.col(f"size_{s}").alias("size"), F.col(f"pure_{s}").alias("pure"), F.col(k).alias("block")).alias(f"key_{s}") for s, k in (("a", "i"), ("b", "j"))))
+    first, second = (blocks.select(F.col("key").alias(f"key_{s}"), F.col("rows").alias(f"rows_{s}")) for s in "ab")
+    return pairs.join(first, "key_a").join(second, "key_b").select("rows_a", "rows_b").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -319,46 +362,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    weights = spark.sparkContext.broadcast(word_weights(texts))  # COUNTERS numbers, whatever the corpus
-    rows = settle(sketch(texts, weights))
-    classes = settle(rows.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "weight", "bands")).alias("x")).select("c1", "c2", "x.*"))
-    in_bands = classes.select("doc_id", F.explode("bands").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = settle(in_bands.join(shared, "band").join(classes.select("doc_id", "c1", "weight"), "doc_id"))
+    seen = settle(survey(texts))
+    rows = seen.where("v IS NULL").select("doc_id", "c1", "c2")
+    classes = settle(rows.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+    totals = sum_vectors(seen.where("v IS NOT NULL").select("v"))
+    more = copies_frequencies(texts, classes.where("n > 1").select("doc_id", "c1", "n"))
+    totals = np.zeros(COUNTERS, np.int64) if totals is None else totals - (0 if more is None else more)
+    weights = spark.sparkContext.broadcast(shingle_weights(totals, classes.count()))  # COUNTERS numbers, whatever the corpus
+    own = classes.select("doc_id", "c1", "c2")
+    sketches = settle(sketch(texts, weights, bitmap_of(own.select("doc_id"))).join(own, ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"]))
+    in_bands = sketches.select("doc_id", F.explode("bands").alias("band"))
+    shared = settle(in_bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    met = settle(join_counted(in_bands, shared, ["band"]).join(sketches.select("doc_id", "c1", "weight"), "doc_id"))
 
     # every class and one head: the class that meets most others in all its bands together
     hubs = met.groupBy("doc_id").agg(F.sum("n").alias("hub"))
-    scored = met.join(hubs, "doc_id")
-    heads = scored.groupBy("band").agg(F.min(F.struct((-F.col("hub")).alias("rank"), "doc_id", "c1", "weight")).alias("head"))
+    scored = met.drop("n").join(hubs, "doc_id")
+    heads = scored.groupBy("band").agg(F.min(F.struct((-F.col("hub")).alias("rank"), "doc_id", "c1", "weight")).alias("head"), F.count("*").alias("n"))
     size_allows = f"least(weight, head.weight) >= greatest(weight, head.weight) * {least} - 1e-6"
-    stars = scored.join(heads, "band").where("doc_id <> head.doc_id").where(size_allows)
+    stars = join_counted(scored, heads, ["band"]).where("doc_id <> head.doc_id").where(size_allows)
     pairs = settle(stars.groupBy("doc_id", "c1").agg(F.min("head").alias("head")).select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("b"), F.col("c1").alias("ca"), F.col("head.c1").alias("cb")))
-    release(spark)  # the bands' shuffles
     found = components(verify(pairs, texts, weights, least))
-    release(spark)  # the texts' shuffles
 
     def labelled(frame: DataFrame, name: str) -> DataFrame:
         return frame.join(found.select(F.col("vertex").alias("doc_id"), F.col("component").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, "doc_id"))
 
     # every pair of different components in a band
     members = settle(labelled(met.drop("n"), "label"))
-    open_bands = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    inside = settle(members.join(open_bands, "band", "left_semi"))
+    open_bands = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n")
+    inside = settle(join_counted(members, open_bands, ["band"]).drop("n"))
     if inside.limit(1).count():
         more = block_links(inside, texts, weights, least)
         found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more))
 
-    named = labelled(classes.select("c1", "c2", "doc_id"), "class_id").select("c1", "c2", "class_id")
-    result = rows.select("doc_id", "c1", "c2").join(named, ["c1", "c2"], "left")
-    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = labelled(classes.select("c1", "c2", "doc_id", "n"), "class_id").select("c1", "c2", "class_id", "n")
+    known = join_counted(rows.where("c1 IS NOT NULL"), named, ["c1", "c2"]).select("doc_id", "class_id")
+    return known.unionByName(rows.where("c1 IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """All rows and columns of one document (the least id) of each class; of rows that repeat an id one stays, rows
-    without an id all stay."""
+    """All rows and columns of one document (the least id) of each class; of rows that repeat an id the one with the least
+    MD5 of its text stays (of equal texts any), rows without an id all stay."""
     classes = settle(near_duplicates(docs, id_col, text_col, least))
     dropped = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__dropped")).distinct()
     kept = docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
     if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+        one = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*kept.columns), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__row"))
+        kept = one.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))
     return kept

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bitmaps, bitpack, chats, components, decontaminate, hostrules, licences, minhash, packing, quality, secrets, separators, wordtok
+from plumbline.llm import bitmaps, bitpack, chats, components, decontaminate, hostrules, licences, minhash, packing, quality, secrets, separators, skew, wordsplit, wordtok
 from plumbline.llm.flatfiles import new_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -211,13 +211,22 @@ def test_keep_one(docs):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([0, 3, 4, 5, 6, 7, 9, 11, 12, None], key=str)
 
 
-def brute_classes(rows):
+def brute_classes(rows, weighted=False):
+    """Classes by every pair's Jaccard similarity, plain or with shingles weighed by their damped IDF over distinct texts."""
+
     def shingles(t):
         w = [x.strip(".,").lower() for x in t.split()]
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
     own = [shingles(t) for _, t in rows]
+    contents = {t: set(x) for (_, t), x in zip(rows, own)}
+    df = Counter(x for one in contents.values() for x in one)
+    n = len(contents)
+    idf = {x: np.log((1 + n) / (1 + k)) / np.log(1 + n) for x, k in df.items()}
+    weight = [{x: k * (0.5 + 0.5 * idf[x] if weighted else 1.0) for x, k in one.items()} for one in own]
+    total = [sum(w.values()) for w in weight]
     parent = list(range(len(rows)))
+    links = set()
 
     def root(x):
         while parent[x] != x:
@@ -226,10 +235,60 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+            both = sum(min(v, weight[j][x]) for x, v in weight[i].items() if x in weight[j])
+            if both >= 0.8 * (total[i] + total[j] - both):
+                links.add((rows[j][0], rows[i][0]))
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    return [rows[root(i)][0] for i in range(len(rows))]
+    return [rows[root(i)][0] for i in range(len(rows))], links
+
+
+def edited(base, edits, rng):
+    w = list(base)
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"edit{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_production_weights_find_what_brute_force_finds(spark):
+    """Recall of links with the weights of production against all pairs, exact and edited copies among other texts."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(40):
+        base = words(3000 + g, rng.randrange(60, 200))
+        rows += [(len(rows) + k, edited(base, rng.choice([0, 0, 1, 2, 3]), rng)) for k in range(rng.choice([2, 3, 9]))]
+    rows += [(len(rows) + k, " ".join(words(5000 + k, 90))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame).collect()}
+    classes, links = brute_classes(rows, weighted=True)
+    found = sum(got[a] == got[b] for a, b in links) / len(links)
+    print(f"links {len(links)}, found {found:.4f}")
+    assert found >= 0.98 and len(links) > 150
+    true = dict(zip((i for i, _ in rows), classes))
+    assert all(true[i] == true[c] for i, c in got.items())  # no class joins what brute force keeps apart
+
+
+def test_frequencies_are_of_distinct_contents(spark):
+    rows = [(i, "one two three four five six") for i in range(7)] + [(10, "two three four five six seven"), (11, "a b"), (11, "other words of the same id here"), (12, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = minhash.survey(texts).cache()
+    classes = seen.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    from plumbline.llm.trees import sum_vectors
+
+    totals = sum_vectors(seen.where("v IS NOT NULL").select("v")) - minhash.copies_frequencies(texts, classes.where("n > 1").select("doc_id", "c1", "n"))
+    want = np.zeros(minhash.COUNTERS, np.int64)
+    for t in {t for _, t in rows if t}:
+        own = np.array([wordsplit.hash_word(w) for w in t.split()], np.uint64)
+        minhash.add_frequencies(want, *minhash.shingle_codes(own, np.array([0, len(own)])))
+    assert (totals == want).all() and want.max() == 2
+
+
+def test_hot_keys_join_whole(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    monkeypatch.setattr(skew, "MOST_HOT", 2)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 9), (3, 7), (4, 1)) for i in range(n)], "k long, i long")
+    counted = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 3")
+    assert sorted(map(tuple, skew.join_counted(rows, counted, ["k"]).collect())) == sorted((k, i, n) for k, n in ((1, 50), (2, 9), (4, 1)) for i in range(n))
 
 
 def test_large_group_of_edited_copies(spark, monkeypatch):
@@ -247,7 +306,7 @@ def test_large_group_of_edited_copies(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(minhash, "IDF_FLOOR", 1.0)  # plain weights, so that brute force is plain Jaccard
     got = dict(sorted((r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(frame).collect()))
-    assert list(got.values()) == brute_classes(rows)
+    assert list(got.values()) == brute_classes(rows)[0]
 
 
 def test_samples_agree_as_similarity():
@@ -586,7 +645,9 @@ def test_bad_host_loses_clean_documents(spark):
 # ------------------------------------------------------------------------------------------------ chats
 
 
-def test_chats(spark, monkeypatch):
+@pytest.mark.parametrize("most_rows", [4096, 1])
+def test_chats(spark, monkeypatch, most_rows):
+    monkeypatch.setattr(chats, "MOST_ROWS", most_rows)
     monkeypatch.setattr(chats, "BLOCK_TURNS", 2)
     monkeypatch.setattr(chats, "PART_TURNS", 2)
     full = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", None), (None, "last")]
