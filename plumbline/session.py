@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
@@ -27,13 +26,6 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files behind results that are settled: Spark removes them once the driver's garbage is collected,
-    which by itself may come long after the next large shuffle has begun."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Bytes of an Arrow batch sent to Python: rows may be whole books.
 ARROW_BATCH = "8m"
 
