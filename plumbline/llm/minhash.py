@@ -307,20 +307,16 @@ def block_links(members: DataFrame, texts: DataFrame, weights: object, least: fl
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, words, bounds in hashed_runs(unpack_texts(batch.column(1))):
-                ids = batch.column(0).slice(begin, len(bounds) - 1).to_pylist()
-                first, codes, values = [], [], []
-                for k in range(len(ids)):
-                    own = words[bounds[k] : bounds[k + 1]]
-                    code, weight = shingles_of(own, weights.value)
-                    first.append(content_codes(own)[0])
-                    codes.append(code.tobytes())
-                    values.append(weight.astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(codes, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "c1", "codes", "values"])
+                codes, ends = shingle_codes(words, bounds)
+                n = len(bounds) - 1
+                first = [content_codes(words[bounds[k] : bounds[k + 1]])[0] for k in range(n)]
+                own = [codes[ends[k] : ends[k + 1]].tobytes() for k in range(n)]  # their weights are in the table that all tasks have
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(first, pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "c1", "codes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(cell: pa.Scalar) -> tuple[list[int], list[int], list[tuple[np.ndarray, np.ndarray]]]:
             rows = cell.as_py()
-            return [r["doc_id"] for r in rows], [r["label"] for r in rows], [(np.frombuffer(r["codes"], np.uint64), np.frombuffer(r["values"], np.float32).astype(float)) for r in rows]
+            return [r["doc_id"] for r in rows], [r["label"] for r in rows], [weighed(np.frombuffer(r["codes"], np.uint64), weights.value) for r in rows]
 
         for batch in batches:
             found: list[tuple[int, int]] = []
@@ -333,7 +329,7 @@ def block_links(members: DataFrame, texts: DataFrame, weights: object, least: fl
 
     wanted = members.select("doc_id", "c1").distinct()
     needed = packed_texts(texts, bitmap_of(wanted.select("doc_id")))
-    profiles = settle(needed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(profile, "doc_id long, c1 long, codes binary, values binary").dropDuplicates(["doc_id", "c1"]))
+    profiles = settle(needed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(profile, "doc_id long, c1 long, codes binary").dropDuplicates(["doc_id", "c1"]))
     ratio = float(np.log(1 / least))
     sized = members.withColumn("size", F.floor(F.log("weight") / ratio).cast("int"))
     labels = sized.groupBy("band", "size", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
@@ -344,7 +340,7 @@ def block_links(members: DataFrame, texts: DataFrame, weights: object, least: fl
     named = labels.join(parts, ["band", "size", "pure"]).select("band", "size", "label", "pure", "blocks", "n")
     block = F.struct("band", "size", "pure", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
     dealt = join_counted(sized, named, ["band", "size", "label"]).select("doc_id", "c1", "label", block.alias("key"))
-    blocks = settle(dealt.join(profiles, ["doc_id", "c1"]).groupBy("key").agg(F.collect_list(F.struct("doc_id", "label", "codes", "values")).alias("rows")))
+    blocks = settle(dealt.join(profiles, ["doc_id", "c1"]).groupBy("key").agg(F.collect_list(F.struct("doc_id", "label", "codes")).alias("rows")))
     # which blocks meet is settled from the small table of parts; the documents follow by the blocks' keys
     left = parts.select("band", *(F.col(c).alias(f"{c}_a") for c in ("size", "pure", "blocks")))
     right = parts.select("band", *(F.col(c).alias(f"{c}_b") for c in ("size", "pure", "blocks")))
