@@ -1,13 +1,17 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Candidate passages are stretches of whole lines, from one line up to the size of the largest template. A first pass over
-all words counts the bigrams of each line that occur in any template at all; a stretch is compared only if these (and one
-for each line break in it) are enough to reach the threshold, and only with templates of a size that allows it: with sizes
-a and b, Dice is at most 2 min(a, b) / (a + b).
-
-Text is normalised to lower-case runs of letters and digits. The best passage of each licence in a document is reported;
-ties go to the earlier one. Null and empty texts have none; repeated rows give repeated results; an empty table gives
-none; other columns don't matter.
+Text is normalised to lower-case runs of letters and digits; lines and punctuation don't bound a passage. Every window of
+words is a candidate for the templates of a size that allows the threshold: with sizes a and b, Dice is at most
+2 min(a, b) / (a + b). The best window of a template begins and ends with one of its bigrams, for leaving others off only
+helps; so only these are tried, and a start only if the template's bigrams within reach suffice for the threshold and
+for the best window so far. The result is that of trying all windows of all templates.
+
+Templates are short notices and the whole texts of common licences (`licence_texts`). Of a document the best passage of
+each licence is reported: equally good ones give the larger template, then the earlier passage. Of passages of different
+licences that overlap only the best stays (versions of one licence share most of their words).
+
+Null and empty texts have none; null ids stay null; repeated rows give repeated results; an empty table gives none; other
+columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +32,20 @@ from plumbline.session import ship_package
 
 LEAST = 0.8
 WORD = re.compile(r"[^\W_]+")
-MATCH = "doc_id long, licence string, dice double, first_line long, last_line long"
+MATCH = "doc_id long, licence string, dice double, first_word long, end_word long"
+#: Starts that are ruled out together.
+START_BLOCK = 64
+TEXTS = Path(__file__).with_name("licence_texts")
 
-#: Notices and permission texts of common public licences. Fixed values.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+#: Notices of common public licences. Fixed values.
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("Apache-2.0", "This project is licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License v3.0."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -48,8 +56,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -59,10 +65,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
+def templates_of() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of all notices and whole texts, read where the job is planned and sent to the tasks."""
+    return NOTICES + tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt")))
+
+
 def bigrams(text: str) -> Counter:
     """Word bigrams of a normalised text with their numbers."""
     words = WORD.findall(text.lower())
@@ -76,103 +86,97 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Templates:
-    """Templates by size, and the bigrams of all of them."""
-
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> None:
-        self.least = least
-        rows = sorted(((sum(b.values()), name, b) for name, b in ((name, bigrams(text)) for name, text in templates) if b), key=lambda x: x[0])
-        self.sizes = np.array([r[0] for r in rows])
-        self.rows = rows
-        self.words = {w: k for k, w in enumerate(sorted({w for _, _, b in rows for pair in b for w in pair}))}
-        n = len(self.words) + 1
-        self.pairs = np.zeros(n * n, bool)
-        for _, _, b in rows:
-            for x, y in b:
-                self.pairs[self.words[x] * n + self.words[y]] = True
-
-    def matches(self, text: str) -> list[tuple[str, float]]:
-        """(licence, Dice) of the templates that reach the threshold; sizes out of reach aren't compared."""
-        own = bigrams(text)
-        n = sum(own.values())
-        if not n or not len(self.sizes):
-            return []
-        low = np.searchsorted(self.sizes, n * self.least / (2 - self.least) - 1e-9, "left")
-        high = np.searchsorted(self.sizes, n * (2 - self.least) / self.least + 1e-9, "right")
-        found = [(name, dice(own, b)) for _, name, b in self.rows[low:high]]
-        return [(name, d) for name, d in found if d >= self.least - 1e-12]
-
-    def shares(self, lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(bigrams known from templates, words) of each line, in one pass over all words."""
-        plain = pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\p{L}\p{N}]+", " ")
-        plain = pc.utf8_trim(plain, " ")
+    """Templates as numbers of bigrams."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...], least: float = LEAST) -> None:
+        rows = [(name, b) for name, b in ((name, bigrams(text)) for name, text in templates) if b]
+        self.names, self.least, self.share = [n for n, _ in rows], least, least / (2 - least)
+        self.words = {w: k for k, w in enumerate(sorted({w for _, b in rows for pair in b for w in pair}), 1)}  # 0: any other
+        self.codes = np.unique(np.array([self._code(x, y) for _, b in rows for x, y in b], np.int64))
+        self.counts = np.zeros((len(rows), len(self.codes)), np.int32)
+        for k, (_, b) in enumerate(rows):
+            self.counts[k, np.searchsorted(self.codes, [self._code(x, y) for x, y in b])] = list(b.values())
+        self.member = self.counts > 0
+        self.sizes = self.counts.sum(1)
+
+    def _code(self, x: str, y: str) -> int:
+        return self.words[x] * (len(self.words) + 1) + self.words[y]
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words of all texts, bounds of the texts among them)."""
+        plain = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+", " "), " ")
         words = pc.split_pattern(plain, " ")
         bounds = np.asarray(words.offsets.to_numpy(zero_copy_only=False), np.int64)
-        bounds = bounds - bounds[0]
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        n = len(self.words) + 1
-        at = np.fromiter((self.words.get(w, n - 1) for w in distinct), np.int64, len(distinct))[np.asarray(coded.indices.to_numpy(zero_copy_only=False), np.int64)]
-        hit = np.zeros(len(at) + 1, np.int64)
-        if len(at) > 1:
-            hit[1 : len(at)] = self.pairs[at[:-1] * n + at[1:]]
-        sums = np.cumsum(hit)  # sums[i]: known bigrams that end at word i or before
-        first, last = bounds[:-1], bounds[1:] - 1
-        some = last >= first
-        known = np.where(some, sums[np.maximum(last, 0)] - sums[np.where(some, first, 0)], 0)
-        empty = np.asarray(pc.binary_length(plain).to_numpy(zero_copy_only=False)) == 0  # split gives these one empty word
-        return known, np.where(empty, 0, np.diff(bounds))
-
-    def stretches(self, known: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
-        """(first line, end line) of all stretches within a document that could reach the threshold, by lines of all
-        documents; bounds: where each document's lines begin. They begin and end with a line that has words."""
-        found: list[tuple[int, int]] = []
-        if not len(self.sizes) or not len(known):
-            return found
-        share = self.least / (2 - self.least)  # the least share of a passage's bigrams that its template must have
-        least, most = self.sizes[0] * share - 1e-9, self.sizes[-1] / share + 1e-9
-        hits, sizes = np.concatenate([[0], np.cumsum(known)]), np.concatenate([[0], np.cumsum(words)])
-        ends = np.repeat(bounds[1:], np.diff(bounds))
-        first = np.flatnonzero(words > 0)
-        for length in range(1, len(known) + 1):
-            last = first + length
-            ok = last <= ends[first]
-            first, last = first[ok], last[ok]
-            size = sizes[last] - sizes[first] - 1
-            ok = size <= most
-            first, last, size = first[ok], last[ok], size[ok]
-            if not len(first):
+        number = np.fromiter((self.words.get(w, 0) for w in distinct), np.int64, len(distinct))
+        return number[np.asarray(coded.indices.to_numpy(zero_copy_only=False), np.int64)], bounds - bounds[0]
+
+    def passages(self, words: np.ndarray) -> list[tuple[str, float, int, int]]:
+        """(licence, Dice, first word, end word) of one document's numbered words."""
+        code = words[:-1] * (len(self.words) + 1) + words[1:]
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        at = np.flatnonzero(self.codes[place] == code) if len(self.codes) else np.zeros(0, np.int64)
+        if not len(at):
+            return []
+        own = place[at]
+        best: dict[str, tuple[float, int, int, int]] = {}
+        for k in np.flatnonzero(self.member[:, own].sum(1) >= self.share * self.sizes - 1e-9):
+            found = self.best_window(int(k), at, own)
+            if found and (self.names[k] not in best or (-found[0], -self.sizes[k], found[1]) < best[self.names[k]][:3]):
+                best[self.names[k]] = (-found[0], -int(self.sizes[k]), found[1], found[2])
+        kept: list[tuple[str, float, int, int]] = []
+        for name, (value, _, first, end) in sorted(best.items(), key=lambda x: (*x[1], x[0])):
+            if all(end <= a or b <= first for _, _, a, b in kept):
+                kept.append((name, -value, first, end))
+        return sorted(kept, key=lambda x: (x[2], x[0]))
+
+    def best_window(self, k: int, at: np.ndarray, own: np.ndarray) -> tuple[float, int, int] | None:
+        """(Dice, first word, end word) of the best window for template k; at, own: where the document has known bigrams."""
+        mine = self.member[k, own]
+        at, own, size = at[mine], own[mine], int(self.sizes[k])
+        n = len(at)
+        # a bigram counts in a window as often as the template has it: not if so many of its kind precede it in the window
+        order = np.argsort(own, kind="stable")
+        back = np.arange(n) - self.counts[k, own[order]]
+        earlier = np.full(n, -1)
+        same = (back >= 0) & (own[order[np.maximum(back, 0)]] == own[order])
+        earlier[order[same]] = order[back[same]]
+        stop = np.searchsorted(at, at + int(size / self.share + 1e-9), "left")
+        reach = stop - np.arange(n)
+        bound = 2 * reach / (reach + size)
+        for block in range(0, n, START_BLOCK):
+            part = slice(block, min(block + START_BLOCK, n))
+            if (bound[part] >= self.least - 1e-12).any():
+                most = int((earlier[block : stop[part.stop - 1]] < part.stop).sum())  # at least what any start of the block has
+                bound[part] = np.minimum(bound[part], 2 * most / (most + size))
+        starts = np.flatnonzero(bound >= self.least - 1e-12)
+        best: tuple[float, int, int] | None = None
+        for s in starts[np.argsort(-bound[starts], kind="stable")].tolist():
+            if best is not None and bound[s] < best[0]:
                 break
-            good = (size >= least) & (hits[last] - hits[first] + length - 1 >= share * size - 1e-9) & (hits[last] > hits[first]) & (words[last - 1] > 0)
-            found += zip(first[good].tolist(), last[good].tolist())
-        return found
+            shared = np.cumsum(earlier[s : stop[s]] < s)
+            value = 2 * shared / (at[s : stop[s]] - at[s] + 1 + size)
+            e = int(value.argmax())
+            if value[e] >= self.least - 1e-12 and (best is None or (-value[e], at[s]) < (-best[0], best[1])):
+                best = (float(value[e]), int(at[s]), int(at[s + e]) + 2)
+        return best
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] | None = None, least: float = LEAST) -> DataFrame:
     """A row for each licence found in a document."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(Templates(templates_of() if templates is None else templates, least))  # a fixed set of templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Templates(templates, least)
+        table = shared.value
         for batch in batches:
             for begin, part in runs(batch.column(1)):
-                split = pc.split_pattern(part, "\n")
-                bounds = np.asarray(split.offsets.to_numpy(zero_copy_only=False), np.int64)
-                bounds = bounds - bounds[0]
-                lines = split.flatten()
-                known, words = table.shares(lines)
-                best: dict[tuple[int, str], tuple[float, int, int]] = {}
-                for first, end in table.stretches(known, words, bounds):
-                    doc = int(np.searchsorted(bounds, first, "right")) - 1
-                    passage = "\n".join(lines.slice(first, end - first).to_pylist())
-                    for name, value in table.matches(passage):
-                        here = (-value, first - int(bounds[doc]), end - 1 - int(bounds[doc]))
-                        if (doc, name) not in best or here < best[doc, name]:
-                            best[doc, name] = here
-                rows = [(k, name, -value, first, last) for (k, name), (value, first, last) in sorted(best.items())]
-                ids = batch.column(0).take(pa.array([begin + r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())],
-                    names=["doc_id", "licence", "dice", "first_line", "last_line"],
-                )
-
-    ship_package(docs.sparkSession)
+                words, bounds = table.numbered(part)
+                rows = [(begin + k, *x) for k in range(len(part)) for x in table.passages(words[bounds[k] : bounds[k + 1]])]
+                columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))]
+                columns += [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "licence", "dice", "first_word", "end_word"])
+
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, MATCH)
