@@ -1,8 +1,11 @@
 """Token ids in files of fixed-width bit packing, with block offsets for vectorised unpacking and random access.
 
-A file: header; blocks of `BLOCK_IDS` ids, each id in the least number of bits that holds the vocabulary, each block
-beginning on a byte; then the offsets of the blocks, the documents' ids (8 bytes and a null flag) and where each begins.
-All numbers are little-endian, ids fill bits from the lowest.
+A file is a row of segments with a marker after each. A segment: header; blocks of `BLOCK_IDS` ids, each id in the least
+number of bits that holds the vocabulary, each block beginning on a byte; then the offsets of the blocks, the documents' ids
+(8 bytes and a null flag) and where each begins. All numbers are little-endian, ids fill bits from the lowest.
+
+The marker is 128 random bits, drawn for each folder and kept beside the files. It lets readers enter a file anywhere, so a
+file holds all that a task writes (hundreds of megabytes) and is read back in byte ranges, some segments at a time.
 
 Documents are written in ascending id (nulls first; rows that repeat an id follow each other). Null and empty texts hold
 the end id alone. An empty table makes no document. Other columns don't matter.
@@ -11,6 +14,7 @@ the end id alone. An empty table makes no document. Other columns don't matter.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import wordtok
-from plumbline.llm.flatfiles import new_folder, read_files, write_payloads
+from plumbline.llm.flatfiles import empty_folder, new_folder, read_segments, write_payloads
 from plumbline.session import settle, ship_package
 
 MAGIC = b"PLMBIDS1"
 HEADER = struct.Struct("<8sIIQQQQQ")  # magic, bits, ids in a block, documents, ids, place of the index, part, seq
 BLOCK_IDS = 4096
-#: A file is closed when it holds so many ids; a document is never cut.
-FILE_IDS = 1_500_000
+#: A segment is closed when it holds so many ids; a document is never cut.
+SEGMENT_IDS = 1_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -56,8 +60,8 @@ def unpack_ids(data: bytes, bits: int, count: int) -> np.ndarray:
     return ((window >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def build_file(doc_ids: list[int | None], ids: np.ndarray, starts: np.ndarray, bits: int, part: int = 0, seq: int = 0) -> bytes:
-    """One file; starts: where each document begins in ids, and their end."""
+def build_segment(doc_ids: list[int | None], ids: np.ndarray, starts: np.ndarray, bits: int, part: int = 0, seq: int = 0) -> bytes:
+    """One segment; starts: where each document begins in ids, and their end."""
     blocks = [pack_ids(ids[k : k + BLOCK_IDS], bits) for k in range(0, len(ids), BLOCK_IDS)]
     offsets = np.cumsum([HEADER.size, *map(len, blocks)]).astype("<u8")
     keys = np.array([0 if x is None else x for x in doc_ids], "<i8")
@@ -66,14 +70,14 @@ def build_file(doc_ids: list[int | None], ids: np.ndarray, starts: np.ndarray, b
     return b"".join([head, *blocks, offsets.tobytes(), keys.tobytes(), nulls.tobytes(), starts.astype("<u8").tobytes()])
 
 
-class TokenFile:
-    """Random access to a file's content: only the blocks that hold the asked ids are unpacked."""
+class Segment:
+    """Random access to a segment's content: only the blocks that hold the asked ids are unpacked."""
 
     def __init__(self, content: bytes) -> None:
         self.content = content
         magic, self.bits, self.block, self.documents, self.ids, index, self.part, self.seq = HEADER.unpack_from(content)
         if magic != MAGIC:
-            raise ValueError("not a token file")
+            raise ValueError("not a segment of token ids")
         blocks = -(-self.ids // self.block)
         self.offsets = np.frombuffer(content, "<u8", blocks + 1, index)
         index += 8 * (blocks + 1)
@@ -114,7 +118,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         def close() -> pa.RecordBatch:
             nonlocal seq, held
             starts = np.concatenate([[0], np.cumsum(sizes)])
-            payload = build_file(names, np.concatenate(pieces), starts, bits, part, seq)
+            payload = build_segment(names, np.concatenate(pieces), starts, bits, part, seq)
             seq, held = seq + 1, 0
             names.clear(), pieces.clear(), sizes.clear()
             return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], names=["payload"])
@@ -129,7 +133,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                     pieces += [ids[offsets[k] : offsets[k + 1]], tail]
                     sizes.append(int(offsets[k + 1] - offsets[k]) + 1)
                     held += sizes[-1]
-                    if held >= FILE_IDS:
+                    if held >= SEGMENT_IDS:
                         yield close()
         if names:
             yield close()
@@ -137,7 +141,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    write_payloads(ordered.mapInArrow(run, "payload binary"), folder)
+    marker = uuid.uuid4().hex
+    docs.sparkSession.createDataFrame([(marker,)], "value string").write.text(f"{folder}/marker")
+    write_payloads(ordered.mapInArrow(run, "payload binary"), f"{folder}/ids", marker)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +152,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                f = TokenFile(content.as_py())
+                f = Segment(content.as_py())
                 crc = []
                 for low in range(0, f.documents, 256):
                     high = min(f.documents, low + 256)
@@ -159,14 +165,14 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     names=["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"],
                 )
 
-    files = read_files(spark, folder).select("content")
-    rows = settle(files.mapInArrow(run, "part long, seq long, doc_id long, local long, n_tokens long, ids_crc32 long"))
-    by_file = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("ids"))
-    by_part = by_file.groupBy("part").agg(F.sum("ids").alias("part_ids"))
+    marker = spark.read.text(f"{folder}/marker").first()[0]
+    rows = settle(read_segments(spark, f"{folder}/ids", marker).mapInArrow(run, "part long, seq long, doc_id long, local long, n_tokens long, ids_crc32 long"))
+    by_segment = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("ids"))
+    by_part = by_segment.groupBy("part").agg(F.sum("ids").alias("part_ids"))
     parts = by_part.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("part_start"))  # a row for each task that wrote
     in_part = Window.partitionBy("part").orderBy("seq")
-    starts = by_file.join(parts, "part").select("part", "seq", (F.col("part_start") + F.sum("ids").over(in_part) - F.col("ids")).alias("file_start"))
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("file_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    starts = by_segment.join(parts, "part").select("part", "seq", (F.col("part_start") + F.sum("ids").over(in_part) - F.col("ids")).alias("segment_start"))
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("segment_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, **options: object) -> DataFrame:
@@ -175,4 +181,6 @@ def round_trip(docs: DataFrame, **options: object) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     folder = new_folder(docs.sparkSession, "token-files")
     write_token_files(docs, folder, **options)
-    return read_documents(docs.sparkSession, folder)
+    found = read_documents(docs.sparkSession, folder)  # read back and settled
+    empty_folder(docs.sparkSession, folder)
+    return found

@@ -1,11 +1,11 @@
 """Token counts of documents in flat, unindexed token files by a separator scan.
 
-A flat file is nothing but 16-bit little-endian ids; a document ends where the end id stands. Files are cut into blocks;
+A flat file is nothing but 16-bit little-endian numbers: 0 ends a document, any other is a token's id and one. Files are cut into blocks;
 each block is searched for the end id at once (NumPy), which leaves its separators' places. A prefix scan over the blocks
 (sums of ids and separators, the last separator so far) then stitches documents that cross blocks or files. The scan has
 two levels, blocks within a part and parts, so no task sees the rows of all blocks.
 
-Texts are encoded so that the end id never stands for text: special tokens' strings in a text are ordinary characters.
+Special tokens' strings in a text are ordinary characters.
 Null and empty texts are documents of no tokens; what follows the last separator of a part counts as a document where it
 isn't empty. Repeated rows and null ids are documents of their own. Other columns don't matter.
 """
@@ -20,30 +20,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import wordtok
-from plumbline.llm.flatfiles import new_folder, read_files, write_payloads
+from plumbline.llm.flatfiles import empty_folder, new_folder, read_files, write_payloads
 from plumbline.session import settle, ship_package
 
 ID_BYTES = 2
-#: Ids in a file that `write_flat` makes; files end anywhere, also within a document.
-FILE_IDS = 1_000_000
+#: The number that ends a document.
+END = 0
+#: Documents are written in stretches of so many ids or more, and files of so many stretches: 64 MB, as a task reads files whole.
+STRETCH_IDS, FILE_STRETCHES = 1_000_000, 32
 #: Bytes searched at once.
 BLOCK_BYTES = 1 << 18
 #: A document's name in the list beside the token files: whether there is one, and the integer id.
 NAME = np.dtype([("known", "u1"), ("doc_id", "<i8")])
 
 
-def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_token: str = "<|endoftext|>") -> int:
-    """Write kind=tokens (flat files) and kind=names (the documents' ids in the same order); the end id is returned."""
+def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> None:
+    """Write kind=tokens (flat files) and kind=names (the documents' ids in the same order)."""
     path = path or wordtok.vocabulary_path()
-    end_id = wordtok.load(path).library.token_to_id(end_token)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = wordtok.load(path, plain=True)
-        if max(tokens.vocabulary, end_id + 1) > 1 << 8 * ID_BYTES:
+        if tokens.vocabulary + 1 > 1 << 8 * ID_BYTES:
             raise ValueError("the vocabulary does not fit the width of an id")
         held, size, seq = [], 0, 0
         names: list[np.ndarray] = []
-        tail = np.array([end_id], np.uint32)
+        tail = np.array([END], "<u2")
 
         def row(kind: str, number: int, payload: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["kind", "seq", "payload"])
@@ -52,6 +53,7 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
             for at in range(0, batch.num_rows, 4096):
                 piece = batch.slice(at, 4096)
                 ids, offsets = tokens.encode(piece.column(1))
+                ids = (ids + 1).astype("<u2")
                 keys = piece.column(0)
                 own = np.zeros(len(keys), NAME)
                 own["known"] = np.asarray(keys.is_valid().to_numpy(zero_copy_only=False))
@@ -59,23 +61,19 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
                 names.append(own)
                 for k in range(len(keys)):
                     held += [ids[offsets[k] : offsets[k + 1]], tail]
-                size += len(ids) + len(keys)
-                if size >= FILE_IDS:
-                    flat = np.concatenate(held)
-                    while len(flat) >= FILE_IDS:
-                        yield row("tokens", seq, flat[:FILE_IDS].astype("<u2").tobytes())
-                        flat, seq = flat[FILE_IDS:], seq + 1
-                    held, size = [flat], len(flat)
+                    size += int(offsets[k + 1] - offsets[k]) + 1
+                    if size >= STRETCH_IDS:
+                        yield row("tokens", seq, np.concatenate(held[:-1]).tobytes())  # the sink ends it with END
+                        held, size, seq = [], 0, seq + 1
         if size:
-            yield row("tokens", seq, np.concatenate(held).astype("<u2").tobytes())
+            yield row("tokens", seq, np.concatenate(held[:-1]).tobytes())
         if names:
             yield row("names", 0, np.concatenate(names).tobytes())
 
     ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = chosen.mapInArrow(run, "kind string, seq long, payload binary").sortWithinPartitions("kind", "seq")
-    write_payloads(rows, folder, "kind")
-    return end_id
+    write_payloads(rows, folder, chr(END) * ID_BYTES, "kind", FILE_STRETCHES)
 
 
 def separators_in(data: bytes | memoryview, end_id: int) -> np.ndarray:
@@ -134,7 +132,7 @@ def names_of(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for part, content in zip(batch.column("part").to_pylist(), batch.column("content"), strict=True):
                 data = content.as_py()
-                own = np.frombuffer(data, NAME, len(data) // NAME.itemsize)
+                own = np.frombuffer(data, NAME, len(data) // NAME.itemsize)  # the sink's separator is no whole name
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int64)), pa.array(np.arange(len(own))), pa.array(own["doc_id"].copy(), mask=own["known"] == 0)], names=["part", "document", "doc_id"])
 
     return read_files(spark, f"{folder}/kind=names").select("part", "content").mapInArrow(run, "part long, document long, doc_id long")
@@ -146,6 +144,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not docs.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long")
     folder = new_folder(spark, "flat-tokens")
-    end_id = write_flat(docs, folder, id_col, text_col, path)
-    blocks = settle(scan_blocks(read_files(spark, f"{folder}/kind=tokens"), end_id))
-    return documents_of(blocks).join(names_of(spark, folder), ["part", "document"]).select("doc_id", "start", "n_tokens")
+    write_flat(docs, folder, id_col, text_col, path)
+    blocks = settle(scan_blocks(read_files(spark, f"{folder}/kind=tokens"), END))
+    names = settle(names_of(spark, folder))
+    empty_folder(spark, folder)
+    return documents_of(blocks).join(names, ["part", "document"]).select("doc_id", "start", "n_tokens")

@@ -152,7 +152,7 @@ def test_bit_packing_round_trip(bits):
     ids = rng.integers(0, 1 << bits, 9001).astype(np.uint32)
     assert (bitpack.unpack_ids(bitpack.pack_ids(ids, bits), bits, len(ids)) == ids).all()
     starts = np.array([0, 0, 5, 5000, 9001])
-    f = bitpack.TokenFile(bitpack.build_file([3, None, 4, 9], ids, starts, bits) + b"\n")
+    f = bitpack.Segment(bitpack.build_segment([3, None, 4, 9], ids, starts, bits) + b"marker")
     assert all((f.document(k) == ids[starts[k] : starts[k + 1]]).all() for k in range(4))
     assert (f.read(4090, 4100) == ids[4090:4100]).all() and f.nulls.tolist() == [False, True, False, False]
     with pytest.raises(IndexError):
@@ -163,8 +163,35 @@ def test_bits_for():
     assert [bitpack.bits_for(n) for n in (1, 2, 3, 256, 257, 49_408)] == [1, 1, 2, 8, 9, 16]
 
 
+def test_files_follow_tasks_and_are_read_in_ranges(spark, docs, tmp_path, monkeypatch):
+    """However many segments a task writes they are one file, and ranges far smaller than a file give the same rows."""
+    monkeypatch.setattr(bitpack, "SEGMENT_IDS", 50)
+    many = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100))
+    folder = str(tmp_path / "ids")
+    bitpack.write_token_files(many, folder)
+    files = list((tmp_path / "ids" / "ids").glob("part-*"))
+    whole = sorted(map(tuple, bitpack.read_documents(spark, folder).collect()), key=str)
+    marker = "".join(f.read_text() for f in (tmp_path / "ids" / "marker").glob("part-*")).strip()
+    parts = [x for f in files for x in f.read_bytes().split(marker.encode()) if x]
+    assert len(files) <= 4 < len(parts) and sum(bitpack.Segment(x).documents for x in parts) == len(whole) == many.count()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        assert sorted(map(tuple, bitpack.read_documents(spark, folder).collect()), key=str) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_flat_files_hold_many_stretches(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(separators, "STRETCH_IDS", 40)
+    separators.write_flat(docs.coalesce(1), str(tmp_path / "flat"))
+    (file,) = (tmp_path / "flat" / "kind=tokens").glob("part-*")
+    ids = np.frombuffer(file.read_bytes(), "<u2")
+    assert (ids == separators.END).sum() == docs.count() and ids[-1] == separators.END
+
+
 def test_token_files(spark, docs, monkeypatch):
-    monkeypatch.setattr(bitpack, "FILE_IDS", 300)
+    monkeypatch.setattr(bitpack, "SEGMENT_IDS", 300)
     rows = bitpack.round_trip(docs.repartition(3)).orderBy("start").collect()
     start = 0
     want = sorted(texts(), key=lambda x: (x[0] is not None, x[0] or 0))
@@ -668,53 +695,55 @@ def test_chats(spark, monkeypatch, most_rows):
 
 
 def test_licences(spark):
-    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and t.startswith("Permission"))
-    wrapped = "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60)).replace("-\n", "-")
-    cut = mit.split(" ")
-    wrapped = "\n".join(" ".join(cut[i : i + 9]) for i in range(0, len(cut), 9))
+    full = dict(licences.templates_of()[len(licences.NOTICES) :])
+    assert {"MIT", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-3.0", "MPL-2.0"} <= set(full)
+    line = lambda t: " ".join(t.split())
     rows = [
-        (0, "prose here\nLicensed under the Apache License, Version 2.0.\nmore prose"), (1, "RELEASED under the MIT license"), (2, "nothing of the kind"), (3, None), (4, ""), (5, "intro\n\n" + wrapped + "\n\nend"),
-        (6, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (7, "the License the terms the Software " * 2000), (8, "licensed under"), (9, "prose before it\n" + wrapped.replace("\n", "\n\n", 2) + "\nprose after it " * 3), (10, "Licensed under\nthe MIT License."),
+        (0, "prose here\nLicensed under the Apache License, Version 2.0.\nmore prose"), (1, "RELEASED under the MIT license"), (2, "nothing of the kind"), (3, None), (4, ""), (None, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."),
+        (7, "the License the terms the Software " * 2000), (8, "licensed under"), (10, "Licensed under\nthe MIT License."),
+        (11, "Copyright (c) 2020 Jane Doe. All rights reserved. Released under the MIT License. See the file for details."),
+        (12, "This work is licensed under the GNU General Public License, version 3."), (13, "This work is licensed under the GNU General Public License, version 2."),
     ]
-    got = sorted((r["doc_id"], r["licence"], round(r["dice"], 6), r["first_line"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence", F.lit(1))).collect())
-    assert [(i, n) for i, n, _, _ in got] == [(0, "Apache-2.0"), (1, "MIT"), (5, "MIT"), (6, "CC-BY-NC-4.0"), (9, "MIT"), (10, "MIT")]
-    assert got[0][2:] == (1.0, 1) and got[3][3] == 0 and got[2][2:] == (1.0, 2) and got[4][2:] == (1.0, 1) and got[5][2] == 1.0
+    rows += [(100 + k, form) for k, name in enumerate(("MIT", "BSD-3-Clause", "ISC", "Apache-2.0")) for form in (line(full[name]), "\n".join(full[name].split()), f"a line of prose before it {line(full[name])} and prose after it", json.dumps(full[name]))]
+    rows += [(200, full["GPL-3.0"] + "\n\n" + full["MPL-2.0"]), (201, full["BSD-2-Clause"])]
+    got = Counter((r["doc_id"], r["licence"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence", F.lit(1))).collect())
+    want = Counter({(0, "Apache-2.0"): 1, (1, "MIT"): 1, (None, "CC-BY-NC-4.0"): 1, (10, "MIT"): 1, (11, "MIT"): 1, (12, "GPL-3.0"): 1, (13, "GPL-2.0"): 1, (200, "GPL-3.0"): 1, (200, "MPL-2.0"): 1, (201, "BSD-2-Clause"): 1})
+    want.update({(100 + k, name): 4 for k, name in enumerate(("MIT", "BSD-3-Clause", "ISC", "Apache-2.0"))})
+    assert got == want
+    assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_licence_stretches_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_licence_windows_equal_brute_force(monkeypatch, block):
+    """All windows of all templates by counting, for texts of whole, cut and edited templates among other words."""
+    monkeypatch.setattr(licences, "START_BLOCK", block)
     rng = random.Random(3)
-    rows = []
+    some = [(n, t) for n, t in licences.NOTICES if len(t.split()) < 16] + [("rep", "a b a b a c"), ("rep2", "a b a b b a"), ("one", "x y")]
+    table = licences.Templates(some)
+    found = 0
     for i in range(60):
-        parts = [rng.choice(licences.TEMPLATES)[1] if rng.random() < 0.5 else " ".join(words(i, 12)) for _ in range(3)]
-        cut = " ".join(parts).split()
-        for _ in range(rng.randrange(6)):
-            cut[rng.randrange(len(cut))] = "x"
-        rows.append((i, "".join(w + ("\n" if rng.random() < 0.15 else " ") for w in cut)))
-    want = {}
-    for i, text in rows:
-        lines = text.split("\n")
-        for a in range(len(lines)):
-            for b in range(a + 1, min(len(lines), a + 60) + 1):
-                own = licences.bigrams("\n".join(lines[a:b]))
-                for n, t in licences.TEMPLATES:
-                    d = licences.dice(own, licences.bigrams(t)) if abs(sum(own.values()) - len(t.split())) < 80 else 0
-                    if d >= 0.8:
-                        want[i, n] = max(want.get((i, n), 0), round(d, 9))
-    got = {(r["doc_id"], r["licence"]): round(r["dice"], 9) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
-
-
-def test_size_bounds_lose_nothing():
-    table = licences.Templates()
-    rng = random.Random(0)
-    for _ in range(300):
-        name, text = rng.choice(licences.TEMPLATES)
-        w = text.split()
+        cut = " ".join(rng.choice(some)[1] if rng.random() < 0.6 else " ".join(rng.choice("abcxy") for _ in range(8)) for _ in range(3)).split()
         for _ in range(rng.randrange(4)):
-            w.insert(rng.randrange(len(w) + 1), rng.choice(["the", "License", "x", "under"]))
-        own = " ".join(w[rng.randrange(3) :])
-        brute = sorted((n, licences.dice(licences.bigrams(own), licences.bigrams(t))) for n, t in licences.TEMPLATES if licences.dice(licences.bigrams(own), licences.bigrams(t)) >= 0.8)
-        assert sorted(table.matches(own)) == brute
+            cut[rng.randrange(len(cut))] = "x"
+        words = licences.WORD.findall(" ".join(cut).lower())
+        best = {}
+        for name, t in some:
+            own = licences.bigrams(t)
+            size = sum(own.values())
+            for a in range(len(words)):
+                for b in range(a + 2, min(len(words), a + 2 * size + 3) + 1):
+                    d = licences.dice(licences.bigrams(" ".join(words[a:b])), own)
+                    if d >= 0.8 and (name not in best or (-d, -size, a) < best[name][:3]):
+                        best[name] = (-d, -size, a, b)
+        kept = []
+        for name, (d, _, a, b) in sorted(best.items(), key=lambda x: (*x[1], x[0])):
+            if all(b <= p or q <= a for _, _, p, q in kept):
+                kept.append((name, round(-d, 9), a, b))
+        ids, bounds = table.numbered(pa.array([" ".join(cut)], pa.large_string()))
+        got = [(n, round(d, 9), a, b) for n, d, a, b in table.passages(ids)]
+        assert sorted(got) == sorted(kept), cut
+        found += len(kept)
+    assert found > 60
 
 
 def test_flat_folder_is_shared(spark):
