@@ -10,11 +10,12 @@ from dataclasses import asdict, dataclass, field
 from enum import Enum
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import gravity as G
-from plumbline.operators import design, estimation, grids, lines, outliers, restore
+from plumbline.operators import blocks, design, estimation, grids, lines, outliers, restore
 
 
 class Case(Enum):
@@ -58,9 +59,18 @@ class Config:
     split: dict[str, bool] = field(default_factory=dict)
 
 
+def fingerprint(frame: DataFrame | None) -> list[str]:
+    """What tells one table's contents from another's, however they came about: columns and order-free sums of row hashes."""
+    if frame is None:
+        return []
+    row = F.xxhash64(*frame.columns)
+    sums = frame.select(row.alias("h"), F.xxhash64(F.lit(1), *frame.columns).alias("g")).agg(F.count("*"), F.bit_xor("h"), F.sum(F.col("g").cast("decimal(38,0)"))).first()
+    return [frame.schema.simpleString(), *map(str, sums)]
+
+
 class StageCache:
-    """Stages as Parquet under names that hold the settings and inputs they came from: a changed region or resolution never
-    meets an old result. force: stage names (or beginnings of them, or "all") to compute anew."""
+    """Stages as Parquet under names that hold the settings and the contents of the inputs they came from: a changed region,
+    resolution or table never meets an old result. force: stage names (or beginnings of them, or "all") to compute anew."""
 
     def __init__(self, spark: SparkSession, folder: str, force: tuple[str, ...] = ()) -> None:
         self.spark, self.folder, self.force = spark, folder.rstrip("/"), force
@@ -73,16 +83,20 @@ class StageCache:
         """The stage's rows, from its files if they are complete."""
         key = hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]
         path = f"{self.folder}/{stage}-{key}"
-        jvm = self.spark.sparkContext._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        there = done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
-        if there and not self.forced(stage):
+        if self._complete(path) and not self.forced(stage):
             self.log.append((stage, "kept"))
         else:
             make().write.mode("overwrite").parquet(path)
+            self.spark.range(1).write.mode("overwrite").parquet(f"{path}.done")  # last, so that it vouches for the rest
             self.log.append((stage, "made"))
         return self.spark.read.parquet(path)
 
+    def _complete(self, path: str) -> bool:
+        try:
+            return self.spark.read.parquet(f"{path}.done").count() == 1
+        except AnalysisException:  # not there
+            return False
+
     def report(self) -> DataFrame:
         return self.spark.createDataFrame(self.log, "stage string, outcome string")
 
@@ -137,9 +151,13 @@ def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixe
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    observations = cache.get("observations", {"sources": sorted(sources), "split": config.split, "plan": every.semanticHash()}, lambda: every)
-    systems = design.normal_systems(observations, basis, n_probes=1)
-    n_obs = sum(s.n for s in systems.values())
+    seen = fingerprint(every)
+    fields = fingerprint(pixel_fields) + fingerprint(priors)
+    observations = cache.get("observations", {"sources": sorted(sources), "split": config.split, "rows": seen}, lambda: every)
+    groups = observations.select("group_id").distinct().count()
+    dense = groups * len(basis.node_id) ** 2 * 8 <= design.DENSE_BYTES
+    systems = design.normal_systems(observations, basis, n_probes=1) if dense else blocks.BlockSystems.of(observations, basis, n_probes=1)
+    n_obs = sum(s.n for s in (systems if dense else systems.sums).values())
     found: dict[bool, estimation.Components] = {}
     corners: dict[bool, estimation.Corner] = {}
 
@@ -152,24 +170,30 @@ def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixe
             found[unit] = estimation.estimate_components(systems, start, config.sigma2_mu, max_iter=config.max_iter, tol=config.tol)
         return found[unit]
 
-    def solve(case: Case) -> tuple[np.ndarray, np.ndarray]:
+    def solve(case: Case) -> tuple[np.ndarray, estimation.DenseFactor | blocks.BlockFactor, float]:
+        """Coefficients, and factor and scale of their covariance."""
         if not case.l_curve:
             vc = components(case.unit)
-            return vc.beta, vc.covariance()
+            return vc.beta, vc.factor, 1.0
         if case.unit not in corners:
             corners[case.unit] = estimation.l_curve(systems, components(case.unit))
-        return corners[case.unit].beta, corners[case.unit].covariance
+        return corners[case.unit].beta, corners[case.unit].factor, corners[case.unit].scale
+
+    def predict(beta: np.ndarray, factor: estimation.DenseFactor | blocks.BlockFactor, scale: float) -> DataFrame:
+        """pixel_id, potential, std_potential."""
+        at = pixel_fields.select("pixel_id", "lat", "lon", F.col("height").alias("h"))
+        if isinstance(factor, blocks.BlockFactor):
+            return design.synthesise(at, basis, beta, "pixel_id").join(factor.deviations(at, basis, "pixel_id", scale), "pixel_id")
+        values, vectors = np.linalg.eigh(scale * factor.inverse())
+        return design.synthesise(at, basis, beta, "pixel_id", vectors * np.sqrt(np.maximum(values, 0)))
 
     outcomes = []
     for case in config.cases:
         try:
-            beta, covariance = solve(case)
-            values, vectors = np.linalg.eigh(covariance)
-            factor = vectors * np.sqrt(np.maximum(values, 0))
-            made = design.synthesise(pixel_fields.select("pixel_id", "lat", "lon", F.col("height").alias("h")), basis, beta, "pixel_id", factor)
-            restored = restore.restore(pixel_fields.join(made, "pixel_id"))
-            pixels = cache.get(f"pixels_{case.name.lower()}", settings | {"plan": every.semanticHash()}, lambda: restore.zero_degree(restore.uncertainty(restored)))  # noqa: B023
-            rows = [(int(i), float(b), float(v)) for i, b, v in zip(basis.node_id, beta, np.diag(covariance), strict=True)]
+            beta, factor, scale = solve(case)
+            restored = restore.restore(pixel_fields.join(predict(beta, factor, scale), "pixel_id"))
+            pixels = cache.get(f"pixels_{case.name.lower()}", settings | {"rows": seen, "fields": fields}, lambda: restore.zero_degree(restore.uncertainty(restored)))  # noqa: B023
+            rows = [(int(i), float(b), float(v)) for i, b, v in zip(basis.node_id, beta, scale * factor.diagonal(), strict=True)]
             table = spark.createDataFrame(rows, "node_id long, beta double, variance double")
             parameters = nodes.join(table, "node_id").join(estimation.significance(table, n_obs), "node_id") if n_obs > len(rows) else nodes.join(table, "node_id")
             outcomes.append(Outcome(case, pixels, parameters))
