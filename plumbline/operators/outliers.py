@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import constants as C
 from plumbline.functions.spherical import with_projection
-from plumbline.operators.stats import exact_quantiles, nmad
+from plumbline.operators.stats import exact_quantiles, grouped_median, nmad
 from plumbline.session import settle
 
 
@@ -56,10 +56,12 @@ def surroundings(near: DataFrame, k: int = 2800, power: float = 1.0, multiplier:
     One aggregation serves candidates with at most k neighbours; only the others' neighbours are ranked.
     """
     zero, mean = _weighted(near, power)
-    first = settle(near.groupBy("cand").agg(F.count("*").alias("n"), F.coalesce(zero, mean).alias("all_near"), F.median("ref_value").alias("med")))  # a row for each candidate
+    first = settle(near.groupBy("cand").agg(F.count("*").alias("n"), F.coalesce(zero, mean).alias("all_near")))  # a row for each candidate
     many = first.where(F.col("n") > k).select("cand")
     ranked = interpolate(near.join(many, "cand", "left_semi"), k, power)
-    mads = near.join(first.select("cand", "med"), "cand").groupBy("cand").agg(F.median(F.abs(F.col("ref_value") - F.col("med"))).alias("mad"))
+    middles = grouped_median(near, "cand", "ref_value").withColumnRenamed("median", "med")
+    apart = near.join(middles, "cand").select("cand", F.abs(F.col("ref_value") - F.col("med")).alias("apart"))
+    mads = grouped_median(apart, "cand", "apart").withColumnRenamed("median", "mad")
     joined = first.join(mads, "cand")
     if many.limit(1).count():
         joined = joined.join(ranked, "cand", "left")
@@ -89,7 +91,7 @@ def detect(obs: DataFrame, value: str = "value", k: int = 2800, radius_km: float
         return obs.select("*", empty.alias("interp"), empty.alias("difference"), F.lit(False).alias("is_outlier"), F.lit(False).alias("is_candidate"))
     candidates = nmad_candidates(points)
     reference = points.join(candidates.select("obs_id"), "obs_id", "left_anti")
-    near = neighbours(candidates, reference, radius_km * 1000)
+    near = settle(neighbours(candidates, reference, radius_km * 1000))  # read for means, medians and deviations
     tested = candidates.select("obs_id", "value").join(surroundings(near, k, power, multiplier).withColumnRenamed("cand", "obs_id"), "obs_id", "left")
     tested = tested.withColumn("interp", F.coalesce("interp", "value")).withColumn("difference", F.abs(F.col("value") - F.col("interp")))
     outlier = ((F.col("difference") > epsilon) & (F.abs("value") > epsilon)) | F.coalesce(F.col("difference") > F.col("local"), F.lit(False))

@@ -4,59 +4,133 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import constants as C
 from plumbline.functions.spherical import clamp
+from plumbline.session import settle
 
 #: Values that the last step of a quantile search sorts on the driver.
 SORTED_VALUES = 20_000
 BINS = 4_096
 
 
+def real(value: Column) -> Column:
+    """The value as a double, NULL where it is NaN."""
+    return F.nanvl(value.cast("double"), F.lit(None))
+
+
+def _width(low: float, high: float) -> float:
+    return high / BINS - low / BINS  # the difference itself may overflow
+
+
 def exact_quantiles(frame: DataFrame, value: Column, shares: list[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbours (as a median's midpoint).
+    """Exact quantiles of one column, as `quantiles_of` finds them."""
+    return quantiles_of(frame.select(real(value).alias("v")), ["v"], shares)["v"]
+
 
-    A built-in exact percentile keeps every distinct value in one task. Here each pass counts the values in equal bins of
-    the interval that holds a wanted rank and narrows it, until few enough values are left to be sorted; a pass is one
-    partial aggregation of `BINS` counts. NULLs and NaNs don't count. Without values every quantile is None.
+def quantiles_of(frame: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of columns with linear interpolation between neighbours (as a median's midpoint).
+
+    A built-in exact percentile keeps every distinct value in one task. Here each pass counts the values of all columns in
+    equal bins of the intervals that hold the wanted ranks and narrows these, until few enough values are left to be
+    sorted; a pass is one partial aggregation of `BINS` counts for each interval. NULLs and NaNs don't count; infinities are
+    the first and last ranks. Without values every quantile is None.
     """
-    values = frame.select(F.nanvl(value.cast("double"), F.lit(None)).alias("v")).where("v IS NOT NULL")
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None for _ in shares]
-    wanted: set[int] = set()
-    for s in shares:
-        at = s * (n - 1)
-        wanted |= {math.floor(at), math.ceil(at)}
-    found = {k: _value_at(values, k, n, low, high) for k in sorted(wanted)} if n > SORTED_VALUES else dict(enumerate(sorted(r[0] for r in values.collect())))
-    out = []
-    for s in shares:
-        at = s * (n - 1)
-        a, b = found[math.floor(at)], found[math.ceil(at)]
-        out.append(a + (b - a) * (at - math.floor(at)))
-    return out
-
-
-def _value_at(values: DataFrame, rank: int, n: int, low: float, high: float) -> float:
-    """The value of a rank (from 0) among n values within [low, high]."""
-    inside = values
-    while n > SORTED_VALUES and low < high:
-        width = (high - low) / BINS
-        if width == 0 or low + width == low:
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), real(F.col(c)).alias("v")) for c in columns))).alias("x")
+    values = frame.select(pairs).select("x.*").where("v IS NOT NULL")
+    infinite = float("inf")
+    finite = F.abs("v") < infinite
+    summary = {r["c"]: r for r in values.groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("v") == -infinite).alias("below"), F.count_if(F.col("v") == infinite).alias("above"), F.min(F.when(finite, F.col("v"))).alias("low"), F.max(F.when(finite, F.col("v"))).alias("high")).collect()}
+    found: dict[tuple[str, int], float] = {}
+    open_ranks: dict[tuple[str, float, float, int, int], set[int]] = {}  # (column, interval, values in it, values before it)
+    for c, r in summary.items():
+        inner = r["n"] - r["below"] - r["above"]
+        for s in shares:
+            at = s * (r["n"] - 1)
+            for k in (math.floor(at), math.ceil(at)):
+                if k < r["below"]:
+                    found[c, k] = -infinite
+                elif k >= r["below"] + inner:
+                    found[c, k] = infinite
+                elif r["low"] == r["high"]:
+                    found[c, k] = r["low"]
+                else:
+                    open_ranks.setdefault((c, r["low"], r["high"], inner, r["below"]), set()).add(k)
+    while open_ranks:
+        few = [x for x in open_ranks if x[3] <= SORTED_VALUES or x[1] + _width(x[1], x[2]) == x[1]]
+        for c, low, high, _, before in few:
+            ranks = open_ranks.pop((c, low, high, _, before))
+            at = before
+            for v, n in sorted(map(tuple, values.where((F.col("c") == c) & F.col("v").between(low, high)).groupBy("v").count().collect())):  # equal values are one row
+                found |= {(c, k): v for k in ranks if at <= k < at + n}
+                at += n
+        if not open_ranks:
             break
-        cell = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
-        counts = sorted((r[0], r[1], r[2], r[3]) for r in inside.groupBy(cell.alias("cell")).agg(F.count("*"), F.min("v"), F.max("v")).collect())
-        for _, k, first, last in counts:
-            if rank < k:
-                n, low, high = k, first, last
-                break
-            rank -= k
-        inside = values.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
-    if low == high:
-        return low
-    return sorted(r[0] for r in inside.collect())[rank]
+        keys = list(open_ranks)
+        cell = F.lit(None).cast("struct<k:int,cell:bigint>")
+        for k, (c, low, high, _, _) in enumerate(keys):
+            width = _width(low, high)
+            place = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
+            cell = F.when((F.col("c") == c) & F.col("v").between(low, high), F.struct(F.lit(k).alias("k"), place.alias("cell"))).otherwise(cell)
+        counted = values.where(finite).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("cell IS NOT NULL").collect()
+        narrowed: dict[tuple[str, float, float, int, int], set[int]] = {}
+        for k, key in enumerate(keys):
+            before = key[4]
+            for r in sorted((r for r in counted if r["cell"]["k"] == k), key=lambda r: r["cell"]["cell"]):
+                own = {x for x in open_ranks[key] if before <= x < before + r["n"]}
+                if own and r["low"] == r["high"]:
+                    found |= {(key[0], x): r["low"] for x in own}
+                elif own:
+                    narrowed.setdefault((key[0], r["low"], r["high"], r["n"], before), set()).update(own)
+                before += r["n"]
+        open_ranks = narrowed
+
+    def between(c: str, share: float) -> float | None:
+        if c not in summary:
+            return None
+        at = share * (summary[c]["n"] - 1)
+        a, b = found[c, math.floor(at)], found[c, math.ceil(at)]
+        return a if a == b else a + (b - a) * (at - math.floor(at))
+
+    return {c: [between(c, s) for s in shares] for c in columns}
+
+
+def grouped_median(frame: DataFrame, key: str, value: str, most: int = SORTED_VALUES, bins: int = 256) -> DataFrame:
+    """key and the exact median of its finite values, without more than `most` values of a group in one task.
+
+    Groups of up to `most` values take the built-in median. For the others the interval of either middle rank is narrowed
+    by counts in bins, a partial aggregation for all groups at once, until it holds few values or one.
+    """
+    values = frame.select(F.col(key).alias("__key"), real(F.col(value)).alias("v")).where(F.abs("v") < float("inf"))
+    sizes = settle(values.groupBy("__key").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    large = sizes.where(F.col("n") > most)
+    if not large.limit(1).count():
+        return values.groupBy("__key").agg(F.median("v").alias("median")).withColumnRenamed("__key", key)
+    small = values.join(sizes.where(F.col("n") <= most).select("__key"), "__key", "left_semi").groupBy("__key").agg(F.median("v").alias("median"))
+    middle = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("rank")
+    state = large.select("__key", middle, "low", "high", "n")  # rank: among the n values of the interval
+    settled = None
+    width = F.col("high") / bins - F.col("low") / bins
+    while True:
+        state = settle(state)
+        narrow = (F.col("n") <= most) | (F.col("low") + width == F.col("low"))
+        done = state.where(narrow)
+        settled = done if settled is None else settled.unionByName(done)
+        wide = state.where(~narrow)
+        if not wide.limit(1).count():
+            break
+        cell = F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(bins - 1)).alias("cell")
+        inside = values.join(wide.drop("n"), "__key").where(F.col("v").between(F.col("low"), F.col("high")))
+        counted = inside.groupBy("__key", "rank", cell).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = F.sum("n").over(Window.partitionBy("__key", "rank").orderBy("cell")) - F.col("n")  # `bins` rows for each rank
+        placed = counted.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        state = placed.select("__key", (F.col("rank") - F.col("before")).alias("rank"), "low", "high", "n")
+    ends = values.join(settled.drop("n"), "__key").where(F.col("v").between(F.col("low"), F.col("high"))).groupBy("__key", "rank", "low", "v").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("__key", "rank", "low").orderBy("v"))  # `most` distinct values at most
+    picked = ends.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("k") <= F.col("rank")))
+    return small.unionByName(picked.groupBy("__key").agg(F.avg("v").alias("median"))).withColumnRenamed("__key", key)
 
 
 def nmad(frame: DataFrame, value: Column) -> tuple[float | None, float | None]:
@@ -69,11 +143,11 @@ def nmad(frame: DataFrame, value: Column) -> tuple[float | None, float | None]:
 
 
 def column_stats(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, mean, std (of all values, ddof 0), max, min, median: one row for each column."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")
-    return frame.select(pairs).select("x.*").where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("column").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max("v").alias("max"), F.min("v").alias("min"), F.median("v").alias("median")
-    )
+    """column, n, mean, std (of all values, ddof 0), max, min, median: one row for each column that has values."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), real(F.col(c)).alias("v")) for c in columns))).alias("x")
+    found = frame.select(pairs).select("x.*").where("v IS NOT NULL").groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max("v").alias("max"), F.min("v").alias("min"))
+    medians = [(c, m) for c, (m,) in quantiles_of(frame, columns, [0.5]).items()]
+    return found.join(F.broadcast(frame.sparkSession.createDataFrame(medians, "column string, median double")), "column")  # a row for each column
 
 
 def histogram(frame: DataFrame, value: Column, bins: int, density: bool = True) -> DataFrame:
