@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import gravity as G
 from plumbline.functions import spherical as S
 from plumbline.functions import text as X
-from plumbline.operators import design, estimation, grids, harmonics, lines, outliers, quality_control, restore, stats
+from plumbline.operators import blocks, design, estimation, grids, harmonics, lines, outliers, quality_control, restore, stats
 from plumbline.plans.views import view, with_views
 from plumbline.session import settle
 
@@ -498,9 +498,8 @@ def design_lowdegree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = view(spark, sf_dir, "obs_ter").withColumn("y", F.lit(0e0)).withColumn("group_id", F.lit("all"))
     basis = _basis(spark, sf_dir)
-    xx = design.normal_systems(obs, basis)["all"].xx
-    rows = [(int(basis.node_id[i]), int(basis.node_id[j]), float(xx[i, j])) for i in range(len(xx)) for j in range(len(xx))]
-    return spark.createDataFrame(rows, "i long, j long, v double").select("i", "j", _r(F.col("v") * 1e9, 5).alias("v"))
+    system = blocks.BlockSystems.of(obs, basis)
+    return blocks.entries(system.blocks, basis).select("i", "j", _r(F.col("v") * 1e9, 5).alias("v"))
 
 
 @_query(f"{_design_sql(False)} SELECT node_id AS i, round(sum(a * (g - 9795e2)) * 1e3, 5) AS v FROM d GROUP BY 1", "obs_ter", "nodes")
@@ -581,8 +580,6 @@ def sigma_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimation.prior_sigmas(view(spark, sf_dir, "obs_air"), view(spark, sf_dir, "sigma_prior"))
 
 
-
-
 @_query("SELECT node_id, round(abs(beta) * 1e6 / sqrt(4e0 + node_id), 6) AS t, abs(beta) * 1e6 / sqrt(4e0 + node_id) > 1.28212 AS is_significant FROM nodes", "nodes")
 def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     parameters = view(spark, sf_dir, "nodes").select("node_id", (F.col("beta") * 1e6).alias("beta"), (F.lit(4e0) + F.col("node_id")).alias("variance"))
@@ -596,15 +593,83 @@ def _estimated(spark: SparkSession, sf_dir: str) -> tuple[dict[str, design.Norma
     return systems, estimation.estimate_components(systems, sigma2_mu=1e10), basis
 
 
-@_query()
+#: A basis of two nodes, whose systems have closed forms in SQL.
+PAIR = ((0, 372e-1, -1079e-1), (1, 384e-1, -1044e-1))
+VCE_STEPS = 4
+_PAIR_SQL = "nodes AS (" + " UNION ALL ".join(f"SELECT {i} AS node_id, {lat!r}::DOUBLE AS lat, {lon!r}::DOUBLE AS lon, 0e0 AS beta" for i, lat, lon in PAIR) + ")"
+_SUMS_SQL = f"""WITH {_PAIR_SQL}, {_design_sql(False)[5:]},
+w AS (SELECT d.obs_id, max(CASE WHEN node_id = 0 THEN a END) AS a0, max(CASE WHEN node_id = 1 THEN a END) AS a1, any_value((d.g - 9795e2) / 1e5) AS y FROM d GROUP BY d.obs_id),
+s AS (SELECT project, count(*) AS n, sum(a0 * a0) AS x00, sum(a0 * a1) AS x01, sum(a1 * a1) AS x11, sum(a0 * y) AS y0, sum(a1 * y) AS y1, sum(y * y) AS yy FROM w JOIN obs_ter USING (obs_id) GROUP BY project)"""
+_SQUARES_SQL = "greatest(b0 * b0 * x00 + 2e0 * b0 * b1 * x01 + b1 * b1 * x11 - 2e0 * (b0 * y0 + b1 * y1) + yy, 0e0)"
+
+
+def _digits_sql(x: str, digits: int = 5) -> str:
+    """Decimal exponent and mantissa: numbers of any size compared to as many digits."""
+    e = f"CAST(floor(log10(abs({x}))) AS INT)"
+    return f"{e} AS exponent, round({x} / pow(1e1, {e}), {digits}) AS mantissa"
+
+
+def _digits(frame: DataFrame, name: str, digits: int = 5) -> DataFrame:
+    e = F.floor(F.log10(F.abs(name))).cast("int")
+    return frame.withColumn("exponent", e).withColumn("mantissa", _r(F.col(name) / F.pow(F.lit(10e0), F.col("exponent")), digits)).drop(name)
+
+
+def _vce_sql() -> str:
+    q, out = _SUMS_SQL + ", v0 AS (SELECT project, 1e0 AS s2, 1e10 AS mu FROM s)", []
+    for k in range(VCE_STEPS):
+        q += f""", m{k} AS (SELECT sum(x00 / s2) + 1e0 / any_value(mu) AS n00, sum(x01 / s2) AS n01, sum(x11 / s2) + 1e0 / any_value(mu) AS n11, sum(y0 / s2) AS r0, sum(y1 / s2) AS r1, any_value(mu) AS mu FROM s JOIN v{k} USING (project)),
+b{k} AS (SELECT mu, (n11 * r0 - n01 * r1) / det AS b0, (n00 * r1 - n01 * r0) / det AS b1, n11 / det AS i00, -n01 / det AS i01, n00 / det AS i11 FROM (SELECT *, n00 * n11 - n01 * n01 AS det FROM m{k})),
+v{k + 1} AS (SELECT s.project, {_SQUARES_SQL} / (n - (i00 * x00 + 2e0 * i01 * x01 + i11 * x11) / v.s2) AS s2, (b0 * b0 + b1 * b1) / (2e0 - (i00 + i11) / b.mu) AS mu FROM s JOIN v{k} v USING (project), b{k} b)"""
+        out.append(f"SELECT {k + 1} AS iter, project AS component, {_digits_sql('s2')} FROM v{k + 1}")
+        out.append(f"SELECT DISTINCT {k + 1}, 'prior', {_digits_sql('mu')} FROM v{k + 1}")
+    return q + " " + " UNION ALL ".join(out)
+
+
+def _pair_systems(spark: SparkSession, sf_dir: str) -> dict[str, design.Normal]:
+    i, lat, lon = (np.array(x) for x in zip(*PAIR, strict=True))
+    obs = view(spark, sf_dir, "obs_ter").withColumn("y", (F.col("g") - 9795e2) / 1e5)
+    return design.normal_systems(estimation.group_by_project(obs, True, "ter"), design.Basis(i, lat, lon, N_MAX))
+
+
+@_query(_vce_sql(), "obs_ter")
 def vce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all projects and the prior with exact traces, a basis of two nodes."""
+    systems = _pair_systems(spark, sf_dir)
+    found = estimation.estimate_components(systems, sigma2_mu=1e10, max_iter=VCE_STEPS, tol=0.0, textbook=True)
+    rows = [(k, name, float(v)) for k, row in enumerate(found.history, 1) for name, v in zip([*systems, "prior"], row, strict=True)]
+    return _digits(spark.createDataFrame(rows, "iter int, component string, sigma2 double"), "sigma2")
+
+
+@_query()
+def vce_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all nodes and sampled traces, until it settles."""
     systems, found, _ = _estimated(spark, sf_dir)
     rows = [(k, name, float(v)) for k, row in enumerate(found.history, 1) for name, v in zip([*systems, "prior"], row, strict=True)]
     return spark.createDataFrame(rows, "iter int, component string, sigma2 double")
 
 
-@_query()
+@_query(
+    _SUMS_SQL + f""", r AS (SELECT *, 1e0 / (1e0 + 5e-1 * (row_number() OVER (ORDER BY project) - 1)) AS k FROM s),
+m AS (SELECT sum(k * x00) AS m00, sum(k * x01) AS m01, sum(k * x11) AS m11, sum(k * y0) AS r0, sum(k * y1) AS r1 FROM r),
+l AS (SELECT i, 1e-9 * pow(1e1, -4e0 + 8e0 * i / 19e0) AS lam FROM (SELECT unnest(range(20)) AS i)),
+b AS (SELECT i, lam, ((m11 + lam) * r0 - m01 * r1) / det AS b0, ((m00 + lam) * r1 - m01 * r0) / det AS b1 FROM (SELECT *, (m00 + lam) * (m11 + lam) - m01 * m01 AS det FROM l, m)),
+z AS (SELECT i, lam, sqrt(sum({_SQUARES_SQL})) AS res, any_value(sqrt(b0 * b0 + b1 * b1)) AS sol FROM b, s GROUP BY i, lam)
+SELECT CAST(i AS INT) AS step, 'residual' AS norm, {_digits_sql("res")} FROM z UNION ALL SELECT CAST(i AS INT), 'solution', {_digits_sql("sol")} FROM z""",
+    "obs_ter",
+)
 def lcurve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both norms of the coarse sweep for given variances, a basis of two nodes."""
+    systems = _pair_systems(spark, sf_dir)
+    given = np.array([[*(1 + 0.5 * k for k in range(len(systems))), 1.0]])
+    found = estimation.Components(np.zeros(2), estimation.DenseFactor(np.eye(2)), {}, 1.0, given, np.ones((1, 2)), 1)
+    coarse = estimation.l_curve(systems, found, 1e-9).coarse
+    rows = [(k, name, float(v)) for k, row in enumerate(coarse) for name, v in zip(("residual", "solution"), row[1:], strict=True)]
+    return _digits(spark.createDataFrame(rows, "step int, norm string, v double"), "v")
+
+
+@_query()
+def lcurve_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sweeps with all nodes and estimated variances."""
     systems, found, _ = _estimated(spark, sf_dir)
     corner = estimation.l_curve(systems, found)
     rows = [(kind, float(a), float(b), float(c)) for kind, sweep in (("coarse", corner.coarse), ("fine", corner.fine)) for a, b, c in sweep]
@@ -612,11 +677,13 @@ def lcurve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """SELECT obs_id, round((1e0 / r * (1e0 + pow(6378136.3e0 / r, 2e0) * 1e-3 * sqrt(5e0) * (3e0 * t * t - 1e0) / 2e0)) * 3986004.415e8 / 1e3, 4) AS potential FROM (SELECT obs_id, sqrt(x * x + z * z) AS r, z / sqrt(x * x + z * z) AS t FROM
-(SELECT obs_id, (n + h) * cos(f) AS x, (n * (1e0 - e2) + h) * sin(f) AS z FROM (SELECT obs_id, h, radians(lat) AS f, 6378137e0 / sqrt(1e0 - e2 * pow(sin(radians(lat)), 2e0)) AS n, e2 FROM (SELECT *, 0.00335281068118e0 * (2e0 - 0.00335281068118e0) AS e2 FROM obs_ter))))""",
+    """SELECT obs_id, round((1e0 + q * q * (1e-3 * sqrt(5e0) * (3e0 * t * t - 1e0) / 2e0 + sqrt(15e0) * t * u * (2e-4 * cos(l) - 3e-4 * sin(l)) + sqrt(15e0) / 2e0 * u * u * (5e-4 * sin(2e0 * l) - 1e-4 * cos(2e0 * l)))
+  + q * q * q * sqrt(70e0) / 4e0 * u * u * u * (2e-4 * cos(3e0 * l) + 1e-4 * sin(3e0 * l))) * 3986004.415e8 / r / 1e3, 4) AS potential FROM
+(SELECT obs_id, l, r, 6378136.3e0 / r AS q, z / r AS t, x / r AS u FROM (SELECT obs_id, l, x, z, sqrt(x * x + z * z) AS r FROM
+(SELECT obs_id, l, (n + h) * cos(f) AS x, (n * (1e0 - e2) + h) * sin(f) AS z FROM (SELECT obs_id, h, radians(lon) AS l, radians(lat) AS f, 6378137e0 / sqrt(1e0 - e2 * pow(sin(radians(lat)), 2e0)) AS n, e2 FROM (SELECT *, 0.00335281068118e0 * (2e0 - 0.00335281068118e0) AS e2 FROM obs_ter)))))""",
     "obs_ter",
 )
 def sh_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = spark.createDataFrame([(0, 0, 1.0, 0.0), (2, 0, 1e-3, 0.0)], "n int, m int, c double, s double")
+    model = spark.createDataFrame([(0, 0, 1.0, 0.0), (2, 0, 1e-3, 0.0), (2, 1, 2e-4, -3e-4), (2, 2, -1e-4, 5e-4), (3, 3, 2e-4, 1e-4)], "n int, m int, c double, s double")
     found = harmonics.synthesis(view(spark, sf_dir, "obs_ter"), model, 4, functional="potential")
     return found.select("obs_id", _r(F.col("value") / 1e3, 4).alias("potential"))

@@ -19,7 +19,7 @@ SELECT obs_id, 2e1 * sin(radians(lat * 1e1)) AS ggm, 5e0 * cos(radians(lon * 2e1
     "grid": """
 SELECT CAST(floor(p_partkey / 4e1) AS INT) AS r, CAST(p_partkey % 40 AS INT) AS c, 355e-1 + 25e-2 * floor(p_partkey / 4e1) AS lat, -1095e-1 + 25e-2 * (p_partkey % 40) AS lon, p_retailprice AS value FROM {part}""",
     "nodes": """
-SELECT s_suppkey AS node_id, 36e0 + 3e0 * ((s_suppkey * 37) % 101) / 101e0 AS lat, -109e0 + 6e0 * ((s_suppkey * 53) % 103) / 103e0 AS lon, s_acctbal * 1e-9 AS beta FROM {supplier} WHERE s_suppkey < 12""",
+SELECT s_suppkey AS node_id, 36e0 + 3e0 * ((s_suppkey * 37) % 101) / 101e0 AS lat, -109e0 + 6e0 * ((s_suppkey * 53) % 103) / 103e0 AS lon, s_acctbal * 1e-9 AS beta FROM {supplier}""",
     "sigma_prior": """
 SELECT DISTINCT event_type AS project, 1e0 + length(event_type) / 1e1 AS sigma2 FROM {events} WHERE event_type <> 'error'""",
     "norm_history": """

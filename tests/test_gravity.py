@@ -10,7 +10,7 @@ from plumbline import constants as C
 from plumbline.functions import gravity as G
 from plumbline.functions import spherical as S
 from plumbline.functions import text as X
-from plumbline.operators import design, estimation, grids, harmonics, lines, outliers, quality_control, restore, stats
+from plumbline.operators import blocks, design, estimation, grids, harmonics, lines, outliers, quality_control, restore, stats
 from plumbline.roles import ColumnRoles, MissingColumnsError, require_columns
 
 OBS = "obs_id long, project string, line long, seq long, lat double, lon double, h double, g double"
@@ -138,6 +138,35 @@ def test_exact_quantiles_narrow_down(spark, monkeypatch):
     assert stats.exact_quantiles(frame.limit(0), F.col("v"), [0.5]) == [None]
 
 
+def test_quantiles_with_infinities_ties_and_extremes(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SORTED_VALUES", 50)
+    rng = np.random.default_rng(1)
+    inf = float("inf")
+    columns = {"a": [*rng.normal(size=900), *[inf] * 60, *[-inf] * 40], "b": [*rng.normal(size=300) * 1e-300, *[1.7e308, -1.7e308] * 350], "c": [3.0] * 1000, "d": [inf] * 1000}
+    frame = spark.createDataFrame([tuple(float(columns[c][i]) for c in "abcd") for i in range(1000)], "a double, b double, c double, d double").repartition(4)
+    got = stats.quantiles_of(frame, list("abcd"), [0.0, 0.02, 0.25, 0.5, 0.9, 1.0])
+    for c, v in columns.items():
+        v = np.sort(v)
+        for share, x in zip((0.0, 0.02, 0.25, 0.5, 0.9, 1.0), got[c], strict=True):
+            at = share * 999
+            low, high = v[math.floor(at)], v[math.ceil(at)]
+            assert x == pytest.approx(low if low == high else low + (high - low) * (at - math.floor(at)), rel=1e-12), (c, share)
+    assert stats.nmad(frame, F.col("a"))[0] == pytest.approx(np.median(columns["a"]))
+
+
+def test_column_stats_have_medians(spark):
+    frame = spark.createDataFrame([(1.0, None), (3.0, None), (8.0, None), (float("nan"), None)], "a double, b double")
+    assert [(r["column"], r["n"], r["median"]) for r in stats.column_stats(frame, ["a", "b"]).collect()] == [("a", 3, 3.0)]
+
+
+def test_grouped_median_equals_sorting(spark):
+    rng = np.random.default_rng(2)
+    groups = {0: rng.normal(size=700), 1: rng.normal(size=5), 2: np.full(400, 2.5), 3: rng.standard_cauchy(301), 4: np.repeat([1.0, 2.0], 200)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [(0, float("inf")), (1, float("nan")), (5, None)]
+    got = {r["k"]: r["median"] for r in stats.grouped_median(spark.createDataFrame(rows, "k long, v double").repartition(5), "k", "v", 20, 8).collect()}
+    assert got == pytest.approx({g: float(np.median(v)) for g, v in groups.items()}, abs=1e-12)
+
+
 def test_histogram_closes_last_bin(spark):
     frame = spark.createDataFrame([(float(x),) for x in range(11)], "v double")
     rows = stats.histogram(frame, F.col("v"), 5).orderBy("bin").collect()
@@ -272,10 +301,50 @@ def test_reference_redundancy_equals_textbook_at_unit_variance():
     assert np.allclose(a.history, b.history)
 
 
-def test_too_many_nodes():
-    n = design.MOST_NODES + 1
-    with pytest.raises(ValueError):
-        design.Basis(np.arange(n), np.zeros(n), np.zeros(n), 3)
+def test_dense_systems_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    basis, rows = nodes_and_points(rng, 5, 20)
+    obs = spark.createDataFrame([(*r, 1.0, str(r[0] % 2)) for r in rows], "obs_id long, lat double, lon double, h double, y double, group_id string")
+    for most in (100, 399):  # one matrix, and both groups' together
+        monkeypatch.setattr(design, "DENSE_BYTES", most)
+        with pytest.raises(ValueError, match="BlockSystems"):
+            design.normal_systems(obs, basis)
+
+
+def test_block_systems_equal_dense(spark):
+    """Sums, solutions, variances, deviations, components and L-curve in blocks of 7 of 23 nodes against dense ones."""
+    rng = np.random.default_rng(7)
+    basis, rows = nodes_and_points(rng, 23, 300)
+    basis = design.Basis(basis.node_id, basis.lat, basis.lon, 60)
+    y = rng.normal(size=300) * 1e-5
+    obs = spark.createDataFrame([(*r, float(v), "a" if r[0] % 3 else "b") for r, v in zip(rows, y)], "obs_id long, lat double, lon double, h double, y double, group_id string").repartition(3)
+    dense = design.normal_systems(obs, basis, n_probes=2)
+    system = blocks.BlockSystems.of(obs, basis, n_probes=2, block=7)
+    for g, s in dense.items():
+        t = system.sums[g]
+        assert t.n == s.n and np.allclose(t.xy, s.xy, rtol=1e-10) and np.isclose(t.yy, s.yy) and np.allclose(t.xu, s.xu, rtol=1e-9)
+    long = {(r["g"], r["i"], r["j"]): r["v"] for r in blocks.entries(system.blocks, basis, 7).collect()}
+    assert len(long) == 2 * 23 * 23 and all(np.isclose(long[g, i, j], s.xx[i, j], rtol=1e-9, atol=1e-30) for g, s in dense.items() for i in range(23) for j in range(23))
+    weights, ridge = {"a": 2.0, "b": 0.5}, 1e-9
+    matrix = sum(weights[g] * s.xx for g, s in dense.items()) + ridge * np.eye(23)
+    factor = system.factor(weights, ridge)
+    right = rng.normal(size=(23, 3))
+    assert np.allclose(factor.solve(right), np.linalg.solve(matrix, right), rtol=1e-5)
+    assert np.allclose(factor.diagonal(), np.diag(np.linalg.inv(matrix)), rtol=1e-5)
+    points = obs.select(F.col("obs_id").alias("pixel_id"), "lat", "lon", "h").limit(40)
+    got = {r["pixel_id"]: r["std_potential"] for r in factor.deviations(points, basis, "pixel_id", 4.0, 7).collect()}
+    root = np.linalg.cholesky(4.0 * np.linalg.inv(matrix))
+    want = {r["pixel_id"]: r["std_potential"] for r in design.synthesise(points, basis, np.zeros(23), "pixel_id", root).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-4) for k in want)
+    a, b = (estimation.estimate_components(s, sigma2_mu=1e6, max_iter=2) for s in (dense, system))
+    assert np.allclose(a.history, b.history, rtol=1e-4) and np.allclose(a.beta, b.beta, rtol=1e-3, atol=1e-6 * np.abs(a.beta).max())
+    with pytest.raises(ValueError, match="exact traces"):
+        estimation.estimate_components(system, exact_trace=True)
+
+
+def test_parameters_must_rise():
+    with pytest.raises(ValueError, match="rise"):
+        estimation.spline_curvature(np.array([1.0, 2.0, 2.0, 3.0]), np.ones(4), np.ones(4))
 
 
 def test_spline_reproduces_cubics():
@@ -310,10 +379,45 @@ def test_restore_settles(spark):
 
 def test_harmonics_addition_theorem():
     t = np.array([-0.7, 0.1, 0.93])
-    u = np.sqrt(1 - t * t)
-    for n in (1, 2, 7, 60):
-        total = sum((harmonics.legendre_columns(n, m, t, u)[n - m] / harmonics.SCALE * u**m) ** 2 for m in range(n + 1))
-        assert np.allclose(total, 2 * n + 1)
+    functions = harmonics.Legendre(60, t, np.sqrt(1 - t * t), np.ones(3))
+    for n in range(61):
+        assert np.allclose((functions.advance() ** 2).sum(0), 2 * n + 1)
+
+
+def test_harmonics_stay_finite_at_the_highest_degree():
+    """Sums of squares are 2n + 1 at every latitude, up to degree 5480."""
+    lat = np.radians([0.0, 30.0, 60.0, 85.0, 89.99])
+    functions = harmonics.Legendre(5480, np.sin(lat), np.cos(lat), np.ones(5))
+    for n in range(5481):
+        p = functions.advance()
+        if n % 500 == 0 or n == 5480:
+            assert np.isfinite(p).all() and np.allclose((p**2).sum(0), 2 * n + 1, rtol=1e-8), n
+
+
+def test_harmonics_equal_a_long_sum():
+    """Degree 60 with C and S against the standard recursion in extended precision."""
+    rng = np.random.default_rng(3)
+    top = 60
+    c, s = rng.normal(size=(2, harmonics.row_of(top).stop))
+    lat, lon, h = np.array([-71.0, 3.0, 3.0, 48.5]), np.array([10.0, -120.0, 55.0, 179.0]), np.array([0.0, 900.0, 900.0, 4000.0])
+    got = harmonics.synthesise({"lat": lat, "lon": lon, "h": h}, (c, s), 2, top, "potential", C.MODEL_GM, C.MODEL_RADIUS)
+    for k in range(4):
+        e2 = np.longdouble(C.FLATTENING) * (2 - np.longdouble(C.FLATTENING))
+        phi = np.radians(np.longdouble(lat[k]))
+        n0 = C.AXIS_A / np.sqrt(1 - e2 * np.sin(phi) ** 2)
+        x, z = (n0 + h[k]) * np.cos(phi), (n0 * (1 - e2) + h[k]) * np.sin(phi)
+        r = np.hypot(x, z)
+        t, u = z / r, x / r
+        p = np.zeros((top + 1, top + 1), np.longdouble)
+        p[0, 0] = 1
+        for n in range(1, top + 1):
+            p[n, n] = p[n - 1, n - 1] * u * np.sqrt(np.longdouble(3 if n == 1 else 2 * n + 1) / (1 if n == 1 else 2 * n))
+            for m in range(n):
+                a = np.sqrt(np.longdouble((2 * n - 1) * (2 * n + 1)) / ((n - m) * (n + m)))
+                b = np.sqrt(np.longdouble((2 * n + 1) * (n + m - 1) * (n - m - 1)) / ((n - m) * (n + m) * (2 * n - 3))) if n > 1 else 0
+                p[n, m] = a * t * p[n - 1, m] - (b * p[n - 2, m] if n > 1 else 0)
+        total = sum((C.MODEL_RADIUS / r) ** n * p[n, m] * (c[harmonics.row_of(n)][m] * np.cos(m * np.radians(lon[k])) + s[harmonics.row_of(n)][m] * np.sin(m * np.radians(lon[k]))) for n in range(2, top + 1) for m in range(n + 1))
+        assert got[k] == pytest.approx(float(C.MODEL_GM / r * total), rel=1e-11)
 
 
 def test_harmonics_of_degree_zero_and_normal_field(spark):

@@ -91,6 +91,30 @@ def test_pipeline_cases_and_cache(spark, tmp_path):
     assert again.log == [("nodes", "kept")] and forced.report().first()["outcome"] == "made"
 
 
+def test_changed_inputs_are_never_kept(spark, tmp_path):
+    """Observations changed in place, pixel fields and priors: each is seen although every plan stays the same."""
+    config = pipeline.Config(36.5, 38.5, -108.5, -103.5, 0.5, 40, 10, aperture=0.5, sigma2_mu=1e6, max_iter=2, cases=(pipeline.Case.SIGMAS_VC,))
+    box = pipeline.grids.pixel_centres(spark, 36.5, 38.5, -108.5, -103.5, 0.5).select("pixel_id", "lat", "lon", F.lit(1000.0).alias("srtm"), F.lit(1010.0).alias("height"), *(F.lit(0.0).alias(c) for c in ("model", "topo", "terrain")))
+    tables = {"obs": view(spark, DATA, "obs_ter").withColumn("residual", F.col("g") - 9795e2), "pixels": box, "priors": spark.createDataFrame([("ter", 2.0)], "project string, sigma2 double")}
+
+    def outcome(**changed):
+        for name, frame in (tables | changed if not changed else changed).items():
+            frame.write.mode("overwrite").parquet(str(tmp_path / name))
+        spark.catalog.clearCache()
+        obs, pixels, priors = (spark.read.parquet(str(tmp_path / n)) for n in ("obs", "pixels", "priors"))
+        outcomes, cache = pipeline.run(spark, config, {"ter": obs}, pixels, str(tmp_path / "run"), priors)
+        assert outcomes[0].error is None, outcomes[0].error
+        return dict(cache.log)["pixels_sigmas_vc"], outcomes[0].pixels.agg(F.avg("zeta")).first()[0]
+
+    first = outcome()
+    assert first[0] == "made" and outcome(priors=tables["priors"]) == ("kept", first[1])
+    raised = outcome(pixels=box.withColumn("terrain", F.lit(50.0)))
+    assert raised[0] == "made" and raised[1] == pytest.approx(first[1] + 50, abs=0.01)
+    assert outcome(pixels=box) == ("kept", first[1])
+    assert outcome(priors=spark.createDataFrame([("ter", 3.0)], "project string, sigma2 double"))[0] == "made"
+    assert outcome(obs=tables["obs"].withColumn("residual", F.col("residual") * 2))[0] == "made"
+
+
 def test_failing_case_is_isolated(spark, tmp_path):
     clean = view(spark, DATA, "obs_ter").withColumn("residual", F.lit(1.0))
     config = pipeline.Config(36.5, 38.5, -108.5, -103.5, 0.5, 40, 10, aperture=0.5, cases=(pipeline.Case.UNIT_VC,))
