@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from plumbline.llm.wordsplit import give_back
+
 #: Chunks remembered by one Python worker: those met in a second run while there is room. The others are encoded in
 #: each run anew (a speed matter only, never a result).
 MEMO_ENTRIES = 300_000
@@ -105,6 +107,7 @@ class ChunkTokenizer:
             parts.append(ids)
             counts.append(n)
             begin = end
+        give_back()
         offsets = np.zeros(len(texts) + 1, np.int64)
         if counts:
             np.cumsum(np.concatenate(counts), out=offsets[1:])
