@@ -24,7 +24,8 @@ REPEAT_PERCENT = 50
 #: Percent of a document's words that symbols may number, and of lines that may be copies, before it counts against its host.
 HOST_SYMBOL_PERCENT = 50
 HOST_LINE_PERCENT = 60
-#: A host is dropped when its shrunk share of failing documents exceeds this.
+#: A host is dropped when its shrunk share of failing documents exceeds this: clearly more than half must fail, so that a
+#: host loses its good documents only where they are the smaller part.
 HOST_LIMIT = 0.6
 #: Bounds of the prior's strength in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 10_000.0
@@ -114,6 +115,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("bad").isNull()).alias("kept"))
 
 
+def judge_sections(docs: DataFrame) -> DataFrame:
+    """The same with sections of documents of like size (quarters of a doubling of `n_chars`) in place of hosts: where most of a
+    section's documents fail, the others go too."""
+    return judge(docs.withColumn("section", F.floor(4e0 * F.log2(F.greatest(F.col("n_chars"), F.lit(1)))).cast("string")), host_col="section")
+
+
 JUDGE_SQL = r"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -132,3 +139,4 @@ q AS (SELECT mean, CASE WHEN v <= 0 THEN 1e4 ELSE least(greatest(mean * (1 - mea
 z AS (SELECT host FROM h, q WHERE (k + strength * mean) / (n + strength) > 6e-1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM z WHERE z.host IS NOT DISTINCT FROM x.host) AS kept FROM x
 """
+SECTIONS_SQL = JUDGE_SQL.replace("source AS host", "CAST(CAST(floor(4e0 * log2(greatest(n_chars, 1))) AS BIGINT) AS VARCHAR) AS host")

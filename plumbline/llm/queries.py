@@ -50,6 +50,10 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
 
+def host_rules_of_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge_sections(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_separator_token_counts": op2_separator_token_counts,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bit_packed_tokens": op8_bit_packed_tokens,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_host_quality_rules": op10_host_quality_rules,
+    "host_rules_of_sections": host_rules_of_sections,
 }
 
-ORACLE: dict[str, str] = {"op5_chat_formatting": chats.RENDER_SQL, "op10_host_quality_rules": hostrules.JUDGE_SQL}
+ORACLE: dict[str, str] = {"op5_chat_formatting": chats.RENDER_SQL, "op10_host_quality_rules": hostrules.JUDGE_SQL, "host_rules_of_sections": hostrules.SECTIONS_SQL}
