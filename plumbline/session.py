@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; only where it is unset (tests) a local one is made."""
+    """The shared folder named by `spark.checkpoint.dir`; only where it is unset on a local master (tests) one is made."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
     if named is None:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="plumbline-checkpoints-")
+        named = context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="plumbline-checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
