@@ -53,7 +53,7 @@ def test_op6_held_out(spark, monkeypatch):
     """Only labels that the fit never saw count: their order, and how many bad ones are caught."""
     data = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.QUERIES["op6_quality_classifier"](spark, data).collect()}
-    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{data}/documents.parquet'").fetchone()[0]
+    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{data}/documents.parquet'").fetchall()[0][0]
     labels = duckdb.sql(f"SELECT doc_id, quality FROM '{data}/labels.parquet' WHERE quality IS NOT NULL").fetchall()
     held = [(i, q) for i, q in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(rows[i]["held_out"] for i, _ in held)
