@@ -10,11 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.spherical import cos_distance, gaussian_b, gaussian_weight, haversine
-from plumbline.session import ship_package
+from plumbline.session import settle, ship_package
 
 #: Lines of more points than this are filtered in blocks of points.
 LONG_LINE = 2_000
 BLOCK = 1_000
+#: Weights below this don't reach the last digit of a mean: every point weighs 1 in its own.
+LEAST_WEIGHT = 1e-18
+#: Lines of more points than this are ordered in blocks: no window then holds more than a task's share of a line.
+WINDOW_LINE = 1_000_000
+#: Targets of the subsampling that one running maximum goes over.
+TARGET_BLOCK = 100_000
 NO_PROJECT = "(sin proyecto)"
 
 
@@ -31,11 +37,12 @@ def gaussian_filter(obs: DataFrame, half_width_km: float, value: str = "g", name
 
     Rows without finite position or value, or without project or line, stay with NULL and don't touch the others. Lines of
     up to `long_line` points are self-joined on (project, line) inside generated code; the points of longer ones are packed
-    in blocks and every pair of blocks is a row of its own, so the work of one line is spread over the cluster.
+    in blocks of neighbours and every pair of blocks within reach is a row of its own, so the work of one line is spread
+    over the cluster and follows its length.
     """
     b = gaussian_b(half_width_km)
-    points = obs.where(_usable(value)).select("obs_id", "project", "line", F.radians("lat").alias("phi"), F.radians("lon").alias("lam"), F.col(value).cast("double").alias("v"))
-    points = points.select("obs_id", "project", "line", "lam", "v", F.sin("phi").alias("s"), F.cos("phi").alias("c"))
+    points = obs.where(_usable(value)).select("obs_id", "project", "line", "seq", F.radians("lat").alias("phi"), F.radians("lon").alias("lam"), F.col(value).cast("double").alias("v"))
+    points = points.select("obs_id", "project", "line", "seq", "lam", "v", F.sin("phi").alias("s"), F.cos("phi").alias("c"))
     sizes = points.groupBy("project", "line").agg(F.count("*").alias("n"))
     longest = sizes.agg(F.max("n")).first()[0] or 0
     if longest <= long_line:
@@ -53,14 +60,25 @@ def _joined_means(points: DataFrame, b: float) -> DataFrame:
 
 
 def _block_means(points: DataFrame, b: float) -> DataFrame:
+    """Means from pairs of blocks of neighbouring points. Pairs so far apart that no weight reaches `LEAST_WEIGHT` are left
+    out: they are told from the blocks' centres and radii, before any points are joined."""
     ship_package(points.sparkSession)
-    sizes = points.groupBy("project", "line").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = points.join(sizes, ["project", "line"]).withColumn("block", F.pmod(F.xxhash64("obs_id"), F.col("blocks")))
-    packed = dealt.groupBy("project", "line", "block").agg(F.collect_list(F.struct("obs_id", "lam", "v", "s", "c")).alias("p"), F.first("blocks").alias("blocks"))
-    packed = packed.select("project", "line", "block", "blocks", *(F.col(f"p.{x}").alias(x) for x in ("obs_id", "lam", "v", "s", "c")))
-    # every block goes to every block of its line: keys are (line, target block), so one line is many keys
-    source = packed.select("project", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *(F.col(x).alias(f"{x}2") for x in ("lam", "v", "s", "c")))
-    pairs = packed.join(source, ["project", "line", "block"]).select("obs_id", "lam", "s", "c", "lam2", "v2", "s2", "c2")
+    ordered = settle(points.repartitionByRange("project", "line", "seq", "obs_id").withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("project", "line", "part").orderBy("seq", "obs_id")
+    dealt = ordered.withColumn("block", F.struct("part", F.floor((F.row_number().over(order) - 1) / BLOCK).alias("k")))
+    unit = [F.col("c") * F.cos("lam"), F.col("c") * F.sin("lam"), F.col("s")]
+    packed = dealt.groupBy("project", "line", "block").agg(F.collect_list(F.struct("obs_id", "lam", "v", "s", "c")).alias("p"), *(F.avg(u).alias(n) for u, n in zip(unit, "xyz", strict=True)))
+    packed = settle(packed.select("project", "line", "block", "x", "y", "z", *(F.col(f"p.{n}").alias(n) for n in ("obs_id", "lam", "v", "s", "c"))))
+    # chord from the centre to the farthest point: the triangle inequality holds for chords
+    chord = F.transform(F.arrays_zip("lam", "s", "c"), lambda q: F.sqrt(F.pow(q["c"] * F.cos(q["lam"]) - F.col("x"), F.lit(2)) + F.pow(q["c"] * F.sin(q["lam"]) - F.col("y"), F.lit(2)) + F.pow(q["s"] - F.col("z"), F.lit(2))))
+    balls = settle(packed.select("project", "line", "block", "x", "y", "z", F.array_max(chord).alias("r")))
+    other = balls.select("project", "line", *(F.col(n).alias(f"{n}2") for n in ("block", "x", "y", "z", "r")))
+    apart = F.sqrt(sum((F.pow(F.col(n) - F.col(f"{n}2"), F.lit(2)) for n in "xyz"), F.lit(0e0))) - F.col("r") - F.col("r2")
+    reach = (-2 * np.log(LEAST_WEIGHT) / b) ** 0.5  # 1 - cos of an angle is half the squared chord
+    near = balls.join(other, ["project", "line"]).where(apart <= F.lit(float(reach))).select("project", "line", "block", "block2")
+    own = packed.select("project", "line", "block", "obs_id", "lam", "s", "c")
+    source = packed.select("project", "line", F.col("block").alias("block2"), *(F.col(n).alias(f"{n}2") for n in ("lam", "v", "s", "c")))
+    pairs = near.join(own, ["project", "line", "block"]).join(source, ["project", "line", "block2"]).select("obs_id", "lam", "s", "c", "lam2", "v2", "s2", "c2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,36 +121,94 @@ def report_pages(lines: DataFrame, rows_per_page: int = 22) -> DataFrame:
     return lines.withColumn("page", F.ceil(F.row_number().over(order) / rows_per_page))
 
 
+_LINE = ["project", "line"]
+
+
+class Ordered:
+    """Points of lines in their order, with windows that long lines can bear.
+
+    Short lines are one window each. Where a line has more than `WINDOW_LINE` points, all rows are dealt by ranges of (project,
+    line, seq, obs_id): a range's part of a line is a window of its own, and what goes on beyond it (the point before, sums so
+    far) is carried from a table with a row for each line and range.
+    """
+
+    def __init__(self, points: DataFrame) -> None:
+        longest = points.groupBy(*_LINE).count().agg(F.max("count")).first()[0] or 0
+        self.keys = _LINE
+        if longest > WINDOW_LINE:
+            self.keys = [*_LINE, "__range"]
+            points = settle(points.repartitionByRange(*_LINE, "seq", "obs_id").withColumn("__range", F.spark_partition_id()))
+        self.points = points
+        self.order = Window.partitionBy(*self.keys).orderBy("seq", "obs_id")
+        self.blocks = Window.partitionBy(*_LINE).orderBy("__range")  # a row for each range that holds a part of the line
+
+    @property
+    def parted(self) -> bool:
+        return len(self.keys) > len(_LINE)
+
+    def beside(self, points: DataFrame, step: int, **columns: Column) -> DataFrame:
+        """The points with columns of the point before (step -1) or after (1), NULL at a line's ends."""
+        move, edge = (F.lag, F.max_by) if step < 0 else (F.lead, F.min_by)
+        out = points.withColumns({n: move(c).over(self.order) for n, c in columns.items()})
+        if not self.parted:
+            return out
+        # the edge row of each range, handed on to the next one
+        out = out.withColumn("__edge", move(F.lit(1)).over(self.order).isNull())
+        edges = points.groupBy(*self.keys).agg(edge(F.struct(*(c.alias(n) for n, c in columns.items())), F.struct("seq", "obs_id")).alias("__e"))
+        edges = edges.select(*self.keys, move("__e").over(self.blocks).alias("__e"))
+        out = out.join(edges, self.keys, "left")
+        return out.withColumns({n: F.when(F.col("__edge"), F.col(f"__e.{n}")).otherwise(F.col(n)) for n in columns}).drop("__edge", "__e")
+
+    def running(self, points: DataFrame, name: str, value: Column) -> DataFrame:
+        """The points with the sum of a value up to each."""
+        out = points.withColumn(name, F.sum(value).over(self.order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        if not self.parted:
+            return out
+        totals = points.groupBy(*self.keys).agg(F.sum(value).alias("__t"))
+        before = totals.select(*self.keys, F.coalesce(F.sum("__t").over(self.blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+        return out.join(before, self.keys).withColumn(name, F.col(name) + F.col("__b")).drop("__b")
+
+
+def _stepped(obs: DataFrame) -> tuple[Ordered, DataFrame]:
+    ordered = Ordered(obs.dropna(subset=["lat", "lon"]).where("project IS NOT NULL AND line IS NOT NULL"))
+    moved = ordered.beside(ordered.points, -1, __lat=F.col("lat"), __lon=F.col("lon"))
+    stepped = moved.withColumn("step", haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon"))).drop("__lat", "__lon")
+    return ordered, ordered.running(stepped, "along", F.coalesce("step", F.lit(0e0)))
+
+
 def line_distances(obs: DataFrame) -> DataFrame:
     """Distance (m) to the previous point of the line in file order, and along the line from its first point."""
-    order = Window.partitionBy("project", "line").orderBy("seq", "obs_id")
-    step = haversine(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon"))
-    stepped = obs.dropna(subset=["lat", "lon"]).where("project IS NOT NULL AND line IS NOT NULL").withColumn("step", step)
-    along = F.sum(F.coalesce("step", F.lit(0e0))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return stepped.withColumn("along", along)
+    return _stepped(obs)[1].drop("__range")
 
 
 def distance_subsample(obs: DataFrame, spacing: float) -> DataFrame:
     """Points of each line nearest to the targets 0, s, 2s ...; a pick never repeats or goes back.
 
     The sequential rule (a nearest point at or before the last pick gives way to the one after the last pick) is
-    pick(k) = max(nearest(k), pick(k-1) + 1). So pick(k) - k is the running maximum of nearest(k) - k: a window, no loop.
+    pick(k) = max(nearest(k), pick(k-1) + 1). So pick(k) - k is the running maximum of nearest(k) - k: no loop.
     Each point knows the targets nearest to it from the midpoints to its neighbours; ties go to the earlier point.
     """
-    order = Window.partitionBy("project", "line").orderBy("seq", "obs_id")
-    whole = Window.partitionBy("project", "line")
-    placed = line_distances(obs).withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole)).withColumn("total", F.max("along").over(whole))
+    ordered, placed = _stepped(obs)
+    placed = ordered.running(placed, "i", F.lit(1)).withColumn("i", F.col("i") - 1)
+    if ordered.parted:
+        placed = settle(placed)
+    whole = placed.groupBy(*_LINE).agg(F.count("*").alias("n"), F.max("along").alias("total"))
     spaced = F.lit(float(spacing))
     last = F.ceil((F.col("total") + spaced) / spaced) - 1
-    firsts = placed.withColumn("earlier", F.lag("along").over(order)).where(F.coalesce(F.col("earlier") < F.col("along"), F.lit(True)) | (F.col("i") == 0))  # of points at one place the first counts
-    before, after = F.lag("along").over(order), F.lead("along").over(order)
-    low = F.when(before.isNull(), F.lit(0).cast("long")).otherwise(F.floor((before + F.col("along")) / 2e0 / spaced) + 1)
-    high = F.when(after.isNull(), last).otherwise(F.least(F.floor((F.col("along") + after) / 2e0 / spaced), last))
-    ranged = firsts.select("project", "line", "i", "n", low.alias("low"), high.alias("high"))
-    targets = ranged.where("low <= high").select("project", "line", "i", "n", F.explode(F.sequence("low", "high")).alias("k"))
-    picked = targets.withColumn("pick", F.col("k") + F.max(F.col("i") - F.col("k")).over(Window.partitionBy("project", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
-    picks = picked.where("pick < n").select("project", "line", F.col("pick").alias("i"))
-    return placed.drop("n", "total").join(picks, ["project", "line", "i"]).drop("i")
+    firsts = ordered.beside(placed, -1, earlier=F.col("along")).where(F.coalesce(F.col("earlier") < F.col("along"), F.lit(True)))  # of points at one place the first counts
+    if ordered.parted:
+        firsts = settle(firsts)
+    ends = ordered.beside(firsts, 1, later=F.col("along")).join(whole, _LINE)
+    low = F.when(F.col("earlier").isNull(), F.lit(0).cast("long")).otherwise(F.floor((F.col("earlier") + F.col("along")) / 2e0 / spaced) + 1)
+    high = F.when(F.col("later").isNull(), last).otherwise(F.least(F.floor((F.col("along") + F.col("later")) / 2e0 / spaced), last))
+    ranged = ends.select(*_LINE, "i", "n", low.alias("low"), high.alias("high"))
+    targets = ranged.where("low <= high").select(*_LINE, "i", "n", F.explode(F.sequence("low", "high")).alias("k")).withColumn("block", F.floor(F.col("k") / TARGET_BLOCK))
+    blocks = targets.groupBy(*_LINE, "block").agg(F.max(F.col("i") - F.col("k")).alias("most"))
+    carried = blocks.select(*_LINE, "block", F.max("most").over(Window.partitionBy(*_LINE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("most"))
+    inside = Window.partitionBy(*_LINE, "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    picked = targets.withColumn("own", F.max(F.col("i") - F.col("k")).over(inside)).join(carried, [*_LINE, "block"])
+    picks = picked.withColumn("i", F.col("k") + F.greatest("own", "most")).where("i < n").select(*_LINE, "i")
+    return placed.join(picks, [*_LINE, "i"]).drop("i", "__range")
 
 
 def sampling_report(obs: DataFrame, spacing: float) -> DataFrame:

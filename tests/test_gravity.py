@@ -82,10 +82,11 @@ def test_filter_stays_within_values(spark, values):
     assert min(values) - 1e-9 <= min(out) and max(out) <= max(values) + 1e-9
 
 
-def test_filter_in_blocks_equals_join(spark, monkeypatch):
+@pytest.mark.parametrize("step", [0.01, 0.2])
+def test_filter_in_blocks_equals_join(spark, monkeypatch, step):
     monkeypatch.setattr(lines, "BLOCK", 7)
     values = np.random.default_rng(1).normal(size=60).tolist()
-    obs = line(spark, values).unionByName(line(spark, values[:5], "q").withColumn("obs_id", F.col("obs_id") + 1000))
+    obs = line(spark, values, step=step).unionByName(line(spark, values[:5], "q").withColumn("obs_id", F.col("obs_id") + 1000))
     a = {r["obs_id"]: r["filtered"] for r in lines.gaussian_filter(obs, 3.0).collect()}
     b = {r["obs_id"]: r["filtered"] for r in lines.gaussian_filter(obs, 3.0, long_line=10).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
@@ -112,12 +113,16 @@ def sequential(along, spacing):
     return picks
 
 
-@pytest.mark.parametrize("spacing", [300.0, 1000.0, 1700.0, 9000.0])
-def test_subsample_equals_sequential_rule(spark, spacing):
+@pytest.mark.parametrize(("spacing", "most"), [(300.0, 10**6), (1000.0, 10**6), (1700.0, 10**6), (9000.0, 10**6), (300.0, 5), (1700.0, 5)])
+def test_subsample_equals_sequential_rule(spark, spacing, most, monkeypatch):
+    monkeypatch.setattr(lines, "WINDOW_LINE", most)  # 5: lines parted in ranges
+    monkeypatch.setattr(lines, "TARGET_BLOCK", 7)
     rng = np.random.default_rng(3)
     lat = 36 + np.cumsum(rng.choice([0, 0.004, 0.01, 0.02], 40))
     obs = spark.createDataFrame([(i, "p", 1, i, float(x), -109.0, 0.0, 0.0) for i, x in enumerate(lat)], OBS)
-    along = np.array([r["along"] for r in lines.line_distances(obs).orderBy("seq").collect()])
+    rows = lines.line_distances(obs).orderBy("seq").collect()
+    along = np.array([r["along"] for r in rows])
+    assert rows[0]["step"] is None and np.allclose(np.cumsum([r["step"] or 0 for r in rows]), along)
     got = sorted(r["obs_id"] for r in lines.distance_subsample(obs, spacing).collect())
     assert got == sequential(along, spacing)
 
