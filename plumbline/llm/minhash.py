@@ -4,8 +4,8 @@
 2. Document frequencies of shingles are counted over the distinct contents: over all documents first, and what copies of one
    content added is taken off again. Counts are kept in a table of `COUNTERS` counters (shingles share one where their
    hashes do; the mean of what others add is taken off), so memory doesn't follow the corpus. A shingle's weight is how
-   often it stands in the text times its IDF, damped: `IDF_FLOOR` of the weight doesn't depend on the IDF. Copies that
-   differ in edits share shingles that are frequent for this very reason; undamped, their edits would outweigh them.
+   often it stands in the text times its IDF, smoothed and damped: `IDF_FLOOR` of the weight doesn't depend on the IDF.
+   Copies that differ in edits share shingles that are frequent for this very reason; else their edits would outweigh them.
 3. Each class gets `SAMPLES` consistent weighted samples (Ioffe 2010), which agree between two documents with the
    probability of their weighted Jaccard similarity. Bands of `ROWS` samples are hashed; equal bands make candidates.
 4. Every class is first compared with one head of its bands: the class that meets most others, and of such the least. In
@@ -42,6 +42,8 @@ SAMPLES, ROWS = 64, 4
 COUNTERS = 1 << 21
 #: Share of a shingle's weight that does not depend on its IDF.
 IDF_FLOOR = 0.5
+#: Added to document frequencies: below it they say little of how common words are, and much of how many copies a text has.
+SMOOTHING = 100
 #: Random draws (r, log c, beta) that hashes choose from.
 DRAWS = 1 << 16
 
@@ -86,10 +88,10 @@ def add_frequencies(totals: np.ndarray, codes: np.ndarray, bounds: np.ndarray, t
 
 def shingle_weights(totals: np.ndarray, n: int) -> np.ndarray:
     """Damped IDF of every counter among n contents: IDF_FLOOR to 1, float32."""
-    if n < 1:
+    if n < 2:
         return np.ones(COUNTERS, np.float32)
     others = (totals.sum() - totals) / (COUNTERS - 1)  # what shingles of other hashes add to a counter in the mean
-    idf = np.log((1 + n) / (1 + np.clip(totals - others, 1, n))) / np.log(1 + n)
+    idf = np.log((n + SMOOTHING) / (np.clip(totals - others, 1, n) + SMOOTHING)) / np.log((n + SMOOTHING) / (1 + SMOOTHING))
     return (IDF_FLOOR + (1 - IDF_FLOOR) * np.clip(idf, 0, 1)).astype(np.float32)
 
 

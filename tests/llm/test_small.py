@@ -249,7 +249,7 @@ def brute_classes(rows, weighted=False):
     contents = {t: set(x) for (_, t), x in zip(rows, own)}
     df = Counter(x for one in contents.values() for x in one)
     n = len(contents)
-    idf = {x: np.log((1 + n) / (1 + k)) / np.log(1 + n) for x, k in df.items()}
+    idf = {x: np.log((n + 100) / (k + 100)) / np.log((n + 100) / 101) for x, k in df.items()}
     weight = [{x: k * (0.5 + 0.5 * idf[x] if weighted else 1.0) for x, k in one.items()} for one in own]
     total = [sum(w.values()) for w in weight]
     parent = list(range(len(rows)))
