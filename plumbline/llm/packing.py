@@ -35,8 +35,8 @@ from plumbline.session import settle, ship_package
 #: (Groups of the linear grouping, share of the capacity up to which lengths are small): the scheme runs with each pair
 #: on the histogram, and the plan with the fewest sequences is taken.
 SCHEMES = ((250, 4), (250, 3))
-#: Pieces whose ranks are computed together.
-RANK_BUCKET = 500
+#: Pieces whose ranks are computed together, and buckets whose sums are.
+RANK_BUCKET, BUCKET_RUN = 64, 1_000
 #: Buckets up to this number have their sizes broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -293,7 +293,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     buckets = F.broadcast(spark.createDataFrame(dealt, "length long, buckets long"))  # at most `capacity` rows
     bucketed = pieces.join(buckets, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.col("buckets"))).drop("buckets")
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
+    sizes = settle(sizes.withColumn("run", F.floor(F.col("bucket") / BUCKET_RUN)))  # a prefix sum in two levels: runs of buckets, and runs
+    runs = sizes.groupBy("length", "run").agg(F.sum("n").alias("m"))
+    runs = runs.select("length", "run", (F.sum("m").over(Window.partitionBy("length").orderBy("run")) - F.col("m")).alias("earlier"))
+    inside = F.sum("n").over(Window.partitionBy("length", "run").orderBy("bucket")) - F.col("n")
+    before = sizes.select("length", "run", "bucket", inside.alias("inside")).join(runs, ["length", "run"]).select("length", "bucket", (F.col("inside") + F.col("earlier")).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "tie")
     ranked = (
         bucketed.withColumn("local", F.row_number().over(order) - 1)

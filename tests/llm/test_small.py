@@ -67,7 +67,10 @@ def test_tokenizer_equals_library(monkeypatch):
     assert len(tok.encode(pa.array([], pa.string()))[0]) == 0
 
 
-def test_packing(spark, docs):
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_packing(spark, docs, monkeypatch, bucket):
+    monkeypatch.setattr(packing, "RANK_BUCKET", bucket)
+    monkeypatch.setattr(packing, "BUCKET_RUN", 3)
     capacity = 64
     rows = packing.pack(docs, capacity=capacity).collect()
     want = Counter()
