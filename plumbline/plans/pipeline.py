@@ -147,6 +147,8 @@ def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixe
     box = {k: settings[k] for k in ("south", "north", "west", "east", "aperture", "order")}
     nodes = cache.get("nodes", box, lambda: grids.reuter_nodes(spark, config.order, config.south - config.aperture, config.north + config.aperture, config.west - config.aperture, config.east + config.aperture))
     basis = design.Basis.of(nodes, config.n_max, config.kernel, config.n_min)
+    if not len(basis.node_id):
+        raise ValueError(f"the grid of order {config.order} has no nodes in the region")
     parts = [estimation.group_by_project(obs, config.split.get(name, False), name).select("obs_id", "project", "lat", "lon", "h", (F.col("residual") / 1e5).alias("y"), "group_id") for name, obs in sorted(sources.items())]
     every = parts[0]
     for p in parts[1:]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.roles import MissingColumnsError
+from plumbline.session import settle
 
 BOM = "\ufeff"
 
@@ -59,20 +60,20 @@ def read_undulations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
-    """i and value of a file with a number on each line. Lines are numbered in the file's order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    return lines.where(F.length(F.trim("line")) > 0).select(F.row_number().over(_by_line()).alias("i"), F.trim("line").try_cast("double").alias("value"))
-
-
-def _by_line():
-    from pyspark.sql import Window
-
-    return Window.orderBy("i")
+    """i and value of files with a number on each line, in the order of the files' names and of their lines. Files may be of
+    any size: lines are numbered within the blocks that Spark reads, and blocks after one another."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("k"))
+    lines = settle(lines.where(F.length(F.trim("value")) > 0))
+    blocks = lines.groupBy("f", "b").agg(F.count("*").alias("n"))
+    starts = blocks.select("f", "b", (F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")).alias("start"))  # a row for each block of 128 MB
+    placed = lines.withColumn("local", F.row_number().over(Window.partitionBy("f", "b").orderBy("k"))).join(starts, ["f", "b"])
+    return placed.select((F.col("start") + F.col("local")).alias("i"), F.trim("value").try_cast("double").alias("value"))
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     """Weight history: a row for each iteration, comma-separated, without header; w0, w1 ... in the file's order."""
-    return spark.read.csv(path, header=False, inferSchema=True).toDF(*(f"w{i}" for i in range(len(first_line(spark, path).split(",")))))
+    columns = len(first_line(spark, path).split(","))
+    return spark.read.csv(path, header=False, schema=", ".join(f"w{i} double" for i in range(columns)))
 
 
 def read_priors(spark: SparkSession, path: str) -> DataFrame:

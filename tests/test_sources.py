@@ -31,6 +31,15 @@ def test_tables(spark, tmp_path):
     assert [tuple(r) for r in text.read_sniffed(spark, put(tmp_path / "d.txt", "a b\n1 2\n")).collect()] == [(1.0, 2.0)]
     assert text.read_undulations(spark, put(tmp_path / "e.txt", "1 2 3\n")).first()["undulation"] == 3.0
     assert [r["value"] for r in text.read_vector(spark, put(tmp_path / "f.txt", "3e0\n1e0\n2e0\n")).orderBy("i").collect()] == [3.0, 1.0, 2.0]
+    (tmp_path / "v").mkdir()
+    for k in range(3):
+        put(tmp_path / "v" / f"{k}.txt", "".join(f"{k * 100 + i}\n" for i in range(40)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "60b")  # files in several blocks, dealt in any order
+        assert [(r["i"], r["value"]) for r in text.read_vector(spark, str(tmp_path / "v")).orderBy("i").collect()] == [(k * 40 + i + 1, float(k * 100 + i)) for k in range(3) for i in range(40)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert text.read_weights(spark, put(tmp_path / "g.csv", "1.5,2\n3,4\n")).columns == ["w0", "w1"]
     assert [tuple(r) for r in text.read_priors(spark, put(tmp_path / "h.txt", "Block A\t2.5\nB 3\n")).collect()] == [("Block A", 2.5), ("B", 3.0)]
     assert [r["split"] for r in text.read_manifest(spark, put(tmp_path / "i.txt", "a\tb\tSi\nc\td\tNo\n")).collect()] == [True, False]
@@ -115,6 +124,40 @@ def test_changed_inputs_are_never_kept(spark, tmp_path):
     assert outcome(obs=tables["obs"].withColumn("residual", F.col("residual") * 2))[0] == "made"
 
 
+def test_from_files_to_quasigeoid(spark, tmp_path):
+    """One call over written files; the pixels' fields equal what the operators give at these places."""
+    import numpy as np
+
+    from plumbline.operators import harmonics
+    from plumbline.plans import refine
+    from plumbline.roles import ColumnRoles
+
+    rows = view(spark, DATA, "obs_ter").select("lat", "lon", "h", "g").collect()
+    put(tmp_path / "ter.txt", "latitude\tlongitude\th\tgravity\n" + "".join(f"{r['lat']!r}\t{r['lon']!r}\t{r['h']!r}\t{r['g']!r}\n" for r in rows) + "bad\t1\t2\t3\n")
+    rows = view(spark, DATA, "obs_air").select("lat", "lon", "h", "g", "line", "project").limit(300).collect()
+    put(tmp_path / "air.txt", "lat(deg)\tlon(deg)\th\tg\tline\tblock\n" + "".join(f"{r['lat']!r}\t{r['lon']!r}\t{r['h']!r}\t{r['g']!r}\t{r['line']}\t{r['project']}\n" for r in rows))
+    head = "earth_gravity_constant 0.3986004415E+15\nend_of_head ===\n"
+    model = put(tmp_path / "m.gfc", head + "gfc 2 0 -0.48416e-03 0.0\ngfc 2 1 1e-9 2e-9\ngfc 2 2 2.4e-6 -1.4e-6\ngfc 3 1 2.0e-6 2.5e-7\n")
+    topo = put(tmp_path / "t.gfc", head + "gfc 2 0 1e-8 0.0\ngfc 4 2 1e-8 -2e-8\n")
+    (tmp_path / "srtm").mkdir()
+    (tmp_path / "ertm").mkdir()
+    for lon in (109, 108):
+        put(tmp_path / "srtm" / f"N36W{lon}.hgt", np.full((13, 13), 700, ">i2").tobytes(), "wb")
+    for kind in ("dg", "ha"):
+        put(tmp_path / "ertm" / f"N35W110.{kind}", np.full((50, 50), 20, ">i2").tobytes(), "wb")
+    priors = put(tmp_path / "priors.txt", "terrestrial\t2.0\n")
+    config = pipeline.Config(36.0, 37.0, -109.0, -107.0, 0.25, 150, 20, aperture=0.5, sigma2_mu=1e6, max_iter=2, cases=(pipeline.Case.SIGMAS_VC,))
+    inputs = refine.Inputs(model, 3, topo, (2, 4), model, 3, str(tmp_path / "srtm"), 12, str(tmp_path / "ertm"), 50, str(tmp_path / "ter.txt"), ColumnRoles("latitude", "longitude", "h", "gravity"), str(tmp_path / "air.txt"), ColumnRoles("lat(deg)", "lon(deg)", "h", "g", project="block", line="line"), priors)
+    (outcome,), cache, outliers = refine.refine(spark, config, inputs, str(tmp_path / "run"))
+    assert outcome.error is None, outcome.error
+    pixels = outcome.pixels.collect()
+    assert len(pixels) == 4 * 8 and set(outliers) == {"terrestrial", "airborne"} and ("pixels_sigmas_vc", "made") in cache.log
+    potential = {r["pixel_id"]: r["value"] for r in harmonics.synthesis(outcome.pixels.select("pixel_id", "lat", "lon", F.col("height").alias("h")), text.read_gfc(spark, model), 3, 2, "potential", subtract_normal=True, key="pixel_id").collect()}
+    for r in pixels:
+        assert r["srtm"] == pytest.approx(700) and r["terrain"] == pytest.approx(0.02) and r["model"] == pytest.approx(potential[r["pixel_id"]])
+        assert r["zeta"] is not None and r["std_zeta"] is not None and abs(r["height"] - 700) < 200
+
+
 def test_failing_case_is_isolated(spark, tmp_path):
     clean = view(spark, DATA, "obs_ter").withColumn("residual", F.lit(1.0))
     config = pipeline.Config(36.5, 38.5, -108.5, -103.5, 0.5, 40, 10, aperture=0.5, cases=(pipeline.Case.UNIT_VC,))
