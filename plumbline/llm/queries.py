@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, chats, decontaminate, hostrules, licences, minhash, packing, quality, secrets, separators
+from plumbline.llm import bitpack, chats, decontaminate, hostrules, importance, licences, minhash, packing, quality, secrets, separators, spelling
 from plumbline.session import table
 
 
@@ -50,6 +50,14 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def host_rules_of_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge_sections(table(spark, sf_dir, "documents"))
 
@@ -65,7 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bit_packed_tokens": op8_bit_packed_tokens,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_host_quality_rules": op10_host_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_importance_resampling": op13_importance_resampling,
     "host_rules_of_sections": host_rules_of_sections,
 }
 
-ORACLE: dict[str, str] = {"op5_chat_formatting": chats.RENDER_SQL, "op10_host_quality_rules": hostrules.JUDGE_SQL, "host_rules_of_sections": hostrules.SECTIONS_SQL}
+ORACLE: dict[str, str] = {"op5_chat_formatting": chats.RENDER_SQL, "op10_host_quality_rules": hostrules.JUDGE_SQL, "op11_spelling_variants": spelling.VARIANTS_SQL, "op13_importance_resampling": importance.RESAMPLE_SQL, "host_rules_of_sections": hostrules.SECTIONS_SQL}
