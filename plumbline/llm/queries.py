@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bitpack, chats, decontaminate, hostrules, importance, licences, minhash, packing, quality, secrets, separators, spelling
+from plumbline.llm import bitpack, chats, decontaminate, hostrules, importance, licences, minhash, packing, quality, repeats, secrets, separators, spelling
 from plumbline.session import table
 
 
@@ -54,6 +54,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_host_quality_rules": op10_host_quality_rules,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_suffix_repeats": op12_suffix_repeats,
     "op13_importance_resampling": op13_importance_resampling,
     "host_rules_of_sections": host_rules_of_sections,
 }
