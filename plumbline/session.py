@@ -24,10 +24,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's setting by which an execution's shuffle files go when it has ended.
+FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(frame: DataFrame) -> DataFrame:
-    """The rows of `frame`, computed once and kept on shared storage: lost executors cost no recomputation."""
+    """The rows of `frame`, computed once and kept on shared storage: lost executors cost no recomputation, and the shuffle
+    files that led to the rows go at once."""
     checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    conf = frame.sparkSession.conf
+    before = conf.get(FILES_GO, None)
+    conf.set(FILES_GO, "true")
+    try:
+        return frame.checkpoint(eager=True)
+    finally:
+        conf.unset(FILES_GO) if before is None else conf.set(FILES_GO, before)
 
 
 #: Bytes of an Arrow batch sent to Python: rows may be whole books.
