@@ -45,12 +45,14 @@ GRAM = 24
 #: Bytes of a digit of the sort inside a task.
 DIGIT = 8
 #: Windows looked at together, and contexts sorted together.
-SEGMENT, SORTED = 4_000_000, 20_000
+SEGMENT, SORTED = 2_000_000, 20_000
 #: Different contexts of one anchor that a task sorts; more are told apart by a shuffle.
 MOST_CONTEXTS = 50_000
 #: A context's bytes at most, in whole digits.
 _WIDE = -(-(2 * WINDOW - GRAM) // DIGIT) * DIGIT
 _LOW = np.uint64(0xFFFFFFFF)
+#: Bits of an anchor's hash that are sent about. Anchors that share them are sorted together and told apart by their bytes.
+_SENT = ~np.uint64(0xFFFF)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -101,7 +103,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, begin: int) -> tuple[np.ndarra
     place, start, owner = place[inside], start[inside], owner[inside]
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
     last = np.concatenate([first[1:], [len(place)]])[: len(first)] - 1
-    return owner[first], codes[place[first]], begin + place[first], start[first], start[last]
+    return owner[first], codes[place[first]] & _SENT, begin + place[first], start[first], start[last]
 
 
 def _heads(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -444,13 +446,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = long.select("doc_id", "text").mapInArrow(others, "doc_id long, text string").unionByName(open_again(maybe))
     grams = settle(shared_anchors(own))
     met = squeezed(long, bitmap_of(grams.select("doc_id"))).where("z IS NOT NULL").join(grams, "doc_id")
-    found = settle(sort_contexts(contexts(met), most, together))
-    spans = found.where("context IS NULL").select("doc_id", "c", "begin", "n")
-    hot = found.where("context IS NOT NULL")
+    found = sort_contexts(contexts(met), most, together)
+    judged, open_ = F.col("context").isNull(), F.struct("begin", "n", "context")
+    rows = settle(found.groupBy("doc_id", "c").agg(F.collect_set(F.when(judged, F.struct("begin", "n"))).alias("spans"), F.collect_list(F.when(~judged, open_)).alias("hot")))
+    # copies are no documents of the sort, so each document is in one of both
+    spans = rows.select("doc_id", "c", "spans").unionByName(copies.select("doc_id", "c", F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").cast("int").alias("n"))).alias("spans")))
+    hot = rows.select("doc_id", "c", F.explode("hot").alias("x")).select("doc_id", "c", "x.*")
     if hot.limit(1).count():
-        spans = spans.unionByName(last_pass(hot))
-    spans = spans.unionByName(copies.select("doc_id", "c", F.lit(0).cast("long").alias("begin"), F.col("n_bytes").cast("int").alias("n")))
-    return texts, settle(spans.groupBy("doc_id", "c").agg(F.collect_set(F.struct("begin", "n")).alias("spans")))
+        more = last_pass(hot).groupBy("doc_id", "c").agg(F.collect_set(F.struct("begin", "n")).alias("spans"))
+        spans = settle(spans.unionByName(more).groupBy("doc_id", "c").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    return texts, spans.where(F.size("spans") > 0)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_CONTEXTS, together: int = SORTED) -> DataFrame:
