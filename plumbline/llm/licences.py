@@ -2,13 +2,14 @@
 
 Text is normalised to lower-case runs of letters and digits; lines and punctuation don't bound a passage. Every window of
 words is a candidate for the templates of a size that allows the threshold: with sizes a and b, Dice is at most
-2 min(a, b) / (a + b). The best window of a template begins and ends with one of its bigrams, for leaving others off only
-helps; so only these are tried, and a start only if the template's bigrams within reach suffice for the threshold and
-for the best window so far. The result is that of trying all windows of all templates.
+2 min(a, b) / (a + b). A template's windows worth trying begin and end with one of its bigrams, for leaving others off only
+helps; and a start is tried only if the template's bigrams within reach suffice for the threshold.
 
-Templates are short notices and the whole texts of common licences (`licence_texts`). Of a document the best passage of
-each licence is reported: equally good ones give the larger template, then the earlier passage. Of passages of different
-licences that overlap only the best stays (versions of one licence share most of their words).
+Passages are taken from the best window of all templates downwards, each where it overlaps none that was taken before
+(versions of one licence share most of their words, so a passage of one is also alike to others): of equal ones that of the
+larger template, then the earlier one. The result is that of trying all windows of all templates in this order. Of a
+document the best passage of each licence is reported. Templates are short notices and the whole texts of common licences
+(`licence_texts`).
 
 Null and empty texts have none; null ids stay null; repeated rows give repeated results; an empty table gives none; other
 columns, whatever their names, don't matter.
@@ -16,6 +17,9 @@ columns, whatever their names, don't matter.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -120,47 +124,66 @@ class Templates:
         if not len(at):
             return []
         own = place[at]
-        best: dict[str, tuple[float, int, int, int]] = {}
-        for k in np.flatnonzero(self.member[:, own].sum(1) >= self.share * self.sizes - 1e-9):
-            found = self.best_window(int(k), at, own)
-            if found and (self.names[k] not in best or (-found[0], -self.sizes[k], found[1]) < best[self.names[k]][:3]):
-                best[self.names[k]] = (-found[0], -int(self.sizes[k]), found[1], found[2])
-        kept: list[tuple[str, float, int, int]] = []
-        for name, (value, _, first, end) in sorted(best.items(), key=lambda x: (*x[1], x[0])):
-            if all(end <= a or b <= first for _, _, a, b in kept):
-                kept.append((name, -value, first, end))
-        return sorted(kept, key=lambda x: (x[2], x[0]))
-
-    def best_window(self, k: int, at: np.ndarray, own: np.ndarray) -> tuple[float, int, int] | None:
-        """(Dice, first word, end word) of the best window for template k; at, own: where the document has known bigrams."""
-        mine = self.member[k, own]
-        at, own, size = at[mine], own[mine], int(self.sizes[k])
-        n = len(at)
+        likely = np.flatnonzero(self.member[:, own].sum(1) >= self.share * self.sizes - 1e-9)
+        searches = {int(k): Search(self, int(k), at, own) for k in likely}
+        # starts by what they can reach at most; a start's best window is settled when it comes first, and taken when it still does
+        queue = [entry for k, x in searches.items() for entry in x.starts()]
+        heapq.heapify(queue)
+        taken: list[tuple[int, int]] = []  # (first, end) of passages in their order
+        best: dict[str, tuple[float, int, int]] = {}
+        while queue:
+            value, settled, _, first, _, k, s, end = heapq.heappop(queue)
+            after = bisect.bisect_right(taken, (first, math.inf))
+            if after and taken[after - 1][1] > first:
+                continue
+            limit = taken[after][0] if after < len(taken) else math.inf
+            if not settled or end > limit:
+                found = searches[k].best_from(s, limit)
+                if found:
+                    heapq.heappush(queue, (-found[0], 1, -int(self.sizes[k]), first, self.names[k], k, s, found[1]))
+                continue
+            taken.insert(after, (first, end))
+            best.setdefault(self.names[k], (-value, first, end))
+        return sorted(((name, *x) for name, x in best.items()), key=lambda x: (x[2], x[0]))
+
+
+class Search:
+    """Windows of one document for one template; at, own: where the document has known bigrams."""
+
+    def __init__(self, templates: Templates, k: int, at: np.ndarray, own: np.ndarray) -> None:
+        mine = templates.member[k, own]
+        self.k, self.name, self.least = k, templates.names[k], templates.least
+        self.at, self.size = at[mine], int(templates.sizes[k])
+        own, n = own[mine], int(mine.sum())
         # a bigram counts in a window as often as the template has it: not if so many of its kind precede it in the window
         order = np.argsort(own, kind="stable")
-        back = np.arange(n) - self.counts[k, own[order]]
-        earlier = np.full(n, -1)
+        back = np.arange(n) - templates.counts[k, own[order]]
+        self.earlier = np.full(n, -1)
         same = (back >= 0) & (own[order[np.maximum(back, 0)]] == own[order])
-        earlier[order[same]] = order[back[same]]
-        stop = np.searchsorted(at, at + int(size / self.share + 1e-9), "left")
-        reach = stop - np.arange(n)
+        self.earlier[order[same]] = order[back[same]]
+        self.stop = np.searchsorted(self.at, self.at + int(self.size / templates.share + 1e-9), "left")
+
+    def starts(self) -> list[tuple]:
+        """An entry of the queue for each start of which a window may be alike enough, with what it can reach."""
+        n, size = len(self.at), self.size
+        reach = self.stop - np.arange(n)
         bound = 2 * reach / (reach + size)
         for block in range(0, n, START_BLOCK):
             part = slice(block, min(block + START_BLOCK, n))
             if (bound[part] >= self.least - 1e-12).any():
-                most = int((earlier[block : stop[part.stop - 1]] < part.stop).sum())  # at least what any start of the block has
+                most = int((self.earlier[block : self.stop[part.stop - 1]] < part.stop).sum())  # at least what any start of the block has
                 bound[part] = np.minimum(bound[part], 2 * most / (most + size))
-        starts = np.flatnonzero(bound >= self.least - 1e-12)
-        best: tuple[float, int, int] | None = None
-        for s in starts[np.argsort(-bound[starts], kind="stable")].tolist():
-            if best is not None and bound[s] < best[0]:
-                break
-            shared = np.cumsum(earlier[s : stop[s]] < s)
-            value = 2 * shared / (at[s : stop[s]] - at[s] + 1 + size)
-            e = int(value.argmax())
-            if value[e] >= self.least - 1e-12 and (best is None or (-value[e], at[s]) < (-best[0], best[1])):
-                best = (float(value[e]), int(at[s]), int(at[s + e]) + 2)
-        return best
+        return [(-float(bound[s]), 0, -size, int(self.at[s]), self.name, self.k, s, 0) for s in np.flatnonzero(bound >= self.least - 1e-12).tolist()]
+
+    def best_from(self, s: int, limit: float) -> tuple[float, int] | None:
+        """(Dice, end word) of the best window from a start that ends at a word before the limit."""
+        stop = min(int(self.stop[s]), int(np.searchsorted(self.at, limit - 2, "right")))
+        if stop <= s:
+            return None
+        shared = np.cumsum(self.earlier[s:stop] < s)
+        value = 2 * shared / (self.at[s:stop] - self.at[s] + 1 + self.size)
+        e = int(value.argmax())
+        return (float(value[e]), int(self.at[s + e]) + 2) if value[e] >= self.least - 1e-12 else None
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] | None = None, least: float = LEAST) -> DataFrame:
