@@ -237,10 +237,22 @@ def is_armoured_key(label: str, body: str) -> bool:
     return private_key_end(Plain(raw)) == len(raw)
 
 
-def armour_in(data: bytes) -> int | None:
-    """Where the first armoured private key in a text's bytes ends."""
-    text = data.decode("latin-1")
-    return next((end for _, end, label, body in armours(text) if is_armoured_key(label, body)), None)
+#: No text has these, but bytes decoded beyond the end of what was encoded together do.
+NO_TEXT = re.compile(rb"[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f]")
+
+
+def nested_key_end(source: Encoded) -> tuple[int | None, int]:
+    """(where the first armoured private key in the text that begins here ends or None, bytes that were looked at): decoded
+    in growing stretches, so that a key costs its own length."""
+    size = 4_096
+    while True:
+        data = source.read(0, size)
+        stop = NO_TEXT.search(data)
+        data = data[: stop.start()] if stop else data
+        found = next((end for _, end, label, body in armours(data.decode("latin-1")) if is_armoured_key(label, body)), None)
+        if found is not None or stop or size >= source.size:
+            return found, len(data)
+        size *= 4
 
 
 # ------------------------------------------------------------------------------------------------- candidates
@@ -268,15 +280,18 @@ def encoded_spans(text: str) -> Iterator[tuple[int, int, str]]:
             if len(run) < 40:
                 continue
             run = run.lower() if hexadecimal else run.translate(_PLAIN)
-            done = 0
+            done, searched = 0, [0] * 4  # what ends a nested key, by the place of its first character among four
             for m in begins.finditer(run):
                 if m.start() < done:
                     continue
                 source = Encoded(run, m.start(), hexadecimal)
                 which = 0 if len(m[0]) <= 2 else 1 if len(m[0]) > 14 else 2
                 if which == 2:
-                    size = armour_in(source.read(0, source.size))
-                    done = done if size else len(run)  # it was searched to its end
+                    if m.start() < searched[m.start() % 4]:
+                        continue
+                    size, seen = nested_key_end(source)
+                    if not size:
+                        searched[m.start() % 4] = m.start() + source.chars(seen)
                 else:
                     size = ssh_key_end(source) if which else der_key_end(source)
                 if not size:
