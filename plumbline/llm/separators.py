@@ -26,8 +26,8 @@ from plumbline.session import settle, ship_package
 ID_BYTES = 2
 #: The number that ends a document.
 END = 0
-#: Documents are written in stretches of so many ids or more, and files of so many stretches: 64 MB, as a task reads files whole.
-STRETCH_IDS, FILE_STRETCHES = 1_000_000, 32
+#: Documents are written in stretches of so many ids or more, and files of so many stretches: 32 MB, as a task reads files whole.
+STRETCH_IDS, FILE_STRETCHES = 1_000_000, 16
 #: Bytes searched at once.
 BLOCK_BYTES = 1 << 18
 #: A document's name in the list beside the token files: whether there is one, and the integer id.
