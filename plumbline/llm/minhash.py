@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bitmaps import bitmap_of, hits, packed_texts, unpack_texts
 from plumbline.llm.components import components
-from plumbline.llm.skew import join_counted
+from plumbline.llm.skew import join_counted, join_served
 from plumbline.llm.trees import packed, sum_vectors, vector_batch
 from plumbline.llm.wordsplit import content_codes, hashed_runs, mix
 from plumbline.session import settle, ship_package
@@ -44,6 +44,8 @@ COUNTERS = 1 << 21
 IDF_FLOOR = 0.5
 #: Added to document frequencies: below it they say little of how common words are, and much of how many copies a text has.
 SMOOTHING = 100
+#: Ids of 8 bytes that are sent to all tasks at most.
+MOST_SENT = 1_000_000
 #: Random draws (r, log c, beta) that hashes choose from.
 DRAWS = 1 << 16
 
@@ -233,7 +235,7 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: object, least: float) ->
 
     own = packed_texts(texts, bitmap_of(pairs.select("a"))).select(F.col("doc_id").alias("a"), F.col("z").alias("z_a"))
     heads = packed_texts(texts, bitmap_of(pairs.select("b"))).select(F.col("doc_id").alias("b"), F.col("z").alias("z_b"))
-    both = pairs.join(own, "a").join(heads, "b")
+    both = join_served(pairs, heads, "b", "a").join(own, "a")
     return both.select("a", "b", "ca", "cb", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -404,7 +406,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     classes = settle(near_duplicates(docs, id_col, text_col, least))
     dropped = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__dropped")).distinct()
     kept = docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
-    if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        one = kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*kept.columns), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__row"))
-        kept = one.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))
+    repeated = settle(classes.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated")))
+    many = repeated.count()
+    if many:
+        named = F.broadcast(repeated) if many <= MOST_SENT else repeated
+        same = F.col(id_col).cast("long") == F.col("__repeated")
+        again = kept.join(named, same, "left_semi")
+        one = again.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*kept.columns), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__row"))
+        kept = kept.join(named, same, "left_anti").unionByName(one.select("__row.*"))
     return kept
