@@ -578,6 +578,26 @@ def test_time_follows_length():
         assert time.process_time() - begin < 20, text[:40]
 
 
+def test_nested_keys_one_after_the_other():
+    """Each key costs its own length, found whatever its place among four characters; other armours between don't hide it."""
+    keys = [base64.b64encode((armoured("PRIVATE KEY", PKCS8) + "\n" * k).encode()).decode().rstrip("=") for k in range(3)]
+    public = base64.b64encode(armoured("CERTIFICATE", CERTIFICATE).encode()).decode().rstrip("=")
+    for parts in ([keys[0], keys[1], keys[2], keys[0]], [public, keys[1], public, public, keys[2]], [public + "A", keys[0]]):
+        text = "".join(parts)
+        ends = [m.end() for m in re.finditer(re.escape(keys[0][-20:]), text)]
+        got = secrets.confirmed_spans(text)
+        assert {k for _, _, k in got} == {"nested_key"} and len(got) == sum(p in keys for p in parts), parts
+        covered = {i for a, b, _ in got for i in range(a, b)}
+        assert all(set(range(m.start(), m.start() + 100)) <= covered for k in keys for m in re.finditer(re.escape(k[:100]), text)) or not ends
+    def seconds(n):
+        begin = time.process_time()
+        assert len(secrets.confirmed_spans("".join(keys[k % 3] for k in range(n)))) == n
+        return time.process_time() - begin
+    seconds(50)
+    once, more = seconds(400), seconds(1600)
+    assert more < 8 * once + 0.5
+
+
 def test_secrets_in_lines_alphabets_and_company():
     private = SSH_PRIVATE
     spiked = der(0x30, der(2, b"\x00") + der(2, b"\xfb\xff\xbe" * 30) * 8)
@@ -707,10 +727,13 @@ def test_licences(spark):
         (11, "Copyright (c) 2020 Jane Doe. All rights reserved. Released under the MIT License. See the file for details."),
         (12, "This work is licensed under the GNU General Public License, version 3."), (13, "This work is licensed under the GNU General Public License, version 2."),
     ]
+    gpl = "This work is {}licensed under the GNU General Public License, version {}."
+    rows += [(20, gpl.format("", 3) + " word" * 60 + " " + gpl.format("now ", 2)), (21, (gpl.format("", 3) + " ") * 3 + gpl.format("", 2))]
     rows += [(100 + k, form) for k, name in enumerate(("MIT", "BSD-3-Clause", "ISC", "Apache-2.0")) for form in (line(full[name]), "\n".join(full[name].split()), f"a line of prose before it {line(full[name])} and prose after it", json.dumps(full[name]))]
     rows += [(200, full["GPL-3.0"] + "\n\n" + full["MPL-2.0"]), (201, full["BSD-2-Clause"])]
     got = Counter((r["doc_id"], r["licence"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence", F.lit(1))).collect())
     want = Counter({(0, "Apache-2.0"): 1, (1, "MIT"): 1, (None, "CC-BY-NC-4.0"): 1, (10, "MIT"): 1, (11, "MIT"): 1, (12, "GPL-3.0"): 1, (13, "GPL-2.0"): 1, (200, "GPL-3.0"): 1, (200, "MPL-2.0"): 1, (201, "BSD-2-Clause"): 1})
+    want.update({(i, name): 1 for i in (20, 21) for name in ("GPL-3.0", "GPL-2.0")})
     want.update({(100 + k, name): 4 for k, name in enumerate(("MIT", "BSD-3-Clause", "ISC", "Apache-2.0"))})
     assert got == want
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -729,19 +752,21 @@ def test_licence_windows_equal_brute_force(monkeypatch, block):
         for _ in range(rng.randrange(4)):
             cut[rng.randrange(len(cut))] = "x"
         words = licences.WORD.findall(" ".join(cut).lower())
-        best = {}
+        windows = []
         for name, t in some:
             own = licences.bigrams(t)
             size = sum(own.values())
             for a in range(len(words)):
                 for b in range(a + 2, min(len(words), a + 2 * size + 3) + 1):
                     d = licences.dice(licences.bigrams(" ".join(words[a:b])), own)
-                    if d >= 0.8 and (name not in best or (-d, -size, a) < best[name][:3]):
-                        best[name] = (-d, -size, a, b)
-        kept = []
-        for name, (d, _, a, b) in sorted(best.items(), key=lambda x: (*x[1], x[0])):
-            if all(b <= p or q <= a for _, _, p, q in kept):
-                kept.append((name, round(-d, 9), a, b))
+                    if d >= 0.8:
+                        windows.append((-d, -size, a, name, b))
+        taken, best = [], {}
+        for d, _, a, name, b in sorted(windows):
+            if all(b <= p or q <= a for p, q in taken):
+                taken.append((a, b))
+                best.setdefault(name, (name, round(-d, 9), a, b))
+        kept = list(best.values())
         ids, bounds = table.numbered(pa.array([" ".join(cut)], pa.large_string()))
         got = [(n, round(d, 9), a, b) for n, d, a, b in table.passages(ids)]
         assert sorted(got) == sorted(kept), cut
@@ -749,5 +774,38 @@ def test_licence_windows_equal_brute_force(monkeypatch, block):
     assert found > 30
 
 
+def test_partners_served_in_copies(spark, monkeypatch):
+    """A key with most rows: its partner is copied as its rows need, and no task gets more than a share of them."""
+    monkeypatch.setattr(skew, "SERVED_ROWS", 100)
+    rows = spark.range(20_000).select(F.col("id").alias("a"), F.when(F.col("id") % 10 < 9, F.lit(7)).otherwise(F.col("id")).cast("long").alias("b"))
+    one = spark.range(20_000).select(F.col("id").alias("b"), F.concat(F.lit("text "), "id").alias("z"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = skew.join_served(rows, one, "b", "a")
+        sizes = [len(x) for x in got.rdd.glom().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 2 * np.median(sizes)
+        assert got.where("z <> concat('text ', b)").count() == 0 and got.select("a").distinct().count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(components, "MANY_LINKS", 10)
+    links = [(0, k) for k in range(1, 1500)] + [(2_000 + k, 2_001 + k) for k in range(40)] + [(1_499, 3_000)]
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {k: 0 for k in [*range(1, 1500), 3_000]} | {2_001 + k: 2_000 for k in range(40)}
+
+
+def test_keep_one_touches_repeated_ids_only(spark):
+    """Extra struct and map columns stay; of rows that repeat an id one stays, rows without an id all do."""
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text), (1, text), (1, "other"), (2, text), (3, "unique words of this one here"), (None, "x"), (None, "x"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("s", F.struct(F.lit(1).alias("k"))).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = minhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted((str(r["doc_id"]), r["m"]["a"], r["s"]["k"]) for r in got.collect()) == [("1", 1, 1), ("3", 1, 1), ("4", 1, 1), ("None", 1, 1), ("None", 1, 1)]
+
+
 def test_flat_folder_is_shared(spark):
     assert new_folder(spark, "x") != new_folder(spark, "x")
