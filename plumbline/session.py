@@ -36,7 +36,7 @@ def settle(frame: DataFrame) -> DataFrame:
     before = conf.get(FILES_GO, None)
     conf.set(FILES_GO, "true")
     try:
-        return frame.checkpoint(eager=True)
+        return frame.select("*").checkpoint(eager=True)  # a plan of its own, made under the setting
     finally:
         conf.unset(FILES_GO) if before is None else conf.set(FILES_GO, before)
 
