@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bitmaps import bitmap_of, hits, packed_texts, unpack_texts
 from plumbline.llm.components import components
-from plumbline.llm.skew import join_counted, join_served
+from plumbline.llm.skew import join_counted, served
 from plumbline.llm.trees import packed, sum_vectors, vector_batch
 from plumbline.llm.wordsplit import content_codes, hashed_runs, mix
 from plumbline.session import settle, ship_package
@@ -235,7 +235,8 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: object, least: float) ->
 
     own = packed_texts(texts, bitmap_of(pairs.select("a"))).select(F.col("doc_id").alias("a"), F.col("z").alias("z_a"))
     heads = packed_texts(texts, bitmap_of(pairs.select("b"))).select(F.col("doc_id").alias("b"), F.col("z").alias("z_b"))
-    both = join_served(pairs, heads, "b", "a").join(own, "a")
+    dealt, partners = served(pairs, heads, "b", "a")
+    both = dealt.join(own, "a").join(partners, ["b", "__copy"])
     return both.select("a", "b", "ca", "cb", "z_a", "z_b").mapInArrow(run, "a long, b long").distinct()
 
 

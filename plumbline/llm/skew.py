@@ -30,11 +30,11 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str =
 SERVED_ROWS = 5_000
 
 
-def join_served(rows: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
-    """Inner join of rows with `one`, whose rows may be large and aren't to be sent to all tasks: of a key's partner there are as
-    many copies as its rows need, and the rows are dealt among them by the column `spread`."""
+def served(rows: DataFrame, one: DataFrame, key: str, spread: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an inner join on [key, __copy] of rows with `one`, whose rows may be large and aren't to be sent to all tasks:
+    of a key's partner there are as many copies as its rows need, and the rows are dealt among them by the column `spread`."""
     counted = settle(rows.groupBy(key).agg(F.count("*").alias("__n")))
     copies = F.ceil(F.col("__n") / SERVED_ROWS).cast("long")
     dealt = join_counted(rows, counted, [key], "__n").withColumn("__copy", F.pmod(F.xxhash64(spread), copies)).drop("__n")
     partners = one.join(counted, key).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("__n")
-    return dealt.join(partners, [key, "__copy"]).drop("__copy")
+    return dealt, partners
