@@ -7,33 +7,50 @@ from pyspark.sql import functions as F
 
 from plumbline import constants as C
 from plumbline.functions.spherical import with_projection
-from plumbline.operators.stats import exact_quantiles, grouped_median, nmad
+from plumbline.operators.stats import exact_quantiles, nmad
 from plumbline.session import settle
 
 
+def _far(value: F.Column, median: float, spread: float) -> F.Column:
+    return (value > median + 3 * spread) | (value < median - 3 * spread)
+
+
 def nmad_candidates(obs: DataFrame, value: str = "value") -> DataFrame:
     """Rows outside median +- 3 NMAD."""
     median, spread = nmad(obs, F.col(value))
     if median is None:
         return obs.limit(0)
-    return obs.where((F.col(value) > median + 3 * spread) | (F.col(value) < median - 3 * spread))
+    return obs.where(_far(F.col(value), median, spread))
 
 
-def neighbours(candidates: DataFrame, reference: DataFrame, radius_m: float) -> DataFrame:
-    """(cand, cand_value, ref, ref_value, dist) of all reference points within the radius of a candidate.
+#: Cells on a radius, and bins of the counts by which ranks are found.
+CELLS, BINS = 2, 512
 
-    Both sides carry x, y in metres. Candidates are few; each goes to the nine cells of one radius around it and meets the
-    reference points of these cells by an equi-join.
-    """
-    def cell(c: str) -> F.Column:
-        return F.floor(F.col(c) / F.lit(float(radius_m)))
 
-    shifts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("s")
-    left = candidates.select(F.col("obs_id").alias("cand"), F.col("value").alias("cand_value"), F.col("x").alias("cx"), F.col("y").alias("cy"), shifts)
-    left = left.withColumn("kx", cell("cx") + F.col("s.i")).withColumn("ky", cell("cy") + F.col("s.j")).drop("s")
+def around(candidates: DataFrame, reference: DataFrame, radius_m: float, *carried: str) -> DataFrame:
+    """(cand, ref, ref_value, dist and carried columns of the candidate) of all reference points within the radius of a
+    candidate (cand, cx, cy).
+
+    Both sides are in metres. Candidates are few; each goes to the cells that its circle meets and meets the reference
+    points of these cells by an equi-join. The pairs are meant to be aggregated at once: their number grows with the density
+    of the points, and nothing here writes them.
+    """
+    side = radius_m / CELLS
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(side)))
+    steps = range(-CELLS, CELLS + 1)
+    shifts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in steps))).alias("s")
+    left = candidates.select("cand", "cx", "cy", *carried, shifts).withColumn("kx", cell("cx") + F.col("s.i")).withColumn("ky", cell("cy") + F.col("s.j")).drop("s")
+    apart = lambda k, c: F.greatest(F.col(k) * F.lit(side) - F.col(c), F.col(c) - (F.col(k) + 1) * F.lit(side), F.lit(0e0))
+    left = left.where(apart("kx", "cx") * apart("kx", "cx") + apart("ky", "cy") * apart("ky", "cy") <= F.lit(radius_m * radius_m * (1 + 1e-9)))
     right = reference.select(F.col("obs_id").alias("ref"), F.col("value").alias("ref_value"), "x", "y", cell("x").alias("kx"), cell("y").alias("ky"))
     dist = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))
-    return left.join(right, ["kx", "ky"]).withColumn("dist", dist).where(F.col("dist") <= radius_m).select("cand", "cand_value", "ref", "ref_value", "dist")
+    return left.join(right, ["kx", "ky"]).withColumn("dist", dist).where(F.col("dist") <= radius_m).select("cand", "ref", "ref_value", "dist", *carried)
+
+
+def neighbours(candidates: DataFrame, reference: DataFrame, radius_m: float) -> DataFrame:
+    """(cand, cand_value, ref, ref_value, dist) of all reference points within the radius of a candidate; both have x, y."""
+    placed = candidates.select(F.col("obs_id").alias("cand"), F.col("value").alias("cand_value"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return around(placed, reference, radius_m, "cand_value").select("cand", "cand_value", "ref", "ref_value", "dist")
 
 
 def _weighted(near: DataFrame, power: float) -> tuple[F.Column, F.Column]:
@@ -50,24 +67,68 @@ def interpolate(near: DataFrame, k: int = 2800, power: float = 1.0) -> DataFrame
     return nearest.groupBy("cand").agg(F.coalesce(*_weighted(nearest, power)).alias("interp"))
 
 
-def surroundings(near: DataFrame, k: int = 2800, power: float = 1.0, multiplier: float = 8.0) -> DataFrame:
-    """Per candidate: interp, and local, a multiple of the NMAD of all reference points around it.
+def _cell(value: F.Column, low: float, width: float) -> F.Column:
+    return F.greatest(F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)), F.lit(0)).cast("int")
 
-    One aggregation serves candidates with at most k neighbours; only the others' neighbours are ranked.
+
+def _holding(counted: DataFrame, low: str, high: str) -> DataFrame:
+    """Of counts (cand, bin, n, ranks low and high): cand, first and last bin that hold the ranks, and the ranks within them."""
+    before = F.sum("n").over(Window.partitionBy("cand").orderBy("bin")) - F.col("n")  # BINS rows for each candidate
+    placed = counted.withColumn("before", before).where((F.col("before") <= F.col(high)) & (F.col("before") + F.col("n") > F.col(low)))
+    found = placed.groupBy("cand").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.min("before").alias("start"), F.min(low).alias("low"), F.min(high).alias("high"))
+    return found.select("cand", "first", "last", (F.col("low") - F.col("start")).alias("low"), (F.col("high") - F.col("start")).alias("high"))
+
+
+def _middles(candidates: DataFrame, counted: DataFrame, reference: DataFrame, radius_m: float, value: F.Column, low: float, width: float, *carried: str) -> DataFrame:
+    """cand and the median of `value` over all pairs around it: counts in bins (cand, bin, n) say where the middle ranks are, and only
+    the values of these bins are looked at."""
+    total = F.sum("n").over(Window.partitionBy("cand"))
+    ranked = counted.withColumn("lower", F.floor((total - 1) / 2)).withColumn("upper", F.floor(total / 2))
+    where = settle(candidates.join(_holding(ranked, "lower", "upper"), "cand"))  # a row for each candidate
+    inside = around(where, reference, radius_m, "first", "last", "low", "high", *carried).withColumn("v", value)
+    inside = inside.withColumn("bin", _cell(F.col("v"), low, width)).where((F.col("bin") == F.col("first")) | (F.col("bin") == F.col("last")))
+    place = F.row_number().over(Window.partitionBy("cand").orderBy("v")) - 1
+    return inside.withColumn("place", place).where(F.col("place").between(F.col("low"), F.col("high"))).groupBy("cand").agg(F.avg("v").alias("middle"))
+
+
+def _nearest(candidates: DataFrame, reference: DataFrame, radius_m: float, k: int, power: float) -> DataFrame:
+    """cand and interp over the k nearest of candidates that have more: where the k-th lies is found by counts of distances."""
+    width = radius_m / BINS
+    place = _cell(F.col("dist"), 0e0, width).alias("bin")
+    counted = around(candidates, reference, radius_m).groupBy("cand", place).agg(F.count("*").alias("n")).withColumn("at", F.lit(k - 1).cast("long"))
+    where = settle(candidates.join(_holding(counted, "at", "at"), "cand"))
+    inside = around(where, reference, radius_m, "first", "low").where(place == F.col("first"))
+    last = inside.withColumn("rank", F.row_number().over(Window.partitionBy("cand").orderBy("dist", "ref")) - 1).where(F.col("rank") == F.col("low"))
+    cut = settle(candidates.join(last.select("cand", F.col("dist").alias("cut"), F.col("ref").alias("cut_ref")), "cand"))
+    near = around(cut, reference, radius_m, "cut", "cut_ref").where((F.col("dist") < F.col("cut")) | (F.col("dist") == F.col("cut")) & (F.col("ref") <= F.col("cut_ref")))
+    return near.groupBy("cand").agg(F.coalesce(*_weighted(near, power)).alias("nearest"))
+
+
+def surroundings(candidates: DataFrame, reference: DataFrame, radius_m: float, middle: float, spread: float, k: int = 2800, power: float = 1.0, multiplier: float = 8.0) -> DataFrame:
+    """Per candidate (cand, cx, cy) with reference points around it: interp, the inverse-distance mean of the k nearest, and local,
+    a multiple of the NMAD of all of them. middle and spread: median and NMAD of all values, about which the bins lie.
+
+    Each step is an aggregate of the pairs with at most `BINS` rows for each candidate; pairs aren't kept. Sums for the mean
+    and counts of values come from one step, the medians' values from one each, counts of deviations from one.
     """
-    zero, mean = _weighted(near, power)
-    first = settle(near.groupBy("cand").agg(F.count("*").alias("n"), F.coalesce(zero, mean).alias("all_near")))  # a row for each candidate
-    many = first.where(F.col("n") > k).select("cand")
-    ranked = interpolate(near.join(many, "cand", "left_semi"), k, power)
-    middles = grouped_median(near, "cand", "ref_value").withColumnRenamed("median", "med")
-    apart = near.join(middles, "cand").select("cand", F.abs(F.col("ref_value") - F.col("med")).alias("apart"))
-    mads = grouped_median(apart, "cand", "apart").withColumnRenamed("median", "mad")
-    joined = first.join(mads, "cand")
-    if many.limit(1).count():
-        joined = joined.join(ranked, "cand", "left")
+    width = 8 * spread / BINS if spread else 1.0
+    low = middle - 4 * spread
+    near = around(candidates, reference, radius_m)
+    w = F.when(F.col("dist") > 0, F.lit(1e0) / F.pow("dist", F.lit(float(power))))
+    zero = F.when(F.col("dist") == 0, F.struct("ref", "ref_value"))
+    first = settle(near.groupBy("cand", _cell(F.col("ref_value"), low, width).alias("bin")).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * F.col("ref_value")).alias("wv"), F.min(zero).alias("zero")))
+    means = settle(first.groupBy("cand").agg(F.sum("n").alias("n"), F.coalesce(F.min("zero")["ref_value"], F.sum("wv") / F.sum("w")).alias("all_near")))
+    middles = settle(candidates.join(_middles(candidates, first.select("cand", "bin", "n"), reference, radius_m, F.col("ref_value"), low, width).withColumnRenamed("middle", "med"), "cand"))
+    apart = F.abs(F.col("ref_value") - F.col("med"))
+    counted = settle(around(middles, reference, radius_m, "med").groupBy("cand", _cell(apart, 0e0, width).alias("bin")).agg(F.count("*").alias("n")))
+    mads = _middles(middles, counted, reference, radius_m, apart, 0e0, width, "med").withColumnRenamed("middle", "mad")
+    joined = means.join(mads, "cand")
+    many = candidates.join(means.where(F.col("n") > k).select("cand"), "cand", "left_semi")
+    if means.where(F.col("n") > k).limit(1).count():
+        joined = joined.join(_nearest(many, reference, radius_m, k, power), "cand", "left")
     else:
-        joined = joined.withColumn("interp", F.lit(None).cast("double"))
-    return joined.select("cand", F.coalesce("interp", "all_near").alias("interp"), (F.lit(multiplier * C.NMAD_FACTOR) * F.col("mad")).alias("local"))
+        joined = joined.withColumn("nearest", F.lit(None).cast("double"))
+    return joined.select("cand", F.coalesce("nearest", "all_near").alias("interp"), (F.lit(multiplier * C.NMAD_FACTOR) * F.col("mad")).alias("local"))
 
 
 def _known(obs: DataFrame, value: str) -> DataFrame:
@@ -89,10 +150,12 @@ def detect(obs: DataFrame, value: str = "value", k: int = 2800, radius_km: float
     if epsilon is None:
         empty = F.lit(None).cast("double")
         return obs.select("*", empty.alias("interp"), empty.alias("difference"), F.lit(False).alias("is_outlier"), F.lit(False).alias("is_candidate"))
-    candidates = nmad_candidates(points)
-    reference = points.join(candidates.select("obs_id"), "obs_id", "left_anti")
-    near = settle(neighbours(candidates, reference, radius_km * 1000))  # read for means, medians and deviations
-    tested = candidates.select("obs_id", "value").join(surroundings(near, k, power, multiplier).withColumnRenamed("cand", "obs_id"), "obs_id", "left")
+    median, spread = nmad(points, F.col("value"))
+    candidates = settle(points.where(_far(F.col("value"), median, spread)))
+    reference = points.where(~_far(F.col("value"), median, spread))
+    placed = candidates.select(F.col("obs_id").alias("cand"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    found = surroundings(placed, reference, radius_km * 1000, median, spread, k, power, multiplier)
+    tested = candidates.select("obs_id", "value").join(found.withColumnRenamed("cand", "obs_id"), "obs_id", "left")
     tested = tested.withColumn("interp", F.coalesce("interp", "value")).withColumn("difference", F.abs(F.col("value") - F.col("interp")))
     outlier = ((F.col("difference") > epsilon) & (F.abs("value") > epsilon)) | F.coalesce(F.col("difference") > F.col("local"), F.lit(False))
     judged = settle(tested.select("obs_id", "interp", "difference", outlier.alias("is_outlier")))
@@ -100,5 +163,4 @@ def detect(obs: DataFrame, value: str = "value", k: int = 2800, radius_km: float
     all_rows = all_rows.withColumn("interp", F.coalesce("interp", F.col(value))).withColumn("difference", F.coalesce("difference", F.abs(F.col(value) - F.col(value))))
     bad = judged.where("is_outlier").select("obs_id")
     median, spread = nmad(points.join(bad, "obs_id", "left_anti"), F.col("value"))
-    again = (F.col(value) > median + 3 * spread) | (F.col(value) < median - 3 * spread)
-    return all_rows.withColumn("is_candidate", F.coalesce(again, F.lit(False)))
+    return all_rows.withColumn("is_candidate", F.coalesce(_far(F.col(value), median, spread), F.lit(False)))

@@ -172,7 +172,7 @@ def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixe
             found[unit] = estimation.estimate_components(systems, start, config.sigma2_mu, max_iter=config.max_iter, tol=config.tol)
         return found[unit]
 
-    def solve(case: Case) -> tuple[np.ndarray, estimation.DenseFactor | blocks.BlockFactor, float]:
+    def solve(case: Case) -> tuple[np.ndarray, estimation.DenseFactor | blocks.Solver, float]:
         """Coefficients, and factor and scale of their covariance."""
         if not case.l_curve:
             vc = components(case.unit)
@@ -181,10 +181,10 @@ def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixe
             corners[case.unit] = estimation.l_curve(systems, components(case.unit))
         return corners[case.unit].beta, corners[case.unit].factor, corners[case.unit].scale
 
-    def predict(beta: np.ndarray, factor: estimation.DenseFactor | blocks.BlockFactor, scale: float) -> DataFrame:
+    def predict(beta: np.ndarray, factor: estimation.DenseFactor | blocks.Solver, scale: float) -> DataFrame:
         """pixel_id, potential, std_potential."""
         at = pixel_fields.select("pixel_id", "lat", "lon", F.col("height").alias("h"))
-        if isinstance(factor, blocks.BlockFactor):
+        if isinstance(factor, blocks.Solver):
             return design.synthesise(at, basis, beta, "pixel_id").join(factor.deviations(at, basis, "pixel_id", scale), "pixel_id")
         values, vectors = np.linalg.eigh(scale * factor.inverse())
         return design.synthesise(at, basis, beta, "pixel_id", vectors * np.sqrt(np.maximum(values, 0)))

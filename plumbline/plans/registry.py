@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.constants import PROBE_SEED
 from plumbline.functions import gravity as G
 from plumbline.functions import spherical as S
 from plumbline.functions import text as X
@@ -276,9 +277,17 @@ def histogram60(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _histogram(spark, sf_dir, 60, False)
 
 
-@_query("SELECT round(-3e0 + i * 6e0 / 999e0, 9) AS x, round(exp(-pow((-3e0 + i * 6e0 / 999e0 - 5e-1) / 2e0, 2e0) / 2e0) / (2e0 * sqrt(2e0 * pi())), 9) AS density FROM (SELECT unnest(range(1000)) AS i)")
+@_query(
+    """WITH m AS (SELECT avg(g - 9795e2) AS mean, stddev_samp(g - 9795e2) AS std, min(g - 9795e2) AS low, max(g - 9795e2) AS high FROM obs_ter)
+SELECT CAST(i AS BIGINT) AS i, round(low + i * (high - low) / 999e0, 6) AS x, round(exp(-pow((low + i * (high - low) / 999e0 - mean) / std, 2e0) / 2e0) / (std * sqrt(2e0 * pi())), 9) AS density FROM m, (SELECT unnest(range(1000)) AS i)""",
+    "obs_ter",
+)
 def normal_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.normal_curve(spark, 0.5, 2.0, -3.0, 3.0).select(_r("x", 9).alias("x"), _r("density", 9).alias("density"))
+    """The curve over the histogram of the table's values."""
+    v = F.col("g") - 9795e2
+    mean, std, low, high = view(spark, sf_dir, "obs_ter").agg(F.avg(v), F.stddev_samp(v), F.min(v), F.max(v)).first()
+    place = F.round((F.col("x") - F.lit(low)) / F.lit((high - low) / 999)).cast("long")
+    return stats.normal_curve(spark, mean, std, low, high).select(place.alias("i"), _r("x").alias("x"), _r("density", 9).alias("density"))
 
 
 @_query("SELECT round(min(lon) - 0.3e0, 9) AS west, round(max(lon) + 0.3e0, 9) AS east, round(min(lat) - 0.3e0, 9) AS south, round(max(lat) + 0.3e0, 9) AS north FROM obs_ter", "obs_ter")
@@ -359,32 +368,59 @@ def spatial_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------- grids
 
 
-@_query(
-    "SELECT l, round(degrees(phi), 9) AS lat, CAST(floor(2e0 * pi() / acos((cos(pi() / 181e0) - pow(sin(phi), 2e0)) / pow(cos(phi), 2e0))) AS INT) AS count FROM (SELECT l, -pi() / 2e0 + l * pi() / 181e0 AS phi FROM (SELECT unnest(range(1, 181)) AS l))"
-)
+def _region(spark: SparkSession, sf_dir: str) -> tuple[float, float, float, float]:
+    """South, north, west and east of the terrestrial points in whole degrees."""
+    r = view(spark, sf_dir, "obs_ter").agg(F.floor(F.min("lat")), F.ceil(F.max("lat")), F.floor(F.min("lon")), F.ceil(F.max("lon"))).first()
+    return tuple(float(x) for x in r)
+
+
+_REGION_SQL = "x AS (SELECT floor(min(lat)) AS south, ceil(max(lat)) AS north, floor(min(lon)) AS west, ceil(max(lon)) AS east FROM obs_ter)"
+_CIRCLES_SQL = f"WITH {_REGION_SQL}, r AS (SELECT l, degrees(phi) AS lat, CAST(floor(2e0 * pi() / acos((cos(pi() / 181e0) - pow(sin(phi), 2e0)) / pow(cos(phi), 2e0))) AS BIGINT) AS k FROM (SELECT l, -pi() / 2e0 + l * pi() / 181e0 AS phi FROM (SELECT unnest(range(1, 181)) AS l)))"
+
+
+@_query(f"{_CIRCLES_SQL} SELECT l, round(lat, 9) AS lat, CAST(k AS INT) AS count, (SELECT count(*) FROM obs_ter o WHERE CAST(round((o.lat + 9e1) * 181e0 / 18e1) AS BIGINT) = l) AS n_points FROM r, x WHERE lat BETWEEN south AND north", "obs_ter")
 def reuter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.reuter_rows(spark, 180).select("l", _r("lat", 9).alias("lat"), "count")
+    """Circles of latitude across the points' region, and the points nearest to each."""
+    south, north, _, _ = _region(spark, sf_dir)
+    near = view(spark, sf_dir, "obs_ter").groupBy(F.round((F.col("lat") + 90e0) * 181e0 / 180e0).cast("long").alias("l")).agg(F.count("*").alias("n"))
+    rows = grids.reuter_rows(spark, 180).where(F.col("lat").between(south, north)).join(near, "l", "left")
+    return rows.select("l", _r("lat", 9).alias("lat"), "count", F.coalesce("n", F.lit(0)).cast("long").alias("n_points"))
 
 
 @_query(
-    """WITH r AS (SELECT l, degrees(phi) AS lat, CAST(floor(2e0 * pi() / acos((cos(pi() / 181e0) - pow(sin(phi), 2e0)) / pow(cos(phi), 2e0))) AS BIGINT) AS k FROM (SELECT l, -pi() / 2e0 + l * pi() / 181e0 AS phi FROM (SELECT unnest(range(1, 181)) AS l))),
-n AS (SELECT l, lat, m, CASE WHEN m * 36e1 / k > 180 THEN m * 36e1 / k - 36e1 ELSE m * 36e1 / k END AS lon FROM (SELECT *, unnest(range(k)) AS m FROM r))
-SELECT l, CAST(m AS INT) AS m, round(lat, 9) AS lat, round(lon, 9) AS lon FROM n WHERE lat BETWEEN 35 AND 40 AND lon BETWEEN -110 AND -102"""
+    f"""{_CIRCLES_SQL}, n AS (SELECT l, lat, m, CASE WHEN m * 36e1 / k > 180 THEN m * 36e1 / k - 36e1 ELSE m * 36e1 / k END AS lon FROM (SELECT *, unnest(range(k)) AS m FROM r))
+SELECT l, CAST(m AS INT) AS m, round(lat, 9) AS lat, round(lon, 9) AS lon FROM n, x WHERE lat BETWEEN south AND north AND lon BETWEEN west AND east""",
+    "obs_ter",
 )
 def reuter_nodes_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.reuter_nodes(spark, 180, 35, 40, -110, -102).select("l", F.col("m").cast("int").alias("m"), _r("lat", 9).alias("lat"), _r("lon", 9).alias("lon"))
+    """Nodes in the points' region."""
+    return grids.reuter_nodes(spark, 180, *_region(spark, sf_dir)).select("l", F.col("m").cast("int").alias("m"), _r("lat", 9).alias("lat"), _r("lon", 9).alias("lon"))
 
 
-@_query("SELECT CAST(r * 24 + c AS BIGINT) AS pixel_id, round(36e0 + (r + 5e-1) * 25e-2, 9) AS lat, round(-109e0 + (c + 5e-1) * 25e-2, 9) AS lon FROM (SELECT unnest(range(12)) AS r) CROSS JOIN (SELECT unnest(range(24)) AS c)")
+@_query(
+    f"""WITH {_REGION_SQL}, d AS (SELECT *, CAST(round((north - south) / 25e-2) AS BIGINT) AS rows, CAST(round((east - west) / 25e-2) AS BIGINT) AS cols FROM x),
+p AS (SELECT r * cols + c AS pixel_id, south + (r + 5e-1) * 25e-2 AS lat, west + (c + 5e-1) * 25e-2 AS lon FROM (SELECT *, unnest(range(cols)) AS c FROM (SELECT *, unnest(range(rows)) AS r FROM d))),
+k AS (SELECT CAST(floor((lat - south) / 25e-2) * cols + floor((lon - west) / 25e-2) AS BIGINT) AS pixel_id, count(*) AS n FROM obs_ter, d GROUP BY 1)
+SELECT CAST(p.pixel_id AS BIGINT) AS pixel_id, round(lat, 9) AS lat, round(lon, 9) AS lon, coalesce(n, 0) AS n_points FROM p LEFT JOIN k ON k.pixel_id = p.pixel_id""",
+    "obs_ter",
+)
 def pixel_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.pixel_centres(spark, 36, 39, -109, -103, 0.25).select("pixel_id", _r("lat", 9).alias("lat"), _r("lon", 9).alias("lon"))
+    """Pixels of the points' region, and how many points each holds."""
+    south, north, west, east = _region(spark, sf_dir)
+    cols = round((east - west) / 0.25)
+    cell = (F.floor((F.col("lat") - south) / 0.25) * cols + F.floor((F.col("lon") - west) / 0.25)).cast("long")
+    held = view(spark, sf_dir, "obs_ter").groupBy(cell.alias("pixel_id")).agg(F.count("*").alias("n"))
+    pixels = grids.pixel_centres(spark, south, north, west, east, 0.25).join(held, "pixel_id", "left")
+    return pixels.select("pixel_id", _r("lat", 9).alias("lat"), _r("lon", 9).alias("lon"), F.coalesce("n", F.lit(0)).cast("long").alias("n_points"))
 
 
 @_query(
-    "SELECT CAST(lat AS INT) AS lat, CAST(lon AS INT) AS lon, (CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END) || lpad(CAST(abs(lat) AS VARCHAR), 2, '0') || (CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) || lpad(CAST(abs(lon) AS VARCHAR), 3, '0') AS name FROM (SELECT unnest(range(-90, 90, 5)) AS lat) CROSS JOIN (SELECT unnest(range(-180, 180, 5)) AS lon) WHERE lat < 12 AND lat + 5 > -5 AND lon < -66 AND lon + 5 > -80"
+    f"WITH {_REGION_SQL} SELECT CAST(lat AS INT) AS lat, CAST(lon AS INT) AS lon, (CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END) || lpad(CAST(abs(lat) AS VARCHAR), 2, '0') || (CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) || lpad(CAST(abs(lon) AS VARCHAR), 3, '0') AS name FROM (SELECT unnest(range(-90, 90, 5)) AS lat) CROSS JOIN (SELECT unnest(range(-180, 180, 5)) AS lon), x WHERE lat < north AND lat + 5 > south AND lon < east AND lon + 5 > west",
+    "obs_ter",
 )
 def tile_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.tiles_in(spark, -5, 12, -80, -66)
+    """Tiles that the points' region meets."""
+    return grids.tiles_in(spark, *_region(spark, sf_dir))
 
 
 _BILINEAR = """WITH b AS (SELECT obs_id, (lat - 355e-1) / 25e-2 AS u, (lon + 1095e-1) / 25e-2 AS v FROM obs_ter),
@@ -498,8 +534,9 @@ def design_lowdegree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = view(spark, sf_dir, "obs_ter").withColumn("y", F.lit(0e0)).withColumn("group_id", F.lit("all"))
     basis = _basis(spark, sf_dir)
-    system = blocks.BlockSystems.of(obs, basis)
-    return blocks.entries(system.blocks, basis).select("i", "j", _r(F.col("v") * 1e9, 5).alias("v"))
+    side = max(1, -(-len(basis.node_id) // 4))  # sixteen blocks, of which ten are summed
+    system = blocks.BlockSystems.of(obs, basis, block=side)
+    return blocks.entries(system.blocks, basis, side).select("i", "j", _r(F.col("v") * 1e9, 5).alias("v"))
 
 
 @_query(f"{_design_sql(False)} SELECT node_id AS i, round(sum(a * (g - 9795e2)) * 1e3, 5) AS v FROM d GROUP BY 1", "obs_ter", "nodes")
@@ -600,6 +637,18 @@ _PAIR_SQL = "nodes AS (" + " UNION ALL ".join(f"SELECT {i} AS node_id, {lat!r}::
 _SUMS_SQL = f"""WITH {_PAIR_SQL}, {_design_sql(False)[5:]},
 w AS (SELECT d.obs_id, max(CASE WHEN node_id = 0 THEN a END) AS a0, max(CASE WHEN node_id = 1 THEN a END) AS a1, any_value((d.g - 9795e2) / 1e5) AS y FROM d GROUP BY d.obs_id),
 s AS (SELECT project, count(*) AS n, sum(a0 * a0) AS x00, sum(a0 * a1) AS x01, sum(a1 * a1) AS x11, sum(a0 * y) AS y0, sum(a1 * y) AS y1, sum(y * y) AS yy FROM w JOIN obs_ter USING (obs_id) GROUP BY project)"""
+_UNSIGNED = 1 << 64
+
+
+def _sign_sql(key: str) -> str:
+    """The first random sign of a key, as `design.probes` has it: 64-bit products by their remainder."""
+    x = f"CAST(CAST({key} + 1 AS UHUGEINT) * {0x9E3779B97F4A7C15} % {_UNSIGNED} AS UBIGINT)"
+    x = f"xor({x}, CAST({PROBE_SEED * 0xBF58476D1CE4E5B9 % (1 << 64)} AS UBIGINT))"
+    x = f"CAST(CAST(xor({x}, {x} >> 31) AS UHUGEINT) * {0x94D049BB133111EB} % {_UNSIGNED} AS UBIGINT)"
+    return f"(CASE WHEN {x} >> 63 = 0 THEN 1e0 ELSE -1e0 END)"
+
+
+_SIGNED_SQL = _SUMS_SQL.replace("sum(y * y) AS yy", f"sum(y * y) AS yy, sum(a0 * {_sign_sql('obs_id')}) AS u0, sum(a1 * {_sign_sql('obs_id')}) AS u1")
 _SQUARES_SQL = "greatest(b0 * b0 * x00 + 2e0 * b0 * b1 * x01 + b1 * b1 * x11 - 2e0 * (b0 * y0 + b1 * y1) + yy, 0e0)"
 
 
@@ -614,32 +663,53 @@ def _digits(frame: DataFrame, name: str, digits: int = 5) -> DataFrame:
     return frame.withColumn("exponent", e).withColumn("mantissa", _r(F.col(name) / F.pow(F.lit(10e0), F.col("exponent")), digits)).drop(name)
 
 
-def _vce_sql() -> str:
-    q, out = _SUMS_SQL + ", v0 AS (SELECT project, 1e0 AS s2, 1e10 AS mu FROM s)", []
+def _vce_sql(textbook: bool, sampled: bool = False) -> str:
+    """Components of all projects and the prior, step by step; sampled: the traces of a random sign for each observation."""
+    q, out = (_SIGNED_SQL if sampled else _SUMS_SQL) + ", v0 AS (SELECT project, 1e0 AS s2, 1e10 AS mu FROM s)", []
+    trace, prior = "(i00 * x00 + 2e0 * i01 * x01 + i11 * x11)", "(i00 + i11)"
+    if sampled:
+        own = [_sign_sql(f"CAST({10**9 + k} AS BIGINT)") for k in range(2)]
+        trace, prior = "(i00 * u0 * u0 + 2e0 * i01 * u0 * u1 + i11 * u1 * u1)", f"(i00 + 2e0 * i01 * {own[0]} * {own[1]} + i11)"
     for k in range(VCE_STEPS):
+        by = (" / v.s2", " / b.mu") if textbook else ("", "")
         q += f""", m{k} AS (SELECT sum(x00 / s2) + 1e0 / any_value(mu) AS n00, sum(x01 / s2) AS n01, sum(x11 / s2) + 1e0 / any_value(mu) AS n11, sum(y0 / s2) AS r0, sum(y1 / s2) AS r1, any_value(mu) AS mu FROM s JOIN v{k} USING (project)),
 b{k} AS (SELECT mu, (n11 * r0 - n01 * r1) / det AS b0, (n00 * r1 - n01 * r0) / det AS b1, n11 / det AS i00, -n01 / det AS i01, n00 / det AS i11 FROM (SELECT *, n00 * n11 - n01 * n01 AS det FROM m{k})),
-v{k + 1} AS (SELECT s.project, {_SQUARES_SQL} / (n - (i00 * x00 + 2e0 * i01 * x01 + i11 * x11) / v.s2) AS s2, (b0 * b0 + b1 * b1) / (2e0 - (i00 + i11) / b.mu) AS mu FROM s JOIN v{k} v USING (project), b{k} b)"""
+v{k + 1} AS (SELECT s.project, {_SQUARES_SQL} / (n - {trace}{by[0]}) AS s2, (b0 * b0 + b1 * b1) / (2e0 - {prior}{by[1]}) AS mu FROM s JOIN v{k} v USING (project), b{k} b)"""
         out.append(f"SELECT {k + 1} AS iter, project AS component, {_digits_sql('s2')} FROM v{k + 1}")
         out.append(f"SELECT DISTINCT {k + 1}, 'prior', {_digits_sql('mu')} FROM v{k + 1}")
     return q + " " + " UNION ALL ".join(out)
 
 
-def _pair_systems(spark: SparkSession, sf_dir: str) -> dict[str, design.Normal]:
+def _pair_systems(spark: SparkSession, sf_dir: str, n_probes: int = 0) -> dict[str, design.Normal]:
     i, lat, lon = (np.array(x) for x in zip(*PAIR, strict=True))
     obs = view(spark, sf_dir, "obs_ter").withColumn("y", (F.col("g") - 9795e2) / 1e5)
-    return design.normal_systems(estimation.group_by_project(obs, True, "ter"), design.Basis(i, lat, lon, N_MAX))
+    return design.normal_systems(estimation.group_by_project(obs, True, "ter"), design.Basis(i, lat, lon, N_MAX), n_probes=n_probes)
 
 
-@_query(_vce_sql(), "obs_ter")
-def vce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all projects and the prior with exact traces, a basis of two nodes."""
-    systems = _pair_systems(spark, sf_dir)
-    found = estimation.estimate_components(systems, sigma2_mu=1e10, max_iter=VCE_STEPS, tol=0.0, textbook=True)
+def _steps(spark: SparkSession, systems: dict[str, design.Normal], **options: object) -> DataFrame:
+    found = estimation.estimate_components(systems, sigma2_mu=1e10, max_iter=VCE_STEPS, tol=0.0, **options)
     rows = [(k, name, float(v)) for k, row in enumerate(found.history, 1) for name, v in zip([*systems, "prior"], row, strict=True)]
     return _digits(spark.createDataFrame(rows, "iter int, component string, sigma2 double"), "sigma2")
 
 
+@_query(_vce_sql(False), "obs_ter")
+def vce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all projects and the prior with exact traces, a basis of two nodes."""
+    return _steps(spark, _pair_systems(spark, sf_dir))
+
+
+@_query(_vce_sql(True), "obs_ter")
+def vce_textbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with redundancies as textbooks have them."""
+    return _steps(spark, _pair_systems(spark, sf_dir), textbook=True)
+
+
+@_query(_vce_sql(False, True), "obs_ter")
+def vce_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with traces sampled by one random sign for each observation and node."""
+    return _steps(spark, _pair_systems(spark, sf_dir, 1))
+
+
 @_query()
 def vce_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with all nodes and sampled traces, until it settles."""

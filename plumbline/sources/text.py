@@ -96,3 +96,14 @@ def read_gfc(spark: SparkSession, path: str) -> DataFrame:
     number = lambda k: F.regexp_replace(F.get("p", F.lit(k)), "[dD]", "e").try_cast("double")
     rows = spark.read.text(path).select(p.alias("p")).where(F.get("p", F.lit(0)).isin("gfc", "gfct"))
     return rows.select(F.get("p", F.lit(1)).cast("int").alias("n"), F.get("p", F.lit(2)).cast("int").alias("m"), number(3).alias("c"), F.coalesce(number(4), F.lit(0e0)).alias("s"))
+
+
+def gfc_constants(spark: SparkSession, path: str) -> tuple[float, float]:
+    """(GM, radius) from the header of a geopotential model; both must be there."""
+    p = F.split(F.trim("value"), r"\s+")
+    names = {"earth_gravity_constant": "gm", "gravity_constant": "gm", "radius": "radius"}
+    rows = spark.read.text(path).select(F.get(p, F.lit(0)).alias("name"), F.regexp_replace(F.get(p, F.lit(1)), "[dD]", "e").try_cast("double").alias("value"))
+    found = {names[r["name"]]: r["value"] for r in rows.where(F.col("name").isin(*names) & F.col("value").isNotNull()).limit(len(names)).collect()}
+    if set(found) != {"gm", "radius"}:
+        raise ValueError(f"{path} names no {' and no '.join(sorted({'gm', 'radius'} - set(found)))}")
+    return found["gm"], found["radius"]

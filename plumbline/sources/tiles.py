@@ -1,6 +1,7 @@
 """Binary elevation and residual-terrain tiles, .npy matrices and catalogues.
 
-Tiles are read through Spark's binary source, so any store will do; a task decodes one tile at a time.
+Tiles are read through Spark's binary source, so any store will do; a task decodes one tile at a time. Given a box, the folder's
+listing is met with it first: only tiles that the box meets are opened, and only cells in it become rows.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from plumbline.session import ship_package
 FUNCTIONAL_SCALE = {"ha": 1000.0, "dg": 10.0, "xi": 10.0, "eta": 10.0, "dem": 1.0}
 CELLS = 2500
 UNITS_PER_DEGREE = 36_000_000 // 100  # whole hundredths of an arc second
+#: South, north, west and east borders in degrees.
+Box = tuple[float, float, float, float]
 
 
-def read_terrain_tiles(spark: SparkSession, path: str, kind: str = "dg", cells: int = CELLS, size: int = 5) -> DataFrame:
+def read_terrain_tiles(spark: SparkSession, path: str, kind: str = "dg", cells: int = CELLS, size: int = 5, box: Box | None = None) -> DataFrame:
     """ilat, ilon (whole hundredths of a second, of the cell's centre) and value of tiles named like N05W075.dg.
 
     A tile has cells x cells big-endian 16-bit numbers in columns from west, each from north to south. Missing ones are
-    left out.
+    left out. box: only cells with their centres in it or one cell beside it.
     """
     ship_package(spark)
     scale = FUNCTIONAL_SCALE[kind]
@@ -40,15 +43,20 @@ def read_terrain_tiles(spark: SparkSession, path: str, kind: str = "dg", cells:
                 north = (lat + size) * UNITS_PER_DEGREE
                 ilat = north - unit // 2 - row.astype(np.int64) * unit
                 ilon = lon * UNITS_PER_DEGREE + unit // 2 + col.astype(np.int64) * unit
+                if box is not None:
+                    south, north, west, east = (x * UNITS_PER_DEGREE for x in box)
+                    inside = (ilat >= south - unit) & (ilat <= north + unit) & (ilon >= west - unit) & (ilon <= east + unit)
+                    row, col, ilat, ilon = row[inside], col[inside], ilat[inside], ilon[inside]
                 for at in range(0, len(row), 200_000):
                     part = slice(at, at + 200_000)
                     yield pa.RecordBatch.from_arrays([pa.array(ilat[part]), pa.array(ilon[part]), pa.array(z[col[part], row[part]] / scale)], names=["ilat", "ilon", "value"])
 
-    return _located(spark, path, kind).mapInArrow(run, "ilat long, ilon long, value double")
+    return _located(spark, path, kind, size, box).mapInArrow(run, "ilat long, ilon long, value double")
 
 
-def read_hgt(spark: SparkSession, path: str) -> DataFrame:
-    """lat, lon, value of one-degree elevation tiles (.hgt): elevations below zero are zero, missing ones left out."""
+def read_hgt(spark: SparkSession, path: str, box: Box | None = None) -> DataFrame:
+    """lat, lon, value of one-degree elevation tiles (.hgt): elevations below zero are zero, missing ones left out. box: only cells
+    in it or one cell beside it."""
     ship_package(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,21 +66,51 @@ def read_hgt(spark: SparkSession, path: str) -> DataFrame:
                 n = round(len(z) ** 0.5)
                 z = z.reshape(n, n)  # [row from north, column]
                 row, col = np.nonzero(z != C.TILE_NODATA)
+                if box is not None:
+                    step = 1 / (n - 1)
+                    y, x = lat + 1 - row * step, lon + col * step
+                    inside = (y >= box[0] - 1.5 * step) & (y <= box[1] + 1.5 * step) & (x >= box[2] - 1.5 * step) & (x <= box[3] + 1.5 * step)
+                    row, col = row[inside], col[inside]
                 for at in range(0, len(row), 200_000):
                     r, c = row[at : at + 200_000], col[at : at + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(lat + 1 - r / (n - 1)), pa.array(lon + c / (n - 1)), pa.array(np.maximum(z[r, c], 0).astype(float))], names=["lat", "lon", "value"])
 
-    return _located(spark, path, "hgt").mapInArrow(run, "lat double, lon double, value double")
+    return _located(spark, path, "hgt", 1, box).mapInArrow(run, "lat double, lon double, value double")
 
 
-def _located(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """lat, lon (of the south-west corner, from the name) and content of tile files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path)
+#: Paths of tiles that one read names: those of a box as large as the globe.
+MOST_PATHS = 70_000
+
+
+def tile_listing(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """path, name, lat, lon (of the south-west corner, from the name) of the tile files of a folder; none is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path).select("path")
     name = F.regexp_extract("path", r"([NS]\d{2}[EW]\d{3})[^/]*$", 1)
     sign = lambda at, bad: F.when(F.substring("name", at, 1) == bad, -1).otherwise(1)
     lat = sign(1, "S") * F.substring("name", 2, 2).cast("int")
     lon = sign(4, "W") * F.substring("name", 5, 3).cast("int")
-    return files.withColumn("name", name).where("name <> ''").select(lat.alias("lat"), lon.alias("lon"), "content")
+    return files.withColumn("name", name).where("name <> ''").select("path", "name", lat.alias("lat"), lon.alias("lon"))
+
+
+def tiles_of(listing: DataFrame, box: Box, size: int, margin: float = 0.0) -> DataFrame:
+    """The listing's tiles (lat, lon of the corner, `size` degrees) that the box with a margin around it meets."""
+    south, north, west, east = box
+    return listing.where((F.col("lat") <= north + margin) & (F.col("lat") + size >= south - margin) & (F.col("lon") <= east + margin) & (F.col("lon") + size >= west - margin))
+
+
+def _located(spark: SparkSession, path: str, suffix: str, size: int, box: Box | None = None) -> DataFrame:
+    """lat, lon and content of tile files, of those that meet the box alone where there is one."""
+    listing = tile_listing(spark, path, suffix)
+    if box is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path)
+    else:
+        chosen = [r["path"] for r in tiles_of(listing, box, size).select("path").limit(MOST_PATHS + 1).collect()]
+        if len(chosen) > MOST_PATHS:
+            raise ValueError(f"more than {MOST_PATHS} tiles meet the box; read them without one")
+        if not chosen:
+            return spark.createDataFrame([], "lat int, lon int, content binary")
+        files = spark.read.format("binaryFile").load(chosen)
+    return files.select("path", "content").join(F.broadcast(listing) if box is not None else listing, "path").select("lat", "lon", "content")
 
 
 def npy_header(data: bytes) -> tuple[np.dtype, tuple[int, ...], bool, int]:

@@ -347,6 +347,74 @@ def test_block_systems_equal_dense(spark):
         estimation.estimate_components(system, exact_trace=True)
 
 
+def block_case(spark, m, n, degree, block, probes=2):
+    rng = np.random.default_rng(7)
+    basis, rows = nodes_and_points(rng, m, n)
+    basis = design.Basis(basis.node_id, basis.lat, basis.lon, degree)
+    y = rng.normal(size=n) * 1e-5
+    obs = spark.createDataFrame([(*r, float(v), "a" if r[0] % 3 else "b") for r, v in zip(rows, y)], "obs_id long, lat double, lon double, h double, y double, group_id string").repartition(3)
+    return rng, obs, basis, design.normal_systems(obs, basis, n_probes=probes), blocks.BlockSystems.of(obs, basis, n_probes=probes, block=block)
+
+
+@pytest.mark.parametrize(("m", "n", "degree", "block"), [(23, 300, 60, 7), (300, 900, 200, 80)])
+def test_solutions_by_iteration(spark, m, n, degree, block):
+    """Dense solutions to 1e-8, in a bounded number of passes over the design, and no matrix of nodes x nodes."""
+    rng, obs, basis, dense, system = block_case(spark, m, n, degree, block)
+    weights = {"a": 2.0, "b": 0.5}
+    matrix = sum(weights[g] * s.xx for g, s in dense.items())
+    ridge = 1e-3 * np.linalg.norm(matrix, 2)
+    right = np.column_stack([sum(weights[g] * s.xy for g, s in dense.items()), *(s.xu for s in dense.values())])
+    want = np.linalg.solve(matrix + ridge * np.eye(m), right)
+    got = system.factor(weights, ridge).solve(right)
+    assert np.abs(got - want).max() <= 1e-8 * np.abs(want).max()
+    assert system.passes <= m // right.shape[1] + 8
+    again = system.factor(weights, ridge * 1.001).solve(right)  # starts at what was found
+    assert np.allclose(again, np.linalg.solve(matrix + 1.001 * ridge * np.eye(m), right), atol=1e-8 * np.abs(want).max())
+    for lam in (ridge, ridge / 100):
+        krylov = blocks.Lanczos(system, weights, right[:, 0])
+        assert np.allclose(krylov.solution(lam), np.linalg.solve(matrix + lam * np.eye(m), right[:, 0]), rtol=1e-7, atol=1e-9 * np.abs(want[:, 0]).max())
+    assert system._blocks is None
+
+
+def test_sweeps_share_one_basis(spark):
+    rng, obs, basis, dense, system = block_case(spark, 60, 400, 100, 16)
+    found = estimation.estimate_components(dense, sigma2_mu=1e3, max_iter=3, textbook=True)
+    a = estimation.l_curve(dense, found)
+    before = system.passes
+    b = estimation.l_curve(system, found)
+    assert np.allclose(a.coarse, b.coarse, rtol=1e-6) and np.allclose(a.fine, b.fine, rtol=1e-6) and a.lam == pytest.approx(b.lam)
+    assert np.allclose(a.beta, b.beta, rtol=1e-5, atol=1e-7 * np.abs(a.beta).max())
+    assert system.passes - before <= 60 + 2 and system._blocks is None  # a basis vector each, and a pass for each sweep's norms
+    assert np.allclose(b.factor.diagonal(), np.diag(a.factor.inverse()), rtol=1e-4)
+
+
+def test_components_in_blocks_make_no_matrix(spark):
+    rng, obs, basis, dense, system = block_case(spark, 40, 400, 60, 16)
+    a, b = (estimation.estimate_components(s, sigma2_mu=1e3, max_iter=3, textbook=True) for s in (dense, system))
+    assert np.allclose(a.history, b.history, rtol=1e-5) and system._blocks is None and system.passes <= 3 * 40
+
+
+def test_tiles_of_sums_send_a_quarter(spark):
+    """At 8 x 8 blocks a design block travels twice where it travelled eight times; results as they were."""
+    rng, obs, basis, dense, system = block_case(spark, 64, 300, 30, 8, 0)
+    sent, each = (blocks.dealt_blocks(system.design, 8, tile).agg(F.sum(F.length("v"))).first()[0] for tile in (blocks.TILE, 1))
+    assert sent <= each / 4
+    for tile in (1, 3, 4, 8):
+        total = blocks.gram_blocks(system.design, 64, 8, tile)
+        assert total.count() == 2 * 36
+        for r in total.collect():
+            want = dense[r["g"]].xx[8 * r["i"] : 8 * r["i"] + 8, 8 * r["j"] : 8 * r["j"] + 8]
+            assert np.allclose(np.frombuffer(r["v"]).reshape(8, 8), want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+
+
+def test_residual_pass_of_sources_numbered_alike(spark):
+    """Two sources that both number from 0 keep their own residuals."""
+    rng, obs, basis, dense, system = block_case(spark, 5, 200, 20, None, 0)
+    alike = obs.withColumn("obs_id", F.floor(F.col("obs_id") / 3).cast("long"))
+    sums, rows = (estimation.estimate_components(dense, sigma2_mu=1e3, max_iter=2, textbook=True, exact_trace=True, residual_pass=p) for p in (None, (alike, basis)))
+    assert np.allclose(sums.history, rows.history, rtol=1e-6)
+
+
 def test_parameters_must_rise():
     with pytest.raises(ValueError, match="rise"):
         estimation.spline_curvature(np.array([1.0, 2.0, 2.0, 3.0]), np.ones(4), np.ones(4))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import constants as C
 from plumbline.operators import restore
 from plumbline.plans import pipeline
 from plumbline.plans.views import view
@@ -136,7 +137,8 @@ def test_from_files_to_quasigeoid(spark, tmp_path):
     put(tmp_path / "ter.txt", "latitude\tlongitude\th\tgravity\n" + "".join(f"{r['lat']!r}\t{r['lon']!r}\t{r['h']!r}\t{r['g']!r}\n" for r in rows) + "bad\t1\t2\t3\n")
     rows = view(spark, DATA, "obs_air").select("lat", "lon", "h", "g", "line", "project").limit(300).collect()
     put(tmp_path / "air.txt", "lat(deg)\tlon(deg)\th\tg\tline\tblock\n" + "".join(f"{r['lat']!r}\t{r['lon']!r}\t{r['h']!r}\t{r['g']!r}\t{r['line']}\t{r['project']}\n" for r in rows))
-    head = "earth_gravity_constant 0.3986004415E+15\nend_of_head ===\n"
+    put(tmp_path / "sea.txt", "Lat\tLon\th\tanomaly\n" + "".join(f"{36 + k / 100!r}\t{-108 + k / 90!r}\t0.0\t{979_700 + k % 7!r}\n" for k in range(60)))
+    head = "earth_gravity_constant 0.3986004415E+15\nradius 6378136.3\nend_of_head ===\n"
     model = put(tmp_path / "m.gfc", head + "gfc 2 0 -0.48416e-03 0.0\ngfc 2 1 1e-9 2e-9\ngfc 2 2 2.4e-6 -1.4e-6\ngfc 3 1 2.0e-6 2.5e-7\n")
     topo = put(tmp_path / "t.gfc", head + "gfc 2 0 1e-8 0.0\ngfc 4 2 1e-8 -2e-8\n")
     (tmp_path / "srtm").mkdir()
@@ -145,19 +147,61 @@ def test_from_files_to_quasigeoid(spark, tmp_path):
         put(tmp_path / "srtm" / f"N36W{lon}.hgt", np.full((13, 13), 700, ">i2").tobytes(), "wb")
     for kind in ("dg", "ha"):
         put(tmp_path / "ertm" / f"N35W110.{kind}", np.full((50, 50), 20, ">i2").tobytes(), "wb")
+        put(tmp_path / "ertm" / f"S05E020.{kind}", b"cut off", "wb")  # outside of the region: never opened
+    put(tmp_path / "srtm" / "S05E020.hgt", b"cut off!", "wb")
     priors = put(tmp_path / "priors.txt", "terrestrial\t2.0\n")
     config = pipeline.Config(36.0, 37.0, -109.0, -107.0, 0.25, 150, 20, aperture=0.5, sigma2_mu=1e6, max_iter=2, cases=(pipeline.Case.SIGMAS_VC,))
-    inputs = refine.Inputs(model, 3, topo, (2, 4), model, 3, str(tmp_path / "srtm"), 12, str(tmp_path / "ertm"), 50, str(tmp_path / "ter.txt"), ColumnRoles("latitude", "longitude", "h", "gravity"), str(tmp_path / "air.txt"), ColumnRoles("lat(deg)", "lon(deg)", "h", "g", project="block", line="line"), priors)
+    inputs = refine.Inputs(model, 3, topo, (2, 4), model, 3, str(tmp_path / "srtm"), 12, str(tmp_path / "ertm"), 50, str(tmp_path / "ter.txt"), ColumnRoles("latitude", "longitude", "h", "gravity"), str(tmp_path / "air.txt"), ColumnRoles("lat(deg)", "lon(deg)", "h", "g", project="block", line="line"), str(tmp_path / "sea.txt"), ColumnRoles("Lat", "Lon", "h", "anomaly"), priors=priors)
     (outcome,), cache, outliers = refine.refine(spark, config, inputs, str(tmp_path / "run"))
     assert outcome.error is None, outcome.error
     pixels = outcome.pixels.collect()
-    assert len(pixels) == 4 * 8 and set(outliers) == {"terrestrial", "airborne"} and ("pixels_sigmas_vc", "made") in cache.log
+    assert len(pixels) == 4 * 8 and set(outliers) == {"terrestrial", "airborne", "marine"} and ("pixels_sigmas_vc", "made") in cache.log
     potential = {r["pixel_id"]: r["value"] for r in harmonics.synthesis(outcome.pixels.select("pixel_id", "lat", "lon", F.col("height").alias("h")), text.read_gfc(spark, model), 3, 2, "potential", subtract_normal=True, key="pixel_id").collect()}
+    at = outcome.pixels.select("pixel_id", "lat", "lon", F.col("height").alias("h"))
+    low, high = ({r["pixel_id"]: r["value"] for r in harmonics.synthesis(at, text.read_gfc(spark, topo), n, 0, "potential", C.TOPO_GM, C.TOPO_RADIUS, key="pixel_id").collect()} for n in (2, 4))
+    assert all(r["topo"] == pytest.approx(high[r["pixel_id"]] - low[r["pixel_id"]], rel=1e-12) for r in pixels)
+    other = {r["pixel_id"]: r["value"] for r in harmonics.synthesis(at, text.read_gfc(spark, topo), 4, 0, "potential", key="pixel_id").collect()}
+    assert any(abs(high[k] - other[k]) > 1e-9 * abs(high[k]) for k in high)  # the models' constants aren't the same
+    for name, columns in (("terrestrial", refine.REDUCED), ("airborne", [c for c in refine.REDUCED if c != "ertm"]), ("marine", [c for c in refine.REDUCED if c != "ertm"])):
+        tables = {kind: text.read_table(spark, str(tmp_path / "run" / f"{kind}_{name}.txt"), numbers=list(columns)) for kind in ("reduced", "outliers")}
+        assert tables["reduced"].columns == list(columns) and tables["outliers"].count() == outliers[name].count()
+        left = F.col("disturbance") - F.col("ggm") - F.col("topo") - (F.col("ertm") if name == "terrestrial" else 0)
+        assert tables["reduced"].count() > 0 and tables["reduced"].where(F.abs(F.col("residual") - left) > 1e-6).count() == 0
     for r in pixels:
         assert r["srtm"] == pytest.approx(700) and r["terrain"] == pytest.approx(0.02) and r["model"] == pytest.approx(potential[r["pixel_id"]])
         assert r["zeta"] is not None and r["std_zeta"] is not None and abs(r["height"] - 700) < 200
 
 
+def test_constants_of_models(spark, tmp_path):
+    path = put(tmp_path / "a.gfc", "modelname x\nearth_gravity_constant 0.3986005D+15\nradius 0.63781370E+07\nend_of_head\ngfc 2 0 1e-3 0\n")
+    assert text.gfc_constants(spark, path) == (3.986005e14, 6378137.0)
+    with pytest.raises(ValueError, match="names no radius"):
+        text.gfc_constants(spark, put(tmp_path / "b.gfc", "earth_gravity_constant 1e14\nend_of_head\n"))
+
+
+def test_boxes_of_tiles(spark, tmp_path):
+    """Cells in the box equal those of an unpruned read, and tiles outside of it aren't opened."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for lat, lon in ((0, 0), (0, 5), (5, 0), (-5, -5)):
+        name = f"{'N' if lat >= 0 else 'S'}{abs(lat):02}{'E' if lon >= 0 else 'W'}{abs(lon):03}"
+        put(tmp_path / f"{name}.dg", rng.integers(-50, 50, (50, 50)).astype(">i2").tobytes(), "wb")
+        put(tmp_path / f"{name}.hgt", rng.integers(0, 500, (13, 13)).astype(">i2").tobytes(), "wb")
+    box = (-0.5, 5.7, -1.0, 6.0)
+    every, some = (tiles.read_terrain_tiles(spark, str(tmp_path), "dg", 50, box=b) for b in (None, box))
+    units = [round(x * tiles.UNITS_PER_DEGREE) for x in box]
+    inside = every.where(F.col("ilat").between(units[0], units[1]) & F.col("ilon").between(units[2], units[3]))
+    assert inside.exceptAll(some).count() == 0 and 0 < some.count() < every.count() and some.exceptAll(every).count() == 0
+    inside = tiles.read_hgt(spark, str(tmp_path)).where(F.col("lat").between(0, 0.5) & F.col("lon").between(5.2, 5.6))
+    some = tiles.read_hgt(spark, str(tmp_path), (0, 0.5, 5.2, 5.6))
+    assert inside.exceptAll(some).count() == 0 and some.count() < 13 * 13
+    put(tmp_path / "N60E060.dg", b"x", "wb")
+    assert tiles.read_terrain_tiles(spark, str(tmp_path), "dg", 50, box=box).count() > 0
+    assert tiles.read_terrain_tiles(spark, str(tmp_path), "dg", 50, box=(80, 81, 80, 81)).count() == 0
+    assert tiles.tile_listing(spark, str(tmp_path), "dg").count() == 5
+
+
 def test_failing_case_is_isolated(spark, tmp_path):
     clean = view(spark, DATA, "obs_ter").withColumn("residual", F.lit(1.0))
     config = pipeline.Config(36.5, 38.5, -108.5, -103.5, 0.5, 40, 10, aperture=0.5, cases=(pipeline.Case.UNIT_VC,))
@@ -221,3 +265,11 @@ def test_lzw():
         return bytes(out)
 
     assert geotiff._lzw(pack([256, 7, 258, 8, 8, 258, 6, 257])) == bytes([7, 7, 7, 8, 8, 7, 7, 6])
+
+
+def test_settling_keeps_settings(spark):
+    from plumbline.session import FILES_GO, settle
+
+    before = spark.conf.get(FILES_GO)
+    rows = settle(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get(FILES_GO) == before and rows.count() == 7 and rows.agg(F.sum("count")).first()[0] == 1000
