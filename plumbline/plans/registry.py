@@ -530,6 +530,13 @@ def design_lowdegree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("obs_id", "node_id", _r(F.col("a") * 1e6).alias("a"))
 
 
+@_query(f"{_design_sql(True)} SELECT obs_id, node_id, round(a * 1e-2, 6) AS a FROM d", "obs_ter", "nodes")
+def design_tabulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The potential's design from tables of the kernel."""
+    found = design.design_matrix(view(spark, sf_dir, "obs_ter"), _basis(spark, sf_dir), potential=True, tabulated=True)
+    return found.select("obs_id", "node_id", _r(F.col("a") * 1e-2).alias("a"))
+
+
 @_query(f"{_design_sql(False)} SELECT x.node_id AS i, y.node_id AS j, round(sum(x.a * y.a) * 1e9, 5) AS v FROM d x JOIN d y ON x.obs_id = y.obs_id GROUP BY 1, 2", "obs_ter", "nodes")
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = view(spark, sf_dir, "obs_ter").withColumn("y", F.lit(0e0)).withColumn("group_id", F.lit("all"))

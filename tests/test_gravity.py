@@ -1,4 +1,5 @@
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from plumbline import constants as C
 from plumbline.functions import gravity as G
 from plumbline.functions import spherical as S
 from plumbline.functions import text as X
-from plumbline.operators import blocks, design, estimation, grids, harmonics, lines, outliers, quality_control, restore, stats
+from plumbline.operators import blocks, design, estimation, grids, harmonics, kernels, lines, outliers, quality_control, restore, stats
 from plumbline.roles import ColumnRoles, MissingColumnsError, require_columns
 
 OBS = "obs_id long, project string, line long, seq long, lat double, lon double, h double, g double"
@@ -238,6 +239,34 @@ def test_outliers(spark):
     assert outliers.detect(spots(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [5, 2800])
+def test_outliers_equal_brute_force(spark, monkeypatch, k):
+    """Means of the k nearest, medians and deviations of all around, with few bins, ties and points at one place."""
+    monkeypatch.setattr(outliers, "BINS", 7)
+    rng = np.random.default_rng(8)
+    lat, lon, v = np.round(rng.uniform(4, 6, 150), 2), np.round(rng.uniform(-75, -73, 150), 2), np.round(rng.standard_t(2, 150), 1)
+    lat[:4], lon[:4] = lat[4:8], lon[4:8]
+    rows = [(i, float(a), float(b), float(x)) for i, (a, b, x) in enumerate(zip(lat, lon, v))]
+    got = {r["obs_id"]: r for r in outliers.detect(spots(spark, rows), k=k).collect()}
+    at = {r["obs_id"]: (r["x"], r["y"]) for r in S.with_projection(spots(spark, rows)).collect()}
+    med = np.median(v)
+    spread = C.NMAD_FACTOR * np.median(np.abs(v - med))
+    far, eps = np.abs(v - med) > 3 * spread, np.quantile(np.abs(v), 0.99)
+    assert far.sum() > 3
+    for i in range(150):
+        if not far[i]:
+            assert got[i]["interp"] == v[i] and not got[i]["is_outlier"]
+            continue
+        near = sorted((math.dist(at[i], at[j]), j) for j in range(150) if not far[j] and math.dist(at[i], at[j]) <= 100_000)
+        values = np.array([v[j] for _, j in near])
+        local = 8 * C.NMAD_FACTOR * np.median(np.abs(values - np.median(values)))
+        zero = [v[j] for d, j in near[:k] if d == 0]
+        interp = zero[0] if zero else sum(v[j] / d for d, j in near[:k]) / sum(1 / d for d, _ in near[:k])
+        off = abs(v[i] - interp)
+        assert got[i]["interp"] == pytest.approx(interp, rel=1e-9, abs=1e-9)
+        assert got[i]["is_outlier"] == ((off > eps and abs(v[i]) > eps) or off > local)
+
+
 def test_outliers_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(5)
     rows = [(i, float(a), float(b), float(v)) for i, (a, b, v) in enumerate(zip(rng.uniform(4, 7, 200), rng.uniform(-76, -72, 200), rng.standard_cauchy(200)))]
@@ -261,6 +290,42 @@ def test_clenshaw_equals_legendre():
     assert np.allclose(design.clenshaw(c, t), want)
 
 
+@pytest.mark.parametrize("degree", [6, 150, 3600])
+@pytest.mark.parametrize("potential", [False, True])
+def test_kernel_tables_equal_sums(degree, potential):
+    """Relative error below 1e-12, also at a node itself and across intervals of height, and ten times fewer terms."""
+    rng = np.random.default_rng(degree)
+    for kernel in ("Shannon", "Cup"):
+        basis = design.Basis(np.arange(60), rng.uniform(36, 39, 60), rng.uniform(-109, -103, 60), degree, kernel)
+        lat, lon, h = rng.uniform(36, 39, 25), rng.uniform(-109, -103, 25), rng.uniform(-50, 9_000, 25)
+        lat[0], lon[0], lat[1], lon[1] = basis.lat[0], basis.lon[0], -basis.lat[1], basis.lon[1] + 180
+        a, b = (design.design_rows(basis, lat, lon, h, potential, x) for x in (False, True))
+        assert np.abs(a - b).max() <= 1e-12 * np.abs(a).max()
+    table = basis.table(potential)
+    assert degree < 1000 or table.terms * 10 < degree
+    assert "_tables" not in pickle.loads(pickle.dumps(basis)).__dict__
+
+
+def test_terms_of_tables_follow_their_bound():
+    """exp(i x) and exp(x) on intervals of half width w: as many terms as the bound says are enough."""
+    for reach in (0.5, 4.0, 20.0):
+        for along_real, f in ((False, lambda x: np.cos(reach * x)), (True, lambda x: np.exp(reach * x))):
+            n = kernels.terms_needed(reach, along_real)
+            c = kernels.to_coefficients(n) @ f(kernels.chebyshev_points(n))
+            x = np.linspace(-1, 1, 501)
+            assert np.abs(np.polynomial.chebyshev.chebval(x, c) - f(x)).max() < 1e-13 * np.exp(reach if along_real else 0)
+
+
+def test_clenshaw_near_one():
+    """Differences keep the digits that cosines near 1 lose."""
+    less = -2 * np.sin(np.array([[0.0, 1e-9, 1e-6, 1e-4]]) / 2) ** 2
+    n = np.arange(3601)
+    got = design.clenshaw_beside(np.ones((1, 3601)), less)[0]
+    assert got[0] == pytest.approx(3601, rel=1e-13) and got[1] == pytest.approx(3601, rel=1e-11)
+    want = [sum(1 - k * (k + 1) * x * x / 4 + (k - 1) * k * (k + 1) * (k + 2) * x**4 / 64 for k in n.tolist()) for x in (1e-6, 1e-4)]
+    assert got[2] == pytest.approx(want[0], rel=1e-12) and got[3] == pytest.approx(want[1], rel=1e-3)
+
+
 def test_synthesis_is_linear_and_partition_invariant(spark):
     rng = np.random.default_rng(1)
     basis, rows = nodes_and_points(rng)
@@ -467,6 +532,21 @@ def test_harmonics_stay_finite_at_the_highest_degree():
             assert np.isfinite(p).all() and np.allclose((p**2).sum(0), 2 * n + 1, rtol=1e-8), n
 
 
+@pytest.mark.parametrize(("n_max", "step", "count"), [(360, 0.25, 300), (40, 30.0, 12), (360, 4.0, 60), (100, 0.5, 720)])
+def test_rings_equal_sums(n_max, step, count, monkeypatch):
+    """Parallels by transforms, also with fewer places than orders, against the sum for each point."""
+    rng = np.random.default_rng(n_max)
+    size = harmonics.row_of(n_max).stop
+    model = rng.normal(size=size) * 1e-6, rng.normal(size=size) * 1e-6
+    lon = -171.3 + step * np.arange(count)
+    points = {"lat": np.repeat([31.5, -62.25], count), "lon": np.tile(lon, 2), "h": np.zeros(2 * count)}
+    got = harmonics.synthesise(points, model, 2, n_max, "potential", C.MODEL_GM, C.MODEL_RADIUS)
+    assert harmonics.ring_of(lon, n_max) is not None and harmonics.ring_of(lon + 1e-3 * rng.random(count), n_max) is None
+    monkeypatch.setattr(harmonics, "ring_of", lambda *_: None)
+    want = harmonics.synthesise(points, model, 2, n_max, "potential", C.MODEL_GM, C.MODEL_RADIUS)
+    assert np.abs(got - want).max() <= 1e-9 * np.abs(want).max()
+
+
 def test_harmonics_equal_a_long_sum():
     """Degree 60 with C and S against the standard recursion in extended precision."""
     rng = np.random.default_rng(3)
