@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import traceback
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -11,7 +12,7 @@ from enum import Enum
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import gravity as G
@@ -56,6 +57,7 @@ class Config:
     sigma2_mu: float = 1.0
     cases: tuple[Case, ...] = (Case.UNIT_VC,)
     force: tuple[str, ...] = ()
+    save_seconds: float = 5.0
     split: dict[str, bool] = field(default_factory=dict)
 
 
@@ -75,22 +77,47 @@ class StageCache:
     def __init__(self, spark: SparkSession, folder: str, force: tuple[str, ...] = ()) -> None:
         self.spark, self.folder, self.force = spark, folder.rstrip("/"), force
         self.log: list[tuple[str, str]] = []
+        self.seconds: list[float] = []
 
     def forced(self, stage: str) -> bool:
         return any(f == "all" or stage.startswith(f) or f.startswith(stage) for f in self.force)
 
+    def path(self, stage: str, settings: object) -> str:
+        key = hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]
+        return f"{self.folder}/{stage}-{key}"
+
+    def note(self, stage: str, outcome: str, began: float) -> None:
+        self.log.append((stage, outcome))
+        self.seconds.append(time.monotonic() - began)
+
+    def has(self, stage: str, settings: object) -> bool:
+        """Whether the stage would be kept."""
+        return not self.forced(stage) and self._complete(self.path(stage, settings))
+
     def get(self, stage: str, settings: object, make: Callable[[], DataFrame]) -> DataFrame:
         """The stage's rows, from its files if they are complete."""
-        key = hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]
-        path = f"{self.folder}/{stage}-{key}"
-        if self._complete(path) and not self.forced(stage):
-            self.log.append((stage, "kept"))
+        began, path = time.monotonic(), self.path(stage, settings)
+        if self.has(stage, settings):
+            self.note(stage, "kept", began)
         else:
             make().write.mode("overwrite").parquet(path)
             self.spark.range(1).write.mode("overwrite").parquet(f"{path}.done")  # last, so that it vouches for the rest
-            self.log.append((stage, "made"))
+            self.note(stage, "made", began)
         return self.spark.read.parquet(path)
 
+    def step(self, stage: str, settings: object, row: tuple, schema: str, first: bool) -> None:
+        """Add a step of a stage that goes on from its last one; each step is there as a whole or not at all."""
+        self.spark.createDataFrame([row], schema).write.mode("overwrite" if first else "append").parquet(self.path(stage, settings))
+
+    def last_step(self, stage: str, settings: object, order: str, most: int) -> Row | None:
+        """The last step (up to `most`) that a run before has left, if steps aren't forced."""
+        if self.forced(stage):
+            return None
+        try:
+            return self.spark.read.parquet(self.path(stage, settings)).where(F.col(order) <= most).orderBy(F.desc(order)).first()
+        except AnalysisException:  # none yet
+            return None
+
     def _complete(self, path: str) -> bool:
         try:
             return self.spark.read.parquet(f"{path}.done").count() == 1
@@ -98,7 +125,9 @@ class StageCache:
             return False
 
     def report(self) -> DataFrame:
-        return self.spark.createDataFrame(self.log, "stage string, outcome string")
+        """What became of the stages, in their order, and the seconds that each took."""
+        rows = [(k, stage, outcome, s) for k, ((stage, outcome), s) in enumerate(zip(self.log, self.seconds, strict=True))]
+        return self.spark.createDataFrame(rows, "step int, stage string, outcome string, seconds double")
 
 
 def manifest(spark: SparkSession, sources: dict[str, bool]) -> DataFrame:
@@ -133,6 +162,36 @@ class Outcome:
     pixels: DataFrame | None = None
     parameters: DataFrame | None = None
     error: str | None = None
+    iterations: int | None = None
+    sigma2: dict[str, float] | None = None
+    sigma2_mu: float | None = None
+    lam: float | None = None
+
+
+def summary(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:
+    """A row for each case: iterations, variances, regularisation parameter, error. A case taken whole from a run before has what
+    that run wrote."""
+    rows = [(o.case.name, o.iterations, o.sigma2, o.sigma2_mu, o.lam, o.error) for o in outcomes]
+    return spark.createDataFrame(rows, "case string, iterations int, sigma2 map<string,double>, sigma2_mu double, lambda double, error string")
+
+
+STATE = "iteration int, numbers string, beta binary"
+CORNER = "lam double, numbers string, beta binary"
+SYSTEM = "g string, n long, yy double, xx binary, xy binary, xu binary"
+
+
+def _system_rows(spark: SparkSession, systems: dict[str, design.Normal]) -> DataFrame:
+    """Dense systems as rows; DENSE_BYTES bounds them."""
+    pack = lambda x: None if x is None else bytearray(np.ascontiguousarray(x).tobytes())
+    return spark.createDataFrame([(g, s.n, s.yy, pack(s.xx), pack(s.xy), pack(s.xu)) for g, s in systems.items()], SYSTEM)
+
+
+def _systems_of(rows: DataFrame, m: int) -> dict[str, design.Normal]:
+    out = {}
+    for r in rows.orderBy("g").collect():
+        xx, xy, xu = (None if r[n] is None else np.frombuffer(r[n], float) for n in ("xx", "xy", "xu"))
+        out[r["g"]] = design.Normal(r["n"], xx.reshape(m, m), xy, r["yy"], None if xu is None else xu.reshape(m, -1))
+    return out
 
 
 def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixel_fields: DataFrame, folder: str, priors: DataFrame | None = None) -> tuple[list[Outcome], StageCache]:
@@ -141,9 +200,14 @@ def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixe
     pixel_fields: pixel_id, lat, lon, srtm, height, model, topo, terrain. Cases share what they can: normal systems are
     computed once, variance components once for each kind of priors, the L-curve once for each kind. A case that fails
     leaves its error and the others go on.
+
+    Everything is a stage that the next run keeps: systems (or the stored design), steps of the components (those after
+    which `save_seconds` have gone by, and the last one), L-curves, each case's pixels, parameters and summary. A stage is
+    made only where one that depends on it is, so a run over kept results computes none, and a stopped one goes on from its
+    last step.
     """
     cache = StageCache(spark, folder, config.force)
-    settings = asdict(config) | {"cases": None, "force": None}
+    settings = asdict(config) | {"cases": None, "force": None, "save_seconds": None}
     box = {k: settings[k] for k in ("south", "north", "west", "east", "aperture", "order")}
     nodes = cache.get("nodes", box, lambda: grids.reuter_nodes(spark, config.order, config.south - config.aperture, config.north + config.aperture, config.west - config.aperture, config.east + config.aperture))
     basis = design.Basis.of(nodes, config.n_max, config.kernel, config.n_min)
@@ -156,30 +220,75 @@ def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixe
     seen = fingerprint(every)
     fields = fingerprint(pixel_fields) + fingerprint(priors)
     observations = cache.get("observations", {"sources": sorted(sources), "split": config.split, "rows": seen}, lambda: every)
-    groups = observations.select("group_id").distinct().count()
-    dense = groups * len(basis.node_id) ** 2 * 8 <= design.DENSE_BYTES
-    systems = design.normal_systems(observations, basis, n_probes=1) if dense else blocks.BlockSystems.of(observations, basis, n_probes=1)
-    n_obs = sum(s.n for s in (systems if dense else systems.sums).values())
-    found: dict[bool, estimation.Components] = {}
-    corners: dict[bool, estimation.Corner] = {}
+    m = len(basis.node_id)
+    plain = {k: settings[k] for k in (*box, "n_max", "n_min", "kernel")} | {"sources": sorted(sources), "split": config.split, "rows": seen}
+    priors_seen = fingerprint(priors)
+    made: dict[str, object] = {}
+
+    def systems() -> dict[str, design.Normal] | blocks.BlockSystems:
+        if "systems" not in made:
+            groups = observations.select("group_id").distinct().count()
+            if groups * m * m * 8 <= design.DENSE_BYTES:
+                made["systems"] = _systems_of(cache.get("systems", plain, lambda: _system_rows(spark, design.normal_systems(observations, basis, n_probes=1))), m)
+            else:
+                fresh: dict[str, blocks.BlockSystems] = {}
+
+                def stored() -> DataFrame:
+                    fresh["of"] = blocks.BlockSystems.of(observations, basis, n_probes=1)
+                    return fresh["of"].design
+
+                # a chunk's column blocks must follow each other: they are read by task and chunk
+                rows = cache.get("design", plain, stored)
+                sums = cache.get("sums", plain, lambda: (fresh.get("of") or blocks.BlockSystems.of(observations, basis, n_probes=1)).sum_rows())
+                made["systems"] = blocks.BlockSystems.kept(blocks.in_chunks(rows), sums, m)
+        return made["systems"]
+
+    def kind(unit: bool) -> str:
+        return "unit" if unit else "priors"
+
+    def about(unit: bool) -> dict:
+        return plain | {"sigma2_mu": config.sigma2_mu, "tol": config.tol, "priors": None if unit else priors_seen}
 
     def components(unit: bool) -> estimation.Components:
-        if unit not in found:
+        name = f"components_{kind(unit)}"
+        if name not in made:
             start = {}
             if not unit and priors is not None:
                 groups = observations.select(F.col("group_id").alias("project")).distinct()
                 start = {r["project"]: r["sigma2"] for r in estimation.prior_sigmas(groups, priors).collect()}
-            found[unit] = estimation.estimate_components(systems, start, config.sigma2_mu, max_iter=config.max_iter, tol=config.tol)
-        return found[unit]
+            began, saved, steps = time.monotonic(), [time.monotonic()], []
+            last = cache.last_step(name, about(unit), "iteration", config.max_iter)
+
+            def after(state: estimation.State) -> None:
+                if state.settled or state.iteration == config.max_iter or time.monotonic() - saved[0] >= config.save_seconds:
+                    cache.step(name, about(unit), state.to_row(), STATE, not last and not steps)
+                    steps.append(state.iteration)
+                    saved[0] = time.monotonic()
+
+            made[name] = estimation.estimate_components(systems(), start, config.sigma2_mu, max_iter=config.max_iter, tol=config.tol, begin=estimation.State.of_row(*last) if last else None, after=after)
+            cache.note(name, f"from step {last['iteration']}" if last else "made", began)
+        return made[name]
+
+    def corner(unit: bool) -> estimation.Corner:
+        name = f"lcurve_{kind(unit)}"
+        if name not in made:
+            fresh: list[estimation.Corner] = []
+
+            def sweeps() -> DataFrame:
+                fresh.append(estimation.l_curve(systems(), components(unit)))
+                return spark.createDataFrame([fresh[0].to_row()], CORNER)
+
+            row = cache.get(name, about(unit) | {"max_iter": config.max_iter}, sweeps).first()
+            made[name] = fresh[0] if fresh else estimation.Corner.of_row(*row, systems(), components(unit))
+        return made[name]
 
     def solve(case: Case) -> tuple[np.ndarray, estimation.DenseFactor | blocks.Solver, float]:
         """Coefficients, and factor and scale of their covariance."""
         if not case.l_curve:
             vc = components(case.unit)
             return vc.beta, vc.factor, 1.0
-        if case.unit not in corners:
-            corners[case.unit] = estimation.l_curve(systems, components(case.unit))
-        return corners[case.unit].beta, corners[case.unit].factor, corners[case.unit].scale
+        found = corner(case.unit)
+        return found.beta, found.factor, found.scale
 
     def predict(beta: np.ndarray, factor: estimation.DenseFactor | blocks.Solver, scale: float) -> DataFrame:
         """pixel_id, potential, std_potential."""
@@ -189,16 +298,34 @@ def run(spark: SparkSession, config: Config, sources: dict[str, DataFrame], pixe
         values, vectors = np.linalg.eigh(scale * factor.inverse())
         return design.synthesise(at, basis, beta, "pixel_id", vectors * np.sqrt(np.maximum(values, 0)))
 
-    outcomes = []
-    for case in config.cases:
-        try:
+    def case_of(case: Case) -> Outcome:
+        name, own = case.name.lower(), settings | {"rows": seen, "fields": fields, "save_seconds": None}
+
+        def pixels() -> DataFrame:
+            restored = restore.restore(pixel_fields.join(predict(*solve(case)), "pixel_id"))
+            return restore.zero_degree(restore.uncertainty(restored))
+
+        def coefficients() -> DataFrame:
             beta, factor, scale = solve(case)
-            restored = restore.restore(pixel_fields.join(predict(beta, factor, scale), "pixel_id"))
-            pixels = cache.get(f"pixels_{case.name.lower()}", settings | {"rows": seen, "fields": fields}, lambda: restore.zero_degree(restore.uncertainty(restored)))  # noqa: B023
             rows = [(int(i), float(b), float(v)) for i, b, v in zip(basis.node_id, beta, scale * factor.diagonal(), strict=True)]
             table = spark.createDataFrame(rows, "node_id long, beta double, variance double")
-            parameters = nodes.join(table, "node_id").join(estimation.significance(table, n_obs), "node_id") if n_obs > len(rows) else nodes.join(table, "node_id")
-            outcomes.append(Outcome(case, pixels, parameters))
+            n_obs = sum(s.n for s in (systems() if isinstance(systems(), dict) else systems().sums).values())
+            named = nodes.join(table, "node_id")
+            return named.join(estimation.significance(table, n_obs), "node_id") if n_obs > len(rows) else named
+
+        def told() -> DataFrame:
+            vc = components(case.unit)
+            return spark.createDataFrame([(vc.iterations, vc.sigma2, vc.sigma2_mu, corner(case.unit).lam if case.l_curve else None)], "iterations int, sigma2 map<string,double>, sigma2_mu double, lam double")
+
+        done = Outcome(case, cache.get(f"pixels_{name}", own, pixels), cache.get(f"parameters_{name}", own, coefficients))
+        r = cache.get(f"summary_{name}", own, told).first()
+        done.iterations, done.sigma2, done.sigma2_mu, done.lam = r["iterations"], r["sigma2"], r["sigma2_mu"], r["lam"]
+        return done
+
+    outcomes = []
+    for case in config.cases:
+        try:
+            outcomes.append(case_of(case))
         except Exception:  # the next case goes on
             outcomes.append(Outcome(case, error=traceback.format_exc()))
     return outcomes, cache

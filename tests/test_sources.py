@@ -101,6 +101,60 @@ def test_pipeline_cases_and_cache(spark, tmp_path):
     assert again.log == [("nodes", "kept")] and forced.report().first()["outcome"] == "made"
 
 
+def small_run(spark, tmp_path, **changed):
+    options = {"aperture": 0.5, "sigma2_mu": 1e6, "max_iter": 6, "tol": 0.0, "save_seconds": 0.0, "cases": (pipeline.Case.UNIT_VC, pipeline.Case.UNIT_VC_LC)} | changed
+    config = pipeline.Config(36.5, 38.5, -108.5, -103.5, 0.5, 40, 10, **options)
+    pixels = pipeline.grids.pixel_centres(spark, 36.5, 38.5, -108.5, -103.5, 0.5).select("pixel_id", "lat", "lon", F.lit(1000.0).alias("srtm"), F.lit(1010.0).alias("height"), *(F.lit(0.0).alias(c) for c in ("model", "topo", "terrain")))
+    obs = view(spark, DATA, "obs_ter").withColumn("residual", F.col("g") - 9795e2)
+    return pipeline.run(spark, config, {"ter": obs}, pixels, str(tmp_path / "run"))
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_second_run_computes_nothing(spark, tmp_path, monkeypatch, dense):
+    """Systems, components, sweeps, pixels and parameters are kept; without its pixels a case takes them from the stages before."""
+    if not dense:
+        monkeypatch.setattr(pipeline.design, "DENSE_BYTES", 1)
+    first, cache = small_run(spark, tmp_path)
+    assert [o.error for o in first] == [None, None]
+    stages = dict(cache.log)
+    assert stages["systems" if dense else "design"] == "made" and stages["components_unit"] == "made" and stages["lcurve_unit"] == "made"
+    report = cache.report().collect()
+    assert [r["stage"] for r in report] == [s for s, _ in cache.log] and all(r["seconds"] >= 0 for r in report)
+    fail = lambda *a, **b: pytest.fail("computed again")
+    for owner, name in ((pipeline.design, "normal_systems"), (pipeline.blocks.BlockSystems, "of"), (pipeline.estimation, "l_curve"), (pipeline.design, "synthesise")):
+        monkeypatch.setattr(owner, name, fail)
+    monkeypatch.setattr(pipeline.estimation, "estimate_components", fail)
+    second, cache = small_run(spark, tmp_path)
+    assert [o.error for o in second] == [None, None] and {o for _, o in cache.log} == {"kept"}
+    for a, b in zip(first, second):
+        assert (a.iterations, a.sigma2, a.sigma2_mu, a.lam) == (b.iterations, b.sigma2, b.sigma2_mu, b.lam) and a.iterations == 6
+        assert a.pixels.exceptAll(b.pixels).count() == 0 and a.parameters.exceptAll(b.parameters).count() == 0
+    rows = {r["case"]: r for r in pipeline.summary(spark, second).collect()}
+    assert rows["UNIT_VC"]["iterations"] == 6 and rows["UNIT_VC"]["lambda"] is None and rows["UNIT_VC_LC"]["lambda"] > 0
+
+
+def test_stopped_run_goes_on(spark, tmp_path, monkeypatch):
+    """A run that stops in its fourth step: the next one begins with the fourth, and ends as one that was never stopped."""
+    whole, _ = small_run(spark, tmp_path / "whole", cases=(pipeline.Case.UNIT_VC,))
+    real, calls = pipeline.estimation.DenseSystems.factor, []
+
+    def factor(self, *a):
+        calls.append(a)
+        if len(calls) == 4:
+            raise KeyboardInterrupt
+        return real(self, *a)
+
+    monkeypatch.setattr(pipeline.estimation.DenseSystems, "factor", factor)
+    with pytest.raises(KeyboardInterrupt):
+        small_run(spark, tmp_path, cases=(pipeline.Case.UNIT_VC,))
+    before = len(calls)
+    (outcome,), cache = small_run(spark, tmp_path, cases=(pipeline.Case.UNIT_VC,))
+    assert outcome.error is None and len(calls) - before == 3 and ("components_unit", "from step 3") in cache.log and ("systems", "kept") in cache.log
+    assert outcome.sigma2 == pytest.approx(whole[0].sigma2, rel=1e-12)
+    forced, cache = small_run(spark, tmp_path, cases=(pipeline.Case.UNIT_VC,), force=("components", "pixels", "parameters", "summary"))
+    assert forced[0].error is None and dict(cache.log)["components_unit"] == "made"
+
+
 def test_changed_inputs_are_never_kept(spark, tmp_path):
     """Observations changed in place, pixel fields and priors: each is seen although every plan stays the same."""
     config = pipeline.Config(36.5, 38.5, -108.5, -103.5, 0.5, 40, 10, aperture=0.5, sigma2_mu=1e6, max_iter=2, cases=(pipeline.Case.SIGMAS_VC,))
