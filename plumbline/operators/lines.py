@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,10 +73,8 @@ def _block_means(points: DataFrame, b: float) -> DataFrame:
     # chord from the centre to the farthest point: the triangle inequality holds for chords
     chord = F.transform(F.arrays_zip("lam", "s", "c"), lambda q: F.sqrt(F.pow(q["c"] * F.cos(q["lam"]) - F.col("x"), F.lit(2)) + F.pow(q["c"] * F.sin(q["lam"]) - F.col("y"), F.lit(2)) + F.pow(q["s"] - F.col("z"), F.lit(2))))
     balls = settle(packed.select("project", "line", "block", "x", "y", "z", F.array_max(chord).alias("r")))
-    other = balls.select("project", "line", *(F.col(n).alias(f"{n}2") for n in ("block", "x", "y", "z", "r")))
-    apart = F.sqrt(sum((F.pow(F.col(n) - F.col(f"{n}2"), F.lit(2)) for n in "xyz"), F.lit(0e0))) - F.col("r") - F.col("r2")
     reach = (-2 * np.log(LEAST_WEIGHT) / b) ** 0.5  # 1 - cos of an angle is half the squared chord
-    near = balls.join(other, ["project", "line"]).where(apart <= F.lit(float(reach))).select("project", "line", "block", "block2")
+    near = balls_in_reach(balls, float(reach)).select("project", "line", "block", "block2")
     own = packed.select("project", "line", "block", "obs_id", "lam", "s", "c")
     source = packed.select("project", "line", F.col("block").alias("block2"), *(F.col(n).alias(f"{n}2") for n in ("lam", "v", "s", "c")))
     pairs = near.join(own, ["project", "line", "block"]).join(source, ["project", "line", "block2"]).select("obs_id", "lam", "s", "c", "lam2", "v2", "s2", "c2")
@@ -92,6 +91,36 @@ def _block_means(points: DataFrame, b: float) -> DataFrame:
     return sums.groupBy("obs_id").agg((F.sum("wv") / F.sum("w")).alias("mean"))
 
 
+def balls_in_reach(balls: DataFrame, reach: float) -> DataFrame:
+    """Ordered pairs (project, line, block, block2) of balls (x, y, z, r) of one line that are at most `reach` apart, each with itself
+    too.
+
+    Balls live in grids whose cells double in side from level to level; a ball's level has cells as wide as the ball and its
+    reach. A ball that meets one of its own or a higher level lies in a cell beside that one's there, so an equi-join on
+    cells meets neighbours only, however long the line.
+    """
+    level = F.greatest(F.ceil(F.log2((F.col("r") * 2 + F.lit(reach)) / F.lit(reach))), F.lit(0)).cast("int")
+    placed = balls.withColumn("level", level)
+    top = placed.agg(F.max("level")).first()[0]
+    if top is None:
+        return balls.select("project", "line", "block", F.col("block").alias("block2"))
+    keys = ["project", "line", "at", "i", "j", "k"]
+
+    def cells(frame: DataFrame, shift: dict[str, Column]) -> DataFrame:
+        side = F.lit(reach) * F.pow(F.lit(2e0), F.col("at"))
+        return frame.withColumns({n: (F.floor(F.col(c) / side) + shift.get(n, F.lit(0))).cast("long") for n, c in zip("ijk", "xyz", strict=True)})
+
+    lower = cells(placed.withColumn("at", F.explode(F.sequence("level", F.lit(top)))), {})
+    around = F.explode(F.array(*(F.struct(*(F.lit(s).alias(n) for n, s in zip("abc", shift, strict=True))) for shift in itertools.product((-1, 0, 1), repeat=3)))).alias("s")
+    upper = cells(placed.select("*", F.col("level").alias("at"), around), dict(zip("ijk", (F.col("s.a"), F.col("s.b"), F.col("s.c")), strict=True)))
+    upper = upper.select(*keys, *(F.col(n).alias(f"{n}2") for n in ("block", "x", "y", "z", "r", "level")))
+    apart = F.sqrt(sum((F.pow(F.col(n) - F.col(f"{n}2"), F.lit(2)) for n in "xyz"), F.lit(0e0))) - F.col("r") - F.col("r2")
+    met = lower.join(upper, keys).where(apart <= F.lit(reach))
+    # of one level both orders are there; of two the pair is turned round
+    turned = F.explode(F.when(F.col("level") < F.col("level2"), F.array(F.struct("block", "block2"), F.struct(F.col("block2").alias("block"), F.col("block").alias("block2")))).otherwise(F.array(F.struct("block", "block2")))).alias("p")
+    return met.select("project", "line", turned).select("project", "line", "p.*")
+
+
 def line_stats(filtered: DataFrame, value: str = "g", name: str = "filtered") -> DataFrame:
     """Per project and line: points, missing values before and after, mean, std (ddof 0) and largest of |difference|."""
     d = F.col(value) - F.col(name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plumbline import constants as C
@@ -30,19 +30,72 @@ def exact_quantiles(frame: DataFrame, value: Column, shares: list[float]) -> lis
     return quantiles_of(frame.select(real(value).alias("v")), ["v"], shares)["v"]
 
 
+#: Ranks are known to one part in so many after the first scan.
+ACCURACY = 10_000
+
+
+def _values(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """c and v of all values of the columns."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), real(F.col(c)).alias("v")) for c in columns))).alias("x")
+    return frame.select(pairs).select("x.*").where("v IS NOT NULL")
+
+
+def _first_scan(values: DataFrame, shares: list[float]) -> dict[str, Row]:
+    """A row for each column: count, infinities, ends, moments, and finite values on both sides of each share's rank, from a
+    sketch of bounded size whose ranks are off by less than half the margin."""
+    finite = F.abs("v") < float("inf")
+    beside = [min(1.0, max(0.0, s + side * 3 / ACCURACY)) for s in shares for side in (-1, 1)]
+    sketch = F.percentile_approx(F.when(finite, F.col("v")), beside or [0.5], ACCURACY).alias("beside")
+    counts = [F.count("*").alias("n"), F.count_if(F.col("v") == -float("inf")).alias("below"), F.count_if(F.col("v") == float("inf")).alias("above"), F.min(F.when(finite, F.col("v"))).alias("low"), F.max(F.when(finite, F.col("v"))).alias("high")]
+    moments = [F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most")]
+    return {r["c"]: r for r in values.groupBy("c").agg(*counts, *moments, sketch).collect()}
+
+
+def _second_scan(values: DataFrame, summary: dict[str, Row]) -> dict[str, list[tuple[float | None, int]]]:
+    """Of each column the distinct values (with their numbers) between the sketch's splitters, and the numbers of values between
+    these stretches (value None), in order; nothing where there are too many distinct values."""
+    region, inside = F.lit(None).cast("int"), F.lit(False)
+    spans: dict[str, list[list[float]]] = {}
+    for c, r in summary.items():
+        merged: list[list[float]] = []
+        for low, high in sorted(zip(r["beside"][::2], r["beside"][1::2])) if r["low"] is not None else ():
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        spans[c] = merged
+        own = F.lit(2 * len(merged))
+        for k in reversed(range(len(merged))):
+            low, high = (F.lit(float(x)) for x in merged[k])
+            own = F.when(F.col("v") < low, F.lit(2 * k)).when(F.col("v") <= high, F.lit(2 * k + 1)).otherwise(own)
+            inside = inside | (F.col("c") == c) & F.col("v").between(low, high)
+        region = F.when(F.col("c") == c, own).otherwise(region)
+    most = SORTED_VALUES * sum(map(len, spans.values())) + 2 * len(spans)
+    rows = values.where((F.abs("v") < float("inf")) & F.col("c").isin(*spans)).groupBy("c", region.alias("region"), F.when(inside, F.col("v")).alias("v")).count().limit(most + 1).collect()
+    if len(rows) > most:
+        return {}
+    found: dict[str, list[tuple[float | None, int]]] = {c: [] for c in spans}
+    for r in sorted(rows, key=lambda r: (r["c"], r["region"], r["v"] or 0.0)):
+        found[r["c"]].append((r["v"], r["count"]))
+    return found
+
+
 def quantiles_of(frame: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
     """Exact quantiles of columns with linear interpolation between neighbours (as a median's midpoint).
 
-    A built-in exact percentile keeps every distinct value in one task. Here each pass counts the values of all columns in
-    equal bins of the intervals that hold the wanted ranks and narrows these, until few enough values are left to be
-    sorted; a pass is one partial aggregation of `BINS` counts for each interval. NULLs and NaNs don't count; infinities are
-    the first and last ranks. Without values every quantile is None.
+    A built-in exact percentile keeps every distinct value in one task. Here a first scan gives splitters on both sides of
+    each wanted rank, from a sketch with a rank guarantee; a second one counts what lies between the splitters' stretches and
+    takes the distinct values inside. Where these are more than `SORTED_VALUES` or a rank lies outside after all, intervals
+    are narrowed by counts in `BINS` bins, a partial aggregation a pass, until they hold few values. NULLs and NaNs don't
+    count; infinities are the first and last ranks. Without values every quantile is None.
     """
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), real(F.col(c)).alias("v")) for c in columns))).alias("x")
-    values = frame.select(pairs).select("x.*").where("v IS NOT NULL")
+    values = _values(frame, columns)
+    return _quantiles(values, columns, shares, _first_scan(values, shares))
+
+
+def _quantiles(values: DataFrame, columns: list[str], shares: list[float], summary: dict[str, Row]) -> dict[str, list[float | None]]:
     infinite = float("inf")
     finite = F.abs("v") < infinite
-    summary = {r["c"]: r for r in values.groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("v") == -infinite).alias("below"), F.count_if(F.col("v") == infinite).alias("above"), F.min(F.when(finite, F.col("v"))).alias("low"), F.max(F.when(finite, F.col("v"))).alias("high")).collect()}
     found: dict[tuple[str, int], float] = {}
     open_ranks: dict[tuple[str, float, float, int, int], set[int]] = {}  # (column, interval, values in it, values before it)
     for c, r in summary.items():
@@ -58,6 +111,17 @@ def quantiles_of(frame: DataFrame, columns: list[str], shares: list[float]) -> d
                     found[c, k] = r["low"]
                 else:
                     open_ranks.setdefault((c, r["low"], r["high"], inner, r["below"]), set()).add(k)
+    if open_ranks:
+        known = _second_scan(values, {key[0]: summary[key[0]] for key in open_ranks})
+        for key in list(open_ranks):
+            at = key[4]
+            for v, n in known.get(key[0], ()):
+                own = {k for k in open_ranks[key] if at <= k < at + n} if v is not None else set()
+                found |= {(key[0], k): v for k in own}
+                open_ranks[key] -= own
+                at += n
+            if not open_ranks[key]:
+                del open_ranks[key]
     while open_ranks:
         few = [x for x in open_ranks if x[3] <= SORTED_VALUES or x[1] + _width(x[1], x[2]) == x[1]]
         for c, low, high, _, before in few:
@@ -144,10 +208,11 @@ def nmad(frame: DataFrame, value: Column) -> tuple[float | None, float | None]:
 
 def column_stats(frame: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, mean, std (of all values, ddof 0), max, min, median: one row for each column that has values."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), real(F.col(c)).alias("v")) for c in columns))).alias("x")
-    found = frame.select(pairs).select("x.*").where("v IS NOT NULL").groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max("v").alias("max"), F.min("v").alias("min"))
-    medians = [(c, m) for c, (m,) in quantiles_of(frame, columns, [0.5]).items()]
-    return found.join(F.broadcast(frame.sparkSession.createDataFrame(medians, "column string, median double")), "column")  # a row for each column
+    values = _values(frame, columns)
+    summary = _first_scan(values, [0.5])
+    medians = _quantiles(values, columns, [0.5], summary)
+    rows = [(c, r["n"], r["mean"], r["std"], r["most"], r["least"], medians[c][0]) for c, r in summary.items()]
+    return frame.sparkSession.createDataFrame(rows, "column string, n long, mean double, std double, max double, min double, median double")
 
 
 def histogram(frame: DataFrame, value: Column, bins: int, density: bool = True) -> DataFrame:

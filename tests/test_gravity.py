@@ -2,6 +2,7 @@ import math
 import pickle
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -93,6 +94,22 @@ def test_filter_in_blocks_equals_join(spark, monkeypatch, step):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
 
 
+def test_balls_in_reach_equal_all_pairs(spark):
+    """Balls of all sizes: the same pairs as by comparing all, and for a longer line in proportion more are met."""
+    rng = np.random.default_rng(6)
+    for n, reach in ((60, 0.05), (60, 0.4), (1, 0.1)):
+        rows = [(str(i % 2), 0, i, *map(float, rng.uniform(-1, 1, 3)), float(10 ** rng.uniform(-4, 0))) for i in range(n)]
+        got = sorted((r["project"], r["block"], r["block2"]) for r in lines.balls_in_reach(spark.createDataFrame(rows, "project string, line long, block long, x double, y double, z double, r double"), reach).collect())
+        assert got == sorted((a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and math.dist(a[3:6], b[3:6]) - a[6] - b[6] <= reach)
+
+    def met(n):
+        along = [(("p", 0, k, math.cos(0.01 * k / n * 50), math.sin(0.01 * k / n * 50), 0.0, 0.2 / n)) for k in range(n)]
+        frame = lines.balls_in_reach(spark.createDataFrame(along, "project string, line long, block long, x double, y double, z double, r double"), 0.5 / n)
+        return frame.count()
+
+    assert met(800) < 2.2 * met(400)
+
+
 def test_filter_edge_rows(spark):
     rows = [(0, "p", 1, 0, 36.0, -109.0, 0.0, 1.0), (1, "p", 1, 1, None, -109.0, 0.0, 2.0), (2, "p", 1, 2, 36.0, -109.0, 0.0, float("nan")), (3, None, 1, 3, 36.0, -109.0, 0.0, 4.0), (4, "q", 7, 0, 36.0, -109.0, 0.0, 9.0)]
     obs = spark.createDataFrame(rows, OBS)
@@ -160,6 +177,26 @@ def test_quantiles_with_infinities_ties_and_extremes(spark, monkeypatch):
     assert stats.nmad(frame, F.col("a"))[0] == pytest.approx(np.median(columns["a"]))
 
 
+def test_quantiles_take_two_scans(spark):
+    """Every row is read twice, however many columns and shares; adversarial orders and ties are exact."""
+    rng = np.random.default_rng(4)
+    n = 60_000
+    columns = {"a": np.sort(rng.standard_cauchy(n)), "b": np.r_[np.zeros(n // 2), rng.normal(size=n // 2)], "c": np.where(np.arange(n) % 2, np.arange(n), -np.arange(n)).astype(float)}
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(pd.DataFrame(columns)).repartition(5).mapInArrow(count, "a double, b double, c double")
+    shares = [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = stats.quantiles_of(frame, list("abc"), shares)
+    assert read.value == 2 * n
+    for c, v in columns.items():
+        assert got[c] == pytest.approx(np.quantile(v, shares).tolist(), rel=1e-12, abs=1e-12)
+
+
 def test_column_stats_have_medians(spark):
     frame = spark.createDataFrame([(1.0, None), (3.0, None), (8.0, None), (float("nan"), None)], "a double, b double")
     assert [(r["column"], r["n"], r["median"]) for r in stats.column_stats(frame, ["a", "b"]).collect()] == [("a", 3, 3.0)]
