@@ -5,6 +5,7 @@ Floats are rounded to about nine significant digits on both sides: the engines d
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,8 @@ from plumbline.functions import spherical as S
 from plumbline.functions import text as X
 from plumbline.operators import blocks, design, estimation, grids, harmonics, lines, outliers, quality_control, restore, stats
 from plumbline.plans.views import view, with_views
-from plumbline.session import settle
+from plumbline.session import checkpoint_folder, settle
+from plumbline.sources import sinks, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -764,3 +766,35 @@ def sh_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = spark.createDataFrame([(0, 0, 1.0, 0.0), (2, 0, 1e-3, 0.0), (2, 1, 2e-4, -3e-4), (2, 2, -1e-4, 5e-4), (3, 3, 2e-4, 1e-4)], "n int, m int, c double, s double")
     found = harmonics.synthesis(view(spark, sf_dir, "obs_ter"), model, 4, functional="potential")
     return found.select("obs_id", _r(F.col("value") / 1e3, 4).alias("potential"))
+
+
+# ------------------------------------------------------------------------------------------------- files
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark).rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+
+
+@_query("SELECT obs_id, project, lat, lon, h, g FROM obs_ter", "obs_ter")
+def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab-separated with header, written and read back: text and numbers as they were."""
+    folder = _scratch(spark)
+    sinks.write_table(view(spark, sf_dir, "obs_ter"), folder)
+    found = text.read_table(spark, folder, numbers=["lat", "lon", "h", "g"])
+    return found.select(F.col("obs_id").cast("long").alias("obs_id"), "project", "lat", "lon", "h", "g")
+
+
+@_query("SELECT lat, lon, h FROM obs_ter", "obs_ter")
+def points_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without header, as synthesis tools read it, and read back by blanks."""
+    folder = _scratch(spark)
+    sinks.write_points(view(spark, sf_dir, "obs_ter"), folder)
+    return text.read_blank_separated(spark, folder, ["lat", "lon", "h"])
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY obs_id) AS BIGINT) AS i, g AS value FROM obs_ter", "obs_ter")
+def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number on each line, in the order of the files and of their lines."""
+    folder = _scratch(spark)
+    view(spark, sf_dir, "obs_ter").repartitionByRange(3, "obs_id").sortWithinPartitions("obs_id").select(F.col("g").cast("string")).write.text(folder)
+    return text.read_vector(spark, folder)
