@@ -45,7 +45,7 @@ GRAM = 24
 #: Bytes of a digit of the sort inside a task.
 DIGIT = 8
 #: Windows looked at together, and contexts sorted together.
-SEGMENT, SORTED = 2_000_000, 20_000
+SEGMENT, SORTED = 1_000_000, 20_000
 #: Different contexts of one anchor that a task sorts; more are told apart by a shuffle.
 MOST_CONTEXTS = 50_000
 #: A context's bytes at most, in whole digits.
