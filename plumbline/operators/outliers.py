@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import constants as C
 from plumbline.functions.spherical import with_projection
-from plumbline.operators.stats import exact_quantiles, nmad
+from plumbline.operators.stats import exact_quantiles, nmad, quantiles_of
 from plumbline.session import settle
 
 
@@ -84,7 +84,7 @@ def _middles(candidates: DataFrame, counted: DataFrame, reference: DataFrame, ra
     the values of these bins are looked at."""
     total = F.sum("n").over(Window.partitionBy("cand"))
     ranked = counted.withColumn("lower", F.floor((total - 1) / 2)).withColumn("upper", F.floor(total / 2))
-    where = settle(candidates.join(_holding(ranked, "lower", "upper"), "cand"))  # a row for each candidate
+    where = candidates.join(_holding(ranked, "lower", "upper"), "cand")  # a row for each candidate
     inside = around(where, reference, radius_m, "first", "last", "low", "high", *carried).withColumn("v", value)
     inside = inside.withColumn("bin", _cell(F.col("v"), low, width)).where((F.col("bin") == F.col("first")) | (F.col("bin") == F.col("last")))
     place = F.row_number().over(Window.partitionBy("cand").orderBy("v")) - 1
@@ -96,10 +96,10 @@ def _nearest(candidates: DataFrame, reference: DataFrame, radius_m: float, k: in
     width = radius_m / BINS
     place = _cell(F.col("dist"), 0e0, width).alias("bin")
     counted = around(candidates, reference, radius_m).groupBy("cand", place).agg(F.count("*").alias("n")).withColumn("at", F.lit(k - 1).cast("long"))
-    where = settle(candidates.join(_holding(counted, "at", "at"), "cand"))
+    where = candidates.join(_holding(counted, "at", "at"), "cand")
     inside = around(where, reference, radius_m, "first", "low").where(place == F.col("first"))
     last = inside.withColumn("rank", F.row_number().over(Window.partitionBy("cand").orderBy("dist", "ref")) - 1).where(F.col("rank") == F.col("low"))
-    cut = settle(candidates.join(last.select("cand", F.col("dist").alias("cut"), F.col("ref").alias("cut_ref")), "cand"))
+    cut = candidates.join(last.select("cand", F.col("dist").alias("cut"), F.col("ref").alias("cut_ref")), "cand")
     near = around(cut, reference, radius_m, "cut", "cut_ref").where((F.col("dist") < F.col("cut")) | (F.col("dist") == F.col("cut")) & (F.col("ref") <= F.col("cut_ref")))
     return near.groupBy("cand").agg(F.coalesce(*_weighted(near, power)).alias("nearest"))
 
@@ -120,7 +120,7 @@ def surroundings(candidates: DataFrame, reference: DataFrame, radius_m: float, m
     means = settle(first.groupBy("cand").agg(F.sum("n").alias("n"), F.coalesce(F.min("zero")["ref_value"], F.sum("wv") / F.sum("w")).alias("all_near")))
     middles = settle(candidates.join(_middles(candidates, first.select("cand", "bin", "n"), reference, radius_m, F.col("ref_value"), low, width).withColumnRenamed("middle", "med"), "cand"))
     apart = F.abs(F.col("ref_value") - F.col("med"))
-    counted = settle(around(middles, reference, radius_m, "med").groupBy("cand", _cell(apart, 0e0, width).alias("bin")).agg(F.count("*").alias("n")))
+    counted = around(middles, reference, radius_m, "med").groupBy("cand", _cell(apart, 0e0, width).alias("bin")).agg(F.count("*").alias("n"))
     mads = _middles(middles, counted, reference, radius_m, apart, 0e0, width, "med").withColumnRenamed("middle", "mad")
     joined = means.join(mads, "cand")
     many = candidates.join(means.where(F.col("n") > k).select("cand"), "cand", "left_semi")
@@ -146,11 +146,13 @@ def detect(obs: DataFrame, value: str = "value", k: int = 2800, radius_km: float
     """
     placed = with_projection(_known(obs, value)).select("obs_id", "value", "x", "y")
     points = settle(placed)  # used five times; filters on x and y would otherwise carry the whole series with them
-    (epsilon,) = exact_quantiles(points, F.abs("value"), [percentile])
+    found = quantiles_of(points.select("value", F.abs("value").alias("size")), ["value", "size"], [0.5, percentile])
+    median, epsilon = found["value"][0], found["size"][1]
     if epsilon is None:
         empty = F.lit(None).cast("double")
         return obs.select("*", empty.alias("interp"), empty.alias("difference"), F.lit(False).alias("is_outlier"), F.lit(False).alias("is_candidate"))
-    median, spread = nmad(points, F.col("value"))
+    (mad,) = exact_quantiles(points, F.abs(F.col("value") - F.lit(median)), [0.5])
+    spread = C.NMAD_FACTOR * mad
     candidates = settle(points.where(_far(F.col("value"), median, spread)))
     reference = points.where(~_far(F.col("value"), median, spread))
     placed = candidates.select(F.col("obs_id").alias("cand"), F.col("x").alias("cx"), F.col("y").alias("cy"))
