@@ -71,64 +71,61 @@ def _cell(value: F.Column, low: float, width: float) -> F.Column:
     return F.greatest(F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)), F.lit(0)).cast("int")
 
 
-def _holding(counted: DataFrame, low: str, high: str) -> DataFrame:
-    """Of counts (cand, bin, n, ranks low and high): cand, first and last bin that hold the ranks, and the ranks within them."""
-    before = F.sum("n").over(Window.partitionBy("cand").orderBy("bin")) - F.col("n")  # BINS rows for each candidate
-    placed = counted.withColumn("before", before).where((F.col("before") <= F.col(high)) & (F.col("before") + F.col("n") > F.col(low)))
-    found = placed.groupBy("cand").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.min("before").alias("start"), F.min(low).alias("low"), F.min(high).alias("high"))
-    return found.select("cand", "first", "last", (F.col("low") - F.col("start")).alias("low"), (F.col("high") - F.col("start")).alias("high"))
-
-
-def _middles(candidates: DataFrame, counted: DataFrame, reference: DataFrame, radius_m: float, value: F.Column, low: float, width: float, *carried: str) -> DataFrame:
-    """cand and the median of `value` over all pairs around it: counts in bins (cand, bin, n) say where the middle ranks are, and only
-    the values of these bins are looked at."""
-    total = F.sum("n").over(Window.partitionBy("cand"))
-    ranked = counted.withColumn("lower", F.floor((total - 1) / 2)).withColumn("upper", F.floor(total / 2))
-    where = candidates.join(_holding(ranked, "lower", "upper"), "cand")  # a row for each candidate
-    inside = around(where, reference, radius_m, "first", "last", "low", "high", *carried).withColumn("v", value)
-    inside = inside.withColumn("bin", _cell(F.col("v"), low, width)).where((F.col("bin") == F.col("first")) | (F.col("bin") == F.col("last")))
-    place = F.row_number().over(Window.partitionBy("cand").orderBy("v")) - 1
-    return inside.withColumn("place", place).where(F.col("place").between(F.col("low"), F.col("high"))).groupBy("cand").agg(F.avg("v").alias("middle"))
-
-
-def _nearest(candidates: DataFrame, reference: DataFrame, radius_m: float, k: int, power: float) -> DataFrame:
-    """cand and interp over the k nearest of candidates that have more: where the k-th lies is found by counts of distances."""
-    width = radius_m / BINS
-    place = _cell(F.col("dist"), 0e0, width).alias("bin")
-    counted = around(candidates, reference, radius_m).groupBy("cand", place).agg(F.count("*").alias("n")).withColumn("at", F.lit(k - 1).cast("long"))
-    where = candidates.join(_holding(counted, "at", "at"), "cand")
-    inside = around(where, reference, radius_m, "first", "low").where(place == F.col("first"))
-    last = inside.withColumn("rank", F.row_number().over(Window.partitionBy("cand").orderBy("dist", "ref")) - 1).where(F.col("rank") == F.col("low"))
-    cut = candidates.join(last.select("cand", F.col("dist").alias("cut"), F.col("ref").alias("cut_ref")), "cand")
-    near = around(cut, reference, radius_m, "cut", "cut_ref").where((F.col("dist") < F.col("cut")) | (F.col("dist") == F.col("cut")) & (F.col("ref") <= F.col("cut_ref")))
-    return near.groupBy("cand").agg(F.coalesce(*_weighted(near, power)).alias("nearest"))
+def _holding(counted: DataFrame, low: F.Column, high: F.Column) -> DataFrame:
+    """Of counts (cand, kind, bin, n): first and last bin that hold the ranks `low` to `high` (columns over each candidate's and
+    kind's counts), and the ranks within them; nothing where the ranks are NULL."""
+    before = F.sum("n").over(Window.partitionBy("cand", "kind").orderBy("bin")) - F.col("n")  # BINS rows for each candidate and kind
+    ranked = counted.withColumn("before", before).withColumn("low", low).withColumn("high", high)
+    placed = ranked.where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("n") > F.col("low")))
+    start = F.min("before")
+    return placed.groupBy("cand", "kind").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), (F.min("low") - start).alias("low"), (F.min("high") - start).alias("high"))
 
 
 def surroundings(candidates: DataFrame, reference: DataFrame, radius_m: float, middle: float, spread: float, k: int = 2800, power: float = 1.0, multiplier: float = 8.0) -> DataFrame:
     """Per candidate (cand, cx, cy) with reference points around it: interp, the inverse-distance mean of the k nearest, and local,
     a multiple of the NMAD of all of them. middle and spread: median and NMAD of all values, about which the bins lie.
 
-    Each step is an aggregate of the pairs with at most `BINS` rows for each candidate; pairs aren't kept. Sums for the mean
-    and counts of values come from one step, the medians' values from one each, counts of deviations from one.
+    Four steps, each an aggregate of the pairs as they arise, with at most `BINS` rows for each candidate and kind; pairs
+    aren't kept. Counts of values and of distances in bins say where the median and the k-th neighbour lie; the values and
+    distances of these bins alone give both; then the sums for the mean, over what is no farther than the k-th, and the
+    counts of deviations from the median; and the deviations of the bins that hold their median.
     """
     width = 8 * spread / BINS if spread else 1.0
-    low = middle - 4 * spread
-    near = around(candidates, reference, radius_m)
-    w = F.when(F.col("dist") > 0, F.lit(1e0) / F.pow("dist", F.lit(float(power))))
-    zero = F.when(F.col("dist") == 0, F.struct("ref", "ref_value"))
-    first = settle(near.groupBy("cand", _cell(F.col("ref_value"), low, width).alias("bin")).agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * F.col("ref_value")).alias("wv"), F.min(zero).alias("zero")))
-    means = settle(first.groupBy("cand").agg(F.sum("n").alias("n"), F.coalesce(F.min("zero")["ref_value"], F.sum("wv") / F.sum("w")).alias("all_near")))
-    middles = settle(candidates.join(_middles(candidates, first.select("cand", "bin", "n"), reference, radius_m, F.col("ref_value"), low, width).withColumnRenamed("middle", "med"), "cand"))
+    low, reach = middle - 4 * spread, radius_m / BINS
+    total = F.sum("n").over(Window.partitionBy("cand", "kind"))
+    value_bin, far_bin = _cell(F.col("ref_value"), low, width), _cell(F.col("dist"), 0e0, reach)
+    both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), value_bin.alias("bin")), F.struct(F.lit(1).alias("kind"), far_bin.alias("bin")))).alias("s")
+    counted = settle(around(candidates, reference, radius_m).select("cand", both).groupBy("cand", "s.kind", "s.bin").agg(F.count("*").alias("n")))
+    last = F.when(total > k, F.lit(k - 1))  # all count where there are no more than k
+    held = _holding(counted, F.when(F.col("kind") == 0, F.floor((total - 1) / 2)).otherwise(last), F.when(F.col("kind") == 0, F.floor(total / 2)).otherwise(last))
+    of = lambda kind: [F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{c}{kind}") for c in ("first", "last", "low", "high")]
+    where = candidates.join(held.groupBy("cand").agg(*of(0), *of(1)), "cand")
+    names = [f"{c}{kind}" for kind in (0, 1) for c in ("first", "last", "low", "high")]
+    pairs = around(where, reference, radius_m, *names).withColumn("vb", value_bin).withColumn("db", far_bin)
+    as_value = F.when((F.col("vb") == F.col("first0")) | (F.col("vb") == F.col("last0")), F.struct(F.lit(0).alias("kind"), F.col("ref_value").alias("x"), F.col("low0").alias("low"), F.col("high0").alias("high")))
+    as_dist = F.when(F.col("db") == F.col("first1"), F.struct(F.lit(1).alias("kind"), F.col("dist").alias("x"), F.col("low1").alias("low"), F.col("high1").alias("high")))
+    inside = pairs.select("cand", "ref", F.explode(F.array_compact(F.array(as_value, as_dist))).alias("s")).select("cand", "ref", "s.*")
+    place = F.row_number().over(Window.partitionBy("cand", "kind").orderBy("x", "ref")) - 1
+    found = inside.withColumn("place", place).where(F.col("place").between(F.col("low"), F.col("high")))
+    of_kind = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    known = candidates.join(found.groupBy("cand").agg(F.avg(of_kind(0, "x")).alias("med"), F.max(of_kind(1, "x")).alias("cut"), F.max(of_kind(1, "ref")).alias("cut_ref")), "cand")
+    known = settle(known)
+
+    counts = F.coalesce((F.col("dist") < F.col("cut")) | (F.col("dist") == F.col("cut")) & (F.col("ref") <= F.col("cut_ref")), F.lit(True))
+    w = F.when(counts & (F.col("dist") > 0), F.lit(1e0) / F.pow("dist", F.lit(float(power))))
+    zero = F.when(counts & (F.col("dist") == 0), F.struct("ref", "ref_value"))
     apart = F.abs(F.col("ref_value") - F.col("med"))
-    counted = around(middles, reference, radius_m, "med").groupBy("cand", _cell(apart, 0e0, width).alias("bin")).agg(F.count("*").alias("n"))
-    mads = _middles(middles, counted, reference, radius_m, apart, 0e0, width, "med").withColumnRenamed("middle", "mad")
-    joined = means.join(mads, "cand")
-    many = candidates.join(means.where(F.col("n") > k).select("cand"), "cand", "left_semi")
-    if means.where(F.col("n") > k).limit(1).count():
-        joined = joined.join(_nearest(many, reference, radius_m, k, power), "cand", "left")
-    else:
-        joined = joined.withColumn("nearest", F.lit(None).cast("double"))
-    return joined.select("cand", F.coalesce("nearest", "all_near").alias("interp"), (F.lit(multiplier * C.NMAD_FACTOR) * F.col("mad")).alias("local"))
+    apart_bin = _cell(apart, 0e0, width)
+    summed = around(known, reference, radius_m, "med", "cut", "cut_ref").groupBy("cand", apart_bin.alias("bin"))
+    summed = settle(summed.agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * F.col("ref_value")).alias("wv"), F.min(zero).alias("zero")))
+    means = summed.groupBy("cand").agg(F.coalesce(F.min("zero")["ref_value"], F.sum("wv") / F.sum("w")).alias("interp"))
+
+    held = _holding(summed.select("cand", F.lit(0).alias("kind"), "bin", "n"), F.floor((total - 1) / 2), F.floor(total / 2))
+    near = around(known.join(held.drop("kind"), "cand"), reference, radius_m, "med", "first", "last", "low", "high").withColumn("v", apart).withColumn("bin", apart_bin)
+    near = near.where((F.col("bin") == F.col("first")) | (F.col("bin") == F.col("last")))
+    place = F.row_number().over(Window.partitionBy("cand").orderBy("v")) - 1
+    mads = near.withColumn("place", place).where(F.col("place").between(F.col("low"), F.col("high"))).groupBy("cand").agg(F.avg("v").alias("mad"))
+    return means.join(mads, "cand").select("cand", "interp", (F.lit(multiplier * C.NMAD_FACTOR) * F.col("mad")).alias("local"))
 
 
 def _known(obs: DataFrame, value: str) -> DataFrame:
@@ -164,5 +161,5 @@ def detect(obs: DataFrame, value: str = "value", k: int = 2800, radius_km: float
     all_rows = obs.join(judged, "obs_id", "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False)))
     all_rows = all_rows.withColumn("interp", F.coalesce("interp", F.col(value))).withColumn("difference", F.coalesce("difference", F.abs(F.col(value) - F.col(value))))
     bad = judged.where("is_outlier").select("obs_id")
-    median, spread = nmad(points.join(bad, "obs_id", "left_anti"), F.col("value"))
+    median, spread = nmad(settle(points.join(bad, "obs_id", "left_anti").select("value")), F.col("value"))
     return all_rows.withColumn("is_candidate", F.coalesce(_far(F.col(value), median, spread), F.lit(False)))
