@@ -100,8 +100,9 @@ def test_passage_of_all_documents(spark):
     assert spans.count() == 3_999
     got = repeats.remove_repeats(frame(spark, rows, 2))
     assert got.where("doc_id > 0 AND n_removed >= 200 AND n_spans = 1").count() == 3_999 and got.where("doc_id = 0").first()["n_removed"] == 0
-    code = repeats.anchors(*repeats.bytes_of(repeats.pa.array([t for _, t in rows], repeats.pa.large_string())), 0)[1]
-    assert np.unique(code, return_counts=True)[1].max() == 4_000
+    data, bounds = repeats.bytes_of(repeats.pa.array([t for _, t in rows], repeats.pa.large_string()))
+    codes = np.concatenate([repeats.anchors(data, bounds, at)[1] for at in range(0, len(data), repeats.SEGMENT)])
+    assert np.unique(codes, return_counts=True)[1].max() == 4_000
 
 
 @settings(max_examples=60, deadline=None)
