@@ -7,7 +7,7 @@ number of bits that holds the vocabulary, each block beginning on a byte; then t
 The marker is 128 random bits, drawn for each folder and kept beside the files. It lets readers enter a file anywhere, so a
 file holds all that a task writes (hundreds of megabytes) and is read back in byte ranges, some segments at a time.
 
-Documents are written in ascending id (nulls first; rows that repeat an id follow each other). Null and empty texts hold
+Documents are written in ascending id (nulls first; rows that repeat an id follow each other in the order of their texts). Null and empty texts hold
 the end id alone. An empty table makes no document. Other columns don't matter.
 """
 
@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
 
     ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")  # rows of one id are in one partition
     marker = uuid.uuid4().hex
     docs.sparkSession.createDataFrame([(marker,)], "value string").write.text(f"{folder}/marker")
     write_payloads(ordered.mapInArrow(run, "payload binary"), f"{folder}/ids", marker)
