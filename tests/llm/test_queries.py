@@ -1,6 +1,7 @@
 """Registered queries over a test table, and the pipeline against its stages done by brute force."""
 
 import itertools
+import os
 import re
 import zlib
 from collections import Counter
@@ -51,7 +52,7 @@ def auc(scores, truth):
 
 def test_op6_held_out(spark, monkeypatch):
     """Only labels that the fit never saw count: their order, and how many bad ones are caught."""
-    data = "/root/testdata/sf0.01"
+    data = os.environ.get("TEST_LARGER_SF_DIR", "/root/testdata/sf0.01")
     rows = {r["doc_id"]: r for r in queries.QUERIES["op6_quality_classifier"](spark, data).collect()}
     assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{data}/documents.parquet'").fetchall()[0][0]
     labels = duckdb.sql(f"SELECT doc_id, quality FROM '{data}/labels.parquet' WHERE quality IS NOT NULL").fetchall()

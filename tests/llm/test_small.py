@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bitmaps, bitpack, chats, components, decontaminate, hostrules, licences, minhash, packing, quality, secrets, separators, skew, wordsplit, wordtok
+from plumbline.llm import bitmaps, bitpack, chats, components, decontaminate, flatfiles, hostrules, licences, minhash, packing, quality, secrets, separators, skew, wordsplit, wordtok
 from plumbline.llm.flatfiles import new_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -808,5 +808,24 @@ def test_keep_one_touches_repeated_ids_only(spark):
     assert got.columns == docs.columns and sorted((str(r["doc_id"]), r["m"]["a"], r["s"]["k"]) for r in got.collect()) == [("1", 1, 1), ("3", 1, 1), ("4", 1, 1), ("None", 1, 1), ("None", 1, 1)]
 
 
+def test_sinks_keep_every_16_bit_number(spark):
+    """The text sink writes a value's bytes as they are: all numbers but the separator, in one record and in two."""
+    numbers = np.arange(1, 1 << 16, dtype="<u2")
+    rows = spark.createDataFrame([(0, bytearray(numbers.tobytes())), (1, bytearray(numbers[::-1].tobytes()))], "seq int, payload binary").coalesce(1).sortWithinPartitions("seq")
+    folder = new_folder(spark, "numbers")
+    flatfiles.write_payloads(rows, folder, chr(0) * 2)
+    content = b"".join(r["content"] for r in flatfiles.read_files(spark, folder).orderBy("part", "seq").collect())
+    assert np.array_equal(np.frombuffer(content, "<u2"), np.concatenate([numbers, [0], numbers[::-1], [0]]))
+    folder = new_folder(spark, "segments")
+    flatfiles.write_payloads(rows, folder, "0123456789abcdef" * 2)
+    assert sorted(r["content"] for r in flatfiles.read_segments(spark, folder, "0123456789abcdef" * 2).collect()) == sorted([numbers.tobytes(), numbers[::-1].tobytes()])
+
+
+def test_places_of_repeated_ids_follow_their_texts(spark):
+    rows = [(5, t) for t in ("b b", "a", "c c c", "a", None, "")] + [(4, "z"), (None, "y")]
+    found = [{(r["doc_id"], r["start"], r["ids_crc32"]) for r in bitpack.round_trip(spark.createDataFrame(own, "doc_id long, text string").repartition(n)).collect()} for own, n in ((rows, 1), (rows[::-1], 4))]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_flat_folder_is_shared(spark):
     assert new_folder(spark, "x") != new_folder(spark, "x")
