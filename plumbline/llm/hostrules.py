@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.skew import join_counted
 from plumbline.session import settle
 
 BLANKS = "\t\n\x0b\x0c\r "
@@ -110,9 +111,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     other = (100 * F.col("n_symbols") > HOST_SYMBOL_PERCENT * F.col("n_words")) | (100 * F.col("n_dup_lines") > HOST_LINE_PERCENT * F.col("n_lines"))
     settled = settle(measured.withColumn("base_failed", base_failed).withColumn("failed", base_failed | other))
-    dropped = host_verdicts(settled).where("host_dropped").select(F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
-    joined = settled.join(dropped, settled["host"].eqNullSafe(dropped["bad_host"]), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("bad").isNull()).alias("kept"))
+    named = F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("")).alias("named")  # no host is a host too
+    verdicts = host_verdicts(settled).select(named, "host_dropped", F.col("n_docs").alias("n"))
+    joined = join_counted(settled.select("*", named), settle(verdicts), ["named"])
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_dropped")).alias("kept"))
 
 
 def judge_sections(docs: DataFrame) -> DataFrame:
