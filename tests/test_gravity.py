@@ -408,6 +408,39 @@ def test_reference_redundancy_equals_textbook_at_unit_variance():
     assert np.allclose(a.history, b.history)
 
 
+def expanded_case(spark, m=150):
+    """More nodes than harmonics, and observations of two groups."""
+    rng = np.random.default_rng(11)
+    basis = design.Basis(np.arange(m) * 3, rng.uniform(-80, 80, m), rng.uniform(-180, 180, m), 6)
+    rows = [(i, float(a), float(o), float(h), float(y), "ab"[i % 2]) for i, (a, o, h, y) in enumerate(zip(rng.uniform(-80, 80, 400), rng.uniform(-180, 180, 400), rng.uniform(0, 3e3, 400), rng.normal(size=400)))]
+    return basis, spark.createDataFrame(rows, "obs_id long, lat double, lon double, h double, y double, group_id string")
+
+
+@pytest.mark.parametrize("potential", [False, True])
+def test_expansion_equals_design(potential):
+    rng = np.random.default_rng(3)
+    lat, lon, h = np.array([-90.0, 90.0, 0.0, 36.1, 41.0]), np.array([0.0, 10.0, 180.0, -109.0, 77.0]), np.array([0.0, 1e3, -50.0, 3e3, 10.0])
+    for n_max in (0, 1, 6, 20):
+        basis = design.Basis(np.arange(700), rng.uniform(-90, 90, 700), rng.uniform(-180, 180, 700), n_max, n_min=min(n_max, 2))
+        assert basis.expands
+        x = design.design_rows(basis, lat, lon, h, potential, tabulated=False)
+        assert np.allclose(basis.point_terms(lat, lon, h, potential) @ basis.node_terms().T, x, rtol=0, atol=1e-13 * np.abs(x).max())
+
+
+def test_sweeps_of_more_nodes_than_fit_dense(spark, monkeypatch):
+    basis, obs = expanded_case(spark)
+    dense = design.normal_systems(obs, basis, n_probes=1)
+    want = estimation.l_curve(dense, estimation.estimate_components(dense, sigma2_mu=1e6, max_iter=4, tol=0.0))
+    monkeypatch.setattr(design, "DENSE_BYTES", 100_000)  # a matrix of 150 nodes has 180,000
+    systems = estimation.systems_of(obs, basis, n_probes=1)
+    assert isinstance(systems, estimation.ExpandedSystems)
+    got = estimation.l_curve(systems, estimation.estimate_components(systems, sigma2_mu=1e6, max_iter=4, tol=0.0))
+    assert np.allclose(got.coarse, want.coarse, rtol=1e-6) and np.allclose(got.fine, want.fine, rtol=1e-6)
+    assert np.allclose(got.beta, want.beta, rtol=1e-6, atol=1e-9 * np.abs(want.beta).max())
+    with pytest.raises(ValueError, match="diagonal"):
+        got.factor.inverse()
+
+
 def test_dense_systems_are_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
     basis, rows = nodes_and_points(rng, 5, 20)
