@@ -441,6 +441,23 @@ def test_sweeps_of_more_nodes_than_fit_dense(spark, monkeypatch):
         got.factor.inverse()
 
 
+@pytest.mark.parametrize("options", [{}, {"exact_trace": True}, {"textbook": True}])
+def test_components_of_more_nodes_than_fit_dense(spark, monkeypatch, options):
+    basis, obs = expanded_case(spark)
+    want = estimation.estimate_components(design.normal_systems(obs, basis, n_probes=1), sigma2_mu=1e6, max_iter=3, tol=0.0, **options)
+    monkeypatch.setattr(design, "DENSE_BYTES", 100_000)
+    got = estimation.estimate_components(estimation.systems_of(obs, basis, n_probes=1), sigma2_mu=1e6, max_iter=3, tol=0.0, **options)
+    assert np.allclose(got.history, want.history, rtol=1e-6, atol=0)
+    assert np.allclose(got.factor.diagonal(), want.factor.diagonal(), rtol=1e-6)
+
+
+def test_systems_choose_their_form(spark, monkeypatch):
+    basis, obs = expanded_case(spark, 20)
+    assert isinstance(estimation.systems_of(obs, basis), estimation.DenseSystems)
+    monkeypatch.setattr(design, "DENSE_BYTES", 6_399)  # both groups' matrices have 6,400
+    assert isinstance(estimation.systems_of(obs, basis, n_probes=1), blocks.BlockSystems)
+
+
 def test_dense_systems_are_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
     basis, rows = nodes_and_points(rng, 5, 20)
