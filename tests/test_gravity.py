@@ -458,6 +458,23 @@ def test_systems_choose_their_form(spark, monkeypatch):
     assert isinstance(estimation.systems_of(obs, basis, n_probes=1), blocks.BlockSystems)
 
 
+def falling(i, j):
+    return np.where(i == j, 2.0, 1 / (1.0 + np.abs(i - j)))
+
+
+@pytest.mark.parametrize("m", [20, 150])
+def test_deviations_without_a_matrix_of_nodes(spark, monkeypatch, m):
+    """Of a covariance given by ids, in blocks, for bases that expand and that don't."""
+    monkeypatch.setattr(design, "COVARIANCE_BLOCK", 64)
+    basis, obs = expanded_case(spark, m)
+    c = falling(basis.node_id[:, None], basis.node_id[None, :])
+    lat, lon, h = (np.array([r[0] for r in obs.orderBy("obs_id").select(x).collect()]) for x in ("lat", "lon", "h"))
+    x = design.design_rows(basis, lat, lon, h, True)
+    for options in ({"covariance": falling}, {"factor": np.linalg.cholesky(c)}):
+        got = design.synthesise(obs, basis, np.zeros(m), "obs_id", **options).orderBy("obs_id").collect()
+        assert np.allclose([r["std_potential"] for r in got], np.sqrt(((x @ c) * x).sum(1)), rtol=1e-9)
+
+
 def test_dense_systems_are_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
     basis, rows = nodes_and_points(rng, 5, 20)
