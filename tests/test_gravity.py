@@ -475,6 +475,19 @@ def test_deviations_without_a_matrix_of_nodes(spark, monkeypatch, m):
         assert np.allclose([r["std_potential"] for r in got], np.sqrt(((x @ c) * x).sum(1)), rtol=1e-9)
 
 
+def test_synthesis_of_low_degree_makes_no_design(spark, monkeypatch):
+    basis, obs = expanded_case(spark)
+    beta = np.random.default_rng(1).normal(size=150)
+    lat, lon, h, y = (np.array([r[0] for r in obs.orderBy("obs_id").select(x).collect()]) for x in ("lat", "lon", "h", "y"))
+    want = [design.design_rows(basis, lat, lon, h, potential) @ beta for potential in (True, False)]
+    monkeypatch.setattr(design, "design_rows", None)  # travels with the tasks' functions
+    got = design.synthesise(obs, basis, beta, "obs_id").orderBy("obs_id").collect()
+    assert np.allclose([r["potential"] for r in got], want[0], rtol=1e-9)
+    e = design.residuals(obs, basis, beta).orderBy("obs_id").collect()
+    assert np.allclose([r["residual"] for r in e], y - want[1], rtol=1e-9)
+    assert design.spread(obs.coalesce(1)).rdd.getNumPartitions() > 1
+
+
 def test_dense_systems_are_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
     basis, rows = nodes_and_points(rng, 5, 20)
