@@ -351,8 +351,8 @@ _INTERP = f"{_NEAR}, i AS (SELECT cand, sum(v / dist) / sum(1e0 / dist) AS inter
 def idw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = settle(S.with_projection(_spiked(spark, sf_dir)).select("obs_id", "value", "x", "y"))
     candidates = outliers.nmad_candidates(points)
-    near = outliers.neighbours(candidates, points.join(candidates.select("obs_id"), "obs_id", "left_anti"), 1e5)
-    return outliers.interpolate(near).select(F.col("cand").alias("obs_id"), _r("interp").alias("interp"))
+    found = outliers.nearest_means(candidates, points.join(candidates.select("obs_id"), "obs_id", "left_anti"), 1e5)
+    return found.select(F.col("cand").alias("obs_id"), _r("interp").alias("interp"))
 
 
 @_query(

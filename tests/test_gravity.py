@@ -276,6 +276,28 @@ def test_outliers(spark):
     assert outliers.detect(spots(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 5, 2800])
+@pytest.mark.parametrize("most", [0, 5_000_000])
+def test_surroundings_by_tiles_and_bins(spark, monkeypatch, most, k):
+    """Both ways against sums over all pairs: tiles of few candidates, and bins where tiles would hold too many points."""
+    for name, value in (("TILE_POINTS", most), ("TILE_CANDIDATES", 3), ("BINS", 9)):
+        monkeypatch.setattr(outliers, name, value)
+    rng = np.random.default_rng(21)
+    xy, v = rng.uniform(-3e5, 3e5, (300, 2)).round(-4), rng.normal(size=300).round(1)
+    frame = spark.createDataFrame([(i, float(x), float(y), float(a)) for i, ((x, y), a) in enumerate(zip(xy, v))], "obs_id long, x double, y double, value double")
+    chosen, rest = frame.where("obs_id % 9 = 0"), frame.where("obs_id % 9 <> 0")
+    placed = chosen.select(F.col("obs_id").alias("cand"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    got = {r["cand"]: r for r in outliers.surroundings(placed, rest, 1e5, 0.0, 1.0, k).collect()}
+    means = {r["cand"]: r["interp"] for r in outliers.nearest_means(chosen, rest, 1e5, k).collect()}
+    for i in range(0, 300, 9):
+        near = sorted((math.dist(xy[i], xy[j]), j) for j in range(300) if j % 9 and math.dist(xy[i], xy[j]) <= 1e5)
+        values = np.array([v[j] for _, j in near])
+        zero = [v[j] for d, j in near[:k] if d == 0]
+        interp = zero[0] if zero else sum(v[j] / d for d, j in near[:k]) / sum(1 / d for d, _ in near[:k])
+        assert got[i]["interp"] == pytest.approx(interp, rel=1e-9, abs=1e-12) and means[i] == pytest.approx(interp, rel=1e-9, abs=1e-12)
+        assert got[i]["local"] == pytest.approx(8 * C.NMAD_FACTOR * np.median(np.abs(values - np.median(values))), rel=1e-12)
+
+
 @pytest.mark.parametrize("k", [5, 2800])
 def test_outliers_equal_brute_force(spark, monkeypatch, k):
     """Means of the k nearest, medians and deviations of all around, with few bins, ties and points at one place."""
@@ -475,12 +497,11 @@ def test_deviations_without_a_matrix_of_nodes(spark, monkeypatch, m):
         assert np.allclose([r["std_potential"] for r in got], np.sqrt(((x @ c) * x).sum(1)), rtol=1e-9)
 
 
-def test_synthesis_of_low_degree_makes_no_design(spark, monkeypatch):
+def test_synthesis_of_more_nodes_than_terms(spark):
     basis, obs = expanded_case(spark)
     beta = np.random.default_rng(1).normal(size=150)
     lat, lon, h, y = (np.array([r[0] for r in obs.orderBy("obs_id").select(x).collect()]) for x in ("lat", "lon", "h", "y"))
     want = [design.design_rows(basis, lat, lon, h, potential) @ beta for potential in (True, False)]
-    monkeypatch.setattr(design, "design_rows", None)  # travels with the tasks' functions
     got = design.synthesise(obs, basis, beta, "obs_id").orderBy("obs_id").collect()
     assert np.allclose([r["potential"] for r in got], want[0], rtol=1e-9)
     e = design.residuals(obs, basis, beta).orderBy("obs_id").collect()
