@@ -509,6 +509,20 @@ def test_synthesis_of_more_nodes_than_terms(spark):
     assert design.spread(obs.coalesce(1)).rdd.getNumPartitions() > 1
 
 
+@pytest.mark.parametrize("m", [20, 150])
+def test_right_side_makes_no_table(spark, m):
+    basis, obs = expanded_case(spark, m)
+    lat, lon, h, y = (np.array([r[0] for r in obs.orderBy("obs_id").select(x).collect()]) for x in ("lat", "lon", "h", "y"))
+    missing = obs.withColumn("y", F.when(F.col("obs_id") % 7 != 0, F.col("y")))
+    x, y = design.design_rows(basis, lat, lon, h), np.where(np.arange(400) % 7 != 0, y, 0)
+    got = sorted(tuple(r) for r in design.right_side(missing, basis).collect())
+    assert [i for i, _ in got] == basis.node_id.tolist()
+    assert np.allclose([v for _, v in got], x.T @ y, rtol=1e-9, atol=1e-12 * np.abs(x).max())
+    empty = design.right_side(obs.withColumn("y", F.lit(None).cast("double")), basis).collect()
+    assert len(empty) == m and all(r["v"] is None for r in empty)
+    assert design.right_side(obs.limit(0), basis).count() == 0
+
+
 def test_dense_systems_are_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
     basis, rows = nodes_and_points(rng, 5, 20)
