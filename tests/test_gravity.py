@@ -326,6 +326,19 @@ def test_outliers_equal_brute_force(spark, monkeypatch, k):
         assert got[i]["is_outlier"] == ((off > eps and abs(v[i]) > eps) or off > local)
 
 
+def test_outliers_by_tiles_equal_those_by_bins(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frame = spots(spark, [(i, float(a), float(b), float(v)) for i, (a, b, v) in enumerate(zip(rng.uniform(4, 8, 250), rng.uniform(-77, -72, 250), rng.standard_cauchy(250).round(2)))])
+
+    def found():
+        return sorted((r["obs_id"], round(r["interp"], 9), r["is_outlier"], r["is_candidate"]) for r in outliers.detect(frame, k=20).collect())
+
+    monkeypatch.setattr(outliers, "TILE_CANDIDATES", 4)
+    tiles = found()
+    monkeypatch.setattr(outliers, "TILE_POINTS", 0)
+    assert tiles == found()
+
+
 def test_outliers_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(5)
     rows = [(i, float(a), float(b), float(v)) for i, (a, b, v) in enumerate(zip(rng.uniform(4, 7, 200), rng.uniform(-76, -72, 200), rng.standard_cauchy(200)))]
