@@ -536,6 +536,29 @@ def test_right_side_makes_no_table(spark, m):
     assert design.right_side(obs.limit(0), basis).count() == 0
 
 
+def test_entries_as_they_are_read(spark, monkeypatch):
+    basis, obs = expanded_case(spark)
+    lat, lon, h = (np.array([r[0] for r in obs.orderBy("obs_id").select(x).collect()]) for x in ("lat", "lon", "h"))
+    x = design.design_rows(basis, lat, lon, h)
+    got = {(r["i"], r["j"]): r["v"] for r in design.gram_entries(obs, basis, 2.0).collect()}
+    assert len(got) == 150 * 150
+    assert np.allclose([[got[i, j] for j in basis.node_id.tolist()] for i in basis.node_id.tolist()], 2 * x.T @ x, rtol=1e-9, atol=1e-12 * (x * x).sum(0).max())
+    assert design.gram_entries(obs.limit(0), basis).count() == 0
+    with pytest.raises(ValueError, match="blocks"):
+        design.gram_entries(obs, expanded_case(spark, 20)[0])
+
+
+@pytest.mark.parametrize("tabulated", [None, True])
+def test_design_table_is_rounded_and_dealt(spark, tabulated):
+    basis, obs = expanded_case(spark)
+    lat, lon, h = (np.array([r[0] for r in obs.orderBy("obs_id").select(x).collect()]) for x in ("lat", "lon", "h"))
+    found = design.design_matrix(obs.coalesce(1), basis, tabulated=tabulated, scale=1e6, digits=3)
+    assert found.rdd.getNumPartitions() > 1
+    got = [r["a"] for r in found.orderBy("obs_id", "node_id").collect()]
+    assert np.allclose(got, 1e6 * design.design_rows(basis, lat, lon, h).ravel(), rtol=0, atol=5.01e-4) and np.allclose(got, np.round(got, 3), rtol=0, atol=1e-12)
+    assert design.rounded(np.array([0.25, -0.25, 0.5, -1.5]), 1.0, 1).tolist() == [0.3, -0.3, 0.5, -1.5]
+
+
 def test_dense_systems_are_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
     basis, rows = nodes_and_points(rng, 5, 20)
