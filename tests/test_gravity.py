@@ -378,6 +378,15 @@ def test_kernel_tables_equal_sums(degree, potential):
     assert "_tables" not in pickle.loads(pickle.dumps(basis)).__dict__
 
 
+def test_tables_of_one_panel_and_of_two_equal_sums():
+    rng = np.random.default_rng(2)
+    table = kernels.KernelTable(2.0 * np.arange(7) + 1, design.clenshaw_beside)
+    for reach in (1.0, 3.0):  # one panel, and two
+        t, s = np.cos(rng.uniform(0, reach, (40, 30))), rng.uniform(-2e-3, 1e-3, 40)
+        want = design.clenshaw(table.factors * np.exp((np.arange(7) + 1) * s[:, None]), t)
+        assert np.allclose(table.sums(t, s), want, rtol=0, atol=1e-12 * np.abs(table.factors).sum())
+
+
 def test_terms_of_tables_follow_their_bound():
     """exp(i x) and exp(x) on intervals of half width w: as many terms as the bound says are enough."""
     for reach in (0.5, 4.0, 20.0):
