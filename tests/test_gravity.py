@@ -1,9 +1,11 @@
+import glob
 import math
 import pickle
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -601,6 +603,55 @@ def test_design_table_is_rounded_and_dealt(spark, tabulated):
     assert design.rounded(np.array([0.25, -0.25, 0.5, -1.5]), 1.0, 1).tolist() == [0.3, -0.3, 0.5, -1.5]
 
 
+def crowded_case(spark, copies=5):
+    """A basis of 60 positions, each of several nodes with ids far apart, and observations."""
+    basis, obs = expanded_case(spark, 60)
+    order = np.random.default_rng(2).permutation(60 * copies)
+    return design.Basis(np.arange(60 * copies) * 3, basis.lat[order % 60], basis.lon[order % 60], 6), obs
+
+
+def row_bytes(table, path):
+    """Bytes of the columns for each row as Spark writes them."""
+    table.write.parquet(path)
+    groups = [m.row_group(k) for m in (pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")) for k in range(m.num_row_groups)]
+    return sum(g.column(c).total_compressed_size for g in groups for c in range(g.num_columns)) / sum(g.num_rows for g in groups)
+
+
+def test_nodes_of_one_position_are_one_place():
+    lat, lon = np.array([1.0, 0.0, 1.0, np.nan, 0.0, 0.0]), np.array([2.0, 5.0, 2.0, 0.0, 4.0, 5.0])
+    places, ids, starts = design.Basis(np.array([7, 3, 1, 9, 8, 2]), lat, lon, 6).places()
+    assert places.lat[:3].tolist() == [0, 0, 1] and places.lon.tolist() == [4, 5, 2, 0] and np.isnan(places.lat[3])
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [[8], [2, 3], [1, 7], [9]]
+    assert len(design.Basis(np.zeros(0), np.zeros(0), np.zeros(0), 6).places()[0].lat) == 0
+
+
+@pytest.mark.parametrize("tabulated", [None])
+def test_design_table_keeps_columns_of_a_position_once(spark, monkeypatch, tmp_path, tabulated):
+    """Equal to the rows of the design, whatever the blocks; the table as it is written takes few bytes a row."""
+    monkeypatch.setattr(design, "LEFT_BLOCK", 7)
+    monkeypatch.setattr(design, "BLOCK_NUMBERS", 70)
+    monkeypatch.setattr(design, "TASK_ROWS", 3_000)
+    basis, obs = crowded_case(spark)
+    lat, lon, h = (np.array([r[0] for r in obs.orderBy("obs_id").select(x).collect()]) for x in ("lat", "lon", "h"))
+    found = design.design_matrix(obs, basis, tabulated=tabulated)
+    assert found.rdd.getNumPartitions() == 40
+    got = found.orderBy("obs_id", "node_id").collect()
+    assert [(r["obs_id"], r["node_id"]) for r in got] == [(k, i) for k in range(400) for i in basis.node_id.tolist()]
+    assert np.allclose([r["a"] for r in got], design.design_rows(basis, lat, lon, h).ravel(), rtol=1e-9, atol=1e-12)
+    assert design.design_matrix(obs.limit(0), basis).count() == 0
+    monkeypatch.undo()
+    crowded, _ = crowded_case(spark, 40)
+    assert row_bytes(design.design_matrix(obs, crowded, tabulated=tabulated, scale=1e6, digits=3).coalesce(1), str(tmp_path / "a")) < 0.8
+
+
+def test_points_of_a_task_are_near(spark):
+    points = spark.range(0, 20_000).selectExpr("id k", "36 + 3 * ((id * 7919) % 10007) / 10007e0 lat", "-109 + 6 * ((id * 104729) % 10009) / 10009e0 lon", "0e0 h")
+    dealt = design._dealt_by_place(points, 1).withColumn("t", F.spark_partition_id())
+    sides = dealt.groupBy("t").agg((F.max("lat") - F.min("lat")).alias("a"), (F.max("lon") - F.min("lon")).alias("b"), F.count("*").alias("n")).collect()
+    assert len(sides) == 16 and sum(r["n"] for r in sides) == 20_000
+    assert max(r["a"] for r in sides) < 1.6 and max(r["b"] for r in sides) < 3 and max(r["n"] for r in sides) < 2_500
+
+
 def test_dense_systems_are_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
     basis, rows = nodes_and_points(rng, 5, 20)
