@@ -652,6 +652,24 @@ def test_points_of_a_task_are_near(spark):
     assert max(r["a"] for r in sides) < 1.6 and max(r["b"] for r in sides) < 3 and max(r["n"] for r in sides) < 2_500
 
 
+def test_entries_of_a_position_are_kept_once(spark, monkeypatch, tmp_path):
+    basis, obs = crowded_case(spark)
+    lat, lon, h = (np.array([r[0] for r in obs.orderBy("obs_id").select(x).collect()]) for x in ("lat", "lon", "h"))
+    x = design.design_rows(basis, lat, lon, h)
+    for left, numbers, entries in ((512, 262_144, 100_000), (7, 21, 100)):
+        monkeypatch.setattr(design, "LEFT_BLOCK", left)
+        monkeypatch.setattr(design, "BLOCK_NUMBERS", numbers)
+        monkeypatch.setattr(design, "TASK_ENTRIES", entries)
+        found = design.gram_entries(obs, basis, 2.0)
+        got = {(r["i"], r["j"]): r["v"] for r in found.collect()}
+        ids = basis.node_id.tolist()
+        assert found.count() == len(got) == 300 * 300
+        assert np.allclose([[got[i, j] for j in ids] for i in ids], 2 * x.T @ x, rtol=1e-9, atol=1e-12 * (x * x).sum(0).max())
+    monkeypatch.undo()
+    crowded, _ = crowded_case(spark, 20)
+    assert row_bytes(design.gram_entries(obs, crowded), str(tmp_path / "v")) < 0.4
+
+
 def test_dense_systems_are_bounded(spark, monkeypatch):
     rng = np.random.default_rng(0)
     basis, rows = nodes_and_points(rng, 5, 20)
